@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterflow.operators import rollups, rules, windows
+from meterflow.operators import prep, rollups, rules, windows
 from meterflow.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,3 +56,99 @@ def q_anomaly_flags(spark, sf_dir):
 @register("machine_kpis")
 def q_machine_kpis(spark, sf_dir):
     return rollups.machine_kpis(flagged_readings(spark, sf_dir))
+
+
+# --- step 2: rollups ---------------------------------------------------------------
+
+def flagged_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.readings_from_orders(spark, sf_dir).transform(windows.window_features).transform(
+        rules.add_anomaly_flags)
+
+
+@register("monthly_trends")
+def q_monthly_trends(spark, sf_dir):
+    return rollups.monthly_trends(flagged_monthly(spark, sf_dir))
+
+
+@register("drift")
+def q_drift(spark, sf_dir):
+    out = rollups.model_drift(flagged_readings(spark, sf_dir))
+    return out.select("machine_id", "drift_variance", r6("max_recon_error"), "needs_retrain")
+
+
+@register("hourly_forecast")
+def q_hourly_forecast(spark, sf_dir):
+    df = flagged_readings(spark, sf_dir).transform(prep.add_calendar)
+    return rollups.hourly_forecast(df)
+
+
+@register("flag_counts")
+def q_flag_counts(spark, sf_dir):
+    return rollups.flag_counts(flagged_readings(spark, sf_dir))
+
+
+@register("dataset_profile")
+def q_dataset_profile(spark, sf_dir):
+    return rollups.dataset_profile(fx.readings_from_events(spark, sf_dir))
+
+
+@register("distinct_machines")
+def q_distinct_machines(spark, sf_dir):
+    return rollups.distinct_keys(fx.readings_from_events(spark, sf_dir))
+
+
+# --- step 3: preparation and joins ----------------------------------------------------
+
+TARGET_SEGMENT = "MACHINERY"
+
+
+def target_machines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = fx.metadata_from_customer(spark, sf_dir)
+    return meta.filter(F.col("primary_use") == TARGET_SEGMENT).select("building_id")
+
+
+@register("scan_filter")
+def q_scan_filter(spark, sf_dir):
+    raw = fx.raw_readings_from_orders(spark, sf_dir)
+    return prep.readings_filter(raw, meter=0, keys=target_machines(spark, sf_dir))
+
+
+@register("enrich_left_joins")
+def q_enrich_left_joins(spark, sf_dir):
+    raw = prep.readings_filter(fx.raw_readings_from_orders(spark, sf_dir), meter=0)
+    out = prep.enrich(raw, fx.metadata_from_customer(spark, sf_dir),
+                      fx.weather_from_lineitem(spark, sf_dir))
+    out = out.transform(prep.rename_raw).transform(prep.add_calendar)
+    return out.select("machine_id", "timestamp", "kwh", "reading_id", "site_id", "primary_use",
+                      "air_temperature", "wind_speed", "sea_level_pressure",
+                      "hour", "month", "dayofweek", "is_weekend", "date")
+
+
+@register("calendar_features")
+def q_calendar_features(spark, sf_dir):
+    return fx.readings_from_events(spark, sf_dir).transform(prep.add_calendar)
+
+
+@register("fill_missing_columns")
+def q_fill_missing_columns(spark, sf_dir):
+    return fx.readings_from_events(spark, sf_dir).transform(prep.fill_missing_columns)
+
+
+@register("dropna_subset")
+def q_dropna_subset(spark, sf_dir):
+    df = (fx.readings_from_events(spark, sf_dir).transform(prep.fill_missing_columns)
+          .transform(windows.window_features).transform(prep.drop_incomplete))
+    return df.select("machine_id", "timestamp", "kwh", "reading_id", "lag_1h", "lag_24h",
+                     r6("rolling_avg_24h"))
+
+
+@register("union_sources")
+def q_union_sources(spark, sf_dir):
+    return prep.union_sources(fx.readings_from_events(spark, sf_dir),
+                              fx.readings_from_orders(spark, sf_dir))
+
+
+@register("expected_baseline")
+def q_expected_baseline(spark, sf_dir):
+    df = fx.readings_from_events(spark, sf_dir).transform(prep.add_expected_load)
+    return df.select("machine_id", "timestamp", "kwh", "reading_id", r6("expected_kwh"))

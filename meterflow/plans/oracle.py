@@ -1,7 +1,8 @@
 """DuckDB SQL equivalents of the registered queries.
 
-The driver tables are views.  Rounding to 2 decimals goes through DECIMAL so
-that half-way values round up, as Spark's ``round`` does.
+The driver tables are views.  Spark's ``round`` rounds the decimal text of
+a double half-up; ``r2``/``r4`` do the same (text -> DECIMAL -> round) so
+half-way values agree.
 """
 
 from __future__ import annotations
@@ -9,12 +10,21 @@ from __future__ import annotations
 ORACLE: dict[str, str] = {}
 
 
+def rnd(expr: str, digits: int) -> str:
+    return (f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 18)), {digits}) "
+            f"AS DOUBLE)")
+
+
+def r1(expr: str) -> str:
+    return rnd(expr, 1)
+
+
 def r2(expr: str) -> str:
-    return f"CAST(round(CAST({expr} AS DECIMAL(38, 9)), 2) AS DOUBLE)"
+    return rnd(expr, 2)
 
 
 def r4(expr: str) -> str:
-    return f"CAST(round(CAST({expr} AS DECIMAL(38, 12)), 4) AS DOUBLE)"
+    return rnd(expr, 4)
 
 
 def r6(expr: str) -> str:
@@ -83,3 +93,121 @@ ORACLE["machine_kpis"] = FLAGGED + f"""SELECT machine_id,
   CAST(sum(is_anomaly) AS BIGINT) AS total_anomalies,
   {r2('sum(is_anomaly) / count(kwh) * 100')} AS anomaly_rate_pct
 FROM flagged GROUP BY machine_id"""
+
+# --- step 2: rollups -------------------------------------------------------------
+
+FLAGGED_MONTHLY = (f"WITH {MONTHLY_READINGS},\n{features_cte('mreadings')},\n"
+                   f"{flags_cte()}\n")
+
+ORACLE["monthly_trends"] = FLAGGED_MONTHLY + f"""SELECT machine_id,
+  CAST(month("timestamp") AS INTEGER) AS month,
+  {r2('avg(kwh)')} AS avg_monthly_kwh,
+  {r2('sum(kwh)')} AS total_monthly_kwh,
+  {r2('max(kwh)')} AS peak_monthly_kwh,
+  CAST(sum(is_anomaly) AS BIGINT) AS anomalies_this_month
+FROM flagged GROUP BY machine_id, CAST(month("timestamp") AS INTEGER)"""
+
+ORACLE["drift"] = FLAGGED + f"""SELECT machine_id, drift_variance, max_recon_error,
+  CASE WHEN drift_variance > 0.15 THEN true ELSE false END AS needs_retrain
+FROM (SELECT machine_id, {r4('stddev_samp(z_score)')} AS drift_variance,
+             {r6('max(z_score)')} AS max_recon_error
+      FROM flagged GROUP BY machine_id)"""
+
+ORACLE["hourly_forecast"] = FLAGGED + f"""SELECT machine_id, CAST(hour("timestamp") AS INTEGER) AS hour,
+  {r2('avg(kwh) * 1.05')} AS predicted_load_next_24h
+FROM flagged GROUP BY machine_id, CAST(hour("timestamp") AS INTEGER)"""
+
+ORACLE["flag_counts"] = FLAGGED + """SELECT count(*) AS total_rows,
+  CAST(coalesce(sum(is_anomaly), 0) AS BIGINT) AS anomaly_count,
+  CAST(coalesce(sum(spike_flag), 0) AS BIGINT) AS spike_count,
+  CAST(coalesce(sum(drop_flag), 0) AS BIGINT) AS drop_count,
+  CAST(coalesce(sum(zscore_flag), 0) AS BIGINT) AS zscore_count
+FROM flagged"""
+
+ORACLE["dataset_profile"] = f"""WITH {READINGS}
+SELECT count(*) AS n_rows, count(DISTINCT machine_id) AS n_machines,
+  min("timestamp") AS first_ts, max("timestamp") AS last_ts,
+  {r2('min(kwh)')} AS min_kwh, {r2('max(kwh)')} AS max_kwh,
+  CAST(sum(CASE WHEN kwh IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_kwh
+FROM readings"""
+
+ORACLE["distinct_machines"] = f"""WITH {READINGS}
+SELECT DISTINCT machine_id FROM readings"""
+
+# --- step 3: preparation and joins -------------------------------------------------
+
+RAW_READINGS = """raw AS (
+  SELECT o_custkey AS building_id,
+         CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1 AS meter,
+         o_orderdate AS "timestamp", o_totalprice AS meter_reading, o_orderkey AS reading_id
+  FROM orders)"""
+
+METADATA = """meta AS (
+  SELECT c_custkey AS building_id, c_nationkey AS site_id, c_mktsegment AS primary_use
+  FROM customer)"""
+
+WEATHER = """weather AS (
+  SELECT s_nationkey AS site_id, l_shipdate AS "timestamp",
+         round(avg(l_quantity), 6) AS air_temperature,
+         round(avg(l_discount), 6) AS wind_speed,
+         round(avg(l_tax), 6) AS sea_level_pressure
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+  GROUP BY s_nationkey, l_shipdate)"""
+
+
+def calendar_sql(ts: str = '"timestamp"') -> str:
+    return (f"CAST(hour({ts}) AS INTEGER) AS hour, CAST(month({ts}) AS INTEGER) AS month, "
+            f"CAST(isodow({ts}) - 1 AS INTEGER) AS dayofweek, "
+            f"CASE WHEN isodow({ts}) - 1 >= 5 THEN 1 ELSE 0 END AS is_weekend, "
+            f"CAST({ts} AS DATE) AS date")
+
+
+ORACLE["scan_filter"] = f"""WITH {RAW_READINGS}, {METADATA}
+SELECT * FROM raw
+WHERE meter = 0 AND building_id IN (SELECT building_id FROM meta WHERE primary_use = 'MACHINERY')"""
+
+ORACLE["enrich_left_joins"] = f"""WITH {RAW_READINGS}, {METADATA}, {WEATHER}
+SELECT r.building_id AS machine_id, r."timestamp", r.meter_reading AS kwh, r.reading_id,
+  m.site_id, m.primary_use, w.air_temperature, w.wind_speed, w.sea_level_pressure,
+  {calendar_sql('r."timestamp"')}
+FROM raw r
+LEFT JOIN meta m ON r.building_id = m.building_id
+LEFT JOIN weather w ON m.site_id = w.site_id AND r."timestamp" = w."timestamp"
+WHERE r.meter = 0"""
+
+ORACLE["calendar_features"] = f"""WITH {READINGS}
+SELECT *, {calendar_sql()} FROM readings"""
+
+ORACLE["fill_missing_columns"] = f"""WITH {READINGS}
+SELECT *, 20.0::DOUBLE AS air_temperature,
+  CAST(hour("timestamp") AS INTEGER) AS hour, CAST(month("timestamp") AS INTEGER) AS month,
+  CAST(isodow("timestamp") - 1 AS INTEGER) AS dayofweek,
+  CASE WHEN isodow("timestamp") - 1 >= 5 THEN 1 ELSE 0 END AS is_weekend
+FROM readings"""
+
+ORACLE["dropna_subset"] = f"""WITH {READINGS},
+{features_cte()}
+SELECT machine_id, "timestamp", kwh, reading_id, lag_1h, lag_24h,
+  {r6('rolling_avg_24h')} AS rolling_avg_24h
+FROM features
+WHERE lag_1h IS NOT NULL AND lag_24h IS NOT NULL AND rolling_avg_24h IS NOT NULL
+  AND kwh IS NOT NULL"""
+
+ORACLE["union_sources"] = f"""WITH {READINGS}, {MONTHLY_READINGS}
+SELECT * FROM readings UNION ALL SELECT * FROM mreadings"""
+
+
+def expected_load_sql(ts: str = '"timestamp"') -> str:
+    h = f"hour({ts})"
+    base = (f"CASE WHEN {h} < 6 THEN 60.0 WHEN {h} < 10 THEN 60.0 + ({h} - 6) * 18.0 "
+            f"WHEN {h} < 14 THEN 132.0 WHEN {h} < 18 THEN 132.0 + ({h} - 14) * -12.0 "
+            f"WHEN {h} < 22 THEN 84.0 + ({h} - 18) * -8.0 ELSE 52.0 END")
+    weekend = f"CASE WHEN isodow({ts}) - 1 >= 5 THEN 0.65 ELSE 1.0 END"
+    seasonal = (f"(1.0 + 0.25 * sin(CAST(month({ts}) - 1 AS DOUBLE) / 12.0 * 2 "
+                f"* 3.141592653589793 - 3.141592653589793 / 2))")
+    return f"CAST({base} AS DOUBLE) * CAST({weekend} AS DOUBLE) * {seasonal}"
+
+
+ORACLE["expected_baseline"] = f"""WITH {READINGS}
+SELECT machine_id, "timestamp", kwh, reading_id, round({expected_load_sql()}, 6) AS expected_kwh
+FROM readings"""

@@ -8,6 +8,7 @@ The readings model is ``machine_id, timestamp, kwh`` plus a unique
 | readings | events | user_id -> machine_id, ts -> timestamp, value -> kwh, event_id -> reading_id |
 | multi-month readings | orders | o_custkey % 50 -> machine_id, o_orderdate -> timestamp, o_totalprice -> kwh |
 | enrichment readings | orders | o_custkey -> machine_id (matches customer keys) |
+| raw readings | orders | o_custkey -> building_id, priority digit - 1 -> meter, o_orderdate -> timestamp, o_totalprice -> meter_reading |
 | metadata | customer | c_custkey -> machine_id, c_nationkey -> site_id, c_mktsegment -> primary_use |
 | weather | lineitem x supplier | daily means by (s_nationkey, l_shipdate) |
 """
@@ -48,7 +49,7 @@ def raw_readings_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw-reading shape (building_id, meter, timestamp, meter_reading)."""
     return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("building_id"),
-        (F.col("o_orderkey") % 4).cast("int").alias("meter"),
+        (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("meter"),
         F.col("o_orderdate").alias("timestamp"),
         F.col("o_totalprice").alias("meter_reading"),
         F.col("o_orderkey").alias("reading_id"),
