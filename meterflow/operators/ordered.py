@@ -94,7 +94,7 @@ def ordered_frames(df: DataFrame, key: str, order: Sequence[str],
 
     if not hot:
         w = Window.partitionBy(key).orderBy(*order)
-        out = df.withColumn(ORD, F.row_number().over(w) - 1)
+        out = df.withColumn(ORD, (F.row_number().over(w) - 1).cast("long"))
         cols = build(w)
         if cols:
             out = out.withColumns(cols)
@@ -158,7 +158,7 @@ def ordered_frames(df: DataFrame, key: str, order: Sequence[str],
     cols = build(wc)
     if cols:
         pass1 = pass1.withColumns(cols)
-    pass1 = pass1.withColumn(ORD, F.col("_off") + F.col("_pos"))
+    pass1 = pass1.withColumn(ORD, (F.col("_off") + F.col("_pos")).cast("long"))
 
     pos, cc = F.col("_pos"), F.col("_cc")
     first, last = F.col("_first"), F.col("_last")

@@ -87,12 +87,14 @@ def trailing_windows(df: DataFrame, key: str = "machine_id", ts: str = "timestam
 def edge_windows(df: DataFrame, key: str = "machine_id", ts: str = "timestamp",
                  value: str = "kwh", tiebreak: str | None = "reading_id",
                  length: int = WINDOW, steps: int = EDGE_STEPS,
-                 split: float = TRAIN_SPLIT, chunk_rows: int | None = None) -> DataFrame:
+                 split: float = TRAIN_SPLIT, last_col: str | None = None,
+                 chunk_rows: int | None = None) -> DataFrame:
     """The held-out scoring tail of each machine.
 
     With ``n`` readings, step ``s`` scores the ``length`` readings ending just
     before ``hour_index = floor(split*n) + length + s`` for ``s < steps`` while
-    ``hour_index < n``.
+    ``hour_index < n``.  ``kwh_last`` reports ``last_col`` (default: the
+    windowed value) of the window's last row.
     """
     out = trailing_windows(df, key, ts, value, tiebreak, length, chunk_rows)
     hour_index = F.col(ORD) + 1
@@ -101,7 +103,7 @@ def edge_windows(df: DataFrame, key: str = "machine_id", ts: str = "timestamp",
         out.withColumn("hour_index", hour_index)
         .filter((hour_index >= start) & (hour_index < F.least(F.col(CNT), start + steps)))
         .select(F.col(key), "hour_index", F.col(ts).alias("timestamp_last"),
-                F.col(value).alias("kwh_last"), "readings")
+                F.col(last_col or value).alias("kwh_last"), "readings")
     )
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterflow.operators import prep, rollups, rules, windows
+from meterflow.operators import prep, rollups, rules, sequence, windows
 from meterflow.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,3 +152,95 @@ def q_union_sources(spark, sf_dir):
 def q_expected_baseline(spark, sf_dir):
     df = fx.readings_from_events(spark, sf_dir).transform(prep.add_expected_load)
     return df.select("machine_id", "timestamp", "kwh", "reading_id", r6("expected_kwh"))
+
+
+# --- step 4: sequences, scaling, scoring -------------------------------------------
+
+def window_summary(df: DataFrame, arr: str = "readings") -> list:
+    a = F.col(arr)
+    add = lambda acc, x: acc + x
+    return [
+        F.size(a).alias("seq_len"),
+        F.element_at(a, 1).alias("seq_first"),
+        F.element_at(a, -1).alias("seq_last"),
+        F.round(F.aggregate(a, F.lit(0.0), add), 6).alias("seq_sum"),
+        F.round(F.aggregate(F.transform(a, lambda x, i: x * (i + 1)), F.lit(0.0), add),
+                6).alias("seq_weighted"),
+    ]
+
+
+@register("minmax_scale")
+def q_minmax_scale(spark, sf_dir):
+    r = fx.readings_from_orders(spark, sf_dir)
+    out = sequence.apply_minmax(r, sequence.fit_minmax(r))
+    return out.select("machine_id", "timestamp", "kwh", "reading_id", "scale_min", "scale_max",
+                      r6("scaled"))
+
+
+@register("sequence_windows")
+def q_sequence_windows(spark, sf_dir):
+    w = windows.sequence_windows(fx.readings_from_events(spark, sf_dir))
+    return w.select("machine_id", "window_start", "window_start_ts", "window_end_ts",
+                    *window_summary(w))
+
+
+@register("chrono_split")
+def q_chrono_split(spark, sf_dir):
+    w = sequence.scaled_windows(fx.readings_from_orders(spark, sf_dir))
+    return w.select("machine_id", "window_start", "n_windows", "split")
+
+
+@register("edge_windows")
+def q_edge_windows(spark, sf_dir):
+    w = windows.edge_windows(fx.readings_from_orders(spark, sf_dir))
+    return w.select("machine_id", "hour_index", "timestamp_last", "kwh_last", *window_summary(w))
+
+
+def deviation_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = sequence.scaled_windows(fx.readings_from_orders(spark, sf_dir))
+    return sequence.score(w, sequence.DeviationScorer())
+
+
+@register("baseline_scores")
+def q_baseline_scores(spark, sf_dir):
+    return deviation_scored(spark, sf_dir).select(
+        "machine_id", "window_start", "split", r6("recon_error"))
+
+
+@register("baseline_threshold")
+def q_baseline_threshold(spark, sf_dir):
+    t = sequence.thresholds(deviation_scored(spark, sf_dir))
+    return t.select("machine_id", r6("error_mean"), r6("error_std"), "n_errors", r6("threshold"))
+
+
+@register("baseline_edge_log")
+def q_baseline_edge_log(spark, sf_dir):
+    limits = sequence.thresholds(deviation_scored(spark, sf_dir))
+    return sequence.edge_log(fx.readings_from_orders(spark, sf_dir),
+                             sequence.DeviationScorer(), limits)
+
+
+def pca_scored(spark: SparkSession, sf_dir: str):
+    w = sequence.scaled_windows(fx.readings_from_orders(spark, sf_dir))
+    scorer = sequence.fit_pca_scorer(w.filter(F.col("split") == "train"))
+    return sequence.score(w, scorer), scorer
+
+
+@register("recon_scores")
+def q_recon_scores(spark, sf_dir):
+    scored, _ = pca_scored(spark, sf_dir)
+    return scored.select("machine_id", "window_start", "split", r6("recon_error"))
+
+
+@register("model_threshold")
+def q_model_threshold(spark, sf_dir):
+    scored, _ = pca_scored(spark, sf_dir)
+    t = sequence.thresholds(scored)
+    return t.select("machine_id", r6("error_mean"), r6("error_std"), "n_errors", r6("threshold"))
+
+
+@register("edge_scores")
+def q_edge_scores(spark, sf_dir):
+    scored, scorer = pca_scored(spark, sf_dir)
+    limits = sequence.thresholds(scored)
+    return sequence.edge_log(fx.readings_from_orders(spark, sf_dir), scorer, limits)

@@ -211,3 +211,97 @@ def expected_load_sql(ts: str = '"timestamp"') -> str:
 ORACLE["expected_baseline"] = f"""WITH {READINGS}
 SELECT machine_id, "timestamp", kwh, reading_id, round({expected_load_sql()}, 6) AS expected_kwh
 FROM readings"""
+
+# --- step 4: sequences, scaling, scoring ---------------------------------------------
+
+MWIN = 'PARTITION BY machine_id ORDER BY "timestamp", reading_id'
+
+SCALED = f"""{MONTHLY_READINGS},
+bounds AS (
+  SELECT *, min(kwh) OVER (PARTITION BY machine_id) AS scale_min,
+            max(kwh) OVER (PARTITION BY machine_id) AS scale_max
+  FROM mreadings),
+scaled AS (
+  SELECT *, CASE WHEN scale_max - scale_min = 0 THEN kwh - scale_min
+                 ELSE (kwh - scale_min) / (scale_max - scale_min) END AS scaled
+  FROM bounds)"""
+
+
+def seq_summary(l: str = "l") -> str:
+    return (f"len({l}) AS seq_len, {l}[1] AS seq_first, {l}[len({l})] AS seq_last, "
+            f"round(list_sum({l}), 6) AS seq_sum, "
+            f"round(list_sum(list_transform({l}, lambda x, i: x * i)), 6) AS seq_weighted")
+
+
+def deviation_sql(l: str = "l") -> str:
+    return f"list_avg(list_transform({l}, lambda x: abs(x - list_avg({l}))))"
+
+
+ORACLE["minmax_scale"] = f"""WITH {SCALED}
+SELECT machine_id, "timestamp", kwh, reading_id, scale_min, scale_max,
+  round(scaled, 6) AS scaled
+FROM scaled"""
+
+ORACLE["sequence_windows"] = f"""WITH {READINGS},
+w AS (
+  SELECT machine_id, "timestamp" AS window_start_ts,
+    row_number() OVER ({MWIN}) - 1 AS window_start,
+    count(*) OVER (PARTITION BY machine_id) AS n,
+    last("timestamp") OVER ({MWIN} ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING) AS window_end_ts,
+    list(kwh) OVER ({MWIN} ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING) AS l
+  FROM readings)
+SELECT machine_id, window_start, window_start_ts, window_end_ts, {seq_summary()}
+FROM w WHERE window_start < n - 24"""
+
+SCALED_WINDOWS = f"""{SCALED},
+w AS (
+  SELECT machine_id,
+    row_number() OVER ({MWIN}) - 1 AS window_start,
+    count(*) OVER (PARTITION BY machine_id) AS n,
+    list(scaled) OVER ({MWIN} ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING) AS l
+  FROM scaled),
+ws AS (
+  SELECT machine_id, window_start, n - 24 AS n_windows,
+    CASE WHEN window_start < floor((n - 24) * 0.8) THEN 'train' ELSE 'validation' END AS split,
+    l, {deviation_sql()} AS recon_error
+  FROM w WHERE window_start < n - 24),
+limits AS (
+  SELECT machine_id, avg(recon_error) AS error_mean, stddev_pop(recon_error) AS error_std,
+    count(recon_error) AS n_errors,
+    avg(recon_error) + 3.0 * stddev_pop(recon_error) AS threshold
+  FROM ws WHERE split = 'validation' GROUP BY machine_id)"""
+
+ORACLE["chrono_split"] = f"""WITH {SCALED_WINDOWS}
+SELECT machine_id, window_start, n_windows, split FROM ws"""
+
+ORACLE["edge_windows"] = f"""WITH {MONTHLY_READINGS},
+w AS (
+  SELECT machine_id, "timestamp" AS timestamp_last, kwh AS kwh_last,
+    row_number() OVER ({MWIN}) AS hour_index,
+    count(*) OVER (PARTITION BY machine_id) AS n,
+    list(kwh) OVER ({MWIN} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS l
+  FROM mreadings)
+SELECT machine_id, hour_index, timestamp_last, kwh_last, {seq_summary()}
+FROM w
+WHERE hour_index >= floor(n * 0.8) + 24 AND hour_index < least(n, floor(n * 0.8) + 224)"""
+
+ORACLE["baseline_scores"] = f"""WITH {SCALED_WINDOWS}
+SELECT machine_id, window_start, split, round(recon_error, 6) AS recon_error FROM ws"""
+
+ORACLE["baseline_threshold"] = f"""WITH {SCALED_WINDOWS}
+SELECT machine_id, round(error_mean, 6) AS error_mean, round(error_std, 6) AS error_std,
+  n_errors, round(threshold, 6) AS threshold
+FROM limits"""
+
+ORACLE["baseline_edge_log"] = f"""WITH {SCALED_WINDOWS},
+tail AS (
+  SELECT machine_id, "timestamp", kwh,
+    row_number() OVER ({MWIN}) AS hour_index,
+    count(*) OVER (PARTITION BY machine_id) AS n,
+    list(scaled) OVER ({MWIN} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS l
+  FROM scaled)
+SELECT t."timestamp", t.machine_id, t.hour_index, round(t.kwh, 3) AS kwh_last,
+  round({deviation_sql('t.l')}, 6) AS recon_error, round(m.threshold, 6) AS threshold,
+  CASE WHEN {deviation_sql('t.l')} > m.threshold THEN 1 ELSE 0 END AS is_anomaly
+FROM tail t LEFT JOIN limits m ON t.machine_id = m.machine_id
+WHERE t.hour_index >= floor(t.n * 0.8) + 24 AND t.hour_index < least(t.n, floor(t.n * 0.8) + 224)"""
