@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterflow.operators import prep, rollups, rules, sequence, windows
+from meterflow import constants as K
+from meterflow.operators import events, prep, rollups, rules, sequence, windows
 from meterflow.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -244,3 +245,134 @@ def q_edge_scores(spark, sf_dir):
     scored, scorer = pca_scored(spark, sf_dir)
     limits = sequence.thresholds(scored)
     return sequence.edge_log(fx.readings_from_orders(spark, sf_dir), scorer, limits)
+
+
+# --- step 5: requests, alerts, logs and feeds ----------------------------------------
+
+@register("validate_requests")
+def q_validate_requests(spark, sf_dir):
+    req = events.validate_requests(events.request_frames(fx.readings_from_events(spark, sf_dir)))
+    return req.select("machine_id", "window_start", F.size("readings").alias("n_values"),
+                      "is_valid", "rejection")
+
+
+def scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid 24-reading requests from the orders readings, forecast from the
+    hourly rollup, scaled with the machine's bounds, scored and decided."""
+    r = fx.readings_from_orders(spark, sf_dir)
+    req = events.validate_requests(events.request_frames(r)).filter("is_valid")
+    fc = rollups.hourly_forecast(r.transform(prep.add_calendar)).withColumnRenamed(
+        "predicted_load_next_24h", "forecast_kwh")
+    req = (req.withColumn("hour", F.hour("request_ts").cast("int"))
+           .join(fc, ["machine_id", "hour"], "left")
+           .withColumn("predicted_kwh", F.col("forecast_kwh")))
+    req = req.join(prep.sized_broadcast(sequence.fit_minmax(r)), "machine_id", "left")
+    req = sequence.scale_window_array(req)
+    req = sequence.score(req, sequence.DeviationScorer(), arr="scaled_readings")
+    req = events.attach_limits(req, sequence.thresholds(deviation_scored(spark, sf_dir)))
+    return events.decide_alerts(req)
+
+
+def scored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.prediction_log(scored_requests(spark, sf_dir))
+
+
+LOG_ORDER = ("machine_id", "actual_kwh", "predicted_kwh", "recon_error", "threshold")
+
+
+@register("alert_decision")
+def q_alert_decision(spark, sf_dir):
+    return scored_requests(spark, sf_dir).select(
+        "machine_id", "window_start", "is_anomaly", "alert_fired", "alert_reason")
+
+
+@register("alert_json")
+def q_alert_json(spark, sf_dir):
+    fired = scored_requests(spark, sf_dir).filter("alert_fired")
+    return events.alert_document(fired).select("machine_id", "window_start", "payload")
+
+
+@register("prediction_log")
+def q_prediction_log(spark, sf_dir):
+    return scored_log(spark, sf_dir)
+
+
+@register("scoring_metrics")
+def q_scoring_metrics(spark, sf_dir):
+    return rollups.scoring_metrics(scored_log(spark, sf_dir))
+
+
+@register("recent_anomalies")
+def q_recent_anomalies(spark, sf_dir):
+    return events.recent_anomalies(scored_log(spark, sf_dir), order=LOG_ORDER)
+
+
+@register("newest_feed")
+def q_newest_feed(spark, sf_dir):
+    flagged = scored_log(spark, sf_dir).filter(F.col("is_anomaly") == 1)
+    return events.newest_feed(flagged, order=LOG_ORDER)
+
+
+@register("last_n_per_machine")
+def q_last_n_per_machine(spark, sf_dir):
+    return windows.last_n_per_key(fx.readings_from_orders(spark, sf_dir), 200)
+
+
+def registered_machines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.readings_from_events(spark, sf_dir).select("machine_id")
+
+
+@register("machine_status")
+def q_machine_status(spark, sf_dir):
+    log = scored_log(spark, sf_dir)
+    return events.latest_state(log, registered_machines(spark, sf_dir),
+                               order=("actual_kwh", "recon_error"))
+
+
+@register("rate_band")
+def q_rate_band(spark, sf_dir):
+    return events.label_rates(q_machine_kpis(spark, sf_dir))
+
+
+def relay_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relay messages from the log: a data point per row, an alarm per flag."""
+    log = scored_log(spark, sf_dir)
+    iso = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss")
+    points = log.select(F.to_json(F.struct(
+        "machine_id", F.col("actual_kwh").alias("kwh"), "recon_error", "threshold",
+        (F.col("is_anomaly") == 1).alias("is_anomaly"), iso.alias("timestamp"))).alias("message"))
+    alarms = log.filter(F.col("is_anomaly") == 1).select(F.to_json(F.struct(
+        F.lit(K.ALARM_TYPE).alias("type"), "machine_id",
+        F.round("recon_error", 4).alias("error"), iso.alias("timestamp"))).alias("message"))
+    return points.unionByName(alarms)
+
+
+@register("normalise_events")
+def q_normalise_events(spark, sf_dir):
+    return events.normalise_messages(relay_messages(spark, sf_dir))
+
+
+def valid_orders_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    req = events.request_frames(fx.readings_from_orders(spark, sf_dir))
+    return events.validate_requests(req).filter("is_valid")
+
+
+@register("what_if_scale")
+def q_what_if_scale(spark, sf_dir):
+    base = valid_orders_requests(spark, sf_dir).withColumn("base_last", F.element_at("readings", -1))
+    out = events.what_if_breakdown(base)
+    last = F.element_at("readings", -1)
+    return out.select(
+        "machine_id", "window_start", last.alias("breakdown_last"), r6("predicted_kwh"),
+        F.round(F.aggregate("readings", F.lit(0.0), lambda a, x: a + x), 6).alias("seq_sum"),
+        (last > F.col("predicted_kwh") * K.SPIKE_FACTOR).alias("spike_alert"))
+
+
+@register("request_lookup")
+def q_request_lookup(spark, sf_dir):
+    out = events.last_window_lookup(fx.readings_from_orders(spark, sf_dir),
+                                    registered_machines(spark, sf_dir))
+    a = F.col("last_readings")
+    return out.select("machine_id", F.size(a).alias("n_values"),
+                      F.element_at(a, -1).alias("last_value"),
+                      F.round(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), 6).alias("seq_sum"))

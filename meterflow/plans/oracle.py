@@ -305,3 +305,172 @@ SELECT t."timestamp", t.machine_id, t.hour_index, round(t.kwh, 3) AS kwh_last,
   CASE WHEN {deviation_sql('t.l')} > m.threshold THEN 1 ELSE 0 END AS is_anomaly
 FROM tail t LEFT JOIN limits m ON t.machine_id = m.machine_id
 WHERE t.hour_index >= floor(t.n * 0.8) + 24 AND t.hour_index < least(t.n, floor(t.n * 0.8) + 224)"""
+
+# --- step 5: requests, alerts, logs and feeds ---------------------------------------
+
+FRAME = f"{MWIN} ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING"
+
+ORACLE["validate_requests"] = f"""WITH {READINGS},
+f AS (
+  SELECT machine_id, row_number() OVER ({MWIN}) - 1 AS window_start,
+    list(kwh) OVER ({FRAME}) AS l
+  FROM readings),
+v AS (
+  SELECT machine_id, window_start, CAST(len(l) AS INTEGER) AS n_values,
+    CASE WHEN machine_id IS NULL OR machine_id < 0 THEN 'machine_id must be >= 0'
+         WHEN len(l) != 24 THEN 'Expected exactly 24 readings, got ' || len(l)
+         WHEN len(list_filter(l, lambda x: x IS NULL OR x < 0)) > 0
+           THEN 'kWh readings cannot be negative'
+         WHEN l[len(l)] * 1.05 < 0 THEN 'predicted_kwh must be >= 0'
+    END AS rejection
+  FROM f)
+SELECT machine_id, window_start, n_values, rejection IS NULL AS is_valid, rejection FROM v"""
+
+SCORED = f"""{SCALED_WINDOWS},
+req AS (
+  SELECT machine_id, row_number() OVER ({MWIN}) - 1 AS window_start,
+    last("timestamp") OVER ({FRAME}) AS request_ts,
+    list(kwh) OVER ({FRAME}) AS rl,
+    list(scaled) OVER ({FRAME}) AS sl
+  FROM scaled),
+fc AS (
+  SELECT machine_id, CAST(hour("timestamp") AS INTEGER) AS hour,
+    {r2('avg(kwh) * 1.05')} AS forecast_kwh
+  FROM mreadings GROUP BY machine_id, CAST(hour("timestamp") AS INTEGER)),
+sr AS (
+  SELECT q.machine_id, q.window_start, q.request_ts, q.rl[24] AS actual_kwh,
+    coalesce(fc.forecast_kwh, q.rl[24]) AS predicted_kwh,
+    {deviation_sql('q.sl')} AS recon_error, m.threshold
+  FROM req q
+  LEFT JOIN fc ON q.machine_id = fc.machine_id AND CAST(hour(q.request_ts) AS INTEGER) = fc.hour
+  LEFT JOIN limits m ON q.machine_id = m.machine_id
+  WHERE len(q.rl) = 24),
+dec AS (
+  SELECT *, recon_error > threshold AS is_anomaly,
+    (recon_error > threshold) OR (predicted_kwh > 0 AND actual_kwh > predicted_kwh * 1.5)
+      AS alert_fired,
+    concat_ws(' | ',
+      CASE WHEN recon_error > threshold THEN printf('recon_error (%.4f) > threshold (%.4f)',
+        {r4('recon_error')}, {r4('threshold')}) END,
+      CASE WHEN predicted_kwh > 0 AND actual_kwh > predicted_kwh * 1.5 THEN
+        printf('actual (%.1f kWh) > 1.5× predicted (%.1f)', {r1('actual_kwh')},
+               {r1('predicted_kwh')}) END) AS reasons
+  FROM sr),
+decided AS (
+  SELECT *, CASE WHEN reasons = '' THEN 'No threshold crossed' ELSE reasons END AS alert_reason
+  FROM dec),
+log AS (
+  SELECT request_ts AS "timestamp", machine_id, round(actual_kwh, 3) AS actual_kwh,
+    round(predicted_kwh, 3) AS predicted_kwh, round(recon_error, 6) AS recon_error,
+    round(threshold, 6) AS threshold, CAST(is_anomaly AS INTEGER) AS is_anomaly,
+    CAST(alert_fired AS INTEGER) AS alert_sent, CAST(NULL AS DOUBLE) AS latency_ms
+  FROM decided)"""
+
+ORACLE["alert_decision"] = f"""WITH {SCORED}
+SELECT machine_id, window_start, is_anomaly, alert_fired, alert_reason FROM decided"""
+
+
+def _field(title: str, value: str, short: bool = True) -> str:
+    return (f"{{'title': '{title}', 'value': {value}, "
+            f"'short': {'true' if short else 'false'}}}")
+
+
+def _fixed(expr: str, digits: int) -> str:
+    return f"printf('%.{digits}f', {rnd(expr, digits)})"
+
+
+ORACLE["alert_json"] = f"""WITH {SCORED}
+SELECT machine_id, window_start, CAST(to_json({{'attachments': [{{
+  'color': '#FF0000',
+  'title': '🚨 Energy Anomaly — Machine ' || CAST(machine_id AS VARCHAR),
+  'fields': [
+    {_field('Reason', 'alert_reason')},
+    {_field('Actual kWh', _fixed('actual_kwh', 2))},
+    {_field('Predicted kWh', _fixed('predicted_kwh', 2))},
+    {_field('Reconstruction Error', _fixed('recon_error', 6))},
+    {_field('Threshold', _fixed('threshold', 6))},
+    {_field('Spike Factor', "'1.5×'")},
+    {_field('Timestamp', "strftime(request_ts, '%Y-%m-%d %H:%M UTC')", False)}],
+  'footer': 'Industrial Energy Monitoring | Capstone 5'}}]}}) AS VARCHAR) AS payload
+FROM decided WHERE alert_fired"""
+
+ORACLE["prediction_log"] = f"WITH {SCORED}\nSELECT * FROM log"
+
+ORACLE["scoring_metrics"] = f"""WITH {SCORED}
+SELECT count(*) AS total_requests,
+  CAST(coalesce(sum(is_anomaly), 0) AS BIGINT) AS total_anomalies,
+  CAST(coalesce(sum(alert_sent), 0) AS BIGINT) AS total_alerts,
+  {r2('coalesce(sum(is_anomaly), 0) / greatest(count(*), 1) * 100')} AS anomaly_rate_pct,
+  {r2('coalesce(sum(latency_ms), 0.0) / greatest(count(*), 1)')} AS avg_latency_ms
+FROM log"""
+
+LOG_DESC = ('"timestamp" DESC, machine_id DESC, actual_kwh DESC, predicted_kwh DESC, '
+            'recon_error DESC, threshold DESC')
+
+ORACLE["recent_anomalies"] = f"""WITH {SCORED}
+SELECT * FROM log WHERE is_anomaly = 1 ORDER BY {LOG_DESC} LIMIT 50"""
+
+ORACLE["newest_feed"] = f"""WITH {SCORED}
+SELECT *, row_number() OVER (ORDER BY {LOG_DESC}) AS feed_rank
+FROM log WHERE is_anomaly = 1
+QUALIFY feed_rank <= 200"""
+
+ORACLE["last_n_per_machine"] = f"""WITH {MONTHLY_READINGS}
+SELECT machine_id, "timestamp", kwh, reading_id FROM mreadings
+QUALIFY row_number() OVER (PARTITION BY machine_id ORDER BY "timestamp" DESC, reading_id DESC) <= 200"""
+
+ORACLE["machine_status"] = f"""WITH {SCORED},
+latest AS (
+  SELECT machine_id, actual_kwh AS kwh, is_anomaly, recon_error, "timestamp" AS last_updated
+  FROM log
+  QUALIFY row_number() OVER (PARTITION BY machine_id
+                             ORDER BY "timestamp" DESC, actual_kwh DESC, recon_error DESC) = 1),
+machines AS (SELECT DISTINCT user_id AS machine_id FROM events)
+SELECT m.machine_id, l.kwh, l.is_anomaly, l.recon_error, l.last_updated,
+  CASE WHEN l.is_anomaly IS NULL THEN 'IDLE' WHEN l.is_anomaly = 1 THEN 'ANOMALY'
+       ELSE 'NORMAL' END AS status
+FROM machines m LEFT JOIN latest l ON m.machine_id = l.machine_id"""
+
+ORACLE["rate_band"] = FLAGGED + f""", kpis AS (
+  SELECT machine_id, {r2('sum(is_anomaly) / count(kwh) * 100')} AS anomaly_rate_pct
+  FROM flagged GROUP BY machine_id)
+SELECT machine_id, 'M-' || CAST(machine_id AS VARCHAR) AS label, anomaly_rate_pct,
+  CASE WHEN anomaly_rate_pct < 2.0 THEN 'low' WHEN anomaly_rate_pct < 5.0 THEN 'medium'
+       ELSE 'high' END AS rate_band
+FROM kpis"""
+
+ORACLE["normalise_events"] = f"""WITH {SCORED}
+SELECT machine_id, coalesce(nullif(actual_kwh, 0), 0.0) AS kwh,
+  coalesce(nullif(recon_error, 0), 0.0) AS recon_error,
+  coalesce(nullif(threshold, 0), 0.0979) AS threshold,
+  coalesce(is_anomaly = 1, false) AS is_anomaly,
+  strftime("timestamp", '%Y-%m-%dT%H:%M:%S') AS "timestamp", false AS from_alarm
+FROM log
+UNION ALL
+SELECT machine_id, 0.0 AS kwh, coalesce(nullif({r4('recon_error')}, 0), 0.0) AS recon_error,
+  0.0979 AS threshold, true AS is_anomaly,
+  strftime("timestamp", '%Y-%m-%dT%H:%M:%S') AS "timestamp", true AS from_alarm
+FROM log WHERE is_anomaly = 1"""
+
+ORACLE["what_if_scale"] = f"""WITH {MONTHLY_READINGS},
+f AS (
+  SELECT machine_id, row_number() OVER ({MWIN}) - 1 AS window_start,
+    list(kwh) OVER ({FRAME}) AS l
+  FROM mreadings)
+SELECT machine_id, window_start, l[24] * 3.0 AS breakdown_last,
+  round(l[24] * 1.05, 6) AS predicted_kwh,
+  round(list_sum(list_transform(l, lambda x: x * 3.0)), 6) AS seq_sum,
+  l[24] * 3.0 > l[24] * 1.05 * 1.5 AS spike_alert
+FROM f WHERE len(l) = 24"""
+
+ORACLE["request_lookup"] = f"""WITH {MONTHLY_READINGS},
+last AS (
+  SELECT machine_id, list(kwh) OVER ({MWIN} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS l
+  FROM mreadings
+  QUALIFY row_number() OVER (PARTITION BY machine_id
+                             ORDER BY "timestamp" DESC, reading_id DESC) = 1),
+machines AS (SELECT DISTINCT user_id AS machine_id FROM events)
+SELECT m.machine_id, CAST(coalesce(len(l.l), 24) AS INTEGER) AS n_values,
+  coalesce(l.l[len(l.l)], 150.0) AS last_value,
+  coalesce(round(list_sum(l.l), 6), 3600.0) AS seq_sum
+FROM machines m LEFT JOIN last l ON m.machine_id = l.machine_id"""
