@@ -68,7 +68,9 @@ def alert_document(df: DataFrame, machine_id: str = "machine_id", ts: str = "req
         return F.struct(F.lit(title).alias("title"), value.alias("value"),
                         F.lit(short).alias("short"))
 
-    fixed = lambda c, d: F.format_string(f"%.{d}f", F.round(F.col(c), d))
+    def fixed(c, d):
+        return F.when(F.col(c).isNotNull(), F.format_string(f"%.{d}f", F.round(F.col(c), d)))
+
     attachment = F.struct(
         F.lit(K.ALERT_COLOR).alias("color"),
         F.concat(F.lit("🚨 Energy Anomaly — Machine "), F.col(machine_id).cast("string")).alias("title"),
@@ -83,7 +85,8 @@ def alert_document(df: DataFrame, machine_id: str = "machine_id", ts: str = "req
         ).alias("fields"),
         F.lit(K.ALERT_FOOTER).alias("footer"),
     )
-    return df.withColumn("payload", F.to_json(F.struct(F.array(attachment).alias("attachments"))))
+    return df.withColumn("payload", F.to_json(
+        F.struct(F.array(attachment).alias("attachments")), {"ignoreNullFields": "false"}))
 
 
 # --- logs ------------------------------------------------------------------------------------
