@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterflow import constants as K
-from meterflow.operators import events, prep, rollups, rules, sequence, windows
+from meterflow.operators import (events, forecast, insights, prep, rollups, rules, sequence,
+                                 windows)
 from meterflow.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -380,3 +381,75 @@ def q_request_lookup(spark, sf_dir):
     return out.select("machine_id", F.size(a).alias("n_values"),
                       F.element_at(a, -1).alias("last_value"),
                       F.round(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), 6).alias("seq_sum"))
+
+
+# --- step 6: forecasting model ----------------------------------------------------------
+
+ROWS_ONLY += ["gbt_predictions", "gbt_metrics", "feature_importance"]
+
+
+def ml_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features for the forecaster: lags and rolling stats, flags, calendar
+    (filled when missing), rows with any null feature dropped."""
+    return (fx.readings_from_orders(spark, sf_dir).transform(windows.window_features)
+            .transform(rules.add_anomaly_flags).transform(prep.fill_missing_columns)
+            .transform(prep.drop_incomplete))
+
+
+def gbt_fit(spark: SparkSession, sf_dir: str):
+    train, test = forecast.hash_split(ml_frame(spark, sf_dir), ["machine_id", "reading_id"])
+    return forecast.fit_forecaster(train), test
+
+
+@register("gbt_predictions")
+def q_gbt_predictions(spark, sf_dir):
+    model, test = gbt_fit(spark, sf_dir)
+    cols = ["machine_id", "timestamp", "kwh", "is_anomaly"]
+    if model is None:
+        return test.select(*cols, F.lit(None).cast("double").alias("prediction"))
+    return model.transform(test).select(*cols, r6("prediction"))
+
+
+@register("gbt_metrics")
+def q_gbt_metrics(spark, sf_dir):
+    model, test = gbt_fit(spark, sf_dir)
+    if model is None:
+        return spark.createDataFrame([], "n_test long, rmse double, mae double, r2 double")
+    return forecast.regression_metrics(model.transform(test))
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    model, _ = gbt_fit(spark, sf_dir)
+    if model is None:
+        return spark.createDataFrame([], "feature string, importance double")
+    return forecast.feature_importance(spark, model)
+
+
+# --- step 8 (part): prose features -------------------------------------------------------
+
+@register("peak_48h")
+def q_peak_48h(spark, sf_dir):
+    flagged = flagged_readings(spark, sf_dir).transform(prep.add_calendar)
+    fc = rollups.hourly_forecast(flagged)
+    now = fx.readings_from_events(spark, sf_dir).groupBy("machine_id").agg(
+        F.max("timestamp").alias("ts"))
+    return forecast.peak_next_hours(fc, now)
+
+
+@register("adaptive_threshold")
+def q_adaptive_threshold(spark, sf_dir):
+    out = insights.adaptive_threshold(fx.readings_from_events(spark, sf_dir))
+    return out.select("machine_id", r6("baseline_mean"), r6("baseline_std"), r6("threshold"),
+                      "n_after", "n_above")
+
+
+@register("last_7_days")
+def q_last_7_days(spark, sf_dir):
+    return insights.recent_window(fx.readings_from_events(spark, sf_dir))
+
+
+@register("lag_correlation")
+def q_lag_correlation(spark, sf_dir):
+    out = insights.fleet_follow_correlation(fx.readings_from_events(spark, sf_dir))
+    return out.select("machine_id", "n_hours", r6("follow_corr"))

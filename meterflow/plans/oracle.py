@@ -474,3 +474,53 @@ SELECT m.machine_id, CAST(coalesce(len(l.l), 24) AS INTEGER) AS n_values,
   coalesce(l.l[len(l.l)], 150.0) AS last_value,
   coalesce(round(list_sum(l.l), 6), 3600.0) AS seq_sum
 FROM machines m LEFT JOIN last l ON m.machine_id = l.machine_id"""
+
+# --- step 8 (part): prose features ---------------------------------------------------
+
+ORACLE["peak_48h"] = FLAGGED + f""", fc AS (
+  SELECT machine_id, CAST(hour("timestamp") AS INTEGER) AS hour,
+    {r2('avg(kwh) * 1.05')} AS predicted_load_next_24h
+  FROM flagged GROUP BY machine_id, CAST(hour("timestamp") AS INTEGER)),
+now AS (SELECT machine_id, max("timestamp") AS ts FROM readings GROUP BY machine_id),
+steps AS (SELECT machine_id, unnest(generate_series(1, 48)) AS step, ts FROM now),
+hours AS (
+  SELECT s.machine_id, s.ts + to_hours(s.step) AS at,
+    CAST(hour(s.ts + to_hours(s.step)) AS INTEGER) AS hour
+  FROM steps s)
+SELECT h.machine_id, f.predicted_load_next_24h AS peak_kwh, h.at AS peak_at
+FROM hours h JOIN fc f ON h.machine_id = f.machine_id AND h.hour = f.hour
+QUALIFY row_number() OVER (PARTITION BY h.machine_id
+                           ORDER BY f.predicted_load_next_24h DESC, h.at ASC) = 1"""
+
+ORACLE["adaptive_threshold"] = f"""WITH {READINGS},
+pos AS (SELECT *, row_number() OVER ({MWIN}) - 1 AS ord FROM readings),
+base AS (
+  SELECT machine_id, avg(kwh) AS m, stddev_pop(kwh) AS s,
+    avg(kwh) + 3.0 * stddev_pop(kwh) AS threshold
+  FROM pos WHERE ord < 24 GROUP BY machine_id),
+later AS (
+  SELECT p.machine_id, count(*) AS n_after,
+    CAST(sum(CASE WHEN p.kwh > b.threshold THEN 1 ELSE 0 END) AS BIGINT) AS n_above
+  FROM pos p JOIN base b ON p.machine_id = b.machine_id
+  WHERE p.ord >= 24 GROUP BY p.machine_id)
+SELECT b.machine_id, round(b.m, 6) AS baseline_mean, round(b.s, 6) AS baseline_std,
+  round(b.threshold, 6) AS threshold, coalesce(l.n_after, 0) AS n_after,
+  coalesce(l.n_above, 0) AS n_above
+FROM base b LEFT JOIN later l ON b.machine_id = l.machine_id"""
+
+ORACLE["last_7_days"] = f"""WITH {READINGS}
+SELECT machine_id, "timestamp", kwh, reading_id FROM readings
+QUALIFY "timestamp" > max("timestamp") OVER (PARTITION BY machine_id) - INTERVAL 7 DAY"""
+
+ORACLE["lag_correlation"] = f"""WITH {READINGS},
+hourly AS (
+  SELECT machine_id, date_trunc('hour', "timestamp") AS hour_ts, sum(kwh) AS load
+  FROM readings GROUP BY machine_id, date_trunc('hour', "timestamp")),
+fleet AS (SELECT hour_ts, sum(load) AS fleet_load FROM hourly GROUP BY hour_ts),
+j AS (
+  SELECT h.machine_id, h.load, f.fleet_load - coalesce(o.load, 0.0) AS others_next
+  FROM hourly h
+  JOIN fleet f ON f.hour_ts = h.hour_ts + INTERVAL 1 HOUR
+  LEFT JOIN hourly o ON o.machine_id = h.machine_id AND o.hour_ts = h.hour_ts + INTERVAL 1 HOUR)
+SELECT machine_id, count(*) AS n_hours, round(corr(load, others_next), 6) AS follow_corr
+FROM j GROUP BY machine_id"""
