@@ -16,6 +16,7 @@ from meterflow import constants as K
 from meterflow.operators import (events, forecast, insights, prep, rollups, rules, sequence,
                                  windows)
 from meterflow.sources import fixtures as fx
+from meterflow.streaming import feed
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -453,3 +454,81 @@ def q_last_7_days(spark, sf_dir):
 def q_lag_correlation(spark, sf_dir):
     out = insights.fleet_follow_correlation(fx.readings_from_events(spark, sf_dir))
     return out.select("machine_id", "n_hours", r6("follow_corr"))
+
+
+# --- step 7: streaming (availableNow over a replay of the tables) --------------------------
+
+def stream_scoring_paths(spark: SparkSession, sf_dir: str) -> dict:
+    r = fx.readings_from_orders(spark, sf_dir)
+    limits = sequence.thresholds(deviation_scored(spark, sf_dir))
+    return feed.run_scoring(spark, r, sequence.fit_minmax(r), limits, sequence.DeviationScorer())
+
+
+@register("stream_windows")
+def q_stream_windows(spark, sf_dir):
+    src = feed.replay_folder(spark, fx.readings_from_orders(spark, sf_dir))
+    wins = feed.run_append(spark, feed.window_stream(feed.read_feed(spark, src, 1)), "windows")
+    return wins.select("machine_id", "end_ord", "window_end_ts", *window_summary(wins))
+
+
+@register("stream_scores")
+def q_stream_scores(spark, sf_dir):
+    log = feed.read_table(spark, stream_scoring_paths(spark, sf_dir)["log"], feed.LOG_SCHEMA)
+    return log.select("machine_id", "end_ord", "recon_error", "threshold", "is_anomaly",
+                      "alert_sent")
+
+
+@register("stream_metrics")
+def q_stream_metrics(spark, sf_dir):
+    paths = stream_scoring_paths(spark, sf_dir)
+    log = feed.stream_of(spark, paths["log"], feed.LOG_SCHEMA)
+    return feed.run_complete(spark, feed.metrics_stream(log), "metrics")
+
+
+@register("stream_latest")
+def q_stream_latest(spark, sf_dir):
+    paths = stream_scoring_paths(spark, sf_dir)
+    log = feed.stream_of(spark, paths["log"], feed.LOG_SCHEMA)
+    return feed.run_complete(spark, feed.latest_stream(log), "latest")
+
+
+@register("stream_last_n")
+def q_stream_last_n(spark, sf_dir):
+    log = feed.read_table(spark, stream_scoring_paths(spark, sf_dir)["log"], feed.LOG_SCHEMA)
+    return windows.last_n_per_key(log, K.FEED_CAPACITY, tiebreak="end_ord")
+
+
+@register("stream_snapshot")
+def q_stream_snapshot(spark, sf_dir):
+    ev = feed.read_table(spark, stream_scoring_paths(spark, sf_dir)["events"], feed.LOG_SCHEMA)
+    return events.newest_feed(ev, order=("machine_id", "end_ord"))
+
+
+@register("stream_dedup")
+def q_stream_dedup(spark, sf_dir):
+    paths = stream_scoring_paths(spark, sf_dir)
+    relay = feed.stream_of(spark, paths["events"], feed.LOG_SCHEMA)
+    socket = feed.stream_of(spark, paths["events"], feed.LOG_SCHEMA)
+    doubled = relay.unionByName(socket)
+    out = feed.run_append(spark, feed.dedup_events(doubled, keys=("machine_id", "end_ord")),
+                          "dedup")
+    return out.select("machine_id", "end_ord", "timestamp", "recon_error", "threshold")
+
+
+@register("stream_enrich")
+def q_stream_enrich(spark, sf_dir):
+    raw = prep.readings_filter(fx.raw_readings_from_orders(spark, sf_dir), meter=0)
+    raw = raw.withColumnsRenamed({"meter_reading": "kwh"}).select(
+        F.col("building_id").alias("machine_id"), "timestamp", "kwh", "reading_id")
+    src = feed.replay_folder(spark, raw)
+    stream = feed.read_feed(spark, src, 1).withColumnRenamed("machine_id", "building_id")
+    out = feed.run_append(spark, feed.enrich_stream(stream, fx.metadata_from_customer(spark, sf_dir)),
+                          "enrich")
+    return out.select(F.col("building_id").alias("machine_id"), "timestamp", "kwh",
+                      "reading_id", "site_id", "primary_use")
+
+
+@register("kpi_stream")
+def q_kpi_stream(spark, sf_dir):
+    src = feed.replay_folder(spark, fx.readings_from_events(spark, sf_dir))
+    return feed.run_complete(spark, feed.kpi_stream(feed.read_feed(spark, src, 1)), "kpis")

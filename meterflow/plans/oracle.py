@@ -524,3 +524,75 @@ j AS (
   LEFT JOIN hourly o ON o.machine_id = h.machine_id AND o.hour_ts = h.hour_ts + INTERVAL 1 HOUR)
 SELECT machine_id, count(*) AS n_hours, round(corr(load, others_next), 6) AS follow_corr
 FROM j GROUP BY machine_id"""
+
+# --- step 7: streaming -----------------------------------------------------------------------
+
+TRAIL = f"{MWIN} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW"
+
+STREAM_LOG = f"""{SCALED_WINDOWS},
+trail AS (
+  SELECT machine_id, "timestamp", row_number() OVER ({MWIN}) - 1 AS end_ord,
+    list(kwh) OVER ({TRAIL}) AS rl, list(scaled) OVER ({TRAIL}) AS sl
+  FROM scaled),
+st AS (
+  SELECT t.machine_id, t."timestamp", t.end_ord, t.rl[24] AS actual_kwh,
+    t.rl[24] * 1.05 AS predicted_kwh, {deviation_sql('t.sl')} AS recon_error, m.threshold
+  FROM trail t LEFT JOIN limits m ON t.machine_id = m.machine_id
+  WHERE t.end_ord >= 23),
+slog AS (
+  SELECT "timestamp", machine_id, end_ord, round(actual_kwh, 3) AS actual_kwh,
+    {rnd('predicted_kwh', 3)} AS predicted_kwh, round(recon_error, 6) AS recon_error,
+    round(threshold, 6) AS threshold,
+    CAST(recon_error > threshold AS INTEGER) AS is_anomaly,
+    CAST((recon_error > threshold)
+         OR (predicted_kwh > 0 AND actual_kwh > predicted_kwh * 1.5) AS INTEGER) AS alert_sent,
+    CAST(NULL AS DOUBLE) AS latency_ms
+  FROM st)"""
+
+ORACLE["stream_windows"] = f"""WITH {MONTHLY_READINGS},
+w AS (
+  SELECT machine_id, "timestamp" AS window_end_ts, row_number() OVER ({MWIN}) - 1 AS end_ord,
+    list(kwh) OVER ({TRAIL}) AS l
+  FROM mreadings)
+SELECT machine_id, end_ord, window_end_ts, {seq_summary()} FROM w WHERE end_ord >= 23"""
+
+ORACLE["stream_scores"] = f"""WITH {STREAM_LOG}
+SELECT machine_id, end_ord, recon_error, threshold, is_anomaly, alert_sent FROM slog"""
+
+ORACLE["stream_metrics"] = f"""WITH {STREAM_LOG}
+SELECT count(*) AS total_requests,
+  CAST(coalesce(sum(is_anomaly), 0) AS BIGINT) AS total_anomalies,
+  CAST(coalesce(sum(alert_sent), 0) AS BIGINT) AS total_alerts,
+  {r2('coalesce(sum(is_anomaly), 0) / greatest(count(*), 1) * 100')} AS anomaly_rate_pct,
+  {r2('coalesce(sum(latency_ms), 0.0) / greatest(count(*), 1)')} AS avg_latency_ms
+FROM slog"""
+
+ORACLE["stream_latest"] = f"""WITH {STREAM_LOG}
+SELECT machine_id, actual_kwh AS kwh, is_anomaly, recon_error, "timestamp" AS last_updated
+FROM slog
+QUALIFY row_number() OVER (PARTITION BY machine_id ORDER BY "timestamp" DESC, end_ord DESC) = 1"""
+
+ORACLE["stream_last_n"] = f"""WITH {STREAM_LOG}
+SELECT * FROM slog
+QUALIFY row_number() OVER (PARTITION BY machine_id ORDER BY "timestamp" DESC, end_ord DESC) <= 200"""
+
+ORACLE["stream_snapshot"] = f"""WITH {STREAM_LOG}
+SELECT *, row_number() OVER (ORDER BY "timestamp" DESC, machine_id DESC, end_ord DESC) AS feed_rank
+FROM slog WHERE is_anomaly = 1
+QUALIFY feed_rank <= 200"""
+
+ORACLE["stream_dedup"] = f"""WITH {STREAM_LOG}
+SELECT DISTINCT machine_id, end_ord, "timestamp", recon_error, threshold
+FROM slog WHERE is_anomaly = 1"""
+
+ORACLE["stream_enrich"] = f"""WITH {RAW_READINGS}, {METADATA}
+SELECT r.building_id AS machine_id, r."timestamp", r.meter_reading AS kwh, r.reading_id,
+  m.site_id, m.primary_use
+FROM raw r LEFT JOIN meta m ON r.building_id = m.building_id
+WHERE r.meter = 0"""
+
+ORACLE["kpi_stream"] = f"""WITH {READINGS}
+SELECT machine_id, count(kwh) AS total_readings,
+  {r2('avg(CAST(kwh AS DECIMAL(28, 8)))')} AS avg_kwh,
+  {r2('max(kwh)')} AS peak_kwh, {r2('min(kwh)')} AS min_kwh
+FROM readings GROUP BY machine_id"""
