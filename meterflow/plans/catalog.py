@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from meterflow import constants as K
 from meterflow.operators import (events, forecast, insights, prep, rollups, rules, sequence,
                                  windows)
+from meterflow.sources import files, sinks
 from meterflow.sources import fixtures as fx
 from meterflow.streaming import feed
 
@@ -532,3 +533,54 @@ def q_stream_enrich(spark, sf_dir):
 def q_kpi_stream(spark, sf_dir):
     src = feed.replay_folder(spark, fx.readings_from_events(spark, sf_dir))
     return feed.run_complete(spark, feed.kpi_stream(feed.read_feed(spark, src, 1)), "kpis")
+
+
+# --- step 8: sinks and sources round trips --------------------------------------------------
+
+KPI_SCHEMA = ("machine_id bigint, total_readings bigint, avg_kwh double, peak_kwh double, "
+              "min_kwh double, std_kwh double, p95_kwh double, total_anomalies bigint, "
+              "anomaly_rate_pct double")
+PRED_LOG_SCHEMA = ("timestamp timestamp_ntz, machine_id bigint, actual_kwh double, "
+                   "predicted_kwh double, recon_error double, threshold double, "
+                   "is_anomaly int, alert_sent int, latency_ms double")
+ROWS_ONLY += ["model_roundtrip"]
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return feed.new_run_dir(spark, name)
+
+
+@register("csv_roundtrip")
+def q_csv_roundtrip(spark, sf_dir):
+    path = sinks.save_result_csv(q_machine_kpis(spark, sf_dir), _scratch(spark, "kpis-csv"))
+    return files.read_result_dir(spark, path, KPI_SCHEMA)
+
+
+@register("log_append")
+def q_log_append(spark, sf_dir):
+    log = scored_log(spark, sf_dir)
+    path = _scratch(spark, "log-append")
+    sinks.append_log(log.filter(F.col("alert_sent") == 1), path)
+    sinks.append_log(log.filter(F.col("alert_sent") != 1), path)
+    return files.read_log(spark, path, PRED_LOG_SCHEMA, fmt="parquet")
+
+
+@register("processed_csv_ingest")
+def q_processed_csv_ingest(spark, sf_dir):
+    # a CSV with reordered and missing columns, read by header name
+    path = _scratch(spark, "processed-csv")
+    (fx.readings_from_events(spark, sf_dir).select("kwh", "timestamp", "machine_id")
+     .write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+     .csv(path))
+    df = files.ingest_processed(spark, path)
+    return df.select("machine_id", "timestamp", "kwh", "air_temperature", "hour", "month",
+                     "dayofweek", "is_weekend")
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf_dir):
+    scored, scorer = pca_scored(spark, sf_dir)
+    path = sinks.save_model(scorer.to_frame(spark), _scratch(spark, "model"))
+    loaded = sequence.PcaScorer.from_frame(spark.read.parquet(path))
+    w = sequence.scaled_windows(fx.readings_from_orders(spark, sf_dir))
+    return sequence.score(w, loaded).select("machine_id", "window_start", r6("recon_error"))

@@ -596,3 +596,14 @@ SELECT machine_id, count(kwh) AS total_readings,
   {r2('avg(CAST(kwh AS DECIMAL(28, 8)))')} AS avg_kwh,
   {r2('max(kwh)')} AS peak_kwh, {r2('min(kwh)')} AS min_kwh
 FROM readings GROUP BY machine_id"""
+
+# --- step 8: sinks and sources round trips -----------------------------------------------
+
+ORACLE["csv_roundtrip"] = ORACLE["machine_kpis"]
+ORACLE["log_append"] = ORACLE["prediction_log"]
+ORACLE["processed_csv_ingest"] = f"""WITH {READINGS}
+SELECT CAST(machine_id AS INTEGER) AS machine_id, "timestamp", kwh, 20.0::DOUBLE AS air_temperature,
+  CAST(hour("timestamp") AS INTEGER) AS hour, CAST(month("timestamp") AS INTEGER) AS month,
+  CAST(isodow("timestamp") - 1 AS INTEGER) AS dayofweek,
+  CASE WHEN isodow("timestamp") - 1 >= 5 THEN 1 ELSE 0 END AS is_weekend
+FROM readings WHERE kwh IS NOT NULL AND kwh >= 0"""
