@@ -83,7 +83,10 @@ def scaled_edge_windows(readings: DataFrame, key: str = "machine_id", ts: str =
 # --- scorers (A12, M8) -----------------------------------------------------------
 
 class DeviationScorer:
-    """Mean absolute deviation of a window from its own mean (all JVM)."""
+    """Mean absolute deviation of a window from its own mean (all JVM).
+
+    One ``aggregate`` pass whose start value carries the window mean, so the
+    mean is computed once per window, not once per element."""
 
     name = "deviation"
 
@@ -91,8 +94,11 @@ class DeviationScorer:
         a = F.col(arr)
         n = F.size(a)
         mean = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x) / n
-        dev = F.transform(a, lambda x: F.abs(x - mean))
-        return F.aggregate(dev, F.lit(0.0), lambda acc, x: acc + x) / n
+        start = F.struct(mean.alias("m"), F.lit(0.0).alias("s"))
+        return F.aggregate(
+            a, start,
+            lambda acc, x: F.struct(acc["m"].alias("m"), (acc["s"] + F.abs(x - acc["m"])).alias("s")),
+            lambda acc: acc["s"] / n)
 
 
 @dataclass
