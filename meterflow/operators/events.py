@@ -89,6 +89,30 @@ def alert_document(df: DataFrame, machine_id: str = "machine_id", ts: str = "req
         F.struct(F.array(attachment).alias("attachments")), {"ignoreNullFields": "false"}))
 
 
+def scoring_response(df: DataFrame, machine_id: str = "machine_id", ts: str = "request_ts") -> DataFrame:
+    """The scoring response per request: rounded error and threshold,
+    flag, alert object (sent + reason, as JSON text), latency (not measured
+    in batch) and an ISO time with ``Z``."""
+    alert = F.to_json(F.struct(F.col("alert_fired").alias("sent"),
+                               F.col("alert_reason").alias("reason")),
+                      {"ignoreNullFields": "false"})
+    return df.select(
+        machine_id,
+        F.round("recon_error", 6).alias("recon_error"),
+        F.round("threshold", 6).alias("threshold"),
+        F.col("is_anomaly"),
+        alert.alias("alert"),
+        F.lit(None).cast("double").alias("latency_ms"),
+        F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("timestamp"),
+    )
+
+
+def sample_rows(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """A fixed-size sample with an explicit order (top-n per task, then
+    merged), so repeated runs show the same rows."""
+    return df.orderBy(*order).limit(n)
+
+
 # --- logs ------------------------------------------------------------------------------------
 
 def prediction_log(df: DataFrame, ts: str = "request_ts") -> DataFrame:

@@ -560,8 +560,9 @@ def q_csv_roundtrip(spark, sf_dir):
 def q_log_append(spark, sf_dir):
     log = scored_log(spark, sf_dir)
     path = _scratch(spark, "log-append")
-    sinks.append_log(log.filter(F.col("alert_sent") == 1), path)
-    sinks.append_log(log.filter(F.col("alert_sent") != 1), path)
+    first = F.col("alert_sent").eqNullSafe(1)      # null-safe: every row lands once
+    sinks.append_log(log.filter(first), path)
+    sinks.append_log(log.filter(~first), path)
     return files.read_log(spark, path, PRED_LOG_SCHEMA, fmt="parquet")
 
 
@@ -584,3 +585,29 @@ def q_model_roundtrip(spark, sf_dir):
     loaded = sequence.PcaScorer.from_frame(spark.read.parquet(path))
     w = sequence.scaled_windows(fx.readings_from_orders(spark, sf_dir))
     return sequence.score(w, loaded).select("machine_id", "window_start", r6("recon_error"))
+
+
+# --- remaining presentation operators ---------------------------------------------------------
+
+@register("scoring_response")
+def q_scoring_response(spark, sf_dir):
+    return events.scoring_response(scored_requests(spark, sf_dir))
+
+
+@register("global_threshold_flags")
+def q_global_threshold_flags(spark, sf_dir):
+    """One fleet-wide threshold (a one-row table) attached to every window."""
+    scored = deviation_scored(spark, sf_dir)
+    params = sequence.thresholds(scored, by=None).select(
+        F.col("threshold").alias("fleet_threshold"))
+    out = prep.attach_params(scored, params)
+    return out.select("machine_id", "window_start", r6("recon_error"), r6("fleet_threshold"),
+                      (F.col("recon_error") > F.col("fleet_threshold")).cast("int").alias("is_anomaly"))
+
+
+@register("anomaly_sample")
+def q_anomaly_sample(spark, sf_dir):
+    flagged = flagged_readings(spark, sf_dir).filter(F.col("is_anomaly") == 1)
+    return events.sample_rows(flagged, 10, ["machine_id", "timestamp", "reading_id"]).select(
+        "machine_id", "timestamp", "kwh", r6("rolling_avg_24h"), r6("z_score"),
+        "spike_flag", "drop_flag", "zscore_flag")

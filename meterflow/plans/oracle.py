@@ -607,3 +607,24 @@ SELECT CAST(machine_id AS INTEGER) AS machine_id, "timestamp", kwh, 20.0::DOUBLE
   CAST(isodow("timestamp") - 1 AS INTEGER) AS dayofweek,
   CASE WHEN isodow("timestamp") - 1 >= 5 THEN 1 ELSE 0 END AS is_weekend
 FROM readings WHERE kwh IS NOT NULL AND kwh >= 0"""
+
+# --- remaining presentation operators ---------------------------------------------------
+
+ORACLE["scoring_response"] = f"""WITH {SCORED}
+SELECT machine_id, round(recon_error, 6) AS recon_error, round(threshold, 6) AS threshold,
+  is_anomaly, CAST(to_json({{'sent': alert_fired, 'reason': alert_reason}}) AS VARCHAR) AS alert,
+  CAST(NULL AS DOUBLE) AS latency_ms, strftime(request_ts, '%Y-%m-%dT%H:%M:%S') || 'Z' AS "timestamp"
+FROM decided"""
+
+ORACLE["global_threshold_flags"] = f"""WITH {SCALED_WINDOWS},
+fleet AS (
+  SELECT avg(recon_error) + 3.0 * stddev_pop(recon_error) AS t FROM ws WHERE split = 'validation')
+SELECT machine_id, window_start, round(recon_error, 6) AS recon_error,
+  round(fleet.t, 6) AS fleet_threshold, CAST(recon_error > fleet.t AS INTEGER) AS is_anomaly
+FROM ws, fleet"""
+
+ORACLE["anomaly_sample"] = FLAGGED + f"""SELECT machine_id, "timestamp", kwh,
+  {r6('rolling_avg_24h')} AS rolling_avg_24h, {r6('z_score')} AS z_score,
+  spike_flag, drop_flag, zscore_flag
+FROM flagged WHERE is_anomaly = 1
+ORDER BY machine_id, "timestamp", reading_id LIMIT 10"""

@@ -42,9 +42,11 @@ def from_micros(col: str) -> F.Column:
 # --- source (S11) -----------------------------------------------------------------------------
 
 def replay_folder(spark: SparkSession, readings: DataFrame, slices: int = 4,
-                  name: str = "replay") -> str:
+                  name: str = "replay", key: str = "machine_id") -> str:
     """Write ``readings`` as ``slices`` time-ordered file groups (one write per
-    slice, oldest first) so a file stream sees them arrive in time order."""
+    slice, oldest first).  Each slice is hash-partitioned by machine, so one
+    machine's rows of a slice sit in one file: however the file stream cuts
+    micro-batches, every machine's rows arrive in time order."""
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
     bounds = readings.agg(F.min(to_micros("timestamp")).alias("lo"),
                           F.max(to_micros("timestamp")).alias("hi")).first()
@@ -55,7 +57,8 @@ def replay_folder(spark: SparkSession, readings: DataFrame, slices: int = 4,
     width = (hi - lo) / slices + 1
     tagged = readings.withColumn("_slice", F.floor((to_micros("timestamp") - F.lit(lo)) / width))
     for i in range(slices):
-        tagged.filter(F.col("_slice") == i).drop("_slice").write.mode("append").parquet(path)
+        part = tagged.filter(F.col("_slice") == i).drop("_slice")
+        part.repartition(key).write.mode("append").parquet(path)
     return path
 
 
