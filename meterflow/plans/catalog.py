@@ -63,7 +63,8 @@ def q_anomaly_flags(spark, sf_dir):
 
 @register("machine_kpis")
 def q_machine_kpis(spark, sf_dir):
-    return rollups.machine_kpis(flagged_readings(spark, sf_dir))
+    # O2: rollups come ordered by their keys (a small output)
+    return rollups.machine_kpis(flagged_readings(spark, sf_dir)).orderBy("machine_id")
 
 
 # --- step 2: rollups ---------------------------------------------------------------
@@ -75,7 +76,7 @@ def flagged_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("monthly_trends")
 def q_monthly_trends(spark, sf_dir):
-    return rollups.monthly_trends(flagged_monthly(spark, sf_dir))
+    return rollups.monthly_trends(flagged_monthly(spark, sf_dir)).orderBy("machine_id", "month")
 
 
 @register("drift")
@@ -87,7 +88,7 @@ def q_drift(spark, sf_dir):
 @register("hourly_forecast")
 def q_hourly_forecast(spark, sf_dir):
     df = flagged_readings(spark, sf_dir).transform(prep.add_calendar)
-    return rollups.hourly_forecast(df)
+    return rollups.hourly_forecast(df).orderBy("machine_id", "hour")
 
 
 @register("flag_counts")
@@ -611,3 +612,15 @@ def q_anomaly_sample(spark, sf_dir):
     return events.sample_rows(flagged, 10, ["machine_id", "timestamp", "reading_id"]).select(
         "machine_id", "timestamp", "kwh", r6("rolling_avg_24h"), r6("z_score"),
         "spike_flag", "drop_flag", "zscore_flag")
+
+
+@register("log_summary")
+def q_log_summary(spark, sf_dir):
+    """Scored and flagged rows of the edge log."""
+    return rollups.log_summary(q_baseline_edge_log(spark, sf_dir))
+
+
+@register("sorted_readings")
+def q_sorted_readings(spark, sf_dir):
+    """O1: readings clustered by machine and sorted by time within it."""
+    return prep.sort_readings(fx.readings_from_events(spark, sf_dir))

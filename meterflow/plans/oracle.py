@@ -628,3 +628,10 @@ ORACLE["anomaly_sample"] = FLAGGED + f"""SELECT machine_id, "timestamp", kwh,
   spike_flag, drop_flag, zscore_flag
 FROM flagged WHERE is_anomaly = 1
 ORDER BY machine_id, "timestamp", reading_id LIMIT 10"""
+
+ORACLE["log_summary"] = f"""SELECT count(*) AS n_total,
+  CAST(coalesce(sum(is_anomaly), 0) AS BIGINT) AS n_anomalies
+FROM ({ORACLE["baseline_edge_log"]}) edge_log"""
+
+ORACLE["sorted_readings"] = f"""WITH {READINGS}
+SELECT * FROM readings ORDER BY machine_id, "timestamp", reading_id"""

@@ -63,3 +63,24 @@ def test_append_never_truncates(spark):
     sinks.append_log(a, f"{run}/log")
     sinks.append_log(a, f"{run}/log")
     assert files.read_log(spark, f"{run}/log", cols, fmt="parquet").count() == 2
+
+
+def test_partitioned_table_and_predictions_and_alerts(spark):
+    run = feed.new_run_dir(spark, "test-sinks")
+    df = spark.createDataFrame(
+        [(1, dt.datetime(2024, m, 1), 10.0 * m, 9.0 * m, m % 2) for m in range(1, 7)],
+        "machine_id bigint, timestamp timestamp_ntz, kwh double, prediction double, is_anomaly int")
+    sinks.write_table(df.withColumn("month", F.month("timestamp")), f"{run}/t", partition_by=["month"])
+    pruned = spark.read.parquet(f"{run}/t").filter("month = 3")
+    assert "PartitionFilters: [isnotnull(month" in pruned._jdf.queryExecution().executedPlan().toString()
+    assert pruned.count() == 1
+    sinks.write_predictions(df, f"{run}/pred")
+    assert files.read_result_dir(spark, f"{run}/pred", "machine_id bigint, timestamp string, "
+                                 "kwh double, prediction double, is_anomaly int").count() == 6
+    scored = spark.createDataFrame(
+        [(1, True, "r1", "{}", dt.datetime(2024, 1, 1)), (2, False, "No threshold crossed", "{}",
+                                                           dt.datetime(2024, 1, 1))],
+        "machine_id bigint, alert_fired boolean, alert_reason string, payload string, "
+        "request_ts timestamp_ntz")
+    sinks.write_alerts(scored, f"{run}/alerts")
+    assert [r.machine_id for r in spark.read.parquet(f"{run}/alerts").collect()] == [1]
