@@ -66,7 +66,30 @@ def _order_value(df: DataFrame, name: str) -> Column:
     return col.cast("double")
 
 
-def _hot_keys(df: DataFrame, key: str, ov: Column, chunk_rows: int) -> list:
+# Hot-key lists per (input plan, key, order column, chunk size) within a
+# session.  The chunk plan only balances work -- every chunking gives the same
+# rows -- so reusing a list for a semantically identical input is safe.
+_HOT_CACHE: dict[tuple, list] = {}
+_HOT_CACHE_MAX = 256
+
+
+def _hot_keys(df: DataFrame, key: str, ov: Column, chunk_rows: int, order0: str = "") -> list:
+    try:
+        cache_key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), key,
+                     order0, chunk_rows)
+    except Exception:  # plans without a semantic hash
+        cache_key = None
+    if cache_key is not None and cache_key in _HOT_CACHE:
+        return _HOT_CACHE[cache_key]
+    rows = _hot_keys_scan(df, key, ov, chunk_rows)
+    if cache_key is not None:
+        if len(_HOT_CACHE) >= _HOT_CACHE_MAX:
+            _HOT_CACHE.clear()
+        _HOT_CACHE[cache_key] = rows
+    return rows
+
+
+def _hot_keys_scan(df: DataFrame, key: str, ov: Column, chunk_rows: int) -> list:
     stats = (
         df.select(F.col(key), ov.alias("_v"))
         .groupBy(key)
@@ -90,7 +113,7 @@ def ordered_frames(df: DataFrame, key: str, order: Sequence[str],
     build = build or (lambda w: {})
     chunk_rows = chunk_rows_of(df, chunk_rows)
     ov = _order_value(df, order[0])
-    hot = _hot_keys(df, key, ov, chunk_rows)
+    hot = _hot_keys(df, key, ov, chunk_rows, order[0])
 
     if not hot:
         w = Window.partitionBy(key).orderBy(*order)

@@ -196,3 +196,110 @@ def edge_log(readings: DataFrame, scorer, limits: DataFrame, key: str = "machine
         "hour_index", F.round("kwh_last", 3).alias("kwh_last"),
         F.round("recon_error", 6).alias("recon_error"),
         F.round("threshold", 6).alias("threshold"), "is_anomaly")
+
+
+# --- per-machine bottleneck models (M9) -----------------------------------------
+
+MODEL_SCHEMA = "machine_id bigint, n_train long, mean array<double>, projection array<double>"
+DEFAULT_MODEL_BROADCAST_BYTES = 256 * 1024 * 1024
+
+
+def fit_machine_pca(train: DataFrame, key: str = "machine_id", arr: str = "readings",
+                    k: int = K.LATENT_DIM, width: int = K.WINDOW) -> DataFrame:
+    """M9: one k-dimensional bottleneck per machine.
+
+    Each machine's mean and second moments come from a single ``Summarizer``
+    mean over ``[x, x x^T]`` -- a partial aggregate, so a machine with a huge
+    share of the windows is summed per task, never gathered.  The per-machine
+    eigen-decompositions then run per partition over that small table (one
+    row per machine), batched with numpy."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    x = F.col(arr)
+    outer = F.flatten(F.transform(x, lambda a: F.transform(x, lambda b: a * b)))
+    moments = (train.filter(F.size(x) == width)
+               .select(key, array_to_vector(F.concat(x, outer)).alias("v"))
+               .groupBy(key)
+               .agg(F.count(F.lit(1)).alias("n_train"), Summarizer.mean(F.col("v")).alias("m"))
+               .select(key, "n_train", vector_to_array("m").alias("m")))
+
+    def eig(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            M = np.stack(pdf["m"].to_numpy())                  # machines x (w + w*w)
+            mu = M[:, :width]
+            second = M[:, width:].reshape(-1, width, width)
+            n = pdf["n_train"].to_numpy(dtype=np.float64)[:, None, None]
+            cov = (second - mu[:, :, None] * mu[:, None, :]) * np.where(n > 1, n / np.maximum(n - 1, 1), 1.0)
+            vals, vecs = np.linalg.eigh(cov)                   # ascending eigenvalues
+            top = vecs[:, :, ::-1][:, :, :k]                   # width x k per machine
+            proj = np.einsum("mik,mjk->mij", top, top).reshape(len(pdf), -1)
+            yield pd.DataFrame({key: pdf[key].to_numpy(), "n_train": pdf["n_train"].to_numpy(),
+                                "mean": list(mu), "projection": list(proj)})
+
+    schema = MODEL_SCHEMA.replace("machine_id", key)
+    return moments.mapInPandas(eig, schema)
+
+
+def _per_row_error(width: int):
+    @F.pandas_udf("double")
+    def err(x: pd.Series, mu: pd.Series, proj: pd.Series) -> pd.Series:
+        out = np.full(len(x), np.nan)
+        ok = np.fromiter((a is not None and m is not None and len(a) == width
+                          for a, m in zip(x, mu)), bool, len(x))
+        if ok.any():
+            X = np.stack([np.asarray(a, dtype=np.float64) for a in x[ok]])
+            MU = np.stack([np.asarray(m, dtype=np.float64) for m in mu[ok]])
+            P = np.stack([np.asarray(p, dtype=np.float64) for p in proj[ok]]).reshape(-1, width, width)
+            R = MU + np.einsum("ni,nij->nj", X - MU, P)
+            out[ok] = np.abs(R - X).mean(axis=1)
+        return pd.Series(out)
+    return err
+
+
+def _lookup_error(bc, width: int):
+    @F.pandas_udf("double")
+    def err(key: pd.Series, x: pd.Series) -> pd.Series:
+        models = bc.value
+        out = np.full(len(x), np.nan)
+        keys = key.to_numpy()
+        for m in np.unique(keys):
+            if m not in models:
+                continue
+            mu, P = models[m]
+            idx = np.nonzero(keys == m)[0]
+            idx = np.array([i for i in idx if x.iloc[i] is not None and len(x.iloc[i]) == width],
+                           dtype=int)
+            if len(idx) == 0:
+                continue
+            X = np.stack([np.asarray(x.iloc[i], dtype=np.float64) for i in idx])
+            R = mu + (X - mu) @ P
+            out[idx] = np.abs(R - X).mean(axis=1)
+        return pd.Series(out)
+    return err
+
+
+def score_per_machine(windows: DataFrame, models: DataFrame, key: str = "machine_id",
+                      arr: str = "readings", out: str = "recon_error", width: int = K.WINDOW,
+                      broadcast_limit: int = DEFAULT_MODEL_BROADCAST_BYTES) -> DataFrame:
+    """Score each window with its own machine's bottleneck.
+
+    Models are ``8 * (width + width^2)`` bytes per machine.  When all of them
+    fit under ``broadcast_limit`` (checked from the model count, not
+    assumed), they are broadcast once and looked up per batch; otherwise each
+    window is joined to its machine's model row (no size limit)."""
+    per_model = 8 * (width + width * width) + 64
+    n_models = models.count()
+    if n_models * per_model <= broadcast_limit:
+        rows = models.collect()          # bounded by the check above
+        table = {r[key]: (np.asarray(r["mean"], dtype=np.float64),
+                          np.asarray(r["projection"], dtype=np.float64).reshape(width, width))
+                 for r in rows}
+        bc = windows.sparkSession.sparkContext.broadcast(table)
+        return windows.withColumn(out, _lookup_error(bc, width)(F.col(key), F.col(arr)))
+    joined = windows.join(models.select(key, F.col("mean").alias("_mu"),
+                                        F.col("projection").alias("_proj")), key, "left")
+    return joined.withColumn(out, _per_row_error(width)(F.col(arr), F.col("_mu"), F.col("_proj"))) \
+        .drop("_mu", "_proj")

@@ -624,3 +624,26 @@ def q_log_summary(spark, sf_dir):
 def q_sorted_readings(spark, sf_dir):
     """O1: readings clustered by machine and sorted by time within it."""
     return prep.sort_readings(fx.readings_from_events(spark, sf_dir))
+
+
+# --- per-machine bottleneck models (M9) ------------------------------------------------------
+
+ROWS_ONLY += ["machine_model_scores", "machine_model_threshold"]
+
+
+def machine_model_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = sequence.scaled_windows(fx.readings_from_orders(spark, sf_dir))
+    models = sequence.fit_machine_pca(w.filter(F.col("split") == "train"))
+    return sequence.score_per_machine(w, models)
+
+
+@register("machine_model_scores")
+def q_machine_model_scores(spark, sf_dir):
+    return machine_model_scored(spark, sf_dir).select(
+        "machine_id", "window_start", "split", r6("recon_error"))
+
+
+@register("machine_model_threshold")
+def q_machine_model_threshold(spark, sf_dir):
+    t = sequence.thresholds(machine_model_scored(spark, sf_dir))
+    return t.select("machine_id", r6("error_mean"), r6("error_std"), "n_errors", r6("threshold"))

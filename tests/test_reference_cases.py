@@ -190,3 +190,20 @@ def test_latest_state_and_idle(spark):
     st = {r.machine_id: r for r in events.latest_state(log, machines).collect()}
     assert st[0].kwh == 210.0 and st[0].status == K.STATUS_ANOMALY
     assert st[1].status == K.STATUS_NORMAL and st[7].status == K.STATUS_IDLE
+
+
+def test_per_machine_pca_matches_numpy(spark):
+    rng = np.random.default_rng(11)
+    data = {m: rng.random((60 + 20 * m, 24)) * (m + 1) for m in range(3)}
+    rows = [(m, i, [float(v) for v in x]) for m, X in data.items() for i, x in enumerate(X)]
+    df = spark.createDataFrame(rows, "machine_id bigint, window_start bigint, readings array<double>")
+    models = sequence.fit_machine_pca(df)
+    for limit in (10**9, 0):                       # broadcast lookup, then join path
+        got = {(r.machine_id, r.window_start): r.recon_error for r in
+               sequence.score_per_machine(df, models, broadcast_limit=limit).collect()}
+        for m, X in data.items():
+            mu = X.mean(axis=0)
+            vals, vecs = np.linalg.eigh(np.cov(X - mu, rowvar=False))
+            P = vecs[:, np.argsort(vals)[::-1][:K.LATENT_DIM]]
+            want = np.abs(mu + (X - mu) @ P @ P.T - X).mean(axis=1)
+            assert np.allclose([got[(m, i)] for i in range(len(X))], want, atol=1e-6)
