@@ -55,13 +55,15 @@ def read_csv_by_name(spark: SparkSession, path: str, schema: T.StructType) -> Da
 
 
 def ingest_processed(spark: SparkSession, path: str, fallback: str | None = None) -> DataFrame:
-    """S3 + S4 + P3 + P6: processed readings from CSV.  Timestamps that do
-    not parse become null (ANSI mode would otherwise fail the job); null and
-    negative readings are dropped; absent columns get their defaults."""
+    """S3 + S4 + P3 + P6: processed readings from CSV.  Timestamps are read
+    as wall-clock ``TIMESTAMP_NTZ`` (no session time zone, so no DST shift);
+    ones that do not parse become null instead of failing the job under ANSI
+    mode.  Null and negative readings are dropped; absent columns get their
+    defaults."""
     src = resolve_source(spark, path, fallback)
     df = read_csv_by_name(spark, src, processed_schema())
     if "timestamp" in df.columns:
-        df = df.withColumn("timestamp", F.try_to_timestamp(F.col("timestamp")).cast("timestamp_ntz"))
+        df = df.withColumn("timestamp", F.expr("try_cast(`timestamp` AS TIMESTAMP_NTZ)"))
     df = prep.valid_readings(df, "kwh")
     return prep.fill_missing_columns(df)
 
