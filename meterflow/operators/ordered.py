@@ -101,28 +101,9 @@ def _hot_keys_scan(df: DataFrame, key: str, ov: Column, chunk_rows: int) -> list
     return stats.collect()
 
 
-def ordered_frames(df: DataFrame, key: str, order: Sequence[str],
-                   build: Builder | None = None, halo: int = WINDOW,
-                   chunk_rows: int | None = None) -> DataFrame:
-    """Add ``_ord``, ``_cnt`` and the columns of ``build(window)`` to ``df``.
-
-    ``build`` receives a window spec ordered by ``order`` and returns named
-    columns whose frames stay within ``halo`` rows of the current row.
-    """
-    order = list(order)
-    build = build or (lambda w: {})
-    chunk_rows = chunk_rows_of(df, chunk_rows)
-    ov = _order_value(df, order[0])
-    hot = _hot_keys(df, key, ov, chunk_rows, order[0])
-
-    if not hot:
-        w = Window.partitionBy(key).orderBy(*order)
-        out = df.withColumn(ORD, (F.row_number().over(w) - 1).cast("long"))
-        cols = build(w)
-        if cols:
-            out = out.withColumns(cols)
-        return out.withColumn(CNT, F.count(F.lit(1)).over(Window.partitionBy(key)))
-
+def _assign_chunks(df: DataFrame, key: str, ov: Column, hot: list, chunk_rows: int) -> DataFrame:
+    """Add ``_chunk``: equal-time-width chunks for hot keys, 0 otherwise.
+    The plan table has one row per hot key (bounded), so it is broadcast."""
     spark = df.sparkSession
     key_type = df.schema[key].dataType
     plan_rows = []
@@ -136,7 +117,7 @@ def ordered_frames(df: DataFrame, key: str, order: Sequence[str],
     ])
     plan = spark.createDataFrame(plan_rows, plan_schema)
 
-    chunked = (
+    return (
         df.withColumn("_v", ov)
         .join(F.broadcast(plan), key, "left")
         .withColumn(
@@ -148,6 +129,40 @@ def ordered_frames(df: DataFrame, key: str, order: Sequence[str],
         .drop("_v", "_lo", "_w", "_m")
     )
 
+
+def chunk_plan(df: DataFrame, key: str, order: Sequence[str],
+               chunk_rows: int | None = None) -> DataFrame:
+    """Diagnostics: ``df`` with the ``_chunk`` each row is processed in."""
+    chunk_rows = chunk_rows_of(df, chunk_rows)
+    ov = _order_value(df, list(order)[0])
+    hot = _hot_keys(df, key, ov, chunk_rows, list(order)[0])
+    return _assign_chunks(df, key, ov, hot, chunk_rows)
+
+
+def ordered_frames(df: DataFrame, key: str, order: Sequence[str],
+                   build: Builder | None = None, halo: int = WINDOW,
+                   chunk_rows: int | None = None) -> DataFrame:
+    """Add ``_ord``, ``_cnt`` and the columns of ``build(window)`` to ``df``.
+
+    ``build`` receives a window spec ordered by ``order`` and returns named
+    columns whose frames stay within ``halo`` rows of the current row.
+    """
+    order = list(order)
+    build = build or (lambda w: {})
+    chunk_rows = chunk_rows_of(df, chunk_rows)
+    ov = _order_value(df, order[0])
+    hot = _hot_keys(df, key, ov, chunk_rows, order[0])
+
+    if not hot:
+        w = Window.partitionBy(key).orderBy(*order)
+        out = df.withColumn(ORD, (F.row_number().over(w) - 1).cast("long"))
+        cols = build(w)
+        if cols:
+            out = out.withColumns(cols)
+        return out.withColumn(CNT, F.count(F.lit(1)).over(Window.partitionBy(key)))
+
+    chunked = _assign_chunks(df, key, ov, hot, chunk_rows)
+
     # Per-chunk counts give each chunk's offset within its key.  Plain
     # equality keeps the join partitioned on (key, chunk), which the window
     # below reuses; null keys find no match and are one chunk of their own.
