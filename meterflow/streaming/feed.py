@@ -125,11 +125,14 @@ def score_stream(wins: DataFrame, bounds: DataFrame, limits: DataFrame, scorer)
     using the emulator's forecast (last reading x 1.05).  ``bounds`` and
     ``limits`` are static tables joined to the stream."""
     from meterflow.operators import events, sequence
-    s = wins.join(sized_broadcast(bounds), "machine_id", "left")
+    # A window that fails validation is not scored (the service answers
+    # such a request with a rejection and logs nothing)
+    s = wins.withColumn("predicted_kwh", C.last_element("readings") * K.FORECAST_UPLIFT)
+    s = events.validate_requests(s).filter("is_valid").drop("rejection", "is_valid")
+    s = s.join(sized_broadcast(bounds), "machine_id", "left")
     s = sequence.scale_window_array(s)
     s = sequence.score(s, scorer, arr="scaled_readings")
     s = s.join(sized_broadcast(limits.select("machine_id", "threshold")), "machine_id", "left")
-    s = s.withColumn("predicted_kwh", C.last_element("readings") * K.FORECAST_UPLIFT)
     return events.decide_alerts(s).withColumnRenamed("window_end_ts", "request_ts")
 
 
@@ -237,9 +240,11 @@ def run_scoring(spark: SparkSession, readings: DataFrame, bounds: DataFrame, lim
                 scorer, slices: int = 4, files_per_batch: int = 1) -> dict:
     """Replay ``readings`` as a feed and run T1 -> T2 -> T3/T4 to completion.
     Returns the folders of the source, the log and the anomaly events."""
+    from meterflow.operators import prep
     run = new_run_dir(spark, "scoring")
     src = replay_folder(spark, readings, slices)
-    feed = read_feed(spark, src, files_per_batch)
+    # the feed keeps only readings with a positive value, as the emulator does
+    feed = prep.valid_readings(read_feed(spark, src, files_per_batch), strictly_positive=True)
     scored = score_stream(window_stream(feed), bounds, limits, scorer)
     paths = {"source": src, "log": f"{run}/log", "events": f"{run}/events"}
     run_available(scored.writeStream.foreachBatch(
