@@ -469,7 +469,8 @@ def stream_scoring_paths(spark: SparkSession, sf_dir: str) -> dict:
 @register("stream_windows")
 def q_stream_windows(spark, sf_dir):
     src = feed.replay_folder(spark, fx.readings_from_orders(spark, sf_dir))
-    wins = feed.run_append(spark, feed.window_stream(feed.read_feed(spark, src, 1)), "windows")
+    wins = feed.run_append(spark, feed.window_stream(
+        feed.read_feed(spark, src, feed.files_per_slice(spark))), "windows")
     return wins.select("machine_id", "end_ord", "window_end_ts", *window_summary(wins))
 
 
@@ -523,7 +524,8 @@ def q_stream_enrich(spark, sf_dir):
     raw = raw.withColumnsRenamed({"meter_reading": "kwh"}).select(
         F.col("building_id").alias("machine_id"), "timestamp", "kwh", "reading_id")
     src = feed.replay_folder(spark, raw)
-    stream = feed.read_feed(spark, src, 1).withColumnRenamed("machine_id", "building_id")
+    stream = feed.read_feed(spark, src, feed.files_per_slice(spark)).withColumnRenamed(
+        "machine_id", "building_id")
     out = feed.run_append(spark, feed.enrich_stream(stream, fx.metadata_from_customer(spark, sf_dir)),
                           "enrich")
     return out.select(F.col("building_id").alias("machine_id"), "timestamp", "kwh",
@@ -533,7 +535,8 @@ def q_stream_enrich(spark, sf_dir):
 @register("kpi_stream")
 def q_kpi_stream(spark, sf_dir):
     src = feed.replay_folder(spark, fx.readings_from_events(spark, sf_dir))
-    return feed.run_complete(spark, feed.kpi_stream(feed.read_feed(spark, src, 1)), "kpis")
+    return feed.run_complete(
+        spark, feed.kpi_stream(feed.read_feed(spark, src, feed.files_per_slice(spark))), "kpis")
 
 
 # --- step 8: sinks and sources round trips --------------------------------------------------

@@ -62,6 +62,14 @@ def replay_folder(spark: SparkSession, readings: DataFrame, slices: int = 4,
     return path
 
 
+def files_per_slice(spark: SparkSession) -> int:
+    """Upper bound on the files one replay slice is written as (its shuffle
+    partitions).  Any batch size keeps each machine's rows in time order --
+    files are taken oldest first and a machine has one file per slice -- so
+    this only sets how many micro-batches a replay takes (about one per slice)."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def read_feed(spark: SparkSession, path: str, files_per_batch: int | None = None,
               schema: str = READING_SCHEMA, fmt: str = "parquet") -> DataFrame:
     """A stream of readings files (parquet or JSON) with a fixed schema."""
@@ -237,14 +245,15 @@ def new_run_dir(spark: SparkSession, name: str) -> str:
 
 
 def run_scoring(spark: SparkSession, readings: DataFrame, bounds: DataFrame, limits: DataFrame,
-                scorer, slices: int = 4, files_per_batch: int = 1) -> dict:
+                scorer, slices: int = 4, files_per_batch: int | None = None) -> dict:
     """Replay ``readings`` as a feed and run T1 -> T2 -> T3/T4 to completion.
     Returns the folders of the source, the log and the anomaly events."""
     from meterflow.operators import prep
     run = new_run_dir(spark, "scoring")
     src = replay_folder(spark, readings, slices)
     # the feed keeps only readings with a positive value, as the emulator does
-    feed = prep.valid_readings(read_feed(spark, src, files_per_batch), strictly_positive=True)
+    feed = prep.valid_readings(read_feed(spark, src, files_per_batch or files_per_slice(spark)),
+                               strictly_positive=True)
     scored = score_stream(window_stream(feed), bounds, limits, scorer)
     paths = {"source": src, "log": f"{run}/log", "events": f"{run}/events"}
     run_available(scored.writeStream.foreachBatch(
