@@ -207,3 +207,11 @@ def test_per_machine_pca_matches_numpy(spark):
             P = vecs[:, np.argsort(vals)[::-1][:K.LATENT_DIM]]
             want = np.abs(mu + (X - mu) @ P @ P.T - X).mean(axis=1)
             assert np.allclose([got[(m, i)] for i in range(len(X))], want, atol=1e-6)
+
+
+def test_zero_mean_rules(spark):
+    # mean 0: the drop rule needs mean > 0; any positive reading is a spike
+    out = _series(spark, [0.0, 0.0, 0.0, 5.0]).transform(windows.window_features).transform(
+        rules.add_anomaly_flags).orderBy("reading_id").collect()
+    assert [r.drop_flag for r in out] == [0, 0, 0, 0]
+    assert [r.spike_flag for r in out] == [0, 0, 0, 1]
