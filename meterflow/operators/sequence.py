@@ -80,6 +80,35 @@ def scaled_edge_windows(readings: DataFrame, key: str = "machine_id", ts: str =
                                 chunk_rows=chunk_rows)
 
 
+def scoring_frames(readings: DataFrame, key: str = "machine_id", ts: str = "timestamp",
+                   value: str = "kwh", tiebreak: str | None = "reading_id",
+                   length: int = K.WINDOW, split: float = K.TRAIN_SPLIT,
+                   chunk_rows: int | None = None) -> DataFrame:
+    """One window pass for the scoring path: for every reading, the next
+    ``length`` raw readings (a request) and their scaled values, plus the
+    train/validation split of the full windows (null for the rest).
+    Thresholds and requests both come from this pass, so the readings are
+    shuffled once for both."""
+    from meterflow.operators.ordered import CNT, ORD, ordered_frames
+
+    scaled = apply_minmax(readings, fit_minmax(readings, key, value), key, value)
+    order = [ts] + ([tiebreak] if tiebreak else [])
+
+    def build(w):
+        f = w.rowsBetween(0, length - 1)
+        return {"readings": F.collect_list(value).over(f),
+                "scaled_readings": F.collect_list("scaled").over(f),
+                "request_ts": F.last(ts).over(f)}
+
+    out = ordered_frames(scaled, key, order, build, halo=length, chunk_rows=chunk_rows)
+    n_windows = F.col(CNT) - length
+    part = F.when(F.col(ORD) < n_windows, F.when(
+        F.col(ORD) < F.floor(n_windows * F.lit(split)), F.lit("train")).otherwise(F.lit("validation")))
+    return out.select(F.col(key).alias("machine_id"), F.col(ORD).alias("window_start"),
+                      "request_ts", "readings", "scaled_readings", "scale_min", "scale_max",
+                      n_windows.alias("n_windows"), part.alias("split"))
+
+
 # --- scorers (A12, M8) -----------------------------------------------------------
 
 class DeviationScorer:

@@ -266,18 +266,23 @@ def q_validate_requests(spark, sf_dir):
 
 def scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid 24-reading requests from the orders readings, forecast from the
-    hourly rollup, scaled with the machine's bounds, scored and decided."""
+    hourly rollup, scaled with the machine's bounds, scored and decided.
+    Requests and the thresholds' validation windows come from one window
+    pass (``scoring_frames``)."""
     r = fx.readings_from_orders(spark, sf_dir)
-    req = events.validate_requests(events.request_frames(r)).filter("is_valid")
+    frames = sequence.scoring_frames(r)
+    scorer = sequence.DeviationScorer()
+    limits = sequence.thresholds(
+        sequence.score(frames.filter(F.col("split").isNotNull()), scorer, arr="scaled_readings"))
+    req = frames.withColumn("predicted_kwh", F.element_at("readings", -1) * K.FORECAST_UPLIFT)
+    req = events.validate_requests(req).filter("is_valid")
     fc = rollups.hourly_forecast(r.transform(prep.add_calendar)).withColumnRenamed(
         "predicted_load_next_24h", "forecast_kwh")
     req = (req.withColumn("hour", F.hour("request_ts").cast("int"))
-           .join(fc, ["machine_id", "hour"], "left")
+           .join(prep.sized_broadcast(fc), ["machine_id", "hour"], "left")
            .withColumn("predicted_kwh", F.col("forecast_kwh")))
-    req = req.join(prep.sized_broadcast(sequence.fit_minmax(r)), "machine_id", "left")
-    req = sequence.scale_window_array(req)
-    req = sequence.score(req, sequence.DeviationScorer(), arr="scaled_readings")
-    req = events.attach_limits(req, sequence.thresholds(deviation_scored(spark, sf_dir)))
+    req = sequence.score(req, scorer, arr="scaled_readings")
+    req = events.attach_limits(req, limits)
     return events.decide_alerts(req)
 
 
@@ -343,16 +348,18 @@ def q_rate_band(spark, sf_dir):
 
 
 def relay_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relay messages from the log: a data point per row, an alarm per flag."""
+    """Relay messages from the log: a data point per row and an alarm per
+    flagged row, emitted together from one pass (``explode``)."""
     log = scored_log(spark, sf_dir)
     iso = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss")
-    points = log.select(F.to_json(F.struct(
+    point = F.to_json(F.struct(
         "machine_id", F.col("actual_kwh").alias("kwh"), "recon_error", "threshold",
-        (F.col("is_anomaly") == 1).alias("is_anomaly"), iso.alias("timestamp"))).alias("message"))
-    alarms = log.filter(F.col("is_anomaly") == 1).select(F.to_json(F.struct(
+        (F.col("is_anomaly") == 1).alias("is_anomaly"), iso.alias("timestamp")))
+    alarm = F.when(F.col("is_anomaly") == 1, F.to_json(F.struct(
         F.lit(K.ALARM_TYPE).alias("type"), "machine_id",
-        F.round("recon_error", 4).alias("error"), iso.alias("timestamp"))).alias("message"))
-    return points.unionByName(alarms)
+        F.round("recon_error", 4).alias("error"), iso.alias("timestamp"))))
+    msgs = F.filter(F.array(point, alarm), lambda m: m.isNotNull())
+    return log.select(F.explode(msgs).alias("message"))
 
 
 @register("normalise_events")
