@@ -39,6 +39,7 @@ CNT = "_cnt"   # number of rows of the key
 
 DEFAULT_CHUNK_ROWS = 2_000_000
 OVERSPLIT = 4
+MAX_DEPTH = 3        # seam-set recursion levels before a plain per-key window
 CHUNK_CONF = "meterflow.chunkRows"
 
 Builder = Callable[[WindowSpec], dict[str, Column]]
@@ -141,17 +142,24 @@ def chunk_plan(df: DataFrame, key: str, order: Sequence[str],
 
 def ordered_frames(df: DataFrame, key: str, order: Sequence[str],
                    build: Builder | None = None, halo: int = WINDOW,
-                   chunk_rows: int | None = None) -> DataFrame:
+                   chunk_rows: int | None = None, _hot: list | None = None,
+                   _depth: int = 0) -> DataFrame:
     """Add ``_ord``, ``_cnt`` and the columns of ``build(window)`` to ``df``.
 
     ``build`` receives a window spec ordered by ``order`` and returns named
     columns whose frames stay within ``halo`` rows of the current row.
+
+    The seam set of a hot key is itself ordered per key, so it is processed
+    by the same function: a key whose seam set may exceed ``chunk_rows`` is
+    chunked again (its plan follows from known bounds, no statistics job),
+    up to ``MAX_DEPTH`` levels.  Each level shrinks a key's rows by about
+    ``chunk_rows / (4 * OVERSPLIT * halo)``.
     """
     order = list(order)
     build = build or (lambda w: {})
     chunk_rows = chunk_rows_of(df, chunk_rows)
     ov = _order_value(df, order[0])
-    hot = _hot_keys(df, key, ov, chunk_rows, order[0])
+    hot = _hot if _hot is not None else _hot_keys(df, key, ov, chunk_rows, order[0])
 
     if not hot:
         w = Window.partitionBy(key).orderBy(*order)
@@ -208,11 +216,24 @@ def ordered_frames(df: DataFrame, key: str, order: Sequence[str],
         return pass1.drop(*helper)
     keep = pass1.filter(~needs_fix)
     hot_list = [r[key] for r in hot]
-    seam = pass1.filter(F.col(key).isin(hot_list)).filter(in_seam)
-    seam = seam.drop(*cols.keys()).withColumns(
-        build(Window.partitionBy(key).orderBy(ORD)))
-    seam = seam.filter(needs_fix)
-    return keep.unionByName(seam).drop(*helper)
+    fix_col = f"_fix{_depth}"
+    seam_in = (pass1.filter(F.col(key).isin(hot_list)).filter(in_seam)
+               .withColumn(fix_col, needs_fix).drop(*cols.keys()).drop(*helper)
+               .withColumnRenamed(ORD, f"_gord{_depth}").withColumnRenamed(CNT, f"_gcnt{_depth}"))
+    # Next level: keys whose seam set can exceed chunk_rows (at most
+    # 4 * halo rows per chunk of the key), chunked on their global position.
+    nxt = []
+    if _depth + 1 < MAX_DEPTH:
+        for r in hot:
+            m = max(1, math.ceil(OVERSPLIT * r["_n"] / chunk_rows))
+            bound = 4 * halo * m
+            if bound > chunk_rows:
+                nxt.append({key: r[key], "_n": bound, "_lo": 0.0, "_hi": float(r["_n"] - 1)})
+    seam = ordered_frames(seam_in, key, [f"_gord{_depth}"], build, halo, chunk_rows,
+                          _hot=nxt, _depth=_depth + 1)
+    seam = (seam.drop(ORD, CNT).withColumnRenamed(f"_gord{_depth}", ORD)
+            .withColumnRenamed(f"_gcnt{_depth}", CNT).filter(F.col(fix_col)).drop(fix_col))
+    return keep.drop(*helper).unionByName(seam)
 
 
 def with_ordinal(df: DataFrame, key: str, order: Sequence[str],
