@@ -19,7 +19,6 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterflow import constants as K
 from meterflow.operators import forecast, prep, rollups, rules, sequence, windows
 from meterflow.sources import files, sinks
 from meterflow.streaming import feed

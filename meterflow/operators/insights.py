@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterflow import constants as K
-from meterflow.operators.ordered import CNT, ORD, with_ordinal
+from meterflow.operators.ordered import ORD, with_ordinal
 
 
 def adaptive_threshold(readings: DataFrame, key: str = "machine_id", ts: str = "timestamp",

@@ -22,8 +22,8 @@ from meterflow.streaming import feed
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
-# Queries with no SQL equivalent (model fits, streaming state); the driver
-# checks their rows only, and tests compare them with brute force.
+# Queries with no SQL equivalent (model fits); the driver
+# checks their rows only, and tests compare the scorers with brute force.
 ROWS_ONLY = ["recon_scores", "model_threshold", "edge_scores"]
 
 

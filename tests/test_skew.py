@@ -4,7 +4,6 @@ window results still equal a straightforward per-machine computation."""
 import datetime as dt
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from meterflow.operators import ordered, windows
