@@ -91,6 +91,9 @@ def scoring_frames(readings: DataFrame, key: str = "machine_id", ts: str = "time
     shuffled once for both."""
     from meterflow.operators.ordered import CNT, ORD, ordered_frames
 
+    # a request without a machine is rejected by validation anyway; dropping
+    # it first gives the threshold and request branches identical inputs
+    readings = readings.filter(F.col(key).isNotNull())
     scaled = apply_minmax(readings, fit_minmax(readings, key, value), key, value)
     order = [ts] + ([tiebreak] if tiebreak else [])
 
@@ -105,7 +108,7 @@ def scoring_frames(readings: DataFrame, key: str = "machine_id", ts: str = "time
     part = F.when(F.col(ORD) < n_windows, F.when(
         F.col(ORD) < F.floor(n_windows * F.lit(split)), F.lit("train")).otherwise(F.lit("validation")))
     return out.select(F.col(key).alias("machine_id"), F.col(ORD).alias("window_start"),
-                      "request_ts", "readings", "scaled_readings", "scale_min", "scale_max",
+                      "request_ts", "readings", "scaled_readings",
                       n_windows.alias("n_windows"), part.alias("split"))
 
 

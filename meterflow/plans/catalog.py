@@ -272,8 +272,10 @@ def scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = fx.readings_from_orders(spark, sf_dir)
     frames = sequence.scoring_frames(r)
     scorer = sequence.DeviationScorer()
-    limits = sequence.thresholds(
-        sequence.score(frames.filter(F.col("split").isNotNull()), scorer, arr="scaled_readings"))
+    # validation windows are full windows; reading the raw array here too keeps
+    # both branches on the same frame columns, so Spark reuses one shuffle
+    full = F.col("split").isNotNull() & (F.size("readings") == K.WINDOW)
+    limits = sequence.thresholds(sequence.score(frames.filter(full), scorer, arr="scaled_readings"))
     req = frames.withColumn("predicted_kwh", F.element_at("readings", -1) * K.FORECAST_UPLIFT)
     req = events.validate_requests(req).filter("is_valid")
     fc = rollups.hourly_forecast(r.transform(prep.add_calendar)).withColumnRenamed(
