@@ -56,7 +56,8 @@ def train(spark: SparkSession, readings: DataFrame, out: str, per_machine: bool
     """M7/M9 + A11 + W4: fit the bottleneck on the training windows, set
     thresholds on the validation windows and score the held-out tail."""
     order_col = "reading_id" if "reading_id" in readings.columns else None
-    wins = sequence.scaled_windows(readings, tiebreak=order_col)
+    frames = sequence.training_frames(readings, tiebreak=order_col)
+    wins = sequence.frame_windows(frames)
     train_w = wins.filter(F.col("split") == "train")
     if per_machine:
         models = sequence.fit_machine_pca(train_w)
@@ -69,8 +70,7 @@ def train(spark: SparkSession, readings: DataFrame, out: str, per_machine: bool
     limits = sequence.thresholds(scored)
     sinks.write_table(limits, f"{out}/thresholds")
     if not per_machine:
-        edge = sequence.edge_log(readings, scorer, spark.read.parquet(f"{out}/thresholds"),
-                                 tiebreak=order_col)
+        edge = sequence.edge_log_from(frames, scorer, spark.read.parquet(f"{out}/thresholds"))
         sinks.append_log(edge, f"{out}/edge_log")
     return {"model": f"{out}/model" if not per_machine else f"{out}/models",
             "thresholds": f"{out}/thresholds", "edge_log": f"{out}/edge_log"}

@@ -216,20 +216,73 @@ def flag_windows(scored: DataFrame, limits: DataFrame, by: str | None = "machine
         "is_anomaly", F.when(F.col(error) > F.col("threshold"), F.lit(1)).otherwise(F.lit(0)))
 
 
-def edge_log(readings: DataFrame, scorer, limits: DataFrame, key: str = "machine_id",
-             ts: str = "timestamp", value: str = "kwh", tiebreak: str | None = "reading_id",
-             chunk_rows: int | None = None) -> DataFrame:
+def training_frames(readings: DataFrame, key: str = "machine_id", ts: str = "timestamp",
+                    value: str = "kwh", tiebreak: str | None = "reading_id",
+                    length: int = K.WINDOW, split: float = K.TRAIN_SPLIT,
+                    steps: int = K.EDGE_STEPS, chunk_rows: int | None = None) -> DataFrame:
+    """One window pass for training and the edge simulation: per reading,
+    the scaled window starting there (training / validation windows), the
+    scaled window ending there (held-out tail) and the raw forward window.
+    Windows, thresholds and the tail all come from this pass, so the readings
+    are shuffled once (the executed plan reuses the exchange)."""
+    from meterflow.operators.ordered import CNT, ORD, ordered_frames
+
+    readings = readings.filter(F.col(key).isNotNull())
+    scaled = apply_minmax(readings, fit_minmax(readings, key, value), key, value)
+    order = [ts] + ([tiebreak] if tiebreak else [])
+
+    def build(w):
+        fwd = w.rowsBetween(0, length - 1)
+        return {"readings": F.collect_list("scaled").over(fwd),
+                "raw_readings": F.collect_list(value).over(fwd),
+                "tail_readings": F.collect_list("scaled").over(w.rowsBetween(-(length - 1), 0))}
+
+    out = ordered_frames(scaled, key, order, build, halo=length, chunk_rows=chunk_rows)
+    n_windows = F.col(CNT) - length
+    part = F.when(F.col(ORD) < n_windows, F.when(
+        F.col(ORD) < F.floor(n_windows * F.lit(split)), F.lit("train")).otherwise(F.lit("validation")))
+    hour_index = F.col(ORD) + 1
+    start = F.floor(F.col(CNT) * F.lit(split)) + length
+    in_tail = (hour_index >= start) & (hour_index < F.least(F.col(CNT), start + steps))
+    return out.select(F.col(key).alias("machine_id"), F.col(ORD).alias("window_start"),
+                      F.col(ts).alias("timestamp"), F.col(value).alias("kwh"), "readings",
+                      "raw_readings", "tail_readings", n_windows.alias("n_windows"),
+                      part.alias("split"), hour_index.alias("hour_index"),
+                      in_tail.alias("in_tail"))
+
+
+def frame_windows(frames: DataFrame, length: int = K.WINDOW) -> DataFrame:
+    """The train/validation windows of ``training_frames`` (full windows)."""
+    full = F.col("split").isNotNull() & (F.size("raw_readings") == length)
+    return frames.filter(full).select("machine_id", "window_start", "readings", "n_windows", "split")
+
+
+def frame_tail(frames: DataFrame) -> DataFrame:
+    """The held-out tail of ``training_frames``."""
+    return frames.filter("in_tail").select(
+        "machine_id", "hour_index", F.col("timestamp").alias("timestamp_last"),
+        F.col("kwh").alias("kwh_last"), F.col("tail_readings").alias("readings"))
+
+
+def edge_log_from(frames: DataFrame, scorer, limits: DataFrame) -> DataFrame:
     """W4 + M8 + R6: the 7-column edge log for the held-out tail of every
     machine.  The timestamp is the last reading's time, so reruns repeat."""
-    tail = scaled_edge_windows(readings, key, ts, value, tiebreak, chunk_rows)
-    flagged = flag_windows(score(tail, scorer), limits, key)
+    flagged = flag_windows(score(frame_tail(frames), scorer), limits)
     return flagged.select(
-        F.col("timestamp_last").alias("timestamp"), F.col(key).alias("machine_id"),
+        F.col("timestamp_last").alias("timestamp"), "machine_id",
         "hour_index", F.round("kwh_last", 3).alias("kwh_last"),
         F.round("recon_error", 6).alias("recon_error"),
         F.round("threshold", 6).alias("threshold"), "is_anomaly")
 
 
+def edge_log(readings: DataFrame, scorer, limits: DataFrame, key: str = "machine_id",
+             ts: str = "timestamp", value: str = "kwh", tiebreak: str | None = "reading_id",
+             chunk_rows: int | None = None) -> DataFrame:
+    """The edge log straight from readings (see ``edge_log_from``)."""
+    frames = training_frames(readings, key, ts, value, tiebreak, chunk_rows=chunk_rows)
+    return edge_log_from(frames, scorer, limits)
+
+
 # --- per-machine bottleneck models (M9) -----------------------------------------
 
 MODEL_SCHEMA = "machine_id bigint, n_train long, mean array<double>, projection array<double>"

@@ -224,9 +224,10 @@ def q_baseline_threshold(spark, sf_dir):
 
 @register("baseline_edge_log")
 def q_baseline_edge_log(spark, sf_dir):
-    limits = sequence.thresholds(deviation_scored(spark, sf_dir))
-    return sequence.edge_log(fx.readings_from_orders(spark, sf_dir),
-                             sequence.DeviationScorer(), limits)
+    frames = sequence.training_frames(fx.readings_from_orders(spark, sf_dir))
+    scorer = sequence.DeviationScorer()
+    limits = sequence.thresholds(sequence.score(sequence.frame_windows(frames), scorer))
+    return sequence.edge_log_from(frames, scorer, limits)
 
 
 def pca_scored(spark: SparkSession, sf_dir: str):
@@ -250,9 +251,11 @@ def q_model_threshold(spark, sf_dir):
 
 @register("edge_scores")
 def q_edge_scores(spark, sf_dir):
-    scored, scorer = pca_scored(spark, sf_dir)
-    limits = sequence.thresholds(scored)
-    return sequence.edge_log(fx.readings_from_orders(spark, sf_dir), scorer, limits)
+    frames = sequence.training_frames(fx.readings_from_orders(spark, sf_dir))
+    wins = sequence.frame_windows(frames)
+    scorer = sequence.fit_pca_scorer(wins.filter(F.col("split") == "train"))
+    limits = sequence.thresholds(sequence.score(wins, scorer))
+    return sequence.edge_log_from(frames, scorer, limits)
 
 
 # --- step 5: requests, alerts, logs and feeds ----------------------------------------
