@@ -40,6 +40,12 @@ STATUS_NORMAL = "NORMAL"
 STATUS_IDLE = "IDLE"
 ALARM_TYPE = "ANOMALY_ALARM"
 ALERT_COLOR = "#FF0000"
+ALERT_TITLE_PREFIX = "🚨 Energy Anomaly — Machine "
+ALERT_FIELD_TITLES = [
+    "Reason", "Actual kWh", "Predicted kWh", "Reconstruction Error",
+    "Threshold", "Spike Factor", "Timestamp",
+]
+ALERT_TIME_FORMAT = "yyyy-MM-dd HH:mm 'UTC'"
 ALERT_FOOTER = "Industrial Energy Monitoring | Capstone 5"
 
 # --- fixed values: forecasting model ---------------------------------------

@@ -71,18 +71,21 @@ def alert_document(df: DataFrame, machine_id: str = "machine_id", ts: str = "req
     def fixed(c, d):
         return F.when(F.col(c).isNotNull(), F.format_string(f"%.{d}f", F.round(F.col(c), d)))
 
+    values = [
+        F.col("alert_reason"),
+        fixed("actual_kwh", 2),
+        fixed("predicted_kwh", 2),
+        fixed("recon_error", 6),
+        fixed("threshold", 6),
+        F.lit(f"{spike_factor}×"),
+        F.date_format(ts, K.ALERT_TIME_FORMAT),
+    ]
+    fields = [field(title, v, short=(title != "Timestamp"))
+              for title, v in zip(K.ALERT_FIELD_TITLES, values)]
     attachment = F.struct(
         F.lit(K.ALERT_COLOR).alias("color"),
-        F.concat(F.lit("🚨 Energy Anomaly — Machine "), F.col(machine_id).cast("string")).alias("title"),
-        F.array(
-            field("Reason", F.col("alert_reason")),
-            field("Actual kWh", fixed("actual_kwh", 2)),
-            field("Predicted kWh", fixed("predicted_kwh", 2)),
-            field("Reconstruction Error", fixed("recon_error", 6)),
-            field("Threshold", fixed("threshold", 6)),
-            field("Spike Factor", F.lit(f"{spike_factor}×")),
-            field("Timestamp", F.date_format(ts, "yyyy-MM-dd HH:mm 'UTC'"), short=False),
-        ).alias("fields"),
+        F.concat(F.lit(K.ALERT_TITLE_PREFIX), F.col(machine_id).cast("string")).alias("title"),
+        F.array(*fields).alias("fields"),
         F.lit(K.ALERT_FOOTER).alias("footer"),
     )
     return df.withColumn("payload", F.to_json(
