@@ -662,3 +662,58 @@ def q_machine_model_scores(spark, sf_dir):
 def q_machine_model_threshold(spark, sf_dir):
     t = sequence.thresholds(machine_model_scored(spark, sf_dir))
     return t.select("machine_id", r6("error_mean"), r6("error_std"), "n_errors", r6("threshold"))
+
+
+# --- file sources and sinks over derived files (S1, S2, S4, S5, S12) ----------------------
+
+def _raw_csv(spark: SparkSession, sf_dir: str) -> str:
+    path = _scratch(spark, "raw-csv")
+    fx.raw_readings_from_orders(spark, sf_dir).select(
+        F.col("building_id").cast("int"), "meter",
+        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+        "meter_reading").write.option("header", True).csv(path)
+    return path
+
+
+@register("raw_csv_scan")
+def q_raw_csv_scan(spark, sf_dir):
+    """S1 + S2 + P1/P2: a raw readings CSV filtered to one meter and the
+    machines of a metadata CSV (semi join)."""
+    meta_path = _scratch(spark, "meta-csv")
+    fx.metadata_from_customer(spark, sf_dir).select(
+        "site_id", F.col("building_id").cast("int"), "primary_use").write.option(
+        "header", True).csv(meta_path)
+    meta = files.read_dimension(spark, meta_path, "site_id int, building_id int, primary_use string")
+    machines = meta.filter(F.col("primary_use") == TARGET_SEGMENT).select("building_id")
+    return files.read_raw_readings(spark, _raw_csv(spark, sf_dir), meter=0, machines=machines)
+
+
+@register("fallback_ingest")
+def q_fallback_ingest(spark, sf_dir):
+    """The primary input is absent, so the fallback file is read (by
+    header name)."""
+    fallback = _scratch(spark, "fallback-csv")
+    (fx.readings_from_events(spark, sf_dir).select("timestamp", "machine_id", "kwh")
+     .write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+     .csv(fallback))
+    df = files.ingest_processed(spark, _scratch(spark, "absent-primary"), fallback=fallback)
+    return df.select("machine_id", "timestamp", "kwh", "hour", "is_weekend")
+
+
+@register("partitioned_table")
+def q_partitioned_table(spark, sf_dir):
+    """Readings written partitioned by month; a month filter reads only
+    its folder (partition pruning)."""
+    path = _scratch(spark, "by-month")
+    r = fx.readings_from_orders(spark, sf_dir).withColumn("month", F.month("timestamp"))
+    sinks.write_table(r, path, partition_by=["month"])
+    return spark.read.parquet(path).filter(F.col("month").isin(6, 7, 8)).select(
+        "machine_id", "timestamp", "kwh", "reading_id", F.col("month").cast("int").alias("month"))
+
+
+@register("alert_records")
+def q_alert_records(spark, sf_dir):
+    """Fired alerts appended to an alert table and read back."""
+    path = _scratch(spark, "alerts")
+    sinks.write_alerts(events.alert_document(scored_requests(spark, sf_dir)), path)
+    return spark.read.parquet(path)

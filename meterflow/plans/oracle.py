@@ -635,3 +635,25 @@ FROM ({ORACLE["baseline_edge_log"]}) edge_log"""
 
 ORACLE["sorted_readings"] = f"""WITH {READINGS}
 SELECT * FROM readings ORDER BY machine_id, "timestamp", reading_id"""
+
+# --- file sources and sinks over derived files ---------------------------------------
+
+ORACLE["raw_csv_scan"] = f"""WITH {RAW_READINGS}, {METADATA}
+SELECT CAST(building_id AS INTEGER) AS building_id, meter,
+  strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS "timestamp", meter_reading
+FROM raw
+WHERE meter = 0 AND building_id IN (SELECT building_id FROM meta WHERE primary_use = 'MACHINERY')"""
+
+ORACLE["fallback_ingest"] = f"""WITH {READINGS}
+SELECT CAST(machine_id AS INTEGER) AS machine_id, "timestamp", kwh,
+  CAST(hour("timestamp") AS INTEGER) AS hour,
+  CASE WHEN isodow("timestamp") - 1 >= 5 THEN 1 ELSE 0 END AS is_weekend
+FROM readings WHERE kwh IS NOT NULL AND kwh >= 0"""
+
+ORACLE["partitioned_table"] = f"""WITH {MONTHLY_READINGS}
+SELECT machine_id, "timestamp", kwh, reading_id, CAST(month("timestamp") AS INTEGER) AS month
+FROM mreadings WHERE month("timestamp") IN (6, 7, 8)"""
+
+ORACLE["alert_records"] = ORACLE["alert_json"].replace(
+    "SELECT machine_id, window_start, CAST(to_json(",
+    'SELECT machine_id, request_ts AS "timestamp", alert_reason, CAST(to_json(', 1)
