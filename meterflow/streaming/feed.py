@@ -85,10 +85,21 @@ WINDOW_OUT = "machine_id bigint, end_ord long, end_us long, readings array<doubl
 WINDOW_STATE = "vals array<double>, seen long"
 
 
-def _window_step(length: int):
+def _empty_windows() -> pd.DataFrame:
+    return pd.DataFrame({"machine_id": pd.Series([], dtype="int64"),
+                         "end_ord": pd.Series([], dtype="int64"),
+                         "end_us": pd.Series([], dtype="int64"),
+                         "readings": pd.Series([], dtype="object")})
+
+
+def _window_step(length: int, idle_timeout_ms: int | None = None):
     keep = length - 1
 
     def step(key, batches, state):
+        if state.hasTimedOut:                # machine idle too long: forget it
+            state.remove()
+            yield _empty_windows()
+            return
         new = pd.concat(list(batches), ignore_index=True)
         new = new.sort_values(["ts_us", "reading_id"], kind="mergesort")
         if state.exists:
@@ -112,17 +123,29 @@ def _window_step(length: int):
                 "readings": [w.copy() for w in wins[idx]],
             })
         state.update((vals[-keep:].tolist(), int(seen + n_new)))
+        if idle_timeout_ms:
+            state.setTimeoutDuration(idle_timeout_ms)
         yield out
 
     return step
 
 
-def window_stream(feed: DataFrame, length: int = K.WINDOW) -> DataFrame:
+def window_stream(feed: DataFrame, length: int = K.WINDOW,
+                  idle_timeout_ms: int | None = None) -> DataFrame:
     """Each arriving reading closes the window of the machine's last
-    ``length`` readings (emitted once the machine has ``length`` readings)."""
+    ``length`` readings (emitted once the machine has ``length`` readings).
+
+    ``idle_timeout_ms`` drops a machine's state after that long without
+    readings, so state does not grow with every machine ever seen (a machine
+    that returns starts a new window sequence).  It is meant for a
+    continuously running query (processing-time trigger): while timeouts are
+    pending Spark keeps scheduling no-data batches, so an ``availableNow``
+    replay with a timeout would not finish."""
     rows = feed.select("machine_id", to_micros("timestamp").alias("ts_us"), "kwh", "reading_id")
+    timeout = (GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_ms
+               else GroupStateTimeout.NoTimeout)
     out = rows.groupBy("machine_id").applyInPandasWithState(
-        _window_step(length), WINDOW_OUT, WINDOW_STATE, "append", GroupStateTimeout.NoTimeout)
+        _window_step(length, idle_timeout_ms), WINDOW_OUT, WINDOW_STATE, "append", timeout)
     return out.withColumn("window_end_ts", from_micros("end_us")).drop("end_us")
 
 

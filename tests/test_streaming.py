@@ -62,3 +62,21 @@ def test_dedup_within_watermark(spark):
     out = feed.run_append(spark, feed.dedup_events(s1.unionByName(s2), keys=("machine_id", "end_ord")),
                           "test-dedup-out")
     assert sorted(r.end_ord for r in out.collect()) == [5, 7]
+
+
+def test_idle_timeout_in_continuous_query(spark):
+    import time
+    df = _readings(spark, machines=2, n=30)
+    run = feed.new_run_dir(spark, "test-idle")
+    df.repartition(2, "machine_id").write.parquet(f"{run}/src/a")
+    stream = feed.window_stream(feed.read_feed(spark, f"{run}/src/*"), idle_timeout_ms=3_600_000)
+    q = (stream.writeStream.format("parquet").option("path", f"{run}/out")
+         .option("checkpointLocation", f"{run}/ckpt").trigger(processingTime="1 second").start())
+    try:
+        deadline = time.time() + 120
+        while time.time() < deadline and sum(p["numInputRows"] for p in q.recentProgress) < 60:
+            time.sleep(1)
+        time.sleep(2)
+    finally:
+        q.stop()
+    assert spark.read.parquet(f"{run}/out").count() == 2 * (30 - 23)
