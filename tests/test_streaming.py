@@ -80,3 +80,13 @@ def test_idle_timeout_in_continuous_query(spark):
     finally:
         q.stop()
     assert spark.read.parquet(f"{run}/out").count() == 2 * (30 - 23)
+
+
+def test_json_feed(spark):
+    df = _readings(spark, machines=2, n=30)
+    run = feed.new_run_dir(spark, "test-json")
+    (df.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"))
+     .repartition(2, "machine_id").write.json(f"{run}/src"))
+    stream = feed.window_stream(feed.read_feed(spark, f"{run}/src", fmt="json"))
+    out = feed.run_append(spark, stream, "test-json-out")
+    assert out.count() == 2 * (30 - 23)
