@@ -717,3 +717,13 @@ def q_alert_records(spark, sf_dir):
     path = _scratch(spark, "alerts")
     sinks.write_alerts(events.alert_document(scored_requests(spark, sf_dir)), path)
     return spark.read.parquet(path)
+
+
+@register("stream_windows_batched")
+def q_stream_windows_batched(spark, sf_dir):
+    """T1 without Python state: per-micro-batch skew-safe windows plus a tail
+    table versioned by batch id (same result as ``stream_windows``)."""
+    src = feed.replay_folder(spark, fx.readings_from_orders(spark, sf_dir))
+    stream = feed.read_feed(spark, src, feed.files_per_slice(spark))
+    wins = feed.run_batched_windows(spark, stream, feed.new_run_dir(spark, "batched-windows"))
+    return wins.select("machine_id", "end_ord", "window_end_ts", *window_summary(wins))

@@ -657,3 +657,5 @@ FROM mreadings WHERE month("timestamp") IN (6, 7, 8)"""
 ORACLE["alert_records"] = ORACLE["alert_json"].replace(
     "SELECT machine_id, window_start, CAST(to_json(",
     'SELECT machine_id, request_ts AS "timestamp", alert_reason, CAST(to_json(', 1)
+
+ORACLE["stream_windows_batched"] = ORACLE["stream_windows"]
