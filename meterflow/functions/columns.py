@@ -169,3 +169,16 @@ def first_nonzero(*cols: Column, default: Column | None = None) -> Column:
     if default is not None:
         parts.append(default)
     return F.coalesce(*parts)
+
+
+# --- labels (F7) -------------------------------------------------------------------
+
+def machine_label(key: str | Column) -> Column:
+    """``M-<id>`` display label."""
+    return F.concat(F.lit("M-"), col(key).cast("string"))
+
+
+def machine_from_label(label: str | Column) -> Column:
+    """Inverse of ``machine_label``: strip the ``M-`` prefix (null if the
+    rest is not a number)."""
+    return F.regexp_replace(col(label), r"^M-", "").try_cast("long")

@@ -176,10 +176,18 @@ def latest_state(log: DataFrame, machines: DataFrame | None = None, key: str = "
     return state.withColumn("status", C.status_label("is_anomaly"))
 
 
+def filter_by_label(df: DataFrame, selection: str, key: str = "machine_id") -> DataFrame:
+    """P10 + F7: the feed's machine selector -- ``ALL`` keeps every row,
+    ``M-<id>`` keeps that machine (compared as a number, not as text)."""
+    if selection == "ALL":
+        return df
+    return df.filter(F.col(key) == C.machine_from_label(F.lit(selection)))
+
+
 def label_rates(kpis: DataFrame, key: str = "machine_id", pct: str = "anomaly_rate_pct") -> DataFrame:
     """P13 + F7: display label and rate band on the percentage itself."""
     return kpis.select(
-        key, F.concat(F.lit("M-"), F.col(key).cast("string")).alias("label"), pct,
+        key, C.machine_label(key).alias("label"), pct,
         C.rate_band(pct).alias("rate_band"))
 
 

@@ -215,3 +215,10 @@ def test_zero_mean_rules(spark):
         rules.add_anomaly_flags).orderBy("reading_id").collect()
     assert [r.drop_flag for r in out] == [0, 0, 0, 0]
     assert [r.spike_flag for r in out] == [0, 0, 0, 1]
+
+
+def test_feed_filter_by_label(spark):
+    log = spark.createDataFrame(LOG_ROWS, LOG_SCHEMA)
+    assert events.filter_by_label(log, "ALL").count() == 3
+    assert events.filter_by_label(log, "M-0").count() == 2
+    assert events.filter_by_label(log, "M-7").count() == 0
