@@ -727,3 +727,16 @@ def q_stream_windows_batched(spark, sf_dir):
     stream = feed.read_feed(spark, src, feed.files_per_slice(spark))
     wins = feed.run_batched_windows(spark, stream, feed.new_run_dir(spark, "batched-windows"))
     return wins.select("machine_id", "end_ord", "window_end_ts", *window_summary(wins))
+
+
+@register("stream_scores_batched")
+def q_stream_scores_batched(spark, sf_dir):
+    """T1-T4 on the skew-safe micro-batch windows (same result as
+    ``stream_scores``)."""
+    r = fx.readings_from_orders(spark, sf_dir)
+    limits = sequence.thresholds(deviation_scored(spark, sf_dir))
+    paths = feed.run_scoring_batched(spark, r, sequence.fit_minmax(r), limits,
+                                     sequence.DeviationScorer())
+    log = feed.read_table(spark, paths["log"], feed.LOG_SCHEMA)
+    return log.select("machine_id", "end_ord", "recon_error", "threshold", "is_anomaly",
+                      "alert_sent")

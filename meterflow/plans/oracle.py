@@ -659,3 +659,4 @@ ORACLE["alert_records"] = ORACLE["alert_json"].replace(
     'SELECT machine_id, request_ts AS "timestamp", alert_reason, CAST(to_json(', 1)
 
 ORACLE["stream_windows_batched"] = ORACLE["stream_windows"]
+ORACLE["stream_scores_batched"] = ORACLE["stream_scores"]

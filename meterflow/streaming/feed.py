@@ -343,7 +343,7 @@ def latest_tail(spark: SparkSession, state_dir: str, before: int) -> DataFrame:
 
 
 def batched_windows_writer(state_dir: str, out_dir: str, length: int = K.WINDOW,
-                           chunk_rows: int | None = None):
+                           chunk_rows: int | None = None, on_windows=None):
     """T1 as batch operators inside ``foreachBatch`` (no Python state).
 
     A micro-batch's rows get their windows from ``ordered_frames`` -- so a
@@ -353,7 +353,10 @@ def batched_windows_writer(state_dir: str, out_dir: str, length: int = K.WINDOW,
     written per batch id (``t<id>``) next to the windows (``b<id>``), both with
     overwrite, so a replayed batch reads the same tail and rewrites the same
     output.  Semantics equal ``window_stream``: a batch's rows follow the
-    machine's earlier rows, sorted by time inside the batch."""
+    machine's earlier rows, sorted by time inside the batch.
+
+    ``on_windows(windows, batch_id)``, when given, consumes the batch's
+    windows (e.g. scores them and writes the log) instead of writing them."""
     from meterflow.operators.ordered import CNT, ORD, ordered_frames
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -378,7 +381,11 @@ def batched_windows_writer(state_dir: str, out_dir: str, length: int = K.WINDOW,
             wins = fr.filter(F.size("full") == length).select(
                 "machine_id", (F.col("seen0") + F.col(ORD)).alias("end_ord"),
                 F.col("ts_us").alias("end_us"), F.col("full").alias("readings"))
-            wins.write.mode("overwrite").parquet(f"{out_dir}/b{batch_id:08d}")
+            if on_windows is None:
+                wins.write.mode("overwrite").parquet(f"{out_dir}/b{batch_id:08d}")
+            else:
+                on_windows(wins.withColumn("window_end_ts", from_micros("end_us")).drop("end_us"),
+                           batch_id)
             keep = length - 1
             new_tail = fr.filter(F.col(ORD) == F.col(CNT) - 1).select(
                 "machine_id",
@@ -403,3 +410,25 @@ def run_batched_windows(spark: SparkSession, feed_df: DataFrame, run_dir: str,
     out = read_table(spark, f"{run_dir}/windows",
                      "machine_id bigint, end_ord long, end_us long, readings array<double>")
     return out.withColumn("window_end_ts", from_micros("end_us")).drop("end_us")
+
+
+def run_scoring_batched(spark: SparkSession, readings: DataFrame, bounds: DataFrame,
+                        limits: DataFrame, scorer, slices: int = 4,
+                        chunk_rows: int | None = None) -> dict:
+    """``run_scoring`` on the skew-safe micro-batch windows: T1 from
+    ``batched_windows_writer``, then T2-T4 on each batch's windows."""
+    from meterflow.operators import prep
+    run = new_run_dir(spark, "scoring-batched")
+    src = replay_folder(spark, readings, slices)
+    stream = prep.valid_readings(read_feed(spark, src, files_per_slice(spark)),
+                                 strictly_positive=True)
+    paths = {"source": src, "log": f"{run}/log", "events": f"{run}/events"}
+    sink = log_and_events_writer(paths["log"], paths["events"])
+
+    def score_and_log(wins: DataFrame, batch_id: int) -> None:
+        sink(score_stream(wins, bounds, limits, scorer), batch_id)
+
+    run_available(stream.writeStream.foreachBatch(batched_windows_writer(
+        f"{run}/state", f"{run}/windows", chunk_rows=chunk_rows, on_windows=score_and_log)),
+        f"{run}/ckpt")
+    return paths
