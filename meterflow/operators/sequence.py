@@ -60,12 +60,34 @@ def scale_window_array(df: DataFrame, arr: str = "readings", out: str = "scaled_
 
 # --- windows + split -------------------------------------------------------------
 
+def fit_scaler(readings: DataFrame, key: str = "machine_id", ts: str = "timestamp",
+               value: str = "kwh", tiebreak: str | None = "reading_id", fit_on: str = "all",
+               length: int = K.WINDOW, split: float = K.TRAIN_SPLIT,
+               chunk_rows: int | None = None) -> DataFrame:
+    """Per-machine scaler bounds.  ``fit_on="all"`` uses every reading (as
+    the reference does, validation included); ``"train"`` only the readings
+    inside training windows -- positions below ``floor(split*(n-length)) +
+    length - 1`` -- which costs one extra ordered pass."""
+    if fit_on == "all":
+        return fit_minmax(readings, key, value)
+    if fit_on != "train":
+        raise ValueError("fit_on must be 'all' or 'train'")
+    from meterflow.operators.ordered import CNT, ORD, with_ordinal
+    order = [ts] + ([tiebreak] if tiebreak else [])
+    pos = with_ordinal(readings, key, order, chunk_rows)
+    last = F.floor((F.col(CNT) - length) * F.lit(split)) + (length - 1)
+    return fit_minmax(pos.filter(F.col(ORD) < last), key, value)
+
+
 def scaled_windows(readings: DataFrame, key: str = "machine_id", ts: str = "timestamp",
                    value: str = "kwh", tiebreak: str | None = "reading_id",
-                   split: float = K.TRAIN_SPLIT, chunk_rows: int | None = None) -> DataFrame:
+                   split: float = K.TRAIN_SPLIT, chunk_rows: int | None = None,
+                   scaler_fit: str = "all") -> DataFrame:
     """Scale per machine, cut 24-step windows and mark the chronological
     train/validation split of the windows (W3 + W6)."""
-    scaled = apply_minmax(readings, fit_minmax(readings, key, value), key, value)
+    bounds = fit_scaler(readings, key, ts, value, tiebreak, scaler_fit, split=split,
+                        chunk_rows=chunk_rows)
+    scaled = apply_minmax(readings, bounds, key, value)
     wins = windows.sequence_windows(scaled, key, ts, "scaled", tiebreak, chunk_rows=chunk_rows)
     wins = wins.withColumn("n_windows", F.col("n_readings") - K.WINDOW)
     return windows.chrono_split(wins, key, "window_start", "n_windows", split)

@@ -222,3 +222,15 @@ def test_feed_filter_by_label(spark):
     assert events.filter_by_label(log, "ALL").count() == 3
     assert events.filter_by_label(log, "M-0").count() == 2
     assert events.filter_by_label(log, "M-7").count() == 0
+
+
+def test_scaler_fit_on_train_only(spark):
+    # the last readings (validation) are far larger than the training ones
+    vals = [float(i % 10) for i in range(90)] + [100.0] * 10   # training reaches position 82
+    df = _series(spark, vals)
+    everything = sequence.fit_scaler(df).first()
+    train_only = sequence.fit_scaler(df, fit_on="train").first()
+    assert everything.scale_max == 100.0 and train_only.scale_max == 9.0
+    w = sequence.scaled_windows(df, scaler_fit="train")
+    top = w.filter("split = 'validation'").selectExpr("max(array_max(readings)) m").first().m
+    assert top > 1.0          # unseen levels scale above 1, as with a train-only scaler
