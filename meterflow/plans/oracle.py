@@ -228,7 +228,7 @@ scaled AS (
 
 
 def seq_summary(l: str = "l") -> str:
-    return (f"len({l}) AS seq_len, {l}[1] AS seq_first, {l}[len({l})] AS seq_last, "
+    return (f"CAST(len({l}) AS INTEGER) AS seq_len, {l}[1] AS seq_first, {l}[len({l})] AS seq_last, "
             f"round(list_sum({l}), 6) AS seq_sum, "
             f"round(list_sum(list_transform({l}, lambda x, i: x * i)), 6) AS seq_weighted")
 
@@ -411,7 +411,7 @@ ORACLE["recent_anomalies"] = f"""WITH {SCORED}
 SELECT * FROM log WHERE is_anomaly = 1 ORDER BY {LOG_DESC} LIMIT 50"""
 
 ORACLE["newest_feed"] = f"""WITH {SCORED}
-SELECT *, row_number() OVER (ORDER BY {LOG_DESC}) AS feed_rank
+SELECT *, CAST(row_number() OVER (ORDER BY {LOG_DESC}) AS INTEGER) AS feed_rank
 FROM log WHERE is_anomaly = 1
 QUALIFY feed_rank <= 200"""
 
@@ -577,7 +577,8 @@ SELECT * FROM slog
 QUALIFY row_number() OVER (PARTITION BY machine_id ORDER BY "timestamp" DESC, end_ord DESC) <= 200"""
 
 ORACLE["stream_snapshot"] = f"""WITH {STREAM_LOG}
-SELECT *, row_number() OVER (ORDER BY "timestamp" DESC, machine_id DESC, end_ord DESC) AS feed_rank
+SELECT *, CAST(row_number() OVER (ORDER BY "timestamp" DESC, machine_id DESC, end_ord DESC)
+  AS INTEGER) AS feed_rank
 FROM slog WHERE is_anomaly = 1
 QUALIFY feed_rank <= 200"""
 

@@ -54,6 +54,21 @@ def _rows(records, cols):
     return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
+SPARK_TO_DUCK = {"IntegerType": "INTEGER", "LongType": "BIGINT", "DoubleType": "DOUBLE",
+                 "StringType": "VARCHAR", "BooleanType": "BOOLEAN", "TimestampNTZType": "TIMESTAMP",
+                 "DateType": "DATE", "FloatType": "FLOAT", "ShortType": "SMALLINT",
+                 "ByteType": "TINYINT"}
+
+
+def type_differences(sdf, rel) -> dict:
+    """Columns whose Spark type and DuckDB type differ (scalar types)."""
+    spark_types = {f.name: SPARK_TO_DUCK.get(type(f.dataType).__name__, type(f.dataType).__name__)
+                   for f in sdf.schema.fields}
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    return {c: (t, duck_types.get(c)) for c, t in spark_types.items()
+            if t in SPARK_TO_DUCK.values() and t != duck_types.get(c)}
+
+
 def compare(spark, name: str, sf_dir: str, con=None) -> dict:
     con = con or duckdb_connection(sf_dir)
     sdf = catalog.REGISTRY[name](spark, sf_dir)
@@ -64,7 +79,8 @@ def compare(spark, name: str, sf_dir: str, con=None) -> dict:
     d_raw = rel.fetchall()
     d_rows = [dict(zip(rel.columns, r)) for r in d_raw]
     result = {"name": name, "spark_rows": len(s_rows), "oracle_rows": len(d_rows),
-              "columns_match": s_cols == d_cols, "spark_cols": s_cols, "oracle_cols": d_cols}
+              "columns_match": s_cols == d_cols, "spark_cols": s_cols, "oracle_cols": d_cols,
+              "type_differences": type_differences(sdf, rel)}
     if s_cols != d_cols:
         result["ok"] = False
         return result

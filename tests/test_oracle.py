@@ -17,6 +17,7 @@ CHUNKED = ["window_features", "sequence_windows", "edge_windows", "last_n_per_ma
 def test_matches_duckdb(spark, duck_small, name):
     r = verify.compare(spark, name, SF_SMALL, duck_small)
     assert r["columns_match"], r
+    assert not r["type_differences"], r
     assert r["spark_rows"] == r["oracle_rows"], r
     assert r["ok"], r
 
