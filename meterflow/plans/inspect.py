@@ -1,8 +1,9 @@
 """Physical-plan summaries of the registered queries.
 
-``python -m meterflow.plans.inspect [sf_dir]`` prints, per query, the number
-of shuffles and broadcasts in the executed plan (before AQE re-planning), the
-columns each parquet scan reads and the filters pushed into it.
+``python -m meterflow.plans.inspect [sf_dir] [--executed|--initial]`` prints,
+per query, the shuffles, reused shuffles and broadcasts of the physical plan
+(by default the final adaptive plan after running the query), the columns
+each parquet scan reads and the filters pushed into it.
 """
 
 from __future__ import annotations
@@ -13,30 +14,44 @@ import sys
 SCAN = re.compile(r"FileScan parquet \[([^\]]*)\].*?PushedFilters: \[([^\]]*)\]")
 
 
-def plan_summary(df) -> dict:
+def plan_summary(df, executed: bool = False) -> dict:
+    """Counts from the physical plan.  With ``executed`` the query is run
+    (collected) first and the final adaptive plan is read, so reused
+    shuffles and runtime broadcast choices are counted as they ran."""
+    if executed:
+        df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
+    if executed and "== Final Plan ==" in plan:
+        plan = plan.split("== Initial Plan ==")[0]
     scans = []
     for line in plan.splitlines():
         m = SCAN.search(line)
         if m:
             cols = [re.sub(r"#\d+L?", "", c) for c in m.group(1).split(",")]
             scans.append({"columns": cols, "pushed": m.group(2)})
+    shuffle = re.compile(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition|"
+                         r"RoundRobinPartitioning)")
+    lines = plan.splitlines()
+    reused = [l for l in lines if re.search(r"ReusedExchange|ReusedQueryStage", l)]
+    fresh = [l for l in lines if l not in reused]
     return {
-        "shuffles": len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition|RoundRobinPartitioning)", plan)),
-        "broadcasts": plan.count("BroadcastExchange"),
+        "shuffles": sum(1 for l in fresh if shuffle.search(l)),
+        "broadcasts": sum(1 for l in fresh if "BroadcastExchange" in l),
+        "reused": len(reused),
         "windows": len(re.findall(r"\bWindow \[", plan)),
         "python": len(re.findall(r"ArrowEvalPython|FlatMapGroupsInPandas|MapInPandas|PythonUDF", plan)),
         "scans": scans,
     }
 
 
-def main(sf_dir: str = "/root/testdata/sf0.1") -> None:
+def main(sf_dir: str = "/root/testdata/sf0.1", mode: str = "--executed") -> None:
     from meterflow.plans import catalog
     from meterflow.session import build_session
 
     spark = build_session(app_name="meterflow-inspect")
-    print("| query | shuffles | broadcasts | windows | python stages | scans (columns read; pushed filters) |")
-    print("|---|---|---|---|---|---|")
+    executed = mode == "--executed"
+    print("| query | shuffles | reused | broadcasts | windows | python stages | scans (columns read; pushed filters) |")
+    print("|---|---|---|---|---|---|---|")
     for name in catalog.REGISTRY:
         if name.startswith("stream_") or name in ("kpi_stream", "csv_roundtrip", "log_append",
                                                   "processed_csv_ingest", "model_roundtrip",
@@ -46,10 +61,11 @@ def main(sf_dir: str = "/root/testdata/sf0.1") -> None:
         if name in ("gbt_predictions", "gbt_metrics", "feature_importance",
                     "machine_model_scores", "machine_model_threshold"):
             continue   # model fits run eagerly
-        s = plan_summary(catalog.REGISTRY[name](spark, sf_dir))
+        s = plan_summary(catalog.REGISTRY[name](spark, sf_dir), executed)
         scans = "; ".join(f"{','.join(sc['columns'])}" + (f" [{sc['pushed']}]" if sc["pushed"] else "")
                           for sc in s["scans"])
-        print(f"| {name} | {s['shuffles']} | {s['broadcasts']} | {s['windows']} | {s['python']} | {scans} |")
+        print(f"| {name} | {s['shuffles']} | {s['reused']} | {s['broadcasts']} | {s['windows']} | "
+              f"{s['python']} | {scans} |")
     spark.stop()
 
 
