@@ -10,7 +10,7 @@ from tests.conftest import SF_SMALL
 
 ORACLE_NAMES = sorted(n for n in catalog.REGISTRY if n in oracle.ORACLE)
 CHUNKED = ["window_features", "sequence_windows", "edge_windows", "last_n_per_machine",
-           "baseline_edge_log", "request_lookup", "validate_requests"]
+           "baseline_edge_log", "request_lookup", "validate_requests", "stream_windows_batched"]
 
 
 @pytest.mark.parametrize("name", ORACLE_NAMES)
