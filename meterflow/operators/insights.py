@@ -3,11 +3,12 @@ DataFrame jobs; none of them emits pairs of machines."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterflow import constants as K
 from meterflow.operators.ordered import ORD, with_ordinal
+from meterflow.operators.prep import sized_broadcast
 
 
 def adaptive_threshold(readings: DataFrame, key: str = "machine_id", ts: str = "timestamp",
@@ -48,15 +49,19 @@ def fleet_follow_correlation(readings: DataFrame, key: str = "machine_id", ts: s
                              value: str = "kwh", lag_hours: int = 1) -> DataFrame:
     """X2, re-aimed without machine pairs: for each machine, the correlation
     between its hourly load and the load of the *rest of the fleet*
-    ``lag_hours`` later.  The fleet series is one row per hour, so the join is
-    key-to-key and the work grows linearly with the data."""
-    hourly = hourly_load(readings, key, ts, value)
-    fleet = hourly.groupBy("hour_ts").agg(F.sum("load").alias("fleet_load"))
-    shifted = F.col("hour_ts") + F.make_dt_interval(F.lit(0), F.lit(lag_hours))
-    x = hourly.withColumn("next_ts", shifted)
-    own_next = hourly.select(key, F.col("hour_ts").alias("next_ts"), F.col("load").alias("own_next"))
-    joined = (x.join(fleet.withColumnRenamed("hour_ts", "next_ts"), "next_ts")
-              .join(own_next, [key, "next_ts"], "left")
+    ``lag_hours`` later.
+
+    The fleet series has one row per hour (bounded by the time span), so it
+    joins by key.  A machine's own load ``lag_hours`` later comes from a
+    range frame over its hourly series -- a per-machine window over at most
+    one row per hour, however many readings the machine has."""
+    hourly = hourly_load(readings, key, ts, value).withColumn(
+        "h", F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01 00:00:00', hour_ts)"))
+    fleet = hourly.groupBy("h").agg(F.sum("load").alias("fleet_load"))
+    w = Window.partitionBy(key).orderBy("h").rangeBetween(lag_hours, lag_hours)
+    x = (hourly.withColumn("own_next", F.first("load").over(w))
+         .withColumn("h_next", F.col("h") + lag_hours))
+    joined = (x.join(sized_broadcast(fleet.withColumnRenamed("h", "h_next")), "h_next")
               .withColumn("others_next", F.col("fleet_load") - F.coalesce("own_next", F.lit(0.0))))
     return joined.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_hours"),
