@@ -44,3 +44,14 @@ def test_prepare_analytics_train_score(spark):
     n = readings.groupBy("machine_id").count().agg(
         F.sum(F.greatest(F.col("count") - 23, F.lit(0)))).first()[0]
     assert feed.read_table(spark, scored["log"], feed.LOG_SCHEMA).count() == n
+
+
+def test_cli_analytics(spark, monkeypatch):
+    import meterflow.session as session
+    run = feed.new_run_dir(spark, "test-cli")
+    fx.readings_from_orders(spark, SF_SMALL, machines=5).write.parquet(f"{run}/readings")
+    monkeypatch.setattr(session, "build_session", lambda **kw: spark)
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    jobs.main(["analytics", "--readings", f"{run}/readings", "--out", f"{run}/out", "--no-model"])
+    kpis = spark.read.option("header", True).csv(f"{run}/out/machine_kpis")
+    assert kpis.count() == 5
