@@ -30,6 +30,15 @@ def normalised(text_col: str = "text") -> Column:
     return F.regexp_replace(common.text_of(text_col), common.SPACE, " ")
 
 
+def _with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with their group's columns.  The groups' length goes through an
+    expression, so both sides of the join are shuffles of their own and the
+    adaptive skew join can split a hot group's rows over several tasks."""
+    groups = groups.select(F.abs("_len").alias("_glen"), F.col("_digit").alias("_gdigit"),
+                           *[c for c in groups.columns if c not in ("_len", "_digit")])
+    return rows.join(groups, (F.col("_len") == F.col("_glen")) & (F.col("_digit") == F.col("_gdigit")))
+
+
 def _prefix(name: str, n: int) -> Column:
     return F.substring(F.encode(F.col(name), "UTF-8"), 1, n)
 
@@ -53,7 +62,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                              "_digit": _prefix("_norm", first_bytes)})
     counts = base.groupBy("_len", "_digit").agg(F.count(F.lit(1)).alias("_n"))
     first = common.materialise(
-        base.join(counts, ["_len", "_digit"]).select(
+        _with_group(base, counts).select(
             F.monotonically_increasing_id().alias("_rid"), "_row", "_len", "_n",
             F.sha2("_norm", 256).alias("_sha")), "radix_first")
 
@@ -70,7 +79,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                            F.col("_rid").alias("rid"))).alias("_first"))
         open_ = (F.col("_size") > 1) & (F.col("_len") > width)
         level = common.materialise(
-            keyed.join(groups, ["_len", "_digit"]).select(
+            _with_group(keyed, groups).select(
                 "_rid", "_id", "_len", "_size", "_first", open_.alias("_open"),
                 F.when(open_, F.col("_norm")).alias("_norm")), f"radix_{width}")
         ended = level.where("not _open").select("_rid", "_size", "_first")

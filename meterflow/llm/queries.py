@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, word_bpe
+from . import exact_dedup, packing, quality, toxicity, word_bpe
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_pack": packing.op2_pack,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_quality": quality.op5_quality,
     "op6_word_bpe": word_bpe.op6_word_bpe,
 }
 
