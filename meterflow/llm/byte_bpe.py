@@ -1,7 +1,7 @@
-"""Byte-level BPE ids for whole texts, with each distinct piece encoded once a task.
+"""Byte-level BPE ids for whole texts, with each distinct piece encoded once a worker.
 
 Texts are cut into pieces by the vocabulary's own split pattern and each piece
-is encoded by the tokenizers library the first time a task meets it.  Texts
+is encoded by the tokenizers library the first time a worker meets it.  Texts
 that hold an added token's string, or a character outside the long-settled
 Unicode blocks (where two libraries' character tables might differ), go to the
 library whole.
@@ -9,23 +9,33 @@ library whole.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
+import re
+from array import array
 
-import numpy as np
-import regex
 
-#: Fixed value: the split pattern of the byte-level vocabulary.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Letters of the blocks below U+0250, whose tables are the same everywhere.
+LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: Fixed value: the split pattern of the byte-level vocabulary, for those blocks.
+PIECES = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+"
+          r"|\s+(?!\S)|\s+")
+#: Other characters, other digits, and the control characters that two
+#: libraries might not both count as white space.
+UNSETTLED = "[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]|[\x1c-\x1f\x85\u00b2\u00b3\u00b9\u00bc-\u00be]"
 
-#: Blocks whose letters, digits and white space every Unicode version agrees on.
-UNSETTLED = r"[^\x00-ɏΑ-ΡΣ-ωЀ-џ‐-‧‰-⁞€ぁ-ゖァ-ヺ一-龥가-힣]"
+
+@functools.lru_cache(2)
+def shared(path: str) -> "ByteBpe":
+    """One encoder a Python worker, kept from task to task."""
+    return ByteBpe(path)
 
 
 class ByteBpe:
-    """Encoder with a bounded cache of pieces; one a task."""
+    """Encoder with a bounded cache of pieces."""
 
-    def __init__(self, path: str, cache_entries: int = 400_000):
+    def __init__(self, path: str, cache_entries: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -34,25 +44,29 @@ class ByteBpe:
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             added = [t["content"] for t in json.load(f).get("added_tokens", [])]
-        special = "|".join(map(regex.escape, added))
-        self.whole = regex.compile(f"{UNSETTLED}|{special}" if special else UNSETTLED)
-        self.pieces = regex.compile(PIECES)
+        special = "|".join(map(re.escape, added))
+        self.whole = re.compile(f"{UNSETTLED}|{special}" if special else UNSETTLED)
+        self.pieces = re.compile(PIECES)
         self.cache: dict[str, bytes] = {}
         self.limit = cache_entries
 
     def _library(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in out]
+        return [array("I", e.ids).tobytes() for e in out]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if self.whole.search(text):
             return self._library([text])[0]
         pieces, cache = self.pieces.findall(text), self.cache
-        new = [p for p in set(pieces) if p not in cache]
-        if new:
-            if len(cache) + len(new) > self.limit:
-                cache.clear()
-                new = list(set(pieces))
-            cache.update(zip(new, self._library(new)))
-        return b"".join(map(cache.__getitem__, pieces))
+        try:
+            return b"".join(map(cache.__getitem__, pieces))
+        except KeyError:
+            new = [p for p in set(pieces) if p not in cache]
+        found = dict(zip(new, self._library(new)))
+        if len(cache) + len(new) <= self.limit:
+            cache.update(found)
+            found = cache
+        else:
+            found = {p: cache[p] for p in set(pieces) if p in cache} | found
+        return b"".join(map(found.__getitem__, pieces))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .byte_bpe import ByteBpe
+from .byte_bpe import shared
 
 TIERS = (1024, 512, 256, 128)
 STEP_TOKENS = 8 * 1024
@@ -136,7 +136,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        bpe = ByteBpe(tokenizer)
+        bpe = shared(tokenizer)
         packer = Packer(tiers, step_tokens, TaskContext.get().partitionId() << 33)
         names = [f.name for f in schema]
         types = None
