@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +46,33 @@ def without(df: DataFrame, *names: str) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
 
 
+#: Places of a membership bitmap: its size is the same whatever the input.
+BITMAP_BITS = 1 << 23
+
+
+def bitmap_place(*cols: str) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(BITMAP_BITS)) + 1
+
+
+def bitmap(keys: DataFrame, *cols: str) -> np.ndarray:
+    """One bit a place for the places of ``keys``; a filter that lets through
+    every key and some others, so an exact join must follow."""
+    maps = (keys.select(bitmap_place(*cols).alias("p"))
+            .groupBy(F.expr("bitmap_bucket_number(p)").alias("b"))
+            .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("m")).collect())
+    bits = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for row in maps:
+        at = (row["b"] - 1) * 4096
+        bits[at:at + 4096] = np.frombuffer(bytes(row["m"]), np.uint8)
+    return bits
+
+
+def in_bitmap(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether each place of ``bitmap_place`` is set."""
+    place = place - 1
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
 def schema_of(text: str) -> T.StructType:
     return T._parse_datatype_string(text)
 

@@ -35,7 +35,6 @@ TREES = 4
 #: Minwise tokens a node selects at the root, and below it.
 ROOT_BRANCHES, BRANCHES, JOINT = 2, 3, 4
 NODE_LIMIT = 64
-BITMAP_BITS = 1 << 23
 
 _WORDS = regex.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -108,14 +107,7 @@ def _profiles(base: DataFrame, words: int) -> DataFrame:
 
 def _sets(base: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     """(vid, shingles) of the wanted classes, rebuilt from their texts."""
-    place = F.pmod(F.xxhash64("_id", "_th"), F.lit(BITMAP_BITS)) + 1
-    maps = (wanted.select(place.alias("p"))
-            .groupBy(F.expr("bitmap_bucket_number(p)").alias("b"))
-            .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("m")).collect())
-    bits = np.zeros(BITMAP_BITS // 8, np.uint8)          # one bit a place, whatever the input
-    for row in maps:
-        at = (row["b"] - 1) * 4096
-        bits[at:at + 4096] = np.frombuffer(bytes(row["m"]), np.uint8)
+    bits = common.bitmap(wanted, "_id", "_th")
     shared = base.sparkSession.sparkContext.broadcast(bits)
     kind = base.schema["_id"].dataType.simpleString()
     schema = common.schema_of(f"_id {kind}, _th long, shingles binary")
@@ -123,13 +115,12 @@ def _sets(base: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     def run(batches):
         shingle, own = Shingler(words), shared.value
         for batch in batches:
-            p = batch.column(3).to_numpy() - 1
-            batch = batch.filter(pa.array((own[p >> 3] >> (p & 7)) & 1 == 1))
+            batch = batch.filter(pa.array(common.in_bitmap(own, batch.column(3).to_numpy())))
             body = [shingle(t).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(body, pa.binary())],
                                              [f.name for f in schema])
 
-    found = base.withColumn("_p", place).mapInArrow(run, schema)
+    found = base.withColumn("_p", common.bitmap_place("_id", "_th")).mapInArrow(run, schema)
     want = wanted.select("vid", F.col("_id").alias("_wid"), F.col("_th").alias("_wth"))
     return (found.join(want, found["_id"].eqNullSafe(want["_wid"]) & (found["_th"] == want["_wth"]))
             .select("vid", "shingles").dropDuplicates(["vid"]))
