@@ -34,7 +34,9 @@ COORDINATES = 64
 TREES = 4
 #: Minwise tokens a node selects at the root, and below it.
 ROOT_BRANCHES, BRANCHES, JOINT = 2, 3, 4
-NODE_LIMIT = 64
+NODE_LIMIT = 256
+#: Smallest shingle hashes that a class keeps to estimate likeness with.
+SKETCH = 192
 
 _WORDS = regex.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -85,22 +87,23 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def _profiles(base: DataFrame, words: int) -> DataFrame:
     kind = base.schema["_id"].dataType.simpleString()
-    schema = common.schema_of(f"_id {kind}, _th long, n long, digest binary, sig array<int>")
+    schema = common.schema_of(f"_id {kind}, _th long, n long, digest binary, sig array<int>, low binary")
 
     def run(batches):
         shingle = Shingler(words)
         for batch in batches:
-            n, digest, sigs = [], [], []
+            n, digest, sigs, low = [], [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingle(text)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sigs.append(signature(s).view(np.int32))
+                low.append((s[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
             flat = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int32))
             at = pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * COORDINATES)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
-                 pa.ListArray.from_arrays(at, flat)], [f.name for f in schema])
+                 pa.ListArray.from_arrays(at, flat), pa.array(low, pa.binary())], [f.name for f in schema])
 
     return base.mapInArrow(run, schema)
 
@@ -173,16 +176,35 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
+def _floor(share: float, k: int) -> float:
+    """What an estimate from ``k`` samples may fall to, four deviations down."""
+    return share - 4 * (share * (1 - share) / k) ** 0.5
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, n: int, m: int, share: float) -> bool:
+    """Whether the smallest hashes of two sets of sizes n and m allow the
+    share: exactly if both sets are whole, else by an estimate."""
+    if n <= SKETCH and m <= SKETCH:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= share * (n + m - both) - 1e-6 * n - 1
+    least = np.sort(np.concatenate((x, y)))
+    twice = least[1:] == least[:-1]
+    rank = np.cumsum(np.concatenate(([True], ~twice)))[1:]
+    k = min(SKETCH, int(rank[-1]))
+    return (twice & (rank <= k)).sum() >= k * _floor(share, k)
+
+
 def _node_pairs(share: float):
-    """All pairs of a small node whose signatures and sizes allow the share;
-    ``first`` marks a spanning forest of them."""
-    least = share - 4 * (share * (1 - share) / COORDINATES) ** 0.5
+    """All pairs of a small node whose signatures, sketches and sizes allow the
+    share; ``first`` marks a spanning forest of them."""
+    least = _floor(share, COORDINATES)
 
     def run(table: pa.Table) -> pa.Table:
         vid = table.column("vid").to_numpy()
         comp = table.column("comp").to_numpy()
         n = table.column("n").to_numpy()
         sig = np.stack(table.column("sig").to_numpy())
+        low = [np.frombuffer(v, "<u4") for v in table.column("low").to_pylist()]
         a, b, first, root = [], [], [], list(range(len(vid)))
 
         def find(x):
@@ -196,7 +218,8 @@ def _node_pairs(share: float):
             like = (sig[i + 1:] == sig[i]).mean(axis=1)
             m = n[i + 1:]
             ok = (like >= least) & (np.minimum(m, n[i]) >= share * np.maximum(m, n[i]) - 1e-9) & (comp[i + 1:] != comp[i])
-            found += [(-like[j], i, i + 1 + j) for j in np.flatnonzero(ok)]
+            found += [(-like[j], i, i + 1 + j) for j in np.flatnonzero(ok)
+                      if _may_link(low[i], low[i + 1 + j], n[i], m[j], share)]
         for _, i, j in sorted(found):
             x, y = find(i), find(j)
             first.append(x != y)
@@ -214,9 +237,9 @@ def _likeness(x: str, y: str):
 
 def link_classes(classes: DataFrame, base: DataFrame, words: int, share: tuple[int, int],
                  node_limit: int = NODE_LIMIT, trees: int = TREES) -> DataFrame:
-    """(vid, comp) of the classes (vid, _id, _th, n, sig) that have a link."""
+    """(vid, comp) of the classes (vid, _id, _th, n, sig, low) that have a link."""
     least = share[0] / share[1]
-    floor = least - 4 * (least * (1 - least) / COORDINATES) ** 0.5
+    floor = _floor(least, COORDINATES)
     spread = np.random.default_rng(5).permutation(COORDINATES)[: trees * ROOT_BRANCHES]
     rows = classes.select("vid", F.explode(F.array(*[
         F.xxhash64(F.lit(int(i)), F.col("sig")[int(i)]) for i in spread])).alias("path"))
@@ -237,7 +260,7 @@ def link_classes(classes: DataFrame, base: DataFrame, words: int, share: tuple[i
             rows.join(stats, rows["path"] == stats["node"]).select("path", "vid", "comp", "size", "pivot"), f"nodes_{level}")
         if live.isEmpty():
             break
-        small = live.where(F.col("size") <= node_limit).join(slim, "vid")
+        small = live.where(F.col("size") <= node_limit).join(classes.select("vid", "n", "sig", "low"), "vid")
         pairs = small.groupBy("path").applyInArrow(_node_pairs(least), "a long, b long, first boolean")
         large = live.where(F.col("size") > node_limit)
         star = (large.where("vid <> pivot").select("vid", "pivot").distinct()
@@ -297,10 +320,11 @@ def near_dedup(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 10
     profiles = common.materialise(_profiles(base, words), "profiles")
     first = profiles.where("n > 0").groupBy("digest").agg(
         F.min(F.struct(F.col("_id").isNull().alias("no"), F.col("_id").alias("id"), F.col("_th").alias("th"))).alias("best"),
-        F.min("n").alias("n"), F.first("sig").alias("sig"))
+        F.min("n").alias("n"),
+        F.first("sig").alias("sig"), F.first("low").alias("low"))
     classes = common.materialise(first.select(
         F.monotonically_increasing_id().alias("vid"), "digest", "best", F.col("best.id").alias("_id"),
-        F.col("best.th").alias("_th"), "n", "sig"), "classes")
+        F.col("best.th").alias("_th"), "n", "sig", "low"), "classes")
     comps = link_classes(classes, base, words, share, node_limit, trees)
     named = classes.select("vid", "digest", "best").join(comps, "vid", "left").withColumn(
         "comp", F.coalesce("comp", "vid"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, packing, quality, suffix_dedup, toxicity, word_bpe
+from . import exact_dedup, near_dedup, packing, quality, spotsigs, suffix_dedup, toxicity, url_filter, word_bpe
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,7 +11,9 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_word_bpe": word_bpe.op6_word_bpe,
     "op7_near_dedup": near_dedup.op7_near_dedup,
+    "op8_spotsigs": spotsigs.op8_spotsigs,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+    "op10_url_filter": url_filter.op10_url_filter,
 }
 
 ORACLE = {

@@ -31,8 +31,8 @@ from . import common
 
 LENGTH = 50
 TOKEN = 16
-CHUNK_BYTES = 3 << 20
-SEGMENT_WINDOWS = 2 << 20
+CHUNK_BYTES = 2 << 20
+SEGMENT_WINDOWS = 512 << 10
 #: Bound of the splitter sample: anchors kept from it.
 SAMPLE_ANCHORS = 100_000
 RESULT = ("n_bytes", "removed", "kept_bytes")
@@ -303,7 +303,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     buckets: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(_key, _tag, removed): the repeated byte ranges of each text that has
     any, as a sorted array of (start, stop) that don't touch."""
-    buckets = buckets or common.shuffle_partitions(docs.sparkSession)
+    buckets = buckets or 2 * common.shuffle_partitions(docs.sparkSession)
     base = _keyed(docs, id_col, text_col).select(F.col("_key").alias("_id"), "_tag", "_body")
     splitters = _splitters(base, buckets, length, chunk_bytes, SAMPLE_ANCHORS)
     rows = base.mapInArrow(_records(splitters, buckets, length, chunk_bytes), SCHEMA)
