@@ -6,13 +6,25 @@ import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from meterflow.llm import common, exact_dedup, packing  # noqa: E402
+from meterflow.llm import common, exact_dedup, near_dedup, packing, quality, suffix_dedup  # noqa: E402
 from meterflow.session import ship_package  # noqa: E402
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A document goes only when the model is sure of its low quality: the scores
+#: between this and the classifier's own threshold are doubtful cases that stay.
+REJECT_BELOW = 0.3
+
+
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject.  The model is
+    trained on labelled rows among ``docs`` that are not held out."""
+    ship_package(spark)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    keep = tuple(c for c in docs.columns if c != "doc_id")
+    return quality.score(docs, model, keep=keep).where(F.col("score") >= REJECT_BELOW).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,6 +33,31 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.exact_dedup(docs).where("kept").select(*docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: that of the smallest
+    doc_id.  Five-word shingles, similarity 0.8 or more."""
+    ship_package(spark)
+    gone = near_dedup.near_dedup(docs, words=5, share=(80, 100)).where("not kept").select(
+        F.col("doc_id").alias("_gone"), "text_hash").distinct()
+    text_hash = F.xxhash64(common.text_of("text"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (text_hash == gone["text_hash"]), "left_anti")
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes or more that a smaller doc_id also has go; a
+    character cut at an edge becomes U+FFFD.  Documents that lose all
+    their bytes go; those that had none stay."""
+    ship_package(spark)
+    kept = suffix_dedup.suffix_dedup(docs)
+    cut = F.size("removed") > 0
+    text = F.when(cut, F.make_valid_utf8(F.col("kept_bytes").cast("string"))).otherwise(F.col("text"))
+    kept = kept.where(~cut | (F.octet_length("kept_bytes") > 0)).withColumn("text", text)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(cut, F.length("text").cast(
+            docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents that are left, packed into training sequences."""
     ship_package(spark)
@@ -28,7 +65,10 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("quality", reject_low_quality),
     ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("suffix_dedup", remove_repeated_passages),
     ("packing", pack_sequences),
 ]
 

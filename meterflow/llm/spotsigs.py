@@ -49,13 +49,12 @@ def signatures(text: Column, anchors: list[str], chain: int = CHAIN) -> Column:
         hashes = F.transform(F.split(plain, " "), F.crc32)
     else:
         common_ = "|".join(anchors)
-        content = rf"(?:(?:{common_}) )*+(\p{{L}}++)"
-        ahead = " ".join([content] * chain)
-        whole = rf"(?<!\p{{L}})(?:{common_}) (?=({ahead.replace('(' + chr(92) + 'p', '(?:' + chr(92) + 'p')})(?!\p{{L}}))"
-        found = F.regexp_extract_all(plain, F.lit(whole), F.lit(1))
+        content = rf"(?:(?:{common_}) )*+\p{{L}}++ "
+        found = F.regexp_extract_all(F.concat(plain, F.lit(" ")),
+                                     F.lit(rf"(?<!\p{{L}})(?:{common_}) (?=({content * chain}))"), F.lit(1))
         # anchors inside a chain are skipped words, so they go before hashing
         stop = rf"(?<!\p{{L}})(?:{common_}) "
-        chains = F.transform(found, lambda c: F.crc32(F.regexp_replace(c, stop, "").cast("binary")))
+        chains = F.transform(found, lambda c: F.crc32(F.rtrim(F.regexp_replace(c, stop, "")).cast("binary")))
         plainly = F.transform(F.split(plain, " "), lambda w: F.crc32(w.cast("binary")))
         hashes = F.when(F.size(found) > 0, chains).otherwise(plainly)
     return F.when(plain == "", F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(hashes)))

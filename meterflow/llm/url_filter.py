@@ -1,12 +1,12 @@
 """URL filtering by rules and by empirical-Bayes host reputation.
 
-Every page that a rule judges is a labelled outcome (allowed or blocked).
-Outcomes are counted by host, registered domain and suffix.  Each level's
-blocked share has a beta prior whose mean is the posterior mean of the level
+A labelled page is an outcome: bad if its document is labelled as of low
+quality or toxic.  Outcomes are counted by host, registered domain and suffix.  Each level's
+bad share has a beta prior whose mean is the posterior mean of the level
 above it (suffix under the whole table, domain under its suffix, host under
 its domain) and whose strength is fitted to how far the groups of that level
 scatter.  A page that no rule judges is blocked when the lower bound of its
-host's posterior blocked share is above the limit.
+host's posterior bad share is above the limit.
 
 DataFrame functions only.  Pages are counted by host first, so a host with a
 third of all pages is one row a task before any shuffle by name.
@@ -81,7 +81,7 @@ def _shrunk(groups: DataFrame) -> DataFrame:
 
 def reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
     """(host, mean, lower, upper) from hosts (host, n, bad): the posterior
-    blocked share of each host and its normal bounds at ``z`` deviations."""
+    bad share of each host and its normal bounds at ``z`` deviations."""
     domain, suffix = _labels(F.col("host"))
     hosts = common.materialise(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad"), "hosts")
     total = F.sum("n").alias("n"), F.sum("bad").alias("bad")
@@ -97,33 +97,48 @@ def reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
                       F.least(F.lit(1.0), F.col("mean") + spread).alias("upper"))
 
 
-def judge(pages: DataFrame, url_col: str = "url", rules=RULES, limit: float = LIMIT, z: float = Z) -> DataFrame:
+def outcomes(pages: DataFrame, labels: DataFrame, url_col: str = "url") -> DataFrame:
+    """(host, n, bad) of all hosts: labelled pages and bad ones.  A url names
+    its document by the first number of its path; a page without a labelled
+    document counts as no outcome."""
+    known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("_bad"))
+    number = F.regexp_extract(path_of(F.col(url_col)), r"/([0-9]{1,18})(?![0-9])", 1)
+    rows = pages.select(host_of(F.col(url_col)).alias("host"),
+                        F.when(number != "", number.cast("long")).alias("_doc"))
+    # pages of one host and document first become one row, so neither is a hot key
+    rows = rows.groupBy("host", "_doc").agg(F.count(F.lit(1)).alias("_pages"))
+    return rows.join(known, rows["_doc"] == known["doc_id"], "left").groupBy("host").agg(
+        F.sum(F.when(F.col("_bad").isNotNull(), F.col("_pages")).otherwise(0)).alias("n"),
+        F.sum(F.when(F.col("_bad") == 1, F.col("_pages")).otherwise(0)).alias("bad"))
+
+
+def judge(pages: DataFrame, hosts: DataFrame, url_col: str = "url", rules=RULES, limit: float = LIMIT,
+          z: float = Z) -> DataFrame:
     """All rows with host, path, rule, verdict and the host's ``reputation``
-    (lower bound of its blocked share).
+    (lower bound of its bad share) from hosts (host, n, bad).
 
     Defined cases: a null url, or one without ``://``, has an empty host and
     path and no rule; all empty hosts share one reputation; repeated rows get
-    one verdict each and count as outcomes each; an empty table gives an empty
-    result; input columns named like a result column are replaced by it.
+    one verdict each; a host without outcomes has its domain's share; an empty
+    table gives an empty result; input columns named like a result column are
+    replaced by it.
     """
     result = ("host", "path", "rule", "verdict", "reputation")
     url = F.col(url_col)
     rows = pages.select(F.struct(*common.without(pages, *result)).alias("_row"),
                         host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    by_rule = verdict_of(F.col("rule"), rules)
-    rows = rows.withColumn("_by_rule", by_rule)
-    hosts = rows.groupBy("host").agg(F.count("_by_rule").alias("n"),
-                                     F.count(F.when(F.col("_by_rule") == "block", 1)).alias("bad"))
     known = reputation(hosts, z).select(F.concat("host", F.lit("")).alias("_host"), F.col("lower").alias("reputation"))
     own = F.when(F.col("reputation") > limit, "block").otherwise("allow")
     names = [c for c in pages.columns if c.lower() not in result]
     return rows.join(known, F.col("host") == F.col("_host"), "left").select(
         *[F.col("_row")[c].alias(c) for c in names], "host", "path", "rule",
-        F.coalesce("_by_rule", own).alias("verdict"), "reputation")
+        F.coalesce(verdict_of(F.col("rule"), rules), own).alias("verdict"), "reputation")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.ship_package(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return judge(pages).select("page_id", "host", "path", "rule", "verdict", "reputation")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return judge(pages, outcomes(pages, labels)).select("page_id", "host", "path", "rule", "verdict", "reputation")
