@@ -46,7 +46,7 @@ ALERT_FIELD_TITLES = [
     "Threshold", "Spike Factor", "Timestamp",
 ]
 ALERT_TIME_FORMAT = "yyyy-MM-dd HH:mm 'UTC'"
-ALERT_FOOTER = "Industrial Energy Monitoring | Capstone 5"
+ALERT_FOOTER = "Energy monitoring"
 
 # --- fixed values: forecasting model ---------------------------------------
 FEATURE_COLS = [

@@ -139,7 +139,8 @@ def prediction_log(df: DataFrame, ts: str = "request_ts") -> DataFrame:
 def recent_anomalies(log: DataFrame, last_n: int = K.RECENT_DEFAULT, machine_id: int | None = None,
                      ts: str = "timestamp", order: tuple = ("machine_id",)) -> DataFrame:
     """O3: the last ``last_n`` flagged rows (1..500), optionally of one
-    machine.  ``orderBy(desc).limit`` keeps a top-N per task before merging,
+    machine, in order of arrival with their ``position`` (1 = the oldest of
+    them).  ``orderBy(desc).limit`` keeps a top-N per task before merging,
     so no task holds more than N rows."""
     if not 1 <= last_n <= K.RECENT_MAX:
         raise ValueError(f"last_n must be in 1..{K.RECENT_MAX}")
@@ -147,7 +148,9 @@ def recent_anomalies(log: DataFrame, last_n: int = K.RECENT_DEFAULT, machine_id:
     if machine_id is not None:
         out = out.filter(F.col("machine_id") == machine_id)
     keys = [ts, *order]
-    return out.orderBy(*[F.col(c).desc() for c in keys]).limit(last_n)
+    last = out.orderBy(*[F.col(c).desc() for c in keys]).limit(last_n)
+    w = Window.orderBy(*[F.col(c) for c in keys])           # over <= last_n rows
+    return last.withColumn("position", F.row_number().over(w)).orderBy("position")
 
 
 def newest_feed(events: DataFrame, capacity: int = K.FEED_CAPACITY, ts: str = "timestamp",
@@ -203,8 +206,11 @@ def normalise_messages(messages: DataFrame) -> DataFrame:
     is_alarm = F.coalesce(F.col("type") == K.ALARM_TYPE, F.lit(False))
     return m.select(
         "machine_id",
-        C.first_nonzero(F.col("kwh"), C.last_element("readings"), default=F.lit(0.0)).alias("kwh"),
-        C.first_nonzero(F.col("error"), F.col("recon_error"), default=F.lit(0.0)).alias("recon_error"),
+        C.first_nonzero(F.col("kwh"), F.when(~is_alarm, C.last_element("readings")),
+                        default=F.lit(0.0)).alias("kwh"),
+        F.when(is_alarm, C.first_nonzero(F.col("error"), F.col("recon_error"), default=F.lit(0.0)))
+        .otherwise(C.first_nonzero(F.col("recon_error"), F.col("error"), default=F.lit(0.0))
+                   ).alias("recon_error"),
         C.first_nonzero(F.col("threshold"), default=F.lit(K.DEFAULT_THRESHOLD)).alias("threshold"),
         (F.coalesce(F.col("is_anomaly"), F.lit(False)) | is_alarm).alias("is_anomaly"),
         F.col("timestamp"),

@@ -46,9 +46,9 @@ def build_pipeline(features: list[str] = K.FEATURE_COLS, label: str = K.LABEL_CO
 
 def fit_forecaster(train: DataFrame, features: list[str] = K.FEATURE_COLS,
                    label: str = K.LABEL_COL, min_rows: int = K.MIN_TRAIN_ROWS):
-    """Fit the pipeline, or return None below ``min_rows`` training rows."""
+    """Fit the pipeline; fewer than ``min_rows`` training rows are an error."""
     if train.limit(min_rows).count() < min_rows:
-        return None
+        raise ValueError(f"a forecast model needs at least {min_rows} training rows")
     return build_pipeline(features, label).fit(train)
 
 

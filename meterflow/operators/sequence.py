@@ -241,7 +241,7 @@ def flag_windows(scored: DataFrame, limits: DataFrame, by: str | None = "machine
 def training_frames(readings: DataFrame, key: str = "machine_id", ts: str = "timestamp",
                     value: str = "kwh", tiebreak: str | None = "reading_id",
                     length: int = K.WINDOW, split: float = K.TRAIN_SPLIT,
-                    steps: int = K.EDGE_STEPS, chunk_rows: int | None = None) -> DataFrame:
+                    steps: int | None = None, chunk_rows: int | None = None) -> DataFrame:
     """One window pass for training and the edge simulation: per reading,
     the scaled window starting there (training / validation windows), the
     scaled window ending there (held-out tail) and the raw forward window.
@@ -265,7 +265,8 @@ def training_frames(readings: DataFrame, key: str = "machine_id", ts: str = "tim
         F.col(ORD) < F.floor(n_windows * F.lit(split)), F.lit("train")).otherwise(F.lit("validation")))
     hour_index = F.col(ORD) + 1
     start = F.floor(F.col(CNT) * F.lit(split)) + length
-    in_tail = (hour_index >= start) & (hour_index < F.least(F.col(CNT), start + steps))
+    in_tail = (hour_index >= start) & (hour_index < (
+        F.col(CNT) if steps is None else F.least(F.col(CNT), start + steps)))
     return out.select(F.col(key).alias("machine_id"), F.col(ORD).alias("window_start"),
                       F.col(ts).alias("timestamp"), F.col(value).alias("kwh"), "readings",
                       "raw_readings", "tail_readings", n_windows.alias("n_windows"),

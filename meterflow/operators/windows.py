@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from meterflow.constants import EDGE_STEPS, TRAIN_SPLIT, WINDOW
+from meterflow.constants import TRAIN_SPLIT, WINDOW
 from meterflow.operators.ordered import CNT, ORD, ordered_frames, with_ordinal
 
 
@@ -86,14 +86,14 @@ def trailing_windows(df: DataFrame, key: str = "machine_id", ts: str = "timestam
 
 def edge_windows(df: DataFrame, key: str = "machine_id", ts: str = "timestamp",
                  value: str = "kwh", tiebreak: str | None = "reading_id",
-                 length: int = WINDOW, steps: int = EDGE_STEPS,
+                 length: int = WINDOW, steps: int | None = None,
                  split: float = TRAIN_SPLIT, last_col: str | None = None,
                  chunk_rows: int | None = None) -> DataFrame:
     """The held-out scoring tail of each machine.
 
     With ``n`` readings, step ``s`` scores the ``length`` readings ending just
-    before ``hour_index = floor(split*n) + length + s`` for ``s < steps`` while
-    ``hour_index < n``.  ``kwh_last`` reports ``last_col`` (default: the
+    before ``hour_index = floor(split*n) + length + s`` while
+    ``hour_index < n``: the whole tail, or its first ``steps`` steps if given.  ``kwh_last`` reports ``last_col`` (default: the
     windowed value) of the window's last row.
     """
     out = trailing_windows(df, key, ts, value, tiebreak, length, chunk_rows)
@@ -101,7 +101,8 @@ def edge_windows(df: DataFrame, key: str = "machine_id", ts: str = "timestamp",
     start = F.floor(F.col(CNT) * F.lit(split)) + length
     return (
         out.withColumn("hour_index", hour_index)
-        .filter((hour_index >= start) & (hour_index < F.least(F.col(CNT), start + steps)))
+        .filter((hour_index >= start) & (hour_index < (
+            F.col(CNT) if steps is None else F.least(F.col(CNT), start + steps))))
         .select(F.col(key), "hour_index", F.col(ts).alias("timestamp_last"),
                 F.col(last_col or value).alias("kwh_last"), "readings")
     )

@@ -325,6 +325,11 @@ def q_recent_anomalies(spark, sf_dir):
     return events.recent_anomalies(scored_log(spark, sf_dir), order=LOG_ORDER)
 
 
+@register("recent_anomalies_of_machine")
+def q_recent_anomalies_of_machine(spark, sf_dir):
+    return events.recent_anomalies(scored_log(spark, sf_dir), machine_id=0, order=LOG_ORDER)
+
+
 @register("newest_feed")
 def q_newest_feed(spark, sf_dir):
     flagged = scored_log(spark, sf_dir).filter(F.col("is_anomaly") == 1)

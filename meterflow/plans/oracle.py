@@ -283,7 +283,7 @@ w AS (
   FROM mreadings)
 SELECT machine_id, hour_index, timestamp_last, kwh_last, {seq_summary()}
 FROM w
-WHERE hour_index >= floor(n * 0.8) + 24 AND hour_index < least(n, floor(n * 0.8) + 224)"""
+WHERE hour_index >= floor(n * 0.8) + 24 AND hour_index < n"""
 
 ORACLE["baseline_scores"] = f"""WITH {SCALED_WINDOWS}
 SELECT machine_id, window_start, split, round(recon_error, 6) AS recon_error FROM ws"""
@@ -304,7 +304,7 @@ SELECT t."timestamp", t.machine_id, t.hour_index, round(t.kwh, 3) AS kwh_last,
   round({deviation_sql('t.l')}, 6) AS recon_error, round(m.threshold, 6) AS threshold,
   CASE WHEN {deviation_sql('t.l')} > m.threshold THEN 1 ELSE 0 END AS is_anomaly
 FROM tail t LEFT JOIN limits m ON t.machine_id = m.machine_id
-WHERE t.hour_index >= floor(t.n * 0.8) + 24 AND t.hour_index < least(t.n, floor(t.n * 0.8) + 224)"""
+WHERE t.hour_index >= floor(t.n * 0.8) + 24 AND t.hour_index < t.n"""
 
 # --- step 5: requests, alerts, logs and feeds ---------------------------------------
 
@@ -391,7 +391,7 @@ SELECT machine_id, window_start, CAST(to_json({{'attachments': [{{
     {_field('Threshold', _fixed('threshold', 6))},
     {_field('Spike Factor', "'1.5×'")},
     {_field('Timestamp', "strftime(request_ts, '%Y-%m-%d %H:%M UTC')", False)}],
-  'footer': 'Industrial Energy Monitoring | Capstone 5'}}]}}) AS VARCHAR) AS payload
+  'footer': 'Energy monitoring'}}]}}) AS VARCHAR) AS payload
 FROM decided WHERE alert_fired"""
 
 ORACLE["prediction_log"] = f"WITH {SCORED}\nSELECT * FROM log"
@@ -408,7 +408,13 @@ LOG_DESC = ('"timestamp" DESC, machine_id DESC, actual_kwh DESC, predicted_kwh D
             'recon_error DESC, threshold DESC')
 
 ORACLE["recent_anomalies"] = f"""WITH {SCORED}
-SELECT * FROM log WHERE is_anomaly = 1 ORDER BY {LOG_DESC} LIMIT 50"""
+SELECT *, CAST(51 - row_number() OVER (ORDER BY {LOG_DESC}) + least(0,
+  (SELECT count(*) FROM log WHERE is_anomaly = 1) - 50) AS INTEGER) AS position
+FROM log WHERE is_anomaly = 1
+QUALIFY row_number() OVER (ORDER BY {LOG_DESC}) <= 50"""
+
+ORACLE["recent_anomalies_of_machine"] = ORACLE["recent_anomalies"].replace(
+    "is_anomaly = 1", "is_anomaly = 1 AND machine_id = 0")
 
 ORACLE["newest_feed"] = f"""WITH {SCORED}
 SELECT *, CAST(row_number() OVER (ORDER BY {LOG_DESC}) AS INTEGER) AS feed_rank

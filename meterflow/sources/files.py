@@ -46,12 +46,14 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
 
 def read_csv_by_name(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read a headed CSV with the types of ``schema`` for the columns the file
-    has, matched by name; columns unknown to ``schema`` are read as strings."""
+    has, matched by name; columns unknown to ``schema`` are read as strings.
+    A folder whose files differ in their header raises instead of mixing columns."""
     types = {f.name: f.dataType for f in schema.fields}
     header = csv_header(spark, path)
     file_schema = T.StructType([T.StructField(c, types.get(c, T.StringType()), True) for c in header])
     return (spark.read.option("header", True).option("nullValue", "")
-            .option("mode", "PERMISSIVE").schema(file_schema).csv(path))
+            .option("mode", "PERMISSIVE").option("enforceSchema", False)
+            .schema(file_schema).csv(path))
 
 
 def ingest_processed(spark: SparkSession, path: str, fallback: str | None = None) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from meterflow import constants as K
 from meterflow.functions import columns as C
 from meterflow.operators.prep import sized_broadcast
+from meterflow.sources.files import path_exists
 from meterflow.session import scratch_path
 
 READING_SCHEMA = "machine_id bigint, timestamp timestamp_ntz, kwh double, reading_id bigint"
@@ -246,12 +247,17 @@ def enrich_stream(feed: DataFrame, metadata: DataFrame, key: str = "building_id"
     return feed.join(sized_broadcast(metadata), key, "left")
 
 
-def dedup_events(events: DataFrame, ts: str = "timestamp", delay: str = "1 hour",
+def dedup_events(events: DataFrame, ts: str = "timestamp", delay: str | None = None,
                  keys: tuple = ("machine_id", "recon_error")) -> DataFrame:
     """Drop the second copy of an event that two relays both emitted.
+    Without ``delay`` every distinct event stays, however late, and the state
+    grows with the distinct events; with it the state is bounded, but events
+    later than ``delay`` are dropped.
     Watermarks need ``TIMESTAMP``; the NTZ time is cast (session time zone)
     only for the watermark column, the event keeps its own time."""
     ev = events.withColumn("_event_time", F.col(ts).cast("timestamp"))
+    if delay is None:
+        return ev.dropDuplicates(["_event_time", *keys]).drop("_event_time")
     return (ev.withWatermark("_event_time", delay)
             .dropDuplicatesWithinWatermark(["_event_time", *keys]).drop("_event_time"))
 
@@ -286,10 +292,9 @@ def run_scoring(spark: SparkSession, readings: DataFrame, bounds: DataFrame, lim
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Batch read of a sink folder (per-batch subfolders); empty if absent."""
-    try:
-        return spark.read.schema(schema).parquet(f"{path}/*")
-    except Exception:  # no batch written yet
+    if not path_exists(spark, path):                # no batch written yet
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/*")
 
 
 def stream_of(spark: SparkSession, path: str, schema: str) -> DataFrame:
