@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, packing, quality, spotsigs, suffix_dedup, toxicity, url_filter, word_bpe
+from . import exact_dedup, license_scan, near_dedup, packing, quality, spotsigs, suffix_dedup, toxicity, url_filter, word_bpe
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_pack": packing.op2_pack,
+    "op3_license_scan": license_scan.op3_license_scan,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality": quality.op5_quality,
     "op6_word_bpe": word_bpe.op6_word_bpe,
