@@ -36,28 +36,27 @@ def anchor_words(docs: DataFrame, text_col: str = "text", n: int = ANCHORS) -> l
     return sorted(r["w"] for r in top.collect())
 
 
-def signatures(text: Column, anchors: list[str], chain: int = CHAIN) -> Column:
-    """The sorted set of 32-bit chain hashes of a text.
+def with_signatures(rows: DataFrame, anchors: list[str], text: Column, name: str, chain: int = CHAIN) -> DataFrame:
+    """``rows`` with ``name``: the sorted set of 32-bit chain hashes of a text.
 
     The text becomes its words joined by spaces; one pattern, looked ahead
     from each anchor, takes the next ``chain`` content words.  A chain that the
     text's end cuts short is left out.  A text without any chain has its words
-    as signatures, so that short texts can be told apart.
+    as signatures, so that short texts can be told apart.  Words and chains are
+    columns of their own, so each is computed once.
     """
-    plain = F.array_join(words_of(text), " ")
-    if not anchors:
-        hashes = F.transform(F.split(plain, " "), F.crc32)
-    else:
-        common_ = "|".join(anchors)
-        content = rf"(?:(?:{common_}) )*+\p{{L}}++ "
-        found = F.regexp_extract_all(F.concat(plain, F.lit(" ")),
-                                     F.lit(rf"(?<!\p{{L}})(?:{common_}) (?=({content * chain}))"), F.lit(1))
-        # anchors inside a chain are skipped words, so they go before hashing
-        stop = rf"(?<!\p{{L}})(?:{common_}) "
-        chains = F.transform(found, lambda c: F.crc32(F.rtrim(F.regexp_replace(c, stop, "")).cast("binary")))
-        plainly = F.transform(F.split(plain, " "), lambda w: F.crc32(w.cast("binary")))
-        hashes = F.when(F.size(found) > 0, chains).otherwise(plainly)
-    return F.when(plain == "", F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(hashes)))
+    plain, chains = F.col("_plain"), F.col("_chains")
+    rows = rows.withColumn("_plain", F.array_join(words_of(text), " "))
+    common_ = "|".join(anchors) or "(?!)"
+    content = rf"(?:(?:{common_}) )*+\p{{L}}++ "
+    rows = rows.withColumn("_chains", F.regexp_extract_all(
+        F.concat(plain, F.lit(" ")), F.lit(rf"(?<!\p{{L}})(?:{common_}) (?=({content * chain}))"), F.lit(1)))
+    # anchors inside a chain are skipped words, so they go before hashing
+    stop = rf"(?<!\p{{L}})(?:{common_}) "
+    hashes = F.transform(F.when(F.size(chains) > 0, chains).otherwise(F.split(plain, " ")),
+                         lambda c: F.crc32(F.rtrim(F.when(F.size(chains) > 0, F.regexp_replace(c, stop, "")).otherwise(c)).cast("binary")))
+    sigs = F.when(plain == "", F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(hashes)))
+    return rows.withColumn(name, sigs).drop("_plain", "_chains")
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -85,7 +84,8 @@ def similar_documents(docs: DataFrame, anchors: list[str], least: float = 0.8, i
     sets that share one of the rarest signatures (the first
     n - ceil(least * n) + 1 in order of frequency) are compared.
     """
-    sets = docs.select(F.col(id_col).alias("id"), signatures(common.text_of(text_col), anchors).alias("s"))
+    sets = with_signatures(docs.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("t")),
+                           anchors, F.col("t"), "s").select("id", "s")
     sets = sets.where((F.size("s") > 0) & F.col("id").isNotNull())
     sets = common.materialise(sets.groupBy("s").agg(F.min("id").alias("id")), "spot_sets")
     rows = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("sig"))
@@ -108,7 +108,8 @@ def similar_documents(docs: DataFrame, anchors: list[str], least: float = 0.8, i
 
 
 def with_next(docs: DataFrame, id_col: str, buckets: int) -> DataFrame:
-    """Each row with ``_next``: the text of the row after it by (_id, _text);
+    """Each row with ``_next`` and ``_after``: the text and the signatures
+    (``_own``) of the row after it by (_id, _text);
     after the last row comes the first.
 
     Rows are cut into ranges of the id at sampled bounds; each range is one
@@ -122,16 +123,17 @@ def with_next(docs: DataFrame, id_col: str, buckets: int) -> DataFrame:
     place = F.when(F.col("_id").isNull(), F.lit(-1)).otherwise(
         F.size(F.filter(cut, lambda b: b <= F.col("_id")))) if bounds else F.when(F.col("_id").isNull(), -1).otherwise(0)
     rows = docs.withColumn("_range", place.cast("int"))
-    heads = rows.groupBy("_range").agg(F.min(F.struct("_id", "_text")).alias("head"))
+    heads = rows.groupBy("_range").agg(F.min(F.struct("_id", "_text", "_own")).alias("head"))
     names = [r["_range"] for r in heads.select("_range").orderBy("_range").collect()]   # at most one a bucket
     if not names:
-        return rows.withColumn("_next", F.lit(None).cast("string")).drop("_range")
+        return rows.withColumn("_next", F.lit(None).cast("string")).withColumn("_after", F.col("_own")).drop("_range")
     before = F.create_map(*[F.lit(x) for b, a in zip(names[-1:] + names[:-1], names) for x in (a, b)])
     guests = heads.select(before[F.col("_range")].alias("_range"), F.col("head._id").alias("_id"),
-                          F.col("head._text").alias("_text"), F.lit(True).alias("_guest"))
+                          F.col("head._text").alias("_text"), F.col("head._own").alias("_own"), F.lit(True).alias("_guest"))
     both = rows.withColumn("_guest", F.lit(False)).unionByName(guests, allowMissingColumns=True)
     order = Window.partitionBy("_range").orderBy("_guest", "_id", "_text")
-    return both.withColumn("_next", F.lead("_text").over(order)).where("not _guest").drop("_range", "_guest")
+    return both.withColumn("_next", F.lead("_text").over(order)).withColumn(
+        "_after", F.lead("_own").over(order)).where("not _guest").drop("_range", "_guest")
 
 
 def spot_fingerprints(docs: DataFrame, anchors: list[str], id_col: str = "doc_id",
@@ -148,14 +150,12 @@ def spot_fingerprints(docs: DataFrame, anchors: list[str], id_col: str = "doc_id
     """
     buckets = buckets or common.shuffle_partitions(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("_id"), common.text_of(text_col).alias("_text"))
-    rows = with_next(base, "_id", buckets)
+    rows = with_next(with_signatures(base, anchors, F.col("_text"), "_own"), "_id", buckets)
     size = F.length("_text")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.substring(F.col("_text"), F.lit(1), size - half), F.substring(F.col("_next"), F.lit(1), half))
-    rows = rows.select("_id", size.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"),
-                       signatures(F.col("_text"), anchors).alias("_own"),
-                       signatures(edited, anchors).alias("_edited"),
-                       signatures(F.col("_next"), anchors).alias("_after"))
+    rows = rows.select("_id", size.cast("long").alias("n_chars"), edited.alias("_new"), "_own", "_after")
+    rows = with_signatures(rows, anchors, F.col("_new"), "_edited").withColumn("edited_sha256", F.sha2("_new", 256))
     return rows.select(F.col("_id").alias(id_col), "n_chars", "edited_sha256",
                        fingerprint(F.col("_own")).alias("fingerprint"),
                        fingerprint(F.col("_edited")).alias("edited_fingerprint"),
