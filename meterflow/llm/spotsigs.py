@@ -23,15 +23,20 @@ CHAIN = 2
 RESULT = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-def words_of(text: Column) -> Column:
-    """Lower-cased runs of letters, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
+#: Stands for a run of anchors in a text reduced to its words.
+MARK = "\x01"
+
+
+def spaced_words(text: Column) -> Column:
+    """The lower-cased runs of letters, in order, one space before and after each."""
+    return F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), r"\P{L}++", " ")
 
 
 def anchor_words(docs: DataFrame, text_col: str = "text", n: int = ANCHORS) -> list[str]:
     """The ``n`` words that most documents hold, ties by the word.  Documents
     count once a word, whatever their length; the list has a fixed bound."""
-    own = docs.select(F.explode(F.array_distinct(words_of(common.text_of(text_col)))).alias("w"))
+    plain = F.trim(spaced_words(common.text_of(text_col)))
+    own = docs.select(F.explode(F.array_distinct(F.split(plain, " "))).alias("w")).where("w <> ''")
     top = own.groupBy("w").count().orderBy(F.desc("count"), "w").limit(n)
     return sorted(r["w"] for r in top.collect())
 
@@ -39,24 +44,23 @@ def anchor_words(docs: DataFrame, text_col: str = "text", n: int = ANCHORS) -> l
 def with_signatures(rows: DataFrame, anchors: list[str], text: Column, name: str, chain: int = CHAIN) -> DataFrame:
     """``rows`` with ``name``: the sorted set of 32-bit chain hashes of a text.
 
-    The text becomes its words joined by spaces; one pattern, looked ahead
-    from each anchor, takes the next ``chain`` content words.  A chain that the
+    The text becomes its words joined by spaces and each run of anchors one
+    mark (anchors of a run start the same chain); the ``chain`` content words
+    after a mark, further marks left out, are hashed.  A chain that the
     text's end cuts short is left out.  A text without any chain has its words
     as signatures, so that short texts can be told apart.  Words and chains are
     columns of their own, so each is computed once.
     """
     plain, chains = F.col("_plain"), F.col("_chains")
-    rows = rows.withColumn("_plain", F.array_join(words_of(text), " "))
-    common_ = "|".join(anchors) or "(?!)"
-    content = rf"(?:(?:{common_}) )*+\p{{L}}++ "
+    rows = rows.withColumn("_plain", spaced_words(text))
+    marked = F.regexp_replace(plain, rf"(?: (?:{'|'.join(anchors)})(?= ))++", MARK) if anchors else plain
+    content = rf" [^{MARK} ]++"
     rows = rows.withColumn("_chains", F.regexp_extract_all(
-        F.concat(plain, F.lit(" ")), F.lit(rf"(?<!\p{{L}})(?:{common_}) (?=({content * chain}))"), F.lit(1)))
-    # anchors inside a chain are skipped words, so they go before hashing
-    stop = rf"(?<!\p{{L}})(?:{common_}) "
-    hashes = F.transform(F.when(F.size(chains) > 0, chains).otherwise(F.split(plain, " ")),
-                         lambda c: F.crc32(F.rtrim(F.when(F.size(chains) > 0, F.regexp_replace(c, stop, "")).otherwise(c)).cast("binary")))
-    sigs = F.when(plain == "", F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(hashes)))
-    return rows.withColumn(name, sigs).drop("_plain", "_chains")
+        marked, F.lit(rf"{MARK}(?=({(MARK + '?').join([content] * chain)}))"), F.lit(1)))
+    found = F.transform(chains, lambda c: F.crc32(F.ltrim(F.replace(c, F.lit(MARK), F.lit(""))).cast("binary")))
+    words = F.transform(F.split(F.trim(plain), " "), lambda w: F.crc32(w.cast("binary")))
+    hashes = F.when(F.size(chains) > 0, found).when(plain == " ", F.array().cast("array<bigint>")).otherwise(words)
+    return rows.withColumn(name, F.sort_array(F.array_distinct(hashes))).drop("_plain", "_chains")
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -107,33 +111,29 @@ def similar_documents(docs: DataFrame, anchors: list[str], least: float = 0.8, i
             .where(F.col("likeness") >= least - 1e-9))
 
 
-def with_next(docs: DataFrame, id_col: str, buckets: int) -> DataFrame:
-    """Each row with ``_next`` and ``_after``: the text and the signatures
-    (``_own``) of the row after it by (_id, _text);
-    after the last row comes the first.
+def ranges(docs: DataFrame, buckets: int) -> DataFrame:
+    """Rows (_id, _text) with ``_range``, a range of the id between sampled
+    bounds, and ``_guest``: the first row of each range comes again as the
+    guest at the end of the range before (the first range's: of the last).
 
-    Rows are cut into ranges of the id at sampled bounds; each range is one
-    window partition, and the first row of a range is also sent to the range
-    before, so no window spans all rows and each text is shuffled once.
-    Ranges of one id (null ids: by the text's hash) split no further.
+    Null ids are a range of their own before the others; a range of one id
+    splits no further.  Only ids are read to find the first rows.
     """
     bounds = docs.select(F.percentile_approx("_id", [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0]
     bounds = sorted(set(bounds or []))
     cut = F.array(*[F.lit(b) for b in bounds]).cast(f"array<{docs.schema['_id'].dataType.simpleString()}>")
     place = F.when(F.col("_id").isNull(), F.lit(-1)).otherwise(
-        F.size(F.filter(cut, lambda b: b <= F.col("_id")))) if bounds else F.when(F.col("_id").isNull(), -1).otherwise(0)
+        F.size(F.filter(cut, lambda b: b <= F.col("_id"))) if bounds else F.lit(0))
     rows = docs.withColumn("_range", place.cast("int"))
-    heads = rows.groupBy("_range").agg(F.min(F.struct("_id", "_text", "_own")).alias("head"))
-    names = [r["_range"] for r in heads.select("_range").orderBy("_range").collect()]   # at most one a bucket
-    if not names:
-        return rows.withColumn("_next", F.lit(None).cast("string")).withColumn("_after", F.col("_own")).drop("_range")
+    first = rows.groupBy("_range").agg(F.min("_id").alias("_id")).orderBy("_range").collect()   # at most one a bucket
+    if not first:
+        return rows.withColumn("_guest", F.lit(False))
+    names, ids = [r["_range"] for r in first], [r["_id"] for r in first if r["_id"] is not None]
     before = F.create_map(*[F.lit(x) for b, a in zip(names[-1:] + names[:-1], names) for x in (a, b)])
-    guests = heads.select(before[F.col("_range")].alias("_range"), F.col("head._id").alias("_id"),
-                          F.col("head._text").alias("_text"), F.col("head._own").alias("_own"), F.lit(True).alias("_guest"))
-    both = rows.withColumn("_guest", F.lit(False)).unionByName(guests, allowMissingColumns=True)
-    order = Window.partitionBy("_range").orderBy("_guest", "_id", "_text")
-    return both.withColumn("_next", F.lead("_text").over(order)).withColumn(
-        "_after", F.lead("_own").over(order)).where("not _guest").drop("_range", "_guest")
+    guests = (rows.where(F.col("_id").isin(ids) | F.col("_id").isNull())
+              .groupBy("_range", "_id").agg(F.min("_text").alias("_text"))
+              .select("_id", "_text", before[F.col("_range")].alias("_range"), F.lit(True).alias("_guest")))
+    return rows.withColumn("_guest", F.lit(False)).unionByName(guests)
 
 
 def spot_fingerprints(docs: DataFrame, anchors: list[str], id_col: str = "doc_id",
@@ -150,7 +150,11 @@ def spot_fingerprints(docs: DataFrame, anchors: list[str], id_col: str = "doc_id
     """
     buckets = buckets or common.shuffle_partitions(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("_id"), common.text_of(text_col).alias("_text"))
-    rows = with_next(with_signatures(base, anchors, F.col("_text"), "_own"), "_id", buckets)
+    # texts are shuffled once, and become signatures after the shuffle
+    rows = with_signatures(ranges(base, buckets).repartition("_range"), anchors, F.col("_text"), "_own")
+    order = Window.partitionBy("_range").orderBy("_guest", "_id", "_text")
+    rows = rows.withColumn("_next", F.lead("_text").over(order)).withColumn("_after", F.lead("_own").over(order))
+    rows = rows.where("not _guest")
     size = F.length("_text")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.substring(F.col("_text"), F.lit(1), size - half), F.substring(F.col("_next"), F.lit(1), half))
