@@ -95,14 +95,14 @@ def add_expected_load(df: DataFrame, ts: str = "timestamp", name: str = "expecte
 
 def sort_readings(df: DataFrame, key: str = "machine_id", ts: str = "timestamp",
                   tiebreak: str | None = "reading_id", global_order: bool = False) -> DataFrame:
-    """O1: readings in machine/time order.  By default each machine's rows
-    are clustered and sorted inside their partition (one hash shuffle, no
-    single ordered output); ``global_order`` asks for a total order (range
-    shuffle), for small outputs."""
+    """O1: readings in machine/time order.  By default rows are
+    dealt out by ranges of (machine, time), so a machine with very many rows
+    spans several partitions, each sorted; ``global_order`` asks for a total
+    order of the output."""
     cols = [key, ts] + ([tiebreak] if tiebreak else [])
     if global_order:
         return df.orderBy(*cols)
-    return df.repartition(key).sortWithinPartitions(*cols)
+    return df.repartitionByRange(*cols).sortWithinPartitions(*cols)
 
 
 # --- joins ------------------------------------------------------------------------

@@ -6,11 +6,11 @@ readings is split across tasks instead of landing in one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from meterflow.constants import TRAIN_SPLIT, WINDOW
-from meterflow.operators.ordered import CNT, ORD, ordered_frames, with_ordinal
+from meterflow.operators.ordered import CNT, ORD, ordered_frames
 
 
 def _order(ts: str, tiebreak: str | None) -> list[str]:
@@ -109,11 +109,11 @@ def edge_windows(df: DataFrame, key: str = "machine_id", ts: str = "timestamp",
 
 
 def last_n_per_key(df: DataFrame, n: int, key: str = "machine_id", ts: str = "timestamp",
-                   tiebreak: str | None = "reading_id", chunk_rows: int | None = None) -> DataFrame:
-    """The last ``n`` rows of every key (in time order), via positions, no
-    per-key collection."""
-    out = with_ordinal(df, key, _order(ts, tiebreak), chunk_rows)
-    return out.filter(F.col(ORD) >= F.col(CNT) - n).drop(ORD, CNT)
+                   tiebreak: str | None = "reading_id") -> DataFrame:
+    """The last ``n`` rows of every key (in time order).  A rank limit, so
+    each task keeps at most ``n`` rows a key before the shuffle."""
+    newest = Window.partitionBy(key).orderBy(*[F.desc(c) for c in _order(ts, tiebreak)])
+    return df.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= n).drop("_rank")
 
 
 def chrono_split(df: DataFrame, key: str = "machine_id", position: str = "window_start",
