@@ -23,7 +23,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,32 +37,33 @@ NODE_LIMIT = 256
 #: Smallest shingle hashes that a class keeps to estimate likeness with.
 SKETCH = 192
 
-_WORDS = regex.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = {i: i + 32 for i in range(65, 91)}
+#: A-Z lower-cased, in UTF-8; ``bytes.split`` parts at 09-0D and 20, no other byte.
+_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _RNG = np.random.default_rng(20)
 _MUL = _RNG.integers(0, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _RNG.integers(0, 1 << 63, COORDINATES, np.uint64)
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 class Shingler:
     """Sorted distinct shingle hashes of a text; words are hashed once a task."""
 
     def __init__(self, words: int, cache: int = 400_000):
-        self.k, self.cache, self.limit = words, {}, cache
+        self.k, self.cache, self.limit = words, _WordHashes(), cache
         self.factors = np.random.default_rng(words).integers(0, 1 << 63, max(words, 1), np.uint64) | np.uint64(1)
 
-    def _hashes(self, words: list[str]) -> np.ndarray:
-        cache = self.cache
-        new = [w for w in set(words) if w not in cache]
-        if len(cache) + len(new) > self.limit:
-            cache.clear()
-            new = set(words)
-        for w in new:
-            cache[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    def _hashes(self, words: list[bytes]) -> np.ndarray:
+        if len(self.cache) > self.limit:
+            self.cache.clear()
+        return np.fromiter(map(self.cache.__getitem__, words), np.uint64, len(words))
 
     def __call__(self, text: str) -> np.ndarray:
-        words = _WORDS.findall(text.translate(_LOWER))
+        words = text.encode().translate(_LOWER).split()
         if not words:
             return np.zeros(0, np.uint64)
         h = self._hashes(words)
@@ -73,7 +73,8 @@ class Shingler:
         for i in range(k):
             out = (out ^ h[i:i + n]) * self.factors[i]
             out ^= out >> np.uint64(29)
-        return np.unique(out)
+        out.sort()
+        return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -195,17 +196,13 @@ def _may_link(x: np.ndarray, y: np.ndarray, n: int, m: int, share: float) -> boo
 
 
 def _node_pairs(share: float):
-    """All pairs of a small node whose signatures, sketches and sizes allow the
-    share; ``first`` marks a spanning forest of them."""
+    """All pairs of each small node whose signatures, sketches and sizes allow
+    the share; ``first`` marks a spanning forest of them.  Rows come sorted by
+    node, so only the last node of a batch waits for the next one."""
     least = _floor(share, COORDINATES)
 
-    def run(table: pa.Table) -> pa.Table:
-        vid = table.column("vid").to_numpy()
-        comp = table.column("comp").to_numpy()
-        n = table.column("n").to_numpy()
-        sig = np.stack(table.column("sig").to_numpy())
-        low = [np.frombuffer(v, "<u4") for v in table.column("low").to_pylist()]
-        a, b, first, root = [], [], [], list(range(len(vid)))
+    def node(vid, comp, n, sig, low):
+        found, root = [], list(range(len(vid)))
 
         def find(x):
             while root[x] != x:
@@ -213,20 +210,43 @@ def _node_pairs(share: float):
                 x = root[x]
             return x
 
-        found = []
         for i in range(len(vid) - 1):
-            like = (sig[i + 1:] == sig[i]).mean(axis=1)
             m = n[i + 1:]
-            ok = (like >= least) & (np.minimum(m, n[i]) >= share * np.maximum(m, n[i]) - 1e-9) & (comp[i + 1:] != comp[i])
-            found += [(-like[j], i, i + 1 + j) for j in np.flatnonzero(ok)
-                      if _may_link(low[i], low[i + 1 + j], n[i], m[j], share)]
+            ok = np.flatnonzero((comp[i + 1:] != comp[i]) & (np.minimum(m, n[i]) >= share * np.maximum(m, n[i]) - 1e-9))
+            like = (sig[i + 1:][ok] == sig[i]).mean(axis=1)
+            found += [(-like[k], i, i + 1 + j) for k, j in enumerate(ok)
+                      if like[k] >= least and _may_link(low[i], low[i + 1 + j], n[i], m[j], share)]
         for _, i, j in sorted(found):
             x, y = find(i), find(j)
-            first.append(x != y)
             root[x] = y
-            a.append(min(vid[i], vid[j]))
-            b.append(max(vid[i], vid[j]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "first": pa.array(first, pa.bool_())})
+            yield min(vid[i], vid[j]), max(vid[i], vid[j]), x != y
+
+    def whole(table: pa.Table, to: int | None) -> list[tuple]:
+        """The pairs of the nodes that end before row ``to``."""
+        path, vid, comp, n = (table.column(c).to_numpy() for c in ("path", "vid", "comp", "n"))
+        sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+        low = [np.frombuffer(v, "<u4") for v in table.column("low").to_pylist()]
+        ends = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1), len(path)]
+        return [pair for i, j in zip(ends, ends[1:]) if to is None or j <= to
+                for pair in node(vid[i:j], comp[i:j], n[i:j], sig[i:j], low[i:j])]
+
+    def out(pairs: list[tuple]) -> pa.RecordBatch:
+        a, b, first = zip(*pairs) if pairs else ((), (), ())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(map(bool, first), pa.bool_())], ["a", "b", "first"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            path = table.column("path").to_numpy()
+            cut = int(np.flatnonzero(path == path[-1])[0])
+            yield out(whole(table, cut))
+            rest = table.slice(cut)
+        if rest is not None:
+            yield out(whole(rest, None))
 
     return run
 
@@ -254,14 +274,20 @@ def link_classes(classes: DataFrame, base: DataFrame, words: int, share: tuple[i
         else:
             rows = rows.join(comps, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
         stats = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("vid").alias("pivot"),
-                                         F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-        stats = stats.where("size > 1 and c0 <> c1").select((F.col("path").bitwiseXOR(F.lit(0)) + F.lit(0)).alias("node"), "size", "pivot")
+                                         F.min("comp").alias("c0"), F.max("comp").alias("c1"),
+                                         F.bit_xor(F.xxhash64("vid")).alias("members"))
+        stats = stats.where("size > 1 and c0 <> c1")
+        # the trees often meet in small nodes of the same members: one of them is enough
+        same = F.when(F.col("size") > node_limit, F.col("path")).otherwise(F.col("members"))
+        stats = stats.groupBy("size", "pivot", same.alias("same")).agg(F.min("path").alias("node")).select(
+            (F.col("node").bitwiseXOR(F.lit(0)) + F.lit(0)).alias("node"), "size", "pivot")
         live = common.materialise(
             rows.join(stats, rows["path"] == stats["node"]).select("path", "vid", "comp", "size", "pivot"), f"nodes_{level}")
         if live.isEmpty():
             break
         small = live.where(F.col("size") <= node_limit).join(classes.select("vid", "n", "sig", "low"), "vid")
-        pairs = small.groupBy("path").applyInArrow(_node_pairs(least), "a long, b long, first boolean")
+        pairs = (small.repartition("path").sortWithinPartitions("path")
+                 .mapInArrow(_node_pairs(least), "a long, b long, first boolean"))
         large = live.where(F.col("size") > node_limit)
         star = (large.where("vid <> pivot").select("vid", "pivot").distinct()
                 .join(slim, "vid")
