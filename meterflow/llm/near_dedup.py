@@ -8,9 +8,11 @@
 3. Small nodes are compared exhaustively on signatures.  The edges of a
    spanning forest are confirmed first, on full sets; other pairs only if they
    would still join two components.  In a large node every member is compared
-   with the node's first member; the node branches on while it holds more than
-   one component.  So a dense group of near copies needs one comparison a
-   member, not one a pair, and no pair is left out by a cap.
+   with the node's first member.  If all but few members are then in one
+   component, those few are compared with all the members, in blocks, and the
+   node ends; else it branches.  So a dense group of near copies neither needs
+   a comparison a pair nor is copied from branch to branch, and no pair is left
+   out by a cap.
 4. Components come from alternating large-star and small-star steps.
 
 Full sets are rebuilt from the text only for members of candidate pairs; the
@@ -255,6 +257,21 @@ def _likeness(x: str, y: str):
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v) / COORDINATES
 
 
+def _node_stats(rows: DataFrame, linked: bool) -> DataFrame:
+    """Of each node: size, smallest member, least and greatest component, a
+    digest of the members, and the component that most members are in."""
+    if not linked:                       # each member is its own component
+        return rows.groupBy("path").agg(
+            F.count(F.lit(1)).alias("size"), F.min("vid").alias("pivot"), F.min("comp").alias("c0"),
+            F.max("comp").alias("c1"), F.bit_xor(F.xxhash64("vid")).alias("members"),
+            F.lit(1).cast("long").alias("most"), F.min("comp").alias("major"))
+    each = rows.groupBy("path", "comp").agg(
+        F.count(F.lit(1)).alias("k"), F.min("vid").alias("v"), F.bit_xor(F.xxhash64("vid")).alias("x"))
+    return each.groupBy("path").agg(
+        F.sum("k").alias("size"), F.min("v").alias("pivot"), F.min("comp").alias("c0"), F.max("comp").alias("c1"),
+        F.bit_xor("x").alias("members"), F.max("k").alias("most"), F.max_by("comp", "k").alias("major"))
+
+
 def link_classes(classes: DataFrame, base: DataFrame, words: int, share: tuple[int, int],
                  node_limit: int = NODE_LIMIT, trees: int = TREES) -> DataFrame:
     """(vid, comp) of the classes (vid, _id, _th, n, sig, low) that have a link."""
@@ -266,36 +283,42 @@ def link_classes(classes: DataFrame, base: DataFrame, words: int, share: tuple[i
     slim = classes.select("vid", "n", "sig")
     links = comps = None
     sets, known = None, None
-    level = 0
+    level, fresh = 0, True
     while True:
         level += 1
         if comps is None:
             rows = rows.withColumn("comp", F.col("vid"))
         else:
             rows = rows.join(comps, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
-        stats = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("vid").alias("pivot"),
-                                         F.min("comp").alias("c0"), F.max("comp").alias("c1"),
-                                         F.bit_xor(F.xxhash64("vid")).alias("members"))
-        stats = stats.where("size > 1 and c0 <> c1")
-        # the trees often meet in small nodes of the same members: one of them is enough
-        same = F.when(F.col("size") > node_limit, F.col("path")).otherwise(F.col("members"))
-        stats = stats.groupBy("size", "pivot", same.alias("same")).agg(F.min("path").alias("node")).select(
-            (F.col("node").bitwiseXOR(F.lit(0)) + F.lit(0)).alias("node"), "size", "pivot")
+        stats = _node_stats(rows, comps is not None).where("size > 1 and c0 <> c1").withColumn(
+            "ends", F.col("size") - F.col("most") <= node_limit)
+        # the trees often meet in nodes of the same members: to end one of them is enough
+        same = F.when(F.col("ends"), F.col("members")).otherwise(F.col("path"))
+        stats = stats.groupBy("size", "pivot", "ends", same.alias("same")).agg(
+            F.min("path").alias("node"), F.min("major").alias("major")).select(
+            (F.col("node").bitwiseXOR(F.lit(0)) + F.lit(0)).alias("node"), "size", "pivot", "ends", "major")
         live = common.materialise(
-            rows.join(stats, rows["path"] == stats["node"]).select("path", "vid", "comp", "size", "pivot"), f"nodes_{level}")
+            rows.join(stats, rows["path"] == stats["node"]).select(
+                "path", "vid", "comp", "size", "pivot", "ends", F.col("comp").eqNullSafe(F.col("major")).alias("main")),
+            f"nodes_{level}")
         if live.isEmpty():
             break
-        small = live.where(F.col("size") <= node_limit).join(classes.select("vid", "n", "sig", "low"), "vid")
+        blocks = F.ceil(F.col("size") / node_limit).cast("int")
+        block = F.when(F.col("main"), F.array(F.pmod(F.xxhash64("vid"), blocks).cast("int"))).otherwise(
+            F.sequence(F.lit(0), blocks - 1))
+        small = (live.where("ends").select("vid", "comp", "path", F.explode(block).alias("block"))
+                 .select("vid", "comp", F.xxhash64("path", "block").alias("path"))
+                 .join(classes.select("vid", "n", "sig", "low"), "vid"))
         pairs = (small.repartition("path").sortWithinPartitions("path")
                  .mapInArrow(_node_pairs(least), "a long, b long, first boolean"))
-        large = live.where(F.col("size") > node_limit)
+        large = live.where("not ends")
         star = (large.where("vid <> pivot").select("vid", "pivot").distinct()
                 .join(slim, "vid")
                 .join(slim.select(F.col("vid").alias("pivot"), F.col("n").alias("pn"), F.col("sig").alias("psig")), "pivot")
                 .where((F.least("n", "pn") >= least * F.greatest("n", "pn") - 1e-9) & (_likeness("sig", "psig") >= floor - 1e-9))
                 .select(F.col("pivot").alias("a"), F.col("vid").alias("b"), F.lit(True).alias("first")))
         pairs = common.materialise(
-            pairs.unionAll(star).groupBy("a", "b").agg(F.max("first").alias("first")), f"pairs_{level}")
+            (pairs.unionAll(star) if fresh else pairs).groupBy("a", "b").agg(F.max("first").alias("first")), f"pairs_{level}")
         met = pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct()
         if known is not None:
             met = met.join(known, "vid", "left_anti")
@@ -304,7 +327,7 @@ def link_classes(classes: DataFrame, base: DataFrame, words: int, share: tuple[i
             more = common.materialise(_sets(base, words, new), f"sets_{level}")
             sets = more if sets is None else sets.unionAll(more)
             known = new.select("vid") if known is None else known.unionAll(new.select("vid"))
-        if sets is not None:
+        if sets is not None and not pairs.isEmpty():
             for step in ("first", "not first"):
                 todo = pairs.where(step).select("a", "b")
                 if comps is not None:            # only pairs that would still join two components
@@ -322,7 +345,11 @@ def link_classes(classes: DataFrame, base: DataFrame, words: int, share: tuple[i
         chosen = [F.xxhash64("path", F.lit(k), *[
             F.element_at("sig", F.pmod(F.xxhash64("path", F.lit(k), F.lit(j)), F.lit(COORDINATES)).cast("int") + 1)
             for j in range(JOINT)]) for k in range(BRANCHES)]
-        rows = large.select("path", "vid").join(slim, "vid").select("vid", F.explode(F.array(*chosen)).alias("path"))
+        # the first visit of a large node links most of its members; what that leaves decides if it must branch
+        rows = large.select("path", "vid")
+        if not fresh:
+            rows = rows.join(slim, "vid").select("vid", F.explode(F.array(*chosen)).alias("path"))
+        fresh = not fresh
     if comps is None:
         return classes.select("vid", F.col("vid").alias("comp")).limit(0)
     return comps
