@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from meterflow import constants as K
 from meterflow.functions import columns as C
-from meterflow.operators.ordered import CNT, ORD, ordered_frames
+from meterflow.operators.ordered import ORD, ordered_frames
 from meterflow.operators.prep import sized_broadcast
+from meterflow.operators.windows import last_n_per_key
 
 
 # --- requests ------------------------------------------------------------------------
@@ -229,17 +230,15 @@ def what_if_breakdown(requests: DataFrame, factor: float = K.BREAKDOWN_FACTOR,
 
 def last_window_lookup(readings: DataFrame, machines: DataFrame, key: str = "machine_id",
                        ts: str = "timestamp", value: str = "kwh", tiebreak: str | None = "reading_id",
-                       length: int = K.WINDOW, default: float = 150.0,
-                       chunk_rows: int | None = None) -> DataFrame:
+                       length: int = K.WINDOW, default: float = 150.0) -> DataFrame:
     """Each machine's latest ``length`` readings, or a constant default
-    window for machines that have none."""
+    window for machines that have none.  A rank limit keeps at most ``length``
+    rows a machine and task before the shuffle."""
     order = [ts] + ([tiebreak] if tiebreak else [])
-
-    def build(w):
-        return {"last_readings": F.collect_list(value).over(w.rowsBetween(-(length - 1), 0))}
-
-    last = ordered_frames(readings, key, order, build, halo=length, chunk_rows=chunk_rows)
-    last = last.filter(F.col(ORD) == F.col(CNT) - 1).select(key, "last_readings")
+    last = last_n_per_key(readings, length, key, ts, tiebreak).groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("_reading")))).alias("_rows"))
+    last = last.select(key, F.filter(F.transform("_rows", lambda r: r["_reading"]),
+                                     lambda v: v.isNotNull()).alias("last_readings"))
     out = machines.select(key).distinct().join(last, key, "left")
     return out.withColumn("last_readings", F.coalesce(
         F.col("last_readings"), F.array_repeat(F.lit(default), length)))
