@@ -116,7 +116,7 @@ def _encode_words(tokenizer: str):
         out = []
         for body in bodies:
             ids = list(map(distinct.__getitem__, unpack(body).split(b" ")))
-            sizes = np.fromiter(map(len, ids), "<u2", len(ids)) // 2
+            sizes = np.fromiter(map(len, ids), "<u4", len(ids)) // 2
             out.append(pack(sizes.tobytes() + b"".join(ids)))
         return pa.table({"block": pa.array(blocks, pa.int64()), "n": table.column("n"),
                          "body": pa.array(out, pa.binary()), "codes": table.column("codes")})
@@ -136,8 +136,8 @@ def _join_back(id_type: pa.DataType, names: list[str]):
         for k, d, body, code in zip(n, is_doc, bodies, codes):
             if not d:
                 raw, own = unpack(body), np.frombuffer(unpack(code), "<u4")
-                sizes[own] = np.frombuffer(raw, "<u2", k)
-                parts.append(np.frombuffer(raw, "<u2", offset=2 * k))
+                sizes[own] = np.frombuffer(raw, "<u4", k)
+                parts.append(np.frombuffer(raw, "<u2", offset=4 * k))
                 owner.append(own)
         flat = np.concatenate(parts) if parts else np.zeros(0, "<u2")
         order = np.concatenate(owner) if owner else np.zeros(0, "<u4")

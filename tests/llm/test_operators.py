@@ -143,6 +143,24 @@ def test_word_bpe_equals_library(docs, none):
     assert word_bpe.encode(none, path).count() == 0
 
 
+def test_word_bpe_of_unbroken_texts(spark):
+    """Words of more than 40,000 tokens: white space cuts neither of them."""
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(12)
+    texts = {1: "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(20_000)),
+             2: "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=100_000)),
+             3: "a few short words"}
+    texts[4] = f"before {texts[1]} after {texts[2]}"
+    path = common.tokenizer_path(word_bpe.TOKENIZER)
+    library = Tokenizer.from_file(path)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in word_bpe.encode(docs, path, buckets=2).collect()}
+    want = {i: library.encode(t, add_special_tokens=False).ids for i, t in texts.items()}
+    assert min(len(want[1]), len(want[2])) > 40_000
+    assert got == want
+
+
 def _brute_components(texts, words, num, den):
     sets, root = {}, {i: i for i in texts}
     for i, t in texts.items():
