@@ -13,3 +13,41 @@ def test_license_scan(spark):
     assert len(got) == 7
     assert sorted(str(r.doc_id) for r in got if r.license) == ["1", "1", "2"]
     assert license_scan.license_scan(docs.limit(0), known).count() == 0
+
+
+def test_planted_licenses_are_found_in_long_texts(spark):
+    full = {n: t for n, t in license_scan.known_licenses() if len(t) > 300}
+    assert {"MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause"} <= set(full)
+    known = spark.createDataFrame(license_scan.known_licenses(), "name string, text string")
+    prose = "Some words of prose that are no license.\n" * 200
+    comment = lambda t: "".join(f" * {line}\n" for line in t.splitlines())
+    flat = "\n".join(" ".join(p.split()) for p in full["MIT"].split("\n\n"))
+    mit = full["MIT"].splitlines()
+    texts = {i: f"{prose}\n{t}\n{prose}" for i, t in enumerate(full.values())}
+    want = {i: {n} for i, n in enumerate(full)}
+    more = [(prose + "Released under the MIT License.\n" + prose, {"MIT"}),
+            (f"/*\n * MIT License\n *\n * Copyright (c) 2020 Someone\n{comment(full['MIT'])} */\nint main;\n{prose}", {"MIT"}),
+            (prose + flat + "\n" + prose, {"MIT"}),
+            (prose + full["MIT"].rstrip() + "\nimport os\n" + prose, {"MIT"}),
+            (prose + "\n".join(mit[:5] + ["Not these words."] + mit[5:]) + prose, set()),
+            ("\n".join(reversed(mit)) + prose, set()),
+            (f"{full['MIT']}\n{prose}\nLicensed under CC BY-NC 4.0.", {"MIT", "CC-BY-NC-4.0"}),
+            (f"MIT License\n\nCopyright (c) 2020 Someone\n\n{full['MIT']}", {"MIT"}),
+            (f"{prose} Released under the MIT License, as some say.", set()), (prose, set())]
+    for t, names in more:
+        texts[len(texts)], want[len(want)] = t, names
+    rows = [(i, t) for i, t in texts.items() for _ in range(2)]          # each text twice
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert set(r.licenses) == want[r.doc_id] and (r.license in r.licenses if r.licenses else r.license is None), r.doc_id
+        assert len(want[r.doc_id]) < 2 or r.license == "MIT"         # the longer one
+
+
+def test_notices_of_the_table_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = license_scan.op3_license_scan(spark, "/root/testdata/sf0.01").collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    want = {i: {n for n, notice in license_scan.KNOWN if notice.rstrip(".") in t} for i, t in texts.items()}
+    assert sum(map(bool, want.values())) > 10
+    assert {r.doc_id: set(r.licenses) for r in got} == want
