@@ -10,7 +10,9 @@ which sentences offend.
 from __future__ import annotations
 
 import math
+import warnings
 from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -72,15 +74,37 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str =
 
 
 def collect_bounded(frame: DataFrame, max_bytes: int) -> list[tuple[str, int]]:
-    """The sample's rows, read through an iterator that stops at ``max_bytes``
-    of text; rows come in an order that does not follow their label."""
-    out, size = [], 0
-    ordered = frame.orderBy(F.xxhash64("_text"), "_label")
-    for text, label in ordered.toLocalIterator():
-        size += len(text)
-        if size > max_bytes:
-            break
-        out.append((text, label))
+    """The sample's rows, in an order that does not follow their label, with
+    ``max_bytes`` of UTF-8 text in all: a text that no longer fits is left out
+    and the next ones are tried.  Sizes are looked at first, so only the texts
+    that are kept reach the driver.  A warning says how many texts did not fit,
+    and if a label has no rows; a label whose rows all do not fit is an error."""
+    frame = common.materialise(frame, "sample").select("_text", "_label", F.xxhash64("_text").alias("_h"))
+    left, fits, seen = max_bytes, Counter(), Counter()
+    for h, label, n in frame.select("_h", "_label", F.octet_length("_text")).orderBy("_h", "_label").collect():
+        seen[label] += 1
+        if n <= left:
+            left -= n
+            fits[h, label] += 1
+    kept = Counter()
+    for (_, label), k in fits.items():
+        kept[label] += k
+    for label in (0, 1):
+        if seen[label] and not kept[label]:
+            raise ValueError(f"none of the {seen[label]} sampled texts of label {label} fits {max_bytes} bytes")
+        if kept[label] < seen[label]:
+            warnings.warn(f"{seen[label] - kept[label]} of {seen[label]} sampled texts of label {label} do not fit")
+        if not seen[label]:
+            warnings.warn(f"no labelled text has label {label}: the model is constant")
+    if not fits:
+        return []
+    keys = frame.sparkSession.createDataFrame(list(fits), "_h long, _label int")
+    out = []
+    for text, label, h in frame.join(F.broadcast(keys), ["_h", "_label"]).select("_text", "_label", "_h").orderBy(
+            "_h", "_label").toLocalIterator():
+        if fits[h, label]:
+            fits[h, label] -= 1
+            out.append((text, label))
     return out
 
 

@@ -266,6 +266,20 @@ def test_toxicity_on_held_out_rows_and_sentences(spark, none):
     assert toxicity.score(none, model).count() == 0
 
 
+def test_a_text_beyond_the_sample_bound_does_not_cut_the_rest(spark):
+    rows = [(f"text number {i} é", i % 2) for i in range(40)]
+    size = sum(len(t.encode()) for t, _ in rows)
+    big = [("é" * size + str(i), i % 2) for i in range(6)]         # fit by neither bytes nor order
+    frame = lambda r: spark.createDataFrame(r, "_text string, _label int")
+    with pytest.warns(UserWarning, match="do not fit"):
+        got = toxicity.collect_bounded(frame(rows + big), size)
+    assert sorted(got) == sorted(rows)
+    with pytest.warns(UserWarning, match="do not fit"):            # bytes count, not characters; copies one by one
+        assert len(toxicity.collect_bounded(frame([("éé", 0)] * 4 + [("ab", 1)]), 10)) == 3
+    with pytest.raises(ValueError, match="label 1"):
+        toxicity.collect_bounded(frame(rows[::2] + big), size)
+
+
 def test_quality_on_held_out_rows(spark, none):
     docs, labels = _labelled(spark)
     model = quality.train(docs, labels)
