@@ -22,6 +22,12 @@ from . import common
 #: (verdict, rule): host and path prefix of a url, as the contract lists them.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
          ("block", "net/es/"), ("block", "net/fr/"))
+#: Suffixes of several labels under which sites are registered; others are the last label.
+SUFFIXES = (*(f"{x}.uk" for x in ("co", "org", "ac", "gov", "ltd", "me", "net", "plc", "sch")),
+            *(f"{x}.au" for x in ("com", "net", "org", "edu", "gov")), *(f"{x}.br" for x in ("com", "net", "org", "gov", "edu")),
+            *(f"{x}.jp" for x in ("co", "ne", "or", "ac", "go")), *(f"{x}.nz" for x in ("co", "net", "org", "ac", "govt")),
+            *(f"{x}.in" for x in ("co", "net", "org", "ac", "gov")), *(f"{x}.kr" for x in ("co", "or", "ac", "go")),
+            *(f"{x}.za" for x in ("co", "org", "ac", "gov")), *(f"com.{x}" for x in ("ar", "cn", "mx", "tr", "tw", "sg", "hk")))
 LIMIT = 0.5
 Z = 1.645
 MIN_STRENGTH, MAX_STRENGTH = 1.0, 1000.0
@@ -52,9 +58,23 @@ def verdict_of(rule: Column, rules=RULES) -> Column:
     return F.create_map(*[F.lit(x) for verdict, r in rules for x in (r, verdict)])[rule]
 
 
-def _labels(host: Column) -> tuple[Column, Column]:
-    """Registered domain (last two labels) and suffix (last label)."""
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+def site_of(host: Column) -> Column:
+    """The host without its port."""
+    return F.regexp_replace(host, ":[0-9]*$", "")
+
+
+def _labels(site: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain (one label more than the suffix) and suffix (the
+    longest of ``suffixes`` that fits, else the last label); a numeric address
+    is its own domain, all of them under one suffix."""
+    domain, suffix = F.substring_index(site, ".", -2), F.substring_index(site, ".", -1)
+    for n in sorted({s.count(".") + 1 for s in suffixes}):
+        end = F.substring_index(site, ".", -n)
+        fits = end.isin([s for s in suffixes if s.count(".") + 1 == n])
+        domain = F.when(fits, F.substring_index(site, ".", -n - 1)).otherwise(domain)
+        suffix = F.when(fits, end).otherwise(suffix)
+    address = site.rlike(r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[.*\])$")
+    return F.when(address, site).otherwise(domain), F.when(address, F.lit("#")).otherwise(suffix)
 
 
 def _strength(groups: DataFrame, *share: str) -> DataFrame:
@@ -79,10 +99,12 @@ def _shrunk(groups: DataFrame) -> DataFrame:
         ).withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
 
 
-def reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
+def reputation(hosts: DataFrame, z: float = Z, suffixes=SUFFIXES) -> DataFrame:
     """(host, mean, lower, upper) from hosts (host, n, bad): the posterior
-    bad share of each host and its normal bounds at ``z`` deviations."""
-    domain, suffix = _labels(F.col("host"))
+    bad share of each host without its port and its normal bounds at ``z``
+    deviations."""
+    domain, suffix = _labels(F.col("host"), suffixes)
+    hosts = hosts.groupBy(site_of(F.col("host")).alias("host")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     hosts = common.materialise(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad"), "hosts")
     total = F.sum("n").alias("n"), F.sum("bad").alias("bad")
     whole = hosts.agg(*total).select(((F.coalesce("bad", F.lit(0)) + 1) / (F.coalesce("n", F.lit(0)) + 2)).alias("prior"))
@@ -114,7 +136,7 @@ def outcomes(pages: DataFrame, labels: DataFrame, url_col: str = "url") -> DataF
 
 
 def judge(pages: DataFrame, hosts: DataFrame, url_col: str = "url", rules=RULES, limit: float = LIMIT,
-          z: float = Z) -> DataFrame:
+          z: float = Z, suffixes=SUFFIXES) -> DataFrame:
     """All rows with host, path, rule, verdict and the host's ``reputation``
     (lower bound of its bad share) from hosts (host, n, bad).
 
@@ -129,10 +151,10 @@ def judge(pages: DataFrame, hosts: DataFrame, url_col: str = "url", rules=RULES,
     rows = pages.select(F.struct(*common.without(pages, *result)).alias("_row"),
                         host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    known = reputation(hosts, z).select(F.concat("host", F.lit("")).alias("_host"), F.col("lower").alias("reputation"))
+    known = reputation(hosts, z, suffixes).select(F.concat("host", F.lit("")).alias("_host"), F.col("lower").alias("reputation"))
     own = F.when(F.col("reputation") > limit, "block").otherwise("allow")
     names = [c for c in pages.columns if c.lower() not in result]
-    return rows.join(known, F.col("host") == F.col("_host"), "left").select(
+    return rows.join(known, site_of(F.col("host")) == F.col("_host"), "left").select(
         *[F.col("_row")[c].alias(c) for c in names], "host", "path", "rule",
         F.coalesce(verdict_of(F.col("rule"), rules), own).alias("verdict"), "reputation")
 

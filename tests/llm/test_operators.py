@@ -366,6 +366,18 @@ def test_url_parts_and_rules(spark):
     assert url_filter.judge(none, url_filter.outcomes(none, labels)).count() == 0
 
 
+def test_url_reputation_of_multi_label_suffixes_ports_and_addresses(spark):
+    hosts = [("a.bad.co.uk", 300, 300), ("new.bad.co.uk", 0, 0), ("a.good.co.uk", 300, 0), ("new.good.co.uk", 0, 0),
+             ("bad.org:8080", 50, 50), ("bad.org", 1, 1), ("10.0.0.1", 200, 200), ("10.9.0.1:81", 200, 0)]
+    got = {r.host: r for r in url_filter.reputation(spark.createDataFrame(hosts, "host string, n long, bad long")).collect()}
+    assert got["new.bad.co.uk"].mean > got["new.good.co.uk"].mean + 0.3
+    assert "bad.org:8080" not in got and got["bad.org"].mean > 0.9
+    assert got["10.0.0.1"].mean > 0.9 and got["10.9.0.1"].mean < 0.1
+    pages = spark.createDataFrame([(1, "http://bad.org:8080/x"), (2, "http://new.good.co.uk/")], "page_id long, url string")
+    seen = {r.page_id: r for r in url_filter.judge(pages, spark.createDataFrame(hosts, "host string, n long, bad long")).collect()}
+    assert seen[1].host == "bad.org:8080" and seen[1].verdict == "block" and seen[2].verdict == "allow"
+
+
 def test_url_reputation_shrinks_towards_the_domain(spark):
     hosts = [(f"h{i}.bad.net", 50, 49) for i in range(5)] + [(f"h{i}.good.net", 50, 1) for i in range(5)]
     hosts += [("new.bad.net", 0, 0), ("new.good.net", 0, 0)]
