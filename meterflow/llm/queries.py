@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, near_dedup, packing, quality, spotsigs, suffix_dedup, toxicity, url_filter, word_bpe
+from . import exact_dedup, filter_audit, license_scan, near_dedup, packing, quality, spotsigs, suffix_dedup, toxicity, url_filter, word_bpe
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_spotsigs": spotsigs.op8_spotsigs,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
 }
 
 ORACLE = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
 }
