@@ -170,14 +170,16 @@ def score_stream(wins: DataFrame, bounds: DataFrame, limits: DataFrame, scorer)
 
 # --- T3/T4: sinks ---------------------------------------------------------------------------------
 
-def log_and_events_writer(log_path: str, events_path: str):
+def log_and_events_writer(log_path: str, events_path: str, place: tuple = ("end_ord",)):
     """T3 + T4 in one ``foreachBatch``: every scored row to the log, flagged
     rows to the anomaly events.  Each batch writes its own folder with
-    overwrite, so a replayed batch replaces instead of duplicating."""
+    overwrite, so a replayed batch replaces instead of duplicating.  ``place``
+    names the columns with a window's place in its machine."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        log = batch.select(
-                F.col("request_ts").alias("timestamp"), "machine_id", "end_ord",
+        try:
+            log = batch.select(
+                F.col("request_ts").alias("timestamp"), "machine_id", *place,
                 F.round(C.last_element("readings"), 3).alias("actual_kwh"),
                 F.round("predicted_kwh", 3).alias("predicted_kwh"),
                 F.round("recon_error", 6).alias("recon_error"),
@@ -185,10 +187,11 @@ def log_and_events_writer(log_path: str, events_path: str):
                 F.col("is_anomaly").cast("int").alias("is_anomaly"),
                 F.col("alert_fired").cast("int").alias("alert_sent"),
                 F.lit(None).cast("double").alias("latency_ms"))
-        log.write.mode("overwrite").parquet(f"{log_path}/b{batch_id:08d}")
-        log.filter(F.col("is_anomaly") == 1).write.mode("overwrite").parquet(
-            f"{events_path}/b{batch_id:08d}")
-        batch.unpersist()
+            log.write.mode("overwrite").parquet(f"{log_path}/b{batch_id:08d}")
+            log.filter(F.col("is_anomaly") == 1).write.mode("overwrite").parquet(
+                f"{events_path}/b{batch_id:08d}")
+        finally:
+            batch.unpersist()
 
     return write
 
@@ -317,123 +320,3 @@ def run_append(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     out = f"{run}/table"
     run_available(stream.writeStream.format("parquet").option("path", out), f"{run}/ckpt")
     return spark.read.schema(stream.schema).parquet(out)
-
-
-# --- T1 without Python state: windows per micro-batch + a versioned tail table ----------------
-
-TAIL_SCHEMA = "machine_id bigint, tail array<double>, seen long"
-
-
-def _batch_dirs(spark: SparkSession, path: str, prefix: str) -> list[int]:
-    """Batch ids of the ``<prefix><id>`` folders under ``path``."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        return []
-    ids = []
-    for st in fs.listStatus(hpath):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith(prefix) and name[len(prefix):].isdigit():
-            ids.append(int(name[len(prefix):]))
-    return ids
-
-
-def latest_tail(spark: SparkSession, state_dir: str, before: int) -> DataFrame:
-    """The tail table written by the newest batch before ``before``."""
-    ids = [i for i in _batch_dirs(spark, state_dir, "t") if i < before]
-    if not ids:
-        return spark.createDataFrame([], TAIL_SCHEMA)
-    return spark.read.schema(TAIL_SCHEMA).parquet(f"{state_dir}/t{max(ids):08d}")
-
-
-def batched_windows_writer(state_dir: str, out_dir: str, length: int = K.WINDOW,
-                           chunk_rows: int | None = None, on_windows=None):
-    """T1 as batch operators inside ``foreachBatch`` (no Python state).
-
-    A micro-batch's rows get their windows from ``ordered_frames`` -- so a
-    machine with a huge share of the batch is still split across tasks --
-    and each machine's missing prefix from the tail table: its last
-    ``length - 1`` readings and how many it has seen.  The new tail table is
-    written per batch id (``t<id>``) next to the windows (``b<id>``), both with
-    overwrite, so a replayed batch reads the same tail and rewrites the same
-    output.  Semantics equal ``window_stream``: a batch's rows follow the
-    machine's earlier rows, sorted by time inside the batch.
-
-    ``on_windows(windows, batch_id)``, when given, consumes the batch's
-    windows (e.g. scores them and writes the log) instead of writing them."""
-    from meterflow.operators.ordered import CNT, ORD, ordered_frames
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        prev = latest_tail(spark, state_dir, batch_id)
-        rows = batch.select("machine_id", to_micros("timestamp").alias("ts_us"), "kwh", "reading_id")
-
-        def build(w):
-            return {"bw": F.collect_list("kwh").over(w.rowsBetween(-(length - 1), 0))}
-
-        fr = ordered_frames(rows, "machine_id", ["ts_us", "reading_id"], build, halo=length,
-                            chunk_rows=chunk_rows)
-        fr = fr.join(prev, "machine_id", "left")
-        tail = F.coalesce(F.col("tail"), F.array().cast("array<double>"))
-        seen = F.coalesce(F.col("seen"), F.lit(0).cast("long"))
-        need = F.greatest(F.lit(0), F.lit(length) - F.size("bw"))
-        prefix = F.when(need > 0, F.slice(tail, F.greatest(F.size(tail) - need + 1, F.lit(1)), need)) \
-            .otherwise(F.array().cast("array<double>"))
-        fr = fr.withColumn("full", F.concat(prefix, F.col("bw"))).withColumn("seen0", seen)
-        fr = fr.persist()
-        try:
-            wins = fr.filter(F.size("full") == length).select(
-                "machine_id", (F.col("seen0") + F.col(ORD)).alias("end_ord"),
-                F.col("ts_us").alias("end_us"), F.col("full").alias("readings"))
-            if on_windows is None:
-                wins.write.mode("overwrite").parquet(f"{out_dir}/b{batch_id:08d}")
-            else:
-                on_windows(wins.withColumn("window_end_ts", from_micros("end_us")).drop("end_us"),
-                           batch_id)
-            keep = length - 1
-            new_tail = fr.filter(F.col(ORD) == F.col(CNT) - 1).select(
-                "machine_id",
-                F.slice("full", F.greatest(F.size("full") - keep + 1, F.lit(1)), keep).alias("tail"),
-                (F.col("seen0") + F.col(CNT)).alias("seen"))
-            untouched = prev.join(new_tail.select("machine_id"), "machine_id", "left_anti")
-            new_tail.unionByName(untouched).write.mode("overwrite").parquet(
-                f"{state_dir}/t{batch_id:08d}")
-        finally:
-            fr.unpersist()
-
-    return write
-
-
-def run_batched_windows(spark: SparkSession, feed_df: DataFrame, run_dir: str,
-                        chunk_rows: int | None = None) -> DataFrame:
-    """Run the micro-batch window writer over everything available and read
-    the windows back (same columns as ``window_stream``)."""
-    run_available(feed_df.writeStream.foreachBatch(
-        batched_windows_writer(f"{run_dir}/state", f"{run_dir}/windows", chunk_rows=chunk_rows)),
-        f"{run_dir}/ckpt")
-    out = read_table(spark, f"{run_dir}/windows",
-                     "machine_id bigint, end_ord long, end_us long, readings array<double>")
-    return out.withColumn("window_end_ts", from_micros("end_us")).drop("end_us")
-
-
-def run_scoring_batched(spark: SparkSession, readings: DataFrame, bounds: DataFrame,
-                        limits: DataFrame, scorer, slices: int = 4,
-                        chunk_rows: int | None = None) -> dict:
-    """``run_scoring`` on the skew-safe micro-batch windows: T1 from
-    ``batched_windows_writer``, then T2-T4 on each batch's windows."""
-    from meterflow.operators import prep
-    run = new_run_dir(spark, "scoring-batched")
-    src = replay_folder(spark, readings, slices)
-    stream = prep.valid_readings(read_feed(spark, src, files_per_slice(spark)),
-                                 strictly_positive=True)
-    paths = {"source": src, "log": f"{run}/log", "events": f"{run}/events"}
-    sink = log_and_events_writer(paths["log"], paths["events"])
-
-    def score_and_log(wins: DataFrame, batch_id: int) -> None:
-        sink(score_stream(wins, bounds, limits, scorer), batch_id)
-
-    run_available(stream.writeStream.foreachBatch(batched_windows_writer(
-        f"{run}/state", f"{run}/windows", chunk_rows=chunk_rows, on_windows=score_and_log)),
-        f"{run}/ckpt")
-    return paths

@@ -90,19 +90,3 @@ def test_json_feed(spark):
     stream = feed.window_stream(feed.read_feed(spark, f"{run}/src", fmt="json"))
     out = feed.run_append(spark, stream, "test-json-out")
     assert out.count() == 2 * (30 - 23)
-
-
-def test_batched_windows_equal_batch_with_hot_machine(spark):
-    # machine 0 is hot relative to the 5-row chunks used here
-    df = _readings(spark, machines=3, n=60)
-    run = feed.new_run_dir(spark, "test-batched")
-    src = f"{run}/src"
-    early = df.filter(F.col("timestamp") < dt.datetime(2024, 1, 2, 6))
-    early.repartition(3, "machine_id").write.parquet(f"{src}/a")
-    stream = feed.read_feed(spark, f"{src}/*")
-    first = feed.run_batched_windows(spark, stream, run, chunk_rows=5).count()
-    df.subtract(early).repartition(3, "machine_id").write.parquet(f"{src}/b")
-    got = feed.run_batched_windows(spark, feed.read_feed(spark, f"{src}/*"), run, chunk_rows=5)
-    got = {(r.machine_id, r.end_ord): list(r.readings) for r in got.collect()}
-    assert first < len(got) == 3 * (60 - 23)
-    assert got == _batch_windows(df)
