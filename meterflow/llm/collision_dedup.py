@@ -183,9 +183,12 @@ def class_links(classes: DataFrame, dtype: str, cosine: float = COSINE, miss: fl
              .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
              .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "blocks"))
+             .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "blocks")
+             # one column, so that the groups are dealt out anew: by the keys of the
+             # join before, all pairs of blocks of a large bucket would stay together
+             .withColumn("cell", F.struct(*place, "lo", "hi")))
     return common.materialise(
-        dealt.groupBy(*place, "lo", "hi").applyInArrow(
+        dealt.groupBy("cell").applyInArrow(
             _group_links(cosine, miss, projections, dtype), "vid long, links long, other long"), "links")
 
 
