@@ -107,13 +107,23 @@ def sort_readings(df: DataFrame, key: str = "machine_id", ts: str = "timestamp",
 
 # --- joins ------------------------------------------------------------------------
 
+def with_metadata(readings: DataFrame, metadata: DataFrame, key: str = "building_id") -> DataFrame:
+    """Left join machine metadata on the machine key; the metadata is
+    broadcast only when its estimated size is small."""
+    return readings.join(sized_broadcast(metadata), key, "left")
+
+
+def with_weather(sited: DataFrame, weather: DataFrame, site: str = "site_id", ts: str = "timestamp") -> DataFrame:
+    """Left join weather on (site, timestamp).  Weather is a large table:
+    it joins by shuffle (or AQE broadcast), or without any exchange when both
+    sides are tables bucketed by these keys (``sinks.write_bucketed``)."""
+    return sited.join(weather, [site, ts], "left")
+
+
 def enrich(readings: DataFrame, metadata: DataFrame, weather: DataFrame,
            key: str = "building_id", site: str = "site_id", ts: str = "timestamp") -> DataFrame:
-    """J1 + J2: left join machine metadata on the machine key, then weather on
-    (site, timestamp).  Metadata is broadcast only when its estimated size is
-    small; weather is a large table and joins by shuffle (or AQE broadcast)."""
-    out = readings.join(sized_broadcast(metadata), key, "left")
-    return out.join(weather, [site, ts], "left")
+    """J1 + J2 in one pass over the readings."""
+    return with_weather(with_metadata(readings, metadata, key), weather, site, ts)
 
 
 def attach_params(df: DataFrame, params: DataFrame) -> DataFrame:

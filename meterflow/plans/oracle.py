@@ -172,8 +172,9 @@ SELECT r.building_id AS machine_id, r."timestamp", r.meter_reading AS kwh, r.rea
   {calendar_sql('r."timestamp"')}
 FROM raw r
 LEFT JOIN meta m ON r.building_id = m.building_id
-LEFT JOIN weather w ON m.site_id = w.site_id AND r."timestamp" = w."timestamp"
-WHERE r.meter = 0"""
+LEFT JOIN weather w ON m.site_id = w.site_id AND w."timestamp" = r."timestamp" """
+
+ORACLE["enrich_bucketed"] = ORACLE["enrich_left_joins"]
 
 ORACLE["calendar_features"] = f"""WITH {READINGS}
 SELECT *, {calendar_sql()} FROM readings"""
@@ -595,8 +596,7 @@ FROM slog WHERE is_anomaly = 1"""
 ORACLE["stream_enrich"] = f"""WITH {RAW_READINGS}, {METADATA}
 SELECT r.building_id AS machine_id, r."timestamp", r.meter_reading AS kwh, r.reading_id,
   m.site_id, m.primary_use
-FROM raw r LEFT JOIN meta m ON r.building_id = m.building_id
-WHERE r.meter = 0"""
+FROM raw r LEFT JOIN meta m ON r.building_id = m.building_id"""
 
 ORACLE["kpi_stream"] = f"""WITH {READINGS}
 SELECT machine_id, count(kwh) AS total_readings,
@@ -659,7 +659,7 @@ FROM readings WHERE kwh IS NOT NULL AND kwh >= 0"""
 
 ORACLE["partitioned_table"] = f"""WITH {MONTHLY_READINGS}
 SELECT machine_id, "timestamp", kwh, reading_id, CAST(month("timestamp") AS INTEGER) AS month
-FROM mreadings WHERE month("timestamp") IN (6, 7, 8)"""
+FROM mreadings"""
 
 ORACLE["alert_records"] = ORACLE["alert_json"].replace(
     "SELECT machine_id, window_start, CAST(to_json(",

@@ -7,6 +7,8 @@ part file.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,21 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     return path
 
 
+def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """Write ``df`` as a table of ``buckets`` buckets by ``keys``, one sorted
+    file each, and return the table.  Tables with the same keys and number of
+    buckets join on them without an exchange, however often they are read.
+    ``buckets`` (default: the shuffle partitions) should make a bucket fit one
+    task; a key with very many rows fills its bucket, so bucket by a composite
+    key where single columns are skewed."""
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"meterflow_{uuid.uuid4().hex}"
+    (df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").option("path", path)
+     .bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name))
+    return spark.table(name)
+
+
 def save_result_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
     """Overwrite a result as headed CSV (one file only on request)."""
     out = df.coalesce(1) if single_file else df
