@@ -220,6 +220,51 @@ def score(df: DataFrame, scorer, arr: str = "readings", out: str = "recon_error"
     return df.withColumn(out, scorer.error(arr))
 
 
+# --- the model as long tables (M8) -------------------------------------------------
+
+def model_long(spark, scorer: PcaScorer) -> tuple[DataFrame, DataFrame]:
+    """The bottleneck as tables: means (i, mu) and the projection matrix
+    (i, j, w), a row an entry."""
+    width = len(scorer.mean)
+    means = spark.createDataFrame([(i, float(m)) for i, m in enumerate(scorer.mean)], "i int, mu double")
+    entries = [(i, j, float(scorer.projection[i][j])) for i in range(width) for j in range(width)]
+    return means, spark.createDataFrame(entries, "i int, j int, w double")
+
+
+def models_long(models: DataFrame, key: str = "machine_id", width: int = K.WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Per-machine bottlenecks (``fit_machine_pca``) as tables with the key."""
+    means = models.select(key, F.posexplode("mean").alias("i", "mu"))
+    entries = models.select(key, F.posexplode("projection").alias("at", "w")).select(
+        key, F.floor(F.col("at") / width).cast("int").alias("i"), (F.col("at") % width).alias("j"), "w")
+    return means, entries
+
+
+def score_long(windows: DataFrame, means: DataFrame, entries: DataFrame, by: str | None = None,
+               keys: tuple = ("machine_id", "window_start"), arr: str = "readings",
+               out: str = "recon_error") -> DataFrame:
+    """M8 as a matrix product of tables: the window's entries (keys, i, x) times
+    the projection's (i, j, w), summed by (keys, j), against the entries again.
+
+    ``means`` and ``entries`` hold one model (``model_long``) or, with ``by``, one
+    a machine (``models_long``); ``keys`` tell windows apart.  All products of a
+    window are summed in the task that reads it, so the shuffle moves one row an
+    entry, not one a product.  Windows that are null, have no model or are not
+    as long as theirs get a null error."""
+    own, keys = [by] if by else [], list(keys)
+    widths = means.groupBy(*own).agg(F.count(F.lit(1)).alias("_width"))        # by=None: one row
+    long = windows.select(*keys, F.size(arr).alias("_n"), F.posexplode(arr).alias("i", "x"))
+    long = long.join(widths, own) if by else long.crossJoin(F.broadcast(widths))
+    spread = (long.where("_n = _width").join(sized_broadcast(means), [*own, "i"])
+              .select(*keys, "i", (F.col("x") - F.col("mu")).alias("d")))
+    product = (spread.join(sized_broadcast(entries), [*own, "i"]).groupBy(*keys, "j")
+               .agg((-F.sum(F.col("d") * F.col("w"))).alias("d")))
+    errors = (spread.withColumnRenamed("i", "j").unionByName(product).groupBy(*keys, "j")
+              .agg(F.abs(F.sum("d")).alias("_e")).groupBy(*keys).agg(F.avg("_e").alias(out)))
+    errors = errors.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [windows[k].eqNullSafe(errors[f"_{k}"]) for k in keys]
+    return windows.join(errors, same, "left").drop(*(f"_{k}" for k in keys))
+
+
 # --- thresholds and flags (A11, R6) ---------------------------------------------
 
 def thresholds(scored: DataFrame, by: str | None = "machine_id", error: str = "recon_error",
@@ -310,6 +355,8 @@ def edge_log(readings: DataFrame, scorer, limits: DataFrame, key: str = "machine
 
 MODEL_SCHEMA = "machine_id bigint, n_train long, mean array<double>, projection array<double>"
 DEFAULT_MODEL_BROADCAST_BYTES = 256 * 1024 * 1024
+#: Share of the largest variance below which a direction counts as having none.
+NO_VARIANCE = 1e-9
 
 
 def fit_machine_pca(train: DataFrame, key: str = "machine_id", arr: str = "readings",
@@ -342,7 +389,9 @@ def fit_machine_pca(train: DataFrame, key: str = "machine_id", arr: str = "readi
             n = pdf["n_train"].to_numpy(dtype=np.float64)[:, None, None]
             cov = (second - mu[:, :, None] * mu[:, None, :]) * np.where(n > 1, n / np.maximum(n - 1, 1), 1.0)
             vals, vecs = np.linalg.eigh(cov)                   # ascending eigenvalues
-            top = vecs[:, :, ::-1][:, :, :k]                   # width x k per machine
+            # directions without variance carry nothing (fewer than k windows)
+            some = vals > NO_VARIANCE * vals[:, -1:]
+            top = (vecs * some[:, None, :])[:, :, ::-1][:, :, :k]   # width x k per machine
             proj = np.einsum("mik,mjk->mij", top, top).reshape(len(pdf), -1)
             yield pd.DataFrame({key: pdf[key].to_numpy(), "n_train": pdf["n_train"].to_numpy(),
                                 "mean": list(mu), "projection": list(proj)})

@@ -307,6 +307,113 @@ SELECT t."timestamp", t.machine_id, t.hour_index, round(t.kwh, 3) AS kwh_last,
 FROM tail t LEFT JOIN limits m ON t.machine_id = m.machine_id
 WHERE t.hour_index >= floor(t.n * 0.8) + 24 AND t.hour_index < t.n"""
 
+# --- the bottleneck model: moments, Jacobi rotations, projection ----------------------
+
+def _moments(src: str, by: str, name: str = "moments") -> str:
+    """Mean vector and covariance (row-major list of 576) of the lists ``l``."""
+    k, on = (f"{by}, ", f"a.{by} = b.{by} AND ") if by else ("", "")
+    group = f"GROUP BY {by}" if by else ""
+    return f"""{name}_x AS (
+  SELECT {k}id, unnest(range(24)) AS i, unnest(l) AS x
+  FROM (SELECT *, row_number() OVER () AS id FROM {src})),
+{name}_mean AS (SELECT {k}list(m ORDER BY i) AS mu FROM (SELECT {k}i, avg(x) AS m FROM {name}_x GROUP BY {k}i) {group}),
+{name} AS (
+  SELECT {k}list(c ORDER BY i, j) AS a
+  FROM (SELECT {f'a.{by}, ' if by else ''}a.i, b.i AS j, coalesce(covar_samp(a.x, b.x), 0.0) AS c
+        FROM {name}_x a JOIN {name}_x b ON {on}a.id = b.id GROUP BY ALL) {group})"""
+
+
+#: Ten sweeps of 23 rounds; a round turns twelve pairs of axes at once, in the
+#: order of a round-robin tournament.
+ROUNDS = 230
+
+
+def _rotations(src: str, by: str) -> str:
+    """Jacobi's method on the 24 x 24 matrices ``a``: after ROUNDS rounds the
+    diagonal of ``a`` has the eigenvalues, the columns of ``v`` the vectors."""
+    k = f"{by}, " if by else ""
+    own, mate = "a[i * 25 + 1]", "a[mate[i + 1] * 25 + 1]"
+    side = "a[i * 24 + mate[i + 1] + 1]"
+    return f"""rot AS (
+  SELECT {k}0 AS step, a, [CASE WHEN k // 24 = k % 24 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FOR k IN range(576)] AS v
+  FROM {src}
+  UNION ALL
+  SELECT {k}step + 1,
+    [c[k // 24 + 1] * b[k + 1] + g[k // 24 + 1] * b[mate[k // 24 + 1] * 24 + k % 24 + 1] FOR k IN range(576)],
+    [c[k % 24 + 1] * v[k + 1] + g[k % 24 + 1] * v[k - k % 24 + mate[k % 24 + 1] + 1] FOR k IN range(576)]
+  FROM (SELECT *, [c[k % 24 + 1] * a[k + 1] + g[k % 24 + 1] * a[k - k % 24 + mate[k % 24 + 1] + 1]
+                   FOR k IN range(576)] AS b
+  FROM (SELECT *, [1 / sqrt(1 + x * x) FOR x IN t] AS c,
+          [t[i + 1] / sqrt(1 + t[i + 1] * t[i + 1]) * (CASE WHEN i < mate[i + 1] THEN -1 ELSE 1 END)
+           FOR i IN range(24)] AS g
+  FROM (SELECT *, [CASE WHEN {side} = 0 THEN 0.0::DOUBLE ELSE
+            (CASE WHEN ({mate} - {own}) * (CASE WHEN i < mate[i + 1] THEN 1 ELSE -1 END) * sign({side}) >= 0
+                  THEN 1 ELSE -1 END)
+            / (abs(({mate} - {own}) / (2 * {side})) + sqrt(1 + power(({mate} - {own}) / (2 * {side}), 2)))
+          END FOR i IN range(24)] AS t
+  FROM (SELECT *, [CASE WHEN i = 23 THEN step % 23 WHEN i = step % 23 THEN 23
+                        ELSE (2 * (step % 23) - i + 46) % 23 END FOR i IN range(24)] AS mate
+  FROM rot WHERE step < {ROUNDS})))))"""
+
+
+def bottleneck_sql(src: str, by: str = "") -> str:
+    """``model`` (mu, p): mean and projection on the eight directions of most
+    variance (those that have any) of the lists ``l`` in ``src``."""
+    k, using = (f"{by}, ", f"JOIN moments_mean USING ({by})") if by else ("", ", moments_mean")
+    return f"""{_moments(src, by)},
+{_rotations('moments', by)},
+model AS (
+  SELECT {k}mu, [coalesce(list_sum([v[(k // 24) * 24 + e.i + 1] * v[(k % 24) * 24 + e.i + 1] FOR e IN top]), 0.0)
+              FOR k IN range(576)] AS p
+  FROM (SELECT *, [e FOR e IN list_reverse_sort([{{'x': a[i * 25 + 1], 'i': i}} FOR i IN range(24)])[1:8]
+                   IF e.x > 1e-9 * list_max([a[i * 25 + 1] FOR i IN range(24)])] AS top
+        FROM rot {using} WHERE step = {ROUNDS}))"""
+
+
+def recon_sql(l: str = "l", mu: str = "mu", p: str = "p") -> str:
+    return (f"list_avg([abs({mu}[j + 1] + list_sum([({l}[i + 1] - {mu}[i + 1]) * {p}[i * 24 + j + 1] FOR i IN range(24)]) "
+            f"- {l}[j + 1]) FOR j IN range(24)])")
+
+
+def _bottleneck(by: str = "") -> str:
+    return f"""WITH RECURSIVE {SCALED_WINDOWS},
+trainw AS (SELECT machine_id, l FROM ws WHERE split = 'train'),
+{bottleneck_sql('trainw', by)},
+scored AS (SELECT machine_id, window_start, split, {recon_sql()} AS recon_error
+           FROM ws {f'LEFT JOIN model USING ({by})' if by else ', model'}),
+mlimits AS (
+  SELECT machine_id, avg(recon_error) AS error_mean, stddev_pop(recon_error) AS error_std,
+    count(recon_error) AS n_errors, avg(recon_error) + 3.0 * stddev_pop(recon_error) AS threshold
+  FROM scored WHERE split = 'validation' GROUP BY machine_id)"""
+
+
+for _prefix, _by in (("recon", ""), ("machine_model", "machine_id")):
+    ORACLE[f"{_prefix}_scores"] = f"""{_bottleneck(_by)}
+SELECT machine_id, window_start, split, round(recon_error, 6) AS recon_error FROM scored"""
+    ORACLE["model_threshold" if _prefix == "recon" else f"{_prefix}_threshold"] = f"""{_bottleneck(_by)}
+SELECT machine_id, round(error_mean, 6) AS error_mean, round(error_std, 6) AS error_std, n_errors,
+  round(threshold, 6) AS threshold
+FROM mlimits"""
+
+ORACLE["model_roundtrip"] = f"""{_bottleneck()}
+SELECT machine_id, window_start, round(recon_error, 6) AS recon_error FROM scored"""
+
+ORACLE["recon_scores_long"] = ORACLE["recon_scores"]
+
+ORACLE["edge_scores"] = f"""{_bottleneck()},
+tail AS (
+  SELECT machine_id, "timestamp", kwh,
+    row_number() OVER ({MWIN}) AS hour_index,
+    count(*) OVER (PARTITION BY machine_id) AS n,
+    list(scaled) OVER ({MWIN} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS l
+  FROM scaled),
+stail AS (SELECT t.*, {recon_sql()} AS recon_error FROM tail t, model
+          WHERE hour_index >= floor(n * 0.8) + 24 AND hour_index < n)
+SELECT "timestamp", machine_id, hour_index, round(kwh, 3) AS kwh_last,
+  round(recon_error, 6) AS recon_error, round(threshold, 6) AS threshold,
+  CASE WHEN recon_error > threshold THEN 1 ELSE 0 END AS is_anomaly
+FROM stail LEFT JOIN mlimits USING (machine_id)"""
+
 # --- step 5: requests, alerts, logs and feeds ---------------------------------------
 
 FRAME = f"{MWIN} ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING"
