@@ -15,10 +15,13 @@ to the driver except model parameters and bounded summaries.
 from __future__ import annotations
 
 import argparse
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
+from meterflow import bundle
 from meterflow.operators import forecast, prep, rollups, rules, sequence, windows
 from meterflow.sources import files, sinks
 from meterflow.streaming import feed
@@ -53,27 +56,27 @@ def processed(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
 
 
 def train(spark: SparkSession, readings: DataFrame, out: str, per_machine: bool = False) -> dict:
-    """M7/M9 + A11 + W4: fit the bottleneck on the training windows, set
-    thresholds on the validation windows and score the held-out tail."""
+    """M7/M9 + A10 + A11 + W4 + S13: fit the bottleneck (one, or one a machine)
+    on the training windows, set thresholds on the validation windows, save the
+    whole bundle and append the held-out tail's scores to the edge log."""
     order_col = "reading_id" if "reading_id" in readings.columns else None
     frames = sequence.training_frames(readings, tiebreak=order_col)
     wins = sequence.frame_windows(frames)
     train_w = wins.filter(F.col("split") == "train")
+    fitted = bundle.Bundle(out, "", bounds=sequence.fit_minmax(readings))
     if per_machine:
-        models = sequence.fit_machine_pca(train_w)
-        sinks.write_table(models, f"{out}/models")
-        scored = sequence.score_per_machine(wins, models)
+        fitted.models = sequence.fit_machine_pca(train_w).persist(StorageLevel.MEMORY_AND_DISK)
     else:
-        scorer = sequence.fit_pca_scorer(train_w)
-        sinks.save_model(scorer.to_frame(spark), f"{out}/model")
-        scored = sequence.score(wins, scorer)
-    limits = sequence.thresholds(scored)
-    sinks.write_table(limits, f"{out}/thresholds")
-    if not per_machine:
-        edge = sequence.edge_log_from(frames, scorer, spark.read.parquet(f"{out}/thresholds"))
-        sinks.append_log(edge, f"{out}/edge_log")
-    return {"model": f"{out}/model" if not per_machine else f"{out}/models",
-            "thresholds": f"{out}/thresholds", "edge_log": f"{out}/edge_log"}
+        fitted.scorer = sequence.fit_pca_scorer(train_w)
+    limits = sequence.thresholds(fitted.score(wins, arr="readings"))
+    bundle.save(spark, out, bounds=fitted.bounds, thresholds=limits, scorer=fitted.scorer, models=fitted.models)
+    if per_machine:
+        fitted.models.unpersist()
+    saved = bundle.load(spark, out)
+    tail = saved.score(sequence.frame_tail(frames), arr="readings")
+    sinks.append_log(sequence.edge_log_of(tail, saved.thresholds), f"{out}/edge_log")
+    return {"model": bundle.part_path(spark, out, "models" if per_machine else "model"),
+            "thresholds": bundle.part_path(spark, out, "thresholds"), "edge_log": f"{out}/edge_log"}
 
 
 def analytics(spark: SparkSession, readings: DataFrame, out: str, with_model: bool = True) -> dict:
@@ -95,29 +98,31 @@ def analytics(spark: SparkSession, readings: DataFrame, out: str, with_model: bo
     }.items():
         paths[name] = sinks.save_result_csv(df, f"{out}/{name}")
     if with_model:
-        ml = prep.drop_incomplete(flagged)
         keys = ["machine_id", order_col] if order_col else ["machine_id", "timestamp"]
-        train_df, test_df = forecast.hash_split(ml, keys)
-        model = forecast.fit_forecaster(train_df)
-        if model is not None:
-            pred = model.transform(test_df)
-            paths["gbt_predictions"] = sinks.write_predictions(pred, f"{out}/gbt_predictions")
-            paths["gbt_metrics"] = sinks.save_result_csv(forecast.regression_metrics(pred),
-                                                         f"{out}/gbt_metrics")
-            paths["feature_importance"] = sinks.save_result_csv(
-                forecast.feature_importance(spark, model), f"{out}/feature_importance")
+        train_df, test_df = forecast.hash_split(prep.drop_incomplete(flagged), keys)
+        try:
+            model = forecast.fit_forecaster(train_df)
+        except ValueError as short:                  # the other results are whole without it
+            warnings.warn(f"no forecast: {short}")
+            return paths
+        bundle.save(spark, f"{out}/forecast_model", forecaster=model)
+        pred = model.transform(test_df)
+        paths["gbt_predictions"] = sinks.write_predictions(pred, f"{out}/gbt_predictions")
+        paths["gbt_metrics"] = sinks.save_result_csv(forecast.regression_metrics(pred), f"{out}/gbt_metrics")
+        paths["feature_importance"] = sinks.save_result_csv(
+            forecast.feature_importance(spark, model), f"{out}/feature_importance")
+        paths["forecast_model"] = f"{out}/forecast_model"
     return paths
 
 
-def score_feed(spark: SparkSession, feed_dir: str, model_dir: str, bounds: DataFrame,
-               out: str) -> dict:
-    """T1-T4 over a folder of arriving reading files, with a trained model
-    bundle and thresholds.  Runs what is available, then stops; run it again
-    (same ``out``) to continue from the checkpoint."""
-    scorer = sequence.PcaScorer.from_frame(spark.read.parquet(f"{model_dir}/model"))
-    limits = spark.read.parquet(f"{model_dir}/thresholds")
+def score_feed(spark: SparkSession, feed_dir: str, model_dir: str, out: str) -> dict:
+    """T1-T4 over a folder of arriving reading files, with a saved bundle: its
+    bounds, its thresholds and its bottleneck, be it one or one a machine.  Runs
+    what is available, then stops; run it again (same ``out``) to continue from
+    the checkpoint."""
+    models = bundle.load(spark, model_dir)
     stream = prep.valid_readings(feed.read_feed(spark, feed_dir), strictly_positive=True)
-    scored = feed.score_stream(feed.window_stream(stream), bounds, limits, scorer)
+    scored = feed.score_stream(feed.window_stream(stream), models.bounds, models.thresholds, models.score)
     feed.run_available(scored.writeStream.foreachBatch(
         feed.log_and_events_writer(f"{out}/log", f"{out}/events")), f"{out}/checkpoint")
     return {"log": f"{out}/log", "events": f"{out}/events"}
@@ -147,9 +152,7 @@ def main(argv: list[str] | None = None) -> None:
     s = sub.add_parser("score")
     s.add_argument("--feed", required=True)
     s.add_argument("--model", required=True)
-    s.add_argument("--readings", required=True, help="history used for the scaling bounds")
     s.add_argument("--out", required=True)
-    s.add_argument("--format", default="parquet")
     args = ap.parse_args(argv)
 
     spark = build_session(master=None)
@@ -161,8 +164,7 @@ def main(argv: list[str] | None = None) -> None:
         print(analytics(spark, processed(spark, args.readings, args.format), args.out,
                         not args.no_model))
     else:
-        history = processed(spark, args.readings, args.format)
-        print(score_feed(spark, args.feed, args.model, sequence.fit_minmax(history), args.out))
+        print(score_feed(spark, args.feed, args.model, args.out))
     spark.stop()
 
 

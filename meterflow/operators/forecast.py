@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from meterflow import constants as K
 
@@ -23,13 +24,6 @@ def hash_split(df: DataFrame, keys: list[str], train_fraction: float = K.TRAIN_S
     return df.filter(bucket < cut), df.filter(bucket >= cut)
 
 
-def random_split(df: DataFrame, train_fraction: float = K.TRAIN_SPLIT,
-                 seed: int = K.SEED) -> tuple[DataFrame, DataFrame]:
-    """M4 as the reference does it (``randomSplit([0.8, 0.2], seed)``)."""
-    train, test = df.randomSplit([train_fraction, 1 - train_fraction], seed=seed)
-    return train, test
-
-
 def build_pipeline(features: list[str] = K.FEATURE_COLS, label: str = K.LABEL_COL):
     """M1-M3."""
     from pyspark.ml import Pipeline
@@ -46,10 +40,79 @@ def build_pipeline(features: list[str] = K.FEATURE_COLS, label: str = K.LABEL_CO
 
 def fit_forecaster(train: DataFrame, features: list[str] = K.FEATURE_COLS,
                    label: str = K.LABEL_COL, min_rows: int = K.MIN_TRAIN_ROWS):
-    """Fit the pipeline; fewer than ``min_rows`` training rows are an error."""
-    if train.limit(min_rows).count() < min_rows:
-        raise ValueError(f"a forecast model needs at least {min_rows} training rows")
-    return build_pipeline(features, label).fit(train)
+    """Fit the pipeline; fewer than ``min_rows`` training rows are an error.
+    The training rows are computed once: the fit passes over them many times."""
+    train = train.select(*features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if train.limit(min_rows).count() < min_rows:
+            raise ValueError(f"a forecast model needs at least {min_rows} training rows")
+        return build_pipeline(features, label).fit(train)
+    finally:
+        train.unpersist()
+
+
+# --- the fitted trees as tables (M3, M5) ---------------------------------------------------
+
+def tree_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A saved pipeline (``PipelineModel.write``) as two tables.
+
+    ``scaler``: (feature, name, mean, factor), a row a feature; a feature's
+    value enters the trees as ``(x - mean) * factor``.  ``nodes``: (tree, weight,
+    node, feature, threshold, left, right, prediction, gain, rows), a row a
+    node; a leaf has left = -1, an inner node sends values up to the threshold
+    to the left.  Both are bounded by the model's settings, not by data."""
+    from pyspark.ml import PipelineModel
+
+    model = PipelineModel.load(path)
+    assembler, scaling, trees = model.stages
+    std, mean = scaling.std.toArray(), scaling.mean.toArray()
+    scaler = spark.createDataFrame(
+        [(i, n, float(m), 1.0 / float(s) if s != 0 else 0.0)
+         for i, (n, m, s) in enumerate(zip(assembler.getInputCols(), mean, std))],
+        "feature int, name string, mean double, factor double")
+    stage = f"{path}/stages/{len(model.stages) - 1}_{trees.uid}"
+    weights = spark.read.parquet(f"{stage}/treesMetadata").select(F.col("_1").alias("tree"), F.col("_3").alias("weight"))
+    nodes = spark.read.parquet(f"{stage}/data").select(F.col("treeID").alias("tree"), "nodeData.*").select(
+        "tree", F.col("id").alias("node"), F.col("split.featureIndex").alias("feature"),
+        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"), F.col("leftChild").alias("left"),
+        F.col("rightChild").alias("right"), "prediction", "gain", F.col("rawCount").alias("rows"))
+    return scaler, nodes.join(weights, "tree")
+
+
+def predict_by_table(df: DataFrame, scaler: DataFrame, nodes: DataFrame, keys: list[str],
+                     depth: int = K.GBT_MAX_DEPTH, out: str = "prediction") -> DataFrame:
+    """M5 without the fitted model in memory: (keys, ``out``) for the rows of
+    ``df`` whose features are all there, from the tables of ``tree_tables``.
+
+    Every row starts at the root of every tree and goes down one level a join
+    with the nodes; a leaf stays where it is.  The weighted predictions of the
+    leaves are then added per row.  ``keys`` tell rows apart."""
+    names = [r["name"] for r in scaler.orderBy("feature").select("name").collect()]     # the model's columns
+    values = F.transform(F.array(*[F.col(n).cast("double") for n in names]), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    whole = df.dropna(subset=names).where(" and ".join(f"not isnan(`{n}`)" for n in names))
+    by_feature = F.broadcast(scaler.agg(F.array_sort(F.collect_list(F.struct("feature", "mean", "factor"))).alias("s")))
+    state = (whole.select(*keys, values.alias("v")).crossJoin(by_feature)
+             .withColumn("x", F.transform("v", lambda e: (e["x"] - F.get("s", e["i"])["mean"]) * F.get("s", e["i"])["factor"]))
+             .drop("v", "s")
+             .crossJoin(F.broadcast(nodes.select("tree").distinct())).withColumn("node", F.lit(0)))
+    inner = F.broadcast(nodes.select("tree", "node", "feature", "threshold", "left", "right"))
+    for _ in range(depth):
+        state = state.join(inner, ["tree", "node"]).withColumn(
+            "node", F.when(F.col("left") < 0, F.col("node"))
+            .when(F.get("x", F.col("feature")) <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))
+        ).drop("feature", "threshold", "left", "right")
+    leaves = F.broadcast(nodes.select("tree", "node", (F.col("prediction") * F.col("weight")).alias("_p")))
+    return state.join(leaves, ["tree", "node"]).groupBy(*keys).agg(F.sum("_p").alias(out))
+
+
+def importance_by_table(scaler: DataFrame, nodes: DataFrame) -> DataFrame:
+    """M6 + O6 from the node table: a feature's share of all the trees' gains,
+    each weighted by the rows that reached the node."""
+    gains = nodes.where("left >= 0").groupBy("feature").agg(F.sum(F.col("gain") * F.col("rows")).alias("g"))
+    total = gains.agg(F.sum("g").alias("t"))
+    return scaler.join(gains, "feature", "left").crossJoin(F.broadcast(total)).select(
+        F.col("name").alias("feature"), F.coalesce(F.col("g") / F.col("t"), F.lit(0.0)).alias("importance")
+    ).orderBy(F.col("importance").desc(), "feature")
 
 
 def regression_metrics(pred: DataFrame, label: str = K.LABEL_COL,

@@ -335,7 +335,12 @@ def frame_tail(frames: DataFrame) -> DataFrame:
 def edge_log_from(frames: DataFrame, scorer, limits: DataFrame) -> DataFrame:
     """W4 + M8 + R6: the 7-column edge log for the held-out tail of every
     machine.  The timestamp is the last reading's time, so reruns repeat."""
-    flagged = flag_windows(score(frame_tail(frames), scorer), limits)
+    return edge_log_of(score(frame_tail(frames), scorer), limits)
+
+
+def edge_log_of(scored_tail: DataFrame, limits: DataFrame) -> DataFrame:
+    """The edge log of tail windows that have their error."""
+    flagged = flag_windows(scored_tail, limits)
     return flagged.select(
         F.col("timestamp_last").alias("timestamp"), "machine_id",
         "hour_index", F.round("kwh_last", 3).alias("kwh_last"),
@@ -419,21 +424,16 @@ def _per_row_error(width: int):
 def _lookup_error(bc, width: int):
     @F.pandas_udf("double")
     def err(key: pd.Series, x: pd.Series) -> pd.Series:
-        models = bc.value
-        out = np.full(len(x), np.nan)
-        keys = key.to_numpy()
-        for m in np.unique(keys):
-            if m not in models:
-                continue
+        models, out = bc.value, np.full(len(x), np.nan)
+        whole = np.fromiter((a is not None and len(a) == width for a in x), bool, len(x))
+        rows = np.flatnonzero(whole & key.isin(models.keys()).to_numpy())
+        if len(rows) == 0:
+            return pd.Series(out)
+        X, keys = np.stack([np.asarray(a, dtype=np.float64) for a in x.iloc[rows]]), key.to_numpy()[rows]
+        for m in np.unique(keys):                    # one product a machine
+            at = np.flatnonzero(keys == m)
             mu, P = models[m]
-            idx = np.nonzero(keys == m)[0]
-            idx = np.array([i for i in idx if x.iloc[i] is not None and len(x.iloc[i]) == width],
-                           dtype=int)
-            if len(idx) == 0:
-                continue
-            X = np.stack([np.asarray(x.iloc[i], dtype=np.float64) for i in idx])
-            R = mu + (X - mu) @ P
-            out[idx] = np.abs(R - X).mean(axis=1)
+            out[rows[at]] = np.abs(mu + (X[at] - mu) @ P - X[at]).mean(axis=1)
         return pd.Series(out)
     return err
 

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterflow import bundle
 from meterflow import constants as K
 from meterflow.operators import (events, forecast, insights, prep, rollups, rules, sequence,
                                  windows)
@@ -428,7 +429,7 @@ def q_request_lookup(spark, sf_dir):
 
 # --- step 6: forecasting model ----------------------------------------------------------
 
-ROWS_ONLY += ["gbt_predictions", "gbt_metrics", "feature_importance"]
+ROWS_ONLY += ["gbt_predictions", "gbt_table_predictions", "gbt_metrics", "feature_importance"]
 
 
 def ml_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -447,25 +448,31 @@ def gbt_fit(spark: SparkSession, sf_dir: str):
 @register("gbt_predictions")
 def q_gbt_predictions(spark, sf_dir):
     model, test = gbt_fit(spark, sf_dir)
-    cols = ["machine_id", "timestamp", "kwh", "is_anomaly"]
-    if model is None:
-        return test.select(*cols, F.lit(None).cast("double").alias("prediction"))
-    return model.transform(test).select(*cols, r6("prediction"))
+    return model.transform(test).select("machine_id", "timestamp", "kwh", "is_anomaly", r6("prediction"))
+
+
+@register("gbt_table_predictions")
+def q_gbt_table_predictions(spark, sf_dir):
+    """M5 from the saved bundle: the fitted trees as a table of nodes, walked
+    down level by level with joins."""
+    model, test = gbt_fit(spark, sf_dir)
+    path = _scratch(spark, "forecast-bundle")
+    bundle.save(spark, path, forecaster=model)
+    scaler, nodes = forecast.tree_tables(spark, bundle.part_path(spark, path, "forecast"))
+    keys = ["machine_id", "reading_id"]
+    return test.join(forecast.predict_by_table(test, scaler, nodes, keys), keys).select(
+        "machine_id", "timestamp", "kwh", "is_anomaly", r6("prediction"))
 
 
 @register("gbt_metrics")
 def q_gbt_metrics(spark, sf_dir):
     model, test = gbt_fit(spark, sf_dir)
-    if model is None:
-        return spark.createDataFrame([], "n_test long, rmse double, mae double, r2 double")
     return forecast.regression_metrics(model.transform(test))
 
 
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
     model, _ = gbt_fit(spark, sf_dir)
-    if model is None:
-        return spark.createDataFrame([], "feature string, importance double")
     return forecast.feature_importance(spark, model)
 
 

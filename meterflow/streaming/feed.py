@@ -155,7 +155,9 @@ def window_stream(feed: DataFrame, length: int = K.WINDOW,
 def score_stream(wins: DataFrame, bounds: DataFrame, limits: DataFrame, scorer) -> DataFrame:
     """Scale with the machine's bounds, score, flag and decide alerts,
     using the emulator's forecast (last reading x 1.05).  ``bounds`` and
-    ``limits`` are static tables joined to the stream."""
+    ``limits`` are static tables joined to the stream.  ``scorer`` is a scorer of
+    ``sequence`` or a function (windows, arr) -> windows with ``recon_error``,
+    such as ``Bundle.score`` with a model a machine (M9)."""
     from meterflow.operators import events, sequence
     # A window that fails validation is not scored (the service answers
     # such a request with a rejection and logs nothing)
@@ -163,7 +165,7 @@ def score_stream(wins: DataFrame, bounds: DataFrame, limits: DataFrame, scorer)
     s = events.validate_requests(s).filter("is_valid").drop("rejection", "is_valid")
     s = s.join(sized_broadcast(bounds), "machine_id", "left")
     s = sequence.scale_window_array(s)
-    s = sequence.score(s, scorer, arr="scaled_readings")
+    s = scorer(s, "scaled_readings") if callable(scorer) else sequence.score(s, scorer, arr="scaled_readings")
     s = s.join(sized_broadcast(limits.select("machine_id", "threshold")), "machine_id", "left")
     return events.decide_alerts(s).withColumnRenamed("window_end_ts", "request_ts")
 

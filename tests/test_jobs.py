@@ -1,8 +1,10 @@
 """The four end-to-end jobs on files made from the sf0.001 tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from meterflow import jobs
+from meterflow import bundle, jobs
+from meterflow.operators import sequence, windows
 from meterflow.sources import fixtures as fx
 from meterflow.streaming import feed
 from tests.conftest import SF_SMALL
@@ -39,13 +41,45 @@ def test_prepare_analytics_train_score(spark):
     assert spark.read.parquet(trained["edge_log"]).count() > 0
 
     src = feed.replay_folder(spark, readings)
-    scored = jobs.score_feed(spark, src, f"{run}/model",
-                             jobs.sequence.fit_minmax(readings), f"{run}/live")
+    scored = jobs.score_feed(spark, src, f"{run}/model", f"{run}/live")
     n = readings.groupBy("machine_id").count().agg(
         F.sum(F.greatest(F.col("count") - 23, F.lit(0)))).first()[0]
     assert feed.read_table(spark, scored["log"], feed.LOG_SCHEMA).count() == n
 
 
+def test_train_and_score_per_machine(spark):
+    """M9 on a feed: the stream's errors equal the batch scores of the same windows."""
+    run = feed.new_run_dir(spark, "test-jobs-m9")
+    readings = fx.readings_from_orders(spark, SF_SMALL, machines=5)
+    trained = jobs.train(spark, readings, f"{run}/model", per_machine=True)
+    models = bundle.load(spark, f"{run}/model")
+    assert models.scorer is None and models.models.count() == models.bounds.count() == 5
+    edge = spark.read.parquet(trained["edge_log"])
+    assert edge.count() > 0 and edge.where("recon_error is null or threshold is null").count() == 0
+
+    src = feed.replay_folder(spark, readings)
+    scored = jobs.score_feed(spark, src, f"{run}/model", f"{run}/live")
+    log = feed.read_table(spark, scored["log"], feed.LOG_SCHEMA)
+    scaled = sequence.apply_minmax(readings, models.bounds)
+    wins = windows.trailing_windows(scaled.drop("kwh").withColumnRenamed("scaled", "kwh"))
+    batch = models.score(wins, arr="readings").select(
+        "machine_id", F.col("_ord").alias("end_ord"), F.round("recon_error", 6).alias("recon_error"))
+    want = {(r.machine_id, r.end_ord): r.recon_error for r in batch.collect()}
+    got = {(r.machine_id, r.end_ord): r.recon_error for r in log.collect()}
+    assert len(got) == log.count() > 0 and got == want
+    flagged = {(r.machine_id, r.end_ord) for r in log.where("recon_error > threshold").collect()}
+    events = feed.read_table(spark, scored["events"], feed.LOG_SCHEMA)
+    assert flagged == {(r.machine_id, r.end_ord) for r in events.collect()}
+
+
+def test_a_short_table_gets_no_forecast(spark):
+    run = feed.new_run_dir(spark, "test-jobs-short")
+    short = fx.readings_from_orders(spark, SF_SMALL, machines=5).where("machine_id = 1").limit(60)
+    with pytest.warns(UserWarning, match="no forecast"):
+        paths = jobs.analytics(spark, short, f"{run}/out")
+    assert "machine_kpis" in paths and "gbt_metrics" not in paths
+
+
 def test_cli_analytics(spark, monkeypatch):
     import meterflow.session as session
     run = feed.new_run_dir(spark, "test-cli")
