@@ -7,26 +7,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterflow import constants as K
-from meterflow.operators.ordered import ORD, with_ordinal
+from meterflow.operators import sequence
 from meterflow.operators.prep import sized_broadcast
 
 
 def adaptive_threshold(readings: DataFrame, key: str = "machine_id", ts: str = "timestamp",
                        value: str = "kwh", tiebreak: str | None = "reading_id",
-                       warmup: int = K.WINDOW, sigmas: float = K.THRESHOLD_SIGMAS,
-                       chunk_rows: int | None = None) -> DataFrame:
+                       warmup: int = K.WINDOW, sigmas: float = K.THRESHOLD_SIGMAS) -> DataFrame:
     """Per-machine threshold ``mean + 3 * population std`` of its first
     ``warmup`` readings, and how many later readings exceed it."""
     order = [ts] + ([tiebreak] if tiebreak else [])
-    pos = with_ordinal(readings, key, order, chunk_rows)
-    base = pos.filter(F.col(ORD) < warmup).groupBy(key).agg(
-        F.avg(value).alias("baseline_mean"), F.stddev_pop(value).alias("baseline_std"))
+    # a rank limit: each task keeps at most ``warmup`` rows a key before the shuffle
+    oldest = Window.partitionBy(key).orderBy(*order)
+    first = readings.withColumn("_rank", F.row_number().over(oldest)).filter(F.col("_rank") <= warmup)
+    base = first.groupBy(key).agg(
+        F.avg(value).alias("baseline_mean"), F.stddev_pop(value).alias("baseline_std"),
+        F.max(F.struct(*order)).alias("_last"))
     base = base.withColumn("threshold", F.col("baseline_mean") + sigmas * F.col("baseline_std"))
-    later = pos.filter(F.col(ORD) >= warmup).join(base.select(key, "threshold"), key)
+    later = readings.join(base.select(key, "threshold", "_last"), key).filter(F.struct(*order) > F.col("_last"))
     above = later.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_after"),
         F.sum((F.col(value) > F.col("threshold")).cast("long")).alias("n_above"))
-    return base.join(above, key, "left").fillna(0, subset=["n_after", "n_above"])
+    return base.drop("_last").join(above, key, "left").fillna(0, subset=["n_after", "n_above"])
 
 
 def recent_window(readings: DataFrame, key: str = "machine_id", ts: str = "timestamp",
@@ -39,6 +41,26 @@ def recent_window(readings: DataFrame, key: str = "machine_id", ts: str = "times
     return out.filter(F.col(ts) > F.col("_last") - F.make_dt_interval(F.lit(days))).drop("_last")
 
 
+def daily_moments(windows: DataFrame, key: str = "machine_id", ts: str = "timestamp", arr: str = "readings") -> DataFrame:
+    """One row of moments per machine and day of the windows' end.  Written
+    partitioned by ``day`` it grows by the new day's rows alone."""
+    return sequence.window_moments(windows.withColumn("day", F.to_date(ts)), [key, "day"], arr)
+
+
+def refit_recent(moments: DataFrame, key: str = "machine_id", days: int = 7, k: int = K.LATENT_DIM) -> DataFrame:
+    """Each machine's bottleneck from the moments of its last ``days`` days,
+    added up: the same model as a fit on those days' windows."""
+    last = moments.groupBy(key).agg(F.max("day").alias("_last"))
+    recent = moments.join(last, key).filter(F.col("day") > F.date_sub("_last", days))
+    return sequence.fit_from_moments(sequence.add_moments(recent, [key]), key, k)
+
+
+def recent_days(windows: DataFrame, key: str = "machine_id", ts: str = "timestamp", days: int = 7) -> DataFrame:
+    """The windows that ``refit_recent`` covers."""
+    last = windows.groupBy(key).agg(F.to_date(F.max(ts)).alias("_last"))
+    return windows.join(last, key).filter(F.to_date(ts) > F.date_sub("_last", days)).drop("_last")
+
+
 def hourly_load(readings: DataFrame, key: str = "machine_id", ts: str = "timestamp",
                 value: str = "kwh") -> DataFrame:
     return readings.groupBy(key, F.date_trunc("hour", ts).alias("hour_ts")).agg(

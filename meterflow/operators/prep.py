@@ -127,9 +127,7 @@ def enrich(readings: DataFrame, metadata: DataFrame, weather: DataFrame,
 
 
 def attach_params(df: DataFrame, params: DataFrame) -> DataFrame:
-    """Attach a one-row parameter table (scaler bounds, threshold) to
-    every row as literals.  Only that single row reaches the driver."""
-    rows = params.limit(1).collect()
-    if not rows:
-        raise ValueError("parameter table is empty")
-    return df.withColumns({k: F.lit(v) for k, v in rows[0].asDict().items()})
+    """Attach a one-row parameter table (scaler bounds, threshold) to every
+    row by a broadcast join; nothing is collected.  Of several rows one is
+    taken; an empty table attaches nulls."""
+    return df.join(F.broadcast(params.limit(1)), F.lit(True), "left")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterflow import constants as K
-from meterflow.operators import rollups, windows
+from meterflow.operators import prep, rollups, windows
 from meterflow.operators.prep import sized_broadcast
 
 
@@ -46,9 +46,7 @@ def apply_minmax(df: DataFrame, scaler: DataFrame, key: str | None = "machine_id
     if key:
         joined = df.join(sized_broadcast(scaler), key, "left")
     else:
-        row = scaler.collect()[0]   # one row
-        joined = df.withColumns({"scale_min": F.lit(row["scale_min"]),
-                                 "scale_max": F.lit(row["scale_max"])})
+        joined = prep.attach_params(df, scaler.select("scale_min", "scale_max"))
     return joined.withColumn(out, _scaled(F.col(value), F.col("scale_min"), F.col("scale_max")))
 
 
@@ -277,8 +275,7 @@ def flag_windows(scored: DataFrame, limits: DataFrame, by: str | None = "machine
                  error: str = "recon_error") -> DataFrame:
     """Strict ``error > threshold`` with the machine's threshold."""
     lim = limits.select(*( [by] if by else []), "threshold")
-    joined = scored.join(sized_broadcast(lim), by, "left") if by else \
-        scored.withColumn("threshold", F.lit(lim.collect()[0]["threshold"]))
+    joined = scored.join(sized_broadcast(lim), by, "left") if by else prep.attach_params(scored, lim)
     return joined.withColumn(
         "is_anomaly", F.when(F.col(error) > F.col("threshold"), F.lit(1)).otherwise(F.lit(0)))
 
@@ -364,26 +361,39 @@ DEFAULT_MODEL_BROADCAST_BYTES = 256 * 1024 * 1024
 NO_VARIANCE = 1e-9
 
 
-def fit_machine_pca(train: DataFrame, key: str = "machine_id", arr: str = "readings",
-                    k: int = K.LATENT_DIM, width: int = K.WINDOW) -> DataFrame:
-    """M9: one k-dimensional bottleneck per machine.
+def window_moments(windows: DataFrame, by: list[str], arr: str = "readings", width: int = K.WINDOW) -> DataFrame:
+    """First and second moments of the windows of each group of ``by``: n and m,
+    the mean of ``[x, x x^T]`` (width + width^2 values).
 
-    Each machine's mean and second moments come from a single ``Summarizer``
-    mean over ``[x, x x^T]`` -- a partial aggregate, so a machine with a huge
-    share of the windows is summed per task, never gathered.  The per-machine
-    eigen-decompositions then run per partition over that small table (one
-    row per machine), batched with numpy."""
+    A single ``Summarizer`` mean, so a partial aggregate: a machine with a huge
+    share of the windows is summed per task, never gathered.  Rows of moments
+    add up (``add_moments``): kept per machine and day, they refit any range of
+    days without the windows.  Windows of another length are left out."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
     x = F.col(arr)
     outer = F.flatten(F.transform(x, lambda a: F.transform(x, lambda b: a * b)))
-    moments = (train.filter(F.size(x) == width)
-               .select(key, array_to_vector(F.concat(x, outer)).alias("v"))
-               .groupBy(key)
-               .agg(F.count(F.lit(1)).alias("n_train"), Summarizer.mean(F.col("v")).alias("m"))
-               .select(key, "n_train", vector_to_array("m").alias("m")))
+    return (windows.filter(F.size(x) == width).select(*by, array_to_vector(F.concat(x, outer)).alias("v"))
+            .groupBy(*by).agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(F.col("v")).alias("m"))
+            .select(*by, "n", vector_to_array("m").alias("m")))
+
+
+def add_moments(moments: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of moments added up over the groups of ``by``."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
 
+    weight = F.col("n").cast("double")
+    return (moments.select(*by, "n", weight.alias("_w"), array_to_vector("m").alias("v"))
+            .groupBy(*by).agg(F.sum("n").alias("n"), Summarizer.mean(F.col("v"), F.col("_w")).alias("m"))
+            .select(*by, "n", vector_to_array("m").alias("m")))
+
+
+def fit_from_moments(moments: DataFrame, key: str = "machine_id", k: int = K.LATENT_DIM,
+                     width: int = K.WINDOW) -> DataFrame:
+    """One k-dimensional bottleneck per row of moments (one row a machine): the
+    eigen-decompositions run per partition, batched with numpy."""
     def eig(batches):
         for pdf in batches:
             if pdf.empty:
@@ -391,18 +401,23 @@ def fit_machine_pca(train: DataFrame, key: str = "machine_id", arr: str = "readi
             M = np.stack(pdf["m"].to_numpy())                  # machines x (w + w*w)
             mu = M[:, :width]
             second = M[:, width:].reshape(-1, width, width)
-            n = pdf["n_train"].to_numpy(dtype=np.float64)[:, None, None]
+            n = pdf["n"].to_numpy(dtype=np.float64)[:, None, None]
             cov = (second - mu[:, :, None] * mu[:, None, :]) * np.where(n > 1, n / np.maximum(n - 1, 1), 1.0)
             vals, vecs = np.linalg.eigh(cov)                   # ascending eigenvalues
             # directions without variance carry nothing (fewer than k windows)
             some = vals > NO_VARIANCE * vals[:, -1:]
             top = (vecs * some[:, None, :])[:, :, ::-1][:, :, :k]   # width x k per machine
             proj = np.einsum("mik,mjk->mij", top, top).reshape(len(pdf), -1)
-            yield pd.DataFrame({key: pdf[key].to_numpy(), "n_train": pdf["n_train"].to_numpy(),
+            yield pd.DataFrame({key: pdf[key].to_numpy(), "n_train": pdf["n"].to_numpy(),
                                 "mean": list(mu), "projection": list(proj)})
 
-    schema = MODEL_SCHEMA.replace("machine_id", key)
-    return moments.mapInPandas(eig, schema)
+    return moments.select(key, "n", "m").mapInPandas(eig, MODEL_SCHEMA.replace("machine_id", key))
+
+
+def fit_machine_pca(train: DataFrame, key: str = "machine_id", arr: str = "readings",
+                    k: int = K.LATENT_DIM, width: int = K.WINDOW) -> DataFrame:
+    """M9: one k-dimensional bottleneck per machine, from the moments of its windows."""
+    return fit_from_moments(window_moments(train, [key], arr, width), key, k, width)
 
 
 def _per_row_error(width: int):

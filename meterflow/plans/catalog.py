@@ -499,6 +499,20 @@ def q_last_7_days(spark, sf_dir):
     return insights.recent_window(fx.readings_from_events(spark, sf_dir))
 
 
+@register("retrain_last_7_days")
+def q_retrain_last_7_days(spark, sf_dir):
+    """Each machine's bottleneck refitted from the daily moments of its last
+    seven days, and the errors of those days' windows under it."""
+    r = fx.readings_from_events(spark, sf_dir)
+    scaled = sequence.apply_minmax(r, sequence.fit_minmax(r)).drop("kwh").withColumnRenamed("scaled", "kwh")
+    wins = windows.trailing_windows(scaled).select("machine_id", F.col("_ord").alias("end_ord"), "timestamp", "readings")
+    path = sinks.write_table(insights.daily_moments(wins), _scratch(spark, "daily-moments"), partition_by=["day"])
+    models = insights.refit_recent(spark.read.parquet(path))
+    scored = sequence.score_per_machine(insights.recent_days(wins), models)
+    return scored.join(models.select("machine_id", "n_train"), "machine_id").select(
+        "machine_id", "end_ord", "n_train", r6("recon_error"))
+
+
 @register("lag_correlation")
 def q_lag_correlation(spark, sf_dir):
     out = insights.fleet_follow_correlation(fx.readings_from_events(spark, sf_dir))
@@ -531,15 +545,15 @@ def q_stream_scores(spark, sf_dir):
 @register("stream_metrics")
 def q_stream_metrics(spark, sf_dir):
     paths = stream_scoring_paths(spark, sf_dir)
-    log = feed.stream_of(spark, paths["log"], feed.LOG_SCHEMA)
-    return feed.run_complete(spark, feed.metrics_stream(log), "metrics")
+    log = feed.stream_of(spark, paths["log"], feed.LOG_SCHEMA, feed.files_per_slice(spark))
+    return feed.run_updates(spark, feed.metrics_stream(log), "metrics", [])
 
 
 @register("stream_latest")
 def q_stream_latest(spark, sf_dir):
     paths = stream_scoring_paths(spark, sf_dir)
-    log = feed.stream_of(spark, paths["log"], feed.LOG_SCHEMA)
-    return feed.run_complete(spark, feed.latest_stream(log), "latest")
+    log = feed.stream_of(spark, paths["log"], feed.LOG_SCHEMA, feed.files_per_slice(spark))
+    return feed.run_updates(spark, feed.latest_stream(log), "latest", ["machine_id"])
 
 
 @register("stream_last_n")
@@ -557,11 +571,13 @@ def q_stream_snapshot(spark, sf_dir):
 @register("stream_dedup")
 def q_stream_dedup(spark, sf_dir):
     paths = stream_scoring_paths(spark, sf_dir)
-    relay = feed.stream_of(spark, paths["events"], feed.LOG_SCHEMA)
-    socket = feed.stream_of(spark, paths["events"], feed.LOG_SCHEMA)
-    doubled = relay.unionByName(socket)
-    out = feed.run_append(spark, feed.dedup_events(doubled, keys=("machine_id", "end_ord")),
-                          "dedup")
+
+    def doubled():
+        relay, socket = (feed.stream_of(spark, paths["events"], feed.LOG_SCHEMA, feed.files_per_slice(spark))
+                         for _ in range(2))
+        return relay.unionByName(socket)
+
+    out = feed.run_dedup(spark, doubled, "dedup", "30 days", keys=("machine_id", "end_ord"))
     return out.select("machine_id", "end_ord", "timestamp", "recon_error", "threshold")
 
 
@@ -585,6 +601,19 @@ def q_kpi_stream(spark, sf_dir):
         spark, feed.kpi_stream(feed.read_feed(spark, src, feed.files_per_slice(spark))), "kpis")
 
 
+@register("json_feed")
+def q_json_feed(spark, sf_dir):
+    """A JSON feed with broken lines (every 97th is cut short): accepted
+    readings, and the rejected records with the id that is left in them."""
+    path = _scratch(spark, "json-feed")
+    line = F.to_json(F.struct("reading_id", "machine_id", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), "kwh"))
+    fx.readings_from_events(spark, sf_dir).select(
+        F.when(F.col("reading_id") % 97 == 0, F.left(line, F.length(line) - 9)).otherwise(line).alias("value")).write.text(path)
+    accepted, rejected = feed.run_quarantine(spark, path, "json-quarantine")
+    left = rejected.select(F.regexp_extract("record", r'"reading_id":(\d+)', 1).cast("long").alias("reading_id"))
+    return accepted.withColumn("accepted", F.lit(True)).unionByName(left.withColumn("accepted", F.lit(False)), allowMissingColumns=True)
+
+
 # --- step 8: sinks and sources round trips --------------------------------------------------
 
 KPI_SCHEMA = ("machine_id bigint, total_readings bigint, avg_kwh double, peak_kwh double, "
@@ -627,6 +656,22 @@ def q_processed_csv_ingest(spark, sf_dir):
                      "dayofweek", "is_weekend")
 
 
+@register("csv_rejects")
+def q_csv_rejects(spark, sf_dir):
+    """S3: a CSV with malformed readings, times that do not parse and negative
+    readings: what was read and what was rejected, and why."""
+    path = _scratch(spark, "csv-rejects")
+    n = F.col("reading_id")
+    (fx.readings_from_events(spark, sf_dir).select(
+        "machine_id", F.when(n % 103 == 0, F.lit("yesterday")).otherwise(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")).alias("timestamp"),
+        F.when(n % 101 == 0, F.lit("n/a")).when(n % 107 == 0, F.lit("-1")).otherwise(F.col("kwh").cast("string")).alias("kwh"),
+        n.cast("string").alias("tag")).write.option("header", True).csv(path))
+    good, rejects = files.ingest_with_rejects(spark, path)
+    left = rejects.select("reason", F.regexp_extract("record", r'(\d+)"?}?$', 1).alias("tag"))
+    out = good.select("tag", "machine_id", "kwh", F.lit("read").alias("reason")).unionByName(left, allowMissingColumns=True)
+    return out.select(F.col("tag").cast("long").alias("reading_id"), "machine_id", "kwh", "reason")
+
+
 @register("model_roundtrip")
 def q_model_roundtrip(spark, sf_dir):
     scored, scorer = pca_scored(spark, sf_dir)

@@ -774,3 +774,31 @@ ORACLE["alert_records"] = ORACLE["alert_json"].replace(
 
 ORACLE["stream_windows_batched"] = ORACLE["stream_windows"]
 ORACLE["stream_scores_batched"] = ORACLE["stream_scores"]
+
+ORACLE["retrain_last_7_days"] = f"""WITH RECURSIVE {READINGS},
+bounded AS (
+  SELECT *, min(kwh) OVER (PARTITION BY machine_id) AS lo, max(kwh) OVER (PARTITION BY machine_id) AS hi FROM readings),
+escaled AS (SELECT *, CASE WHEN hi - lo = 0 THEN kwh - lo ELSE (kwh - lo) / (hi - lo) END AS x FROM bounded),
+ended AS (
+  SELECT machine_id, CAST("timestamp" AS DATE) AS day, row_number() OVER ({MWIN}) - 1 AS end_ord,
+    list(x) OVER ({MWIN} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS l
+  FROM escaled),
+recent AS (
+  SELECT * FROM (SELECT * FROM ended WHERE end_ord >= 23)
+  QUALIFY day > max(day) OVER (PARTITION BY machine_id) - 7),
+{bottleneck_sql('recent', 'machine_id')}
+SELECT machine_id, end_ord, count(*) OVER (PARTITION BY machine_id) AS n_train,
+  round({recon_sql()}, 6) AS recon_error
+FROM recent JOIN model USING (machine_id)"""
+
+ORACLE["json_feed"] = f"""WITH {READINGS}
+SELECT reading_id, CASE WHEN ok THEN machine_id END AS machine_id, CASE WHEN ok THEN "timestamp" END AS "timestamp",
+  CASE WHEN ok THEN kwh END AS kwh, ok AS accepted
+FROM (SELECT *, reading_id % 97 <> 0 AS ok FROM readings)"""
+
+ORACLE["csv_rejects"] = f"""WITH {READINGS}
+SELECT reading_id, CASE WHEN reason = 'read' THEN CAST(machine_id AS INTEGER) END AS machine_id,
+  CASE WHEN reason = 'read' THEN kwh END AS kwh, reason
+FROM (SELECT *, CASE WHEN reading_id % 101 = 0 THEN 'malformed' WHEN reading_id % 103 = 0 THEN 'timestamp'
+                     WHEN reading_id % 107 = 0 OR kwh IS NULL OR kwh < 0 THEN 'kwh' ELSE 'read' END AS reason
+      FROM readings)"""

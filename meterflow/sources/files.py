@@ -44,16 +44,24 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
 
 
-def read_csv_by_name(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+CORRUPT = "_corrupt_record"
+
+
+def read_csv_by_name(spark: SparkSession, path: str, schema: T.StructType, corrupt: str | None = None) -> DataFrame:
     """Read a headed CSV with the types of ``schema`` for the columns the file
     has, matched by name; columns unknown to ``schema`` are read as strings.
-    A folder whose files differ in their header raises instead of mixing columns."""
+    A folder whose files differ in their header raises instead of mixing columns.
+    A value that does not fit its type becomes null; ``corrupt`` names a column
+    for the text of such lines."""
     types = {f.name: f.dataType for f in schema.fields}
     header = csv_header(spark, path)
     file_schema = T.StructType([T.StructField(c, types.get(c, T.StringType()), True) for c in header])
-    return (spark.read.option("header", True).option("nullValue", "")
-            .option("mode", "PERMISSIVE").option("enforceSchema", False)
-            .schema(file_schema).csv(path))
+    reader = (spark.read.option("header", True).option("nullValue", "")
+              .option("mode", "PERMISSIVE").option("enforceSchema", False))
+    if corrupt:                                      # all columns are parsed, whichever are asked for
+        file_schema = file_schema.add(corrupt, T.StringType())
+        reader = reader.option("columnNameOfCorruptRecord", corrupt).option("columnPruning", False)
+    return reader.schema(file_schema).csv(path)
 
 
 def ingest_processed(spark: SparkSession, path: str, fallback: str | None = None) -> DataFrame:
@@ -70,6 +78,39 @@ def ingest_processed(spark: SparkSession, path: str, fallback: str | None = None
     return prep.fill_missing_columns(df)
 
 
+def ingest_with_rejects(spark: SparkSession, path: str, fallback: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """S3 with a quarantine: (readings, rejects); together they hold every line.
+
+    ``rejects`` has the reason and the record of each line that is no reading:
+    ``malformed`` (a value that does not fit its column, or too few or many of
+    them), ``timestamp`` (a time that does not parse) or ``kwh`` (a missing or
+    negative reading).  The record is the line's values as JSON, or the line as
+    it stands if its values do not match the header.  Values are read as text
+    and cast here: the CSV reader itself looks only at the columns that a query
+    asks for, and would find other lines malformed in each.  Both results are
+    plans over the same files; write the rejects next to their table."""
+    types = {f.name: f.dataType for f in processed_schema().fields}
+    text = T.StructType([T.StructField(n, T.StringType()) for n in types])
+    df = read_csv_by_name(spark, resolve_source(spark, path, fallback), text, corrupt=CORRUPT)
+    columns = [c for c in df.columns if c != CORRUPT]
+    typed = {c: F.col(c).try_cast("timestamp_ntz" if c == "timestamp" else types.get(c, T.StringType())) for c in columns}
+    lost = {c: F.col(c).isNotNull() & typed[c].isNull() for c in columns}
+    malformed = F.col(CORRUPT).isNotNull()
+    for c in columns:
+        if c != "timestamp":
+            malformed = malformed | lost[c]
+    reason = F.when(malformed, F.lit("malformed"))
+    if "timestamp" in columns:
+        reason = reason.when(lost["timestamp"], F.lit("timestamp"))
+    if "kwh" in columns:
+        reason = reason.when(typed["kwh"].isNull() | (typed["kwh"] < 0), F.lit("kwh"))
+    judged = df.withColumn("_reason", reason)
+    rejects = judged.filter(F.col("_reason").isNotNull()).select(
+        F.col("_reason").alias("reason"), F.coalesce(CORRUPT, F.to_json(F.struct(*columns))).alias("record"))
+    good = judged.filter(F.col("_reason").isNull()).select(*[typed[c].alias(c) for c in columns])
+    return prep.fill_missing_columns(good), rejects
+
+
 def read_raw_readings(spark: SparkSession, path: str, meter: int = 0, machines=None) -> DataFrame:
     """S1 + P1: raw readings CSV, one meter type and optionally a machine set;
     the file is split across tasks instead of read in chunks."""

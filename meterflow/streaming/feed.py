@@ -71,15 +71,47 @@ def files_per_slice(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+CORRUPT = "_corrupt_record"
+
+
 def read_feed(spark: SparkSession, path: str, files_per_batch: int | None = None,
-              schema: str = READING_SCHEMA, fmt: str = "parquet") -> DataFrame:
-    """A stream of readings files (parquet or JSON) with a fixed schema."""
+              schema: str = READING_SCHEMA, fmt: str = "parquet", keep_corrupt: bool = False) -> DataFrame:
+    """A stream of readings files (parquet or JSON) with a fixed schema.
+    ``keep_corrupt`` adds the text of lines that do not fit it (JSON, CSV)."""
+    if keep_corrupt:
+        schema = f"{schema}, {CORRUPT} string"
     reader = spark.readStream.schema(schema).format(fmt)
+    if keep_corrupt:
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.load(path)
 
 
+def quarantine_writer(accepted: str, rejected: str):
+    """Each batch's lines in two tables, a folder a batch: readings that fit the
+    schema, and the text of the lines that do not.  None is lost."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            (batch.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+             .write.mode("overwrite").parquet(f"{accepted}/b{batch_id:08d}"))
+            (batch.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("record"))
+             .write.mode("overwrite").parquet(f"{rejected}/b{batch_id:08d}"))
+        finally:
+            batch.unpersist()
+    return write
+
+
+def run_quarantine(spark: SparkSession, path: str, name: str, schema: str = READING_SCHEMA, fmt: str = "json",
+                   files_per_batch: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Read a feed to its end; (accepted readings, rejected records)."""
+    run = new_run_dir(spark, name)
+    lines = read_feed(spark, path, files_per_batch, schema, fmt, keep_corrupt=True)
+    run_available(lines.writeStream.foreachBatch(quarantine_writer(f"{run}/accepted", f"{run}/rejected")), f"{run}/ckpt")
+    return (read_table(spark, f"{run}/accepted", schema), read_table(spark, f"{run}/rejected", "record string"))
+
+
 # --- T1: per-machine sliding window state -----------------------------------------------------
 
 WINDOW_OUT = "machine_id bigint, end_ord long, end_us long, readings array<double>"
@@ -245,6 +277,43 @@ def overwrite_writer(path: str):
     return write
 
 
+UPSERT_BATCH = "_batch"
+
+
+def upsert_writer(path: str):
+    """Sink for update-mode aggregates: the groups that a batch changed go to
+    the batch's own folder, overwritten when the batch is replayed.  The state
+    of the table is each group's row of its newest batch (``read_upserts``)."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn(UPSERT_BATCH, F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
+            f"{path}/b{batch_id:08d}")
+    return write
+
+
+def read_upserts(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
+    """The current row of each group (of the only group without ``keys``): a
+    partial aggregate over the changes, not a window."""
+    changes = read_table(spark, path, f"{schema}, {UPSERT_BATCH} long")
+    columns = [c for c in changes.columns if c not in (*keys, UPSERT_BATCH)]
+    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*columns), UPSERT_BATCH).alias("_r"))
+    return newest.where("_r is not null").select(*keys, "_r.*")
+
+
+def compact_upserts(spark: SparkSession, path: str, out: str, schema: str, keys: list[str]) -> str:
+    """The current rows as one first batch of a new table at ``out``: later
+    batches may be copied behind it, so that reads stay short."""
+    upsert_writer(out)(read_upserts(spark, path, schema, keys), 0)
+    return out
+
+
+def run_updates(spark: SparkSession, agg: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Run an aggregate in update mode to completion and read its table."""
+    run = new_run_dir(spark, name)
+    run_available(agg.writeStream.outputMode("update").foreachBatch(upsert_writer(f"{run}/table")), f"{run}/ckpt")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in agg.schema)
+    return read_upserts(spark, f"{run}/table", schema, keys)
+
+
 # --- T9/T10 -----------------------------------------------------------------------------------------
 
 def enrich_stream(feed: DataFrame, metadata: DataFrame, key: str = "building_id") -> DataFrame:
@@ -267,6 +336,42 @@ def dedup_events(events: DataFrame, ts: str = "timestamp", delay: str | None = N
             .dropDuplicatesWithinWatermark(["_event_time", *keys]).drop("_event_time"))
 
 
+def late_writer(maxima: str, late: str, delay: str, ts: str = "timestamp"):
+    """The rows that a watermark of ``delay`` may call late, batch by batch:
+    those at or below the greatest time of this batch and all before, less
+    ``delay``.  A batch's greatest time is one row in its own folder, so a
+    replayed batch finds the same limit and overwrites the same output."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        (batch.agg(F.max(ts).alias("top")).withColumn("id", F.lit(batch_id).cast("long"))
+         .write.mode("overwrite").parquet(f"{maxima}/b{batch_id:08d}"))
+        limit = (spark.read.schema("top timestamp_ntz, id long").parquet(f"{maxima}/*").where(F.col("id") <= batch_id)
+                 .agg((F.max("top") - F.expr(f"INTERVAL {delay}")).alias("_limit")))
+        (batch.crossJoin(F.broadcast(limit)).where(F.col(ts) <= F.col("_limit")).drop("_limit")
+         .write.mode("overwrite").parquet(f"{late}/b{batch_id:08d}"))
+    return write
+
+
+def run_dedup(spark: SparkSession, events, name: str, delay: str, keys: tuple = ("machine_id", "recon_error"),
+              ts: str = "timestamp") -> DataFrame:
+    """T10 with bounded state and no event lost: doubled events that arrive
+    within ``delay`` go through the watermark's state; what the watermark drops
+    as late is routed to a late table, deduplicated and added unless the event
+    is out already (an anti-join with the late rows, few as they are).
+
+    ``events`` is a function that returns the stream, read by two queries."""
+    run = new_run_dir(spark, name)
+    schema = events().schema
+    run_available(dedup_events(events(), ts, delay, keys).writeStream.format("parquet").option("path", f"{run}/first"),
+                  f"{run}/ckpt-first")
+    run_available(events().writeStream.foreachBatch(late_writer(f"{run}/maxima", f"{run}/late", delay, ts)),
+                  f"{run}/ckpt-late")
+    first = spark.read.schema(schema).parquet(f"{run}/first")
+    late = read_table(spark, f"{run}/late", schema).dropDuplicates([ts, *keys])
+    same = [late[c].eqNullSafe(first[c]) for c in (ts, *keys)]
+    return first.unionByName(late.join(first, same, "left_anti"))
+
+
 # --- runners ------------------------------------------------------------------------------------------
 
 LOG_SCHEMA = ("timestamp timestamp_ntz, machine_id bigint, end_ord long, actual_kwh double, "
@@ -302,9 +407,9 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/*")
 
 
-def stream_of(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def stream_of(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
     """A stream over a sink folder written batch by batch (the next hop)."""
-    return spark.readStream.schema(schema).parquet(f"{path}/*")
+    return read_feed(spark, f"{path}/*", files_per_batch, schema)
 
 
 def run_complete(spark: SparkSession, agg: DataFrame, name: str) -> DataFrame:
