@@ -198,24 +198,29 @@ def label_rates(kpis: DataFrame, key: str = "machine_id", pct: str = "anomaly_ra
 def normalise_messages(messages: DataFrame) -> DataFrame:
     """Parse relay messages of two shapes (scored data points and alarm
     messages) and fill one event shape: first non-empty of the aliases,
-    constant defaults, ``is_anomaly`` set for alarms (the alarm shape has no
-    flag of its own)."""
+    constant defaults.  A data point gives one event.  An alarm gives an anomaly
+    event (``from_alarm``; the alarm has no flag of its own, so it is set), and,
+    when it names a machine and brings its readings, the data point of those
+    readings too."""
     schema = ("type string, machine_id bigint, kwh double, readings array<double>, "
               "recon_error double, error double, threshold double, is_anomaly boolean, "
               "timestamp string")
     m = messages.withColumn("m", F.from_json("message", schema)).select("m.*")
     is_alarm = F.coalesce(F.col("type") == K.ALARM_TYPE, F.lit(False))
+    has_point = ~is_alarm | (F.col("readings").isNotNull() & F.col("machine_id").isNotNull())
+    kinds = F.filter(F.array(F.when(has_point, F.lit(False)), F.when(is_alarm, F.lit(True))), lambda k: k.isNotNull())
+    m = m.select("*", F.explode(kinds).alias("from_alarm"))
     return m.select(
         "machine_id",
-        C.first_nonzero(F.col("kwh"), F.when(~is_alarm, C.last_element("readings")),
+        C.first_nonzero(F.col("kwh"), F.when(~F.col("from_alarm"), C.last_element("readings")),
                         default=F.lit(0.0)).alias("kwh"),
-        F.when(is_alarm, C.first_nonzero(F.col("error"), F.col("recon_error"), default=F.lit(0.0)))
+        F.when(F.col("from_alarm"), C.first_nonzero(F.col("error"), F.col("recon_error"), default=F.lit(0.0)))
         .otherwise(C.first_nonzero(F.col("recon_error"), F.col("error"), default=F.lit(0.0))
                    ).alias("recon_error"),
         C.first_nonzero(F.col("threshold"), default=F.lit(K.DEFAULT_THRESHOLD)).alias("threshold"),
         (F.coalesce(F.col("is_anomaly"), F.lit(False)) | is_alarm).alias("is_anomaly"),
         F.col("timestamp"),
-        is_alarm.alias("from_alarm"),
+        "from_alarm",
     )
 
 

@@ -383,7 +383,8 @@ def q_rate_band(spark, sf_dir):
 
 def relay_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relay messages from the log: a data point per row and an alarm per
-    flagged row, emitted together from one pass (``explode``)."""
+    flagged row (with readings for machines of even id), emitted together from
+    one pass (``explode``)."""
     log = scored_log(spark, sf_dir)
     iso = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss")
     point = F.to_json(F.struct(
@@ -391,7 +392,8 @@ def relay_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("is_anomaly") == 1).alias("is_anomaly"), iso.alias("timestamp")))
     alarm = F.when(F.col("is_anomaly") == 1, F.to_json(F.struct(
         F.lit(K.ALARM_TYPE).alias("type"), "machine_id",
-        F.round("recon_error", 4).alias("error"), iso.alias("timestamp"))))
+        F.round("recon_error", 4).alias("error"), iso.alias("timestamp"),
+        F.when(F.col("machine_id") % 2 == 0, F.array(F.lit(1.0), F.col("actual_kwh"))).alias("readings"))))
     msgs = F.filter(F.array(point, alarm), lambda m: m.isNotNull())
     return log.select(F.explode(msgs).alias("message"))
 

@@ -564,7 +564,12 @@ UNION ALL
 SELECT machine_id, 0.0 AS kwh, coalesce(nullif({r4('recon_error')}, 0), 0.0) AS recon_error,
   0.0979 AS threshold, true AS is_anomaly,
   strftime("timestamp", '%Y-%m-%dT%H:%M:%S') AS "timestamp", true AS from_alarm
-FROM log WHERE is_anomaly = 1"""
+FROM log WHERE is_anomaly = 1
+UNION ALL
+SELECT machine_id, coalesce(nullif(actual_kwh, 0), 0.0) AS kwh,
+  coalesce(nullif({r4('recon_error')}, 0), 0.0) AS recon_error, 0.0979 AS threshold, true AS is_anomaly,
+  strftime("timestamp", '%Y-%m-%dT%H:%M:%S') AS "timestamp", false AS from_alarm
+FROM log WHERE is_anomaly = 1 AND machine_id % 2 = 0"""
 
 ORACLE["what_if_scale"] = f"""WITH {MONTHLY_READINGS},
 f AS (
