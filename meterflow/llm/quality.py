@@ -15,8 +15,9 @@ import math
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -234,6 +235,18 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                       F.col("_score").alias("score"))
 
 
+def score_column(docs: DataFrame, model: dict, text_col: str = "text") -> Column:
+    """The score of each row's text as a column: only the text travels to
+    Python, once, and only the score comes back; the rows stay where they are.
+    Null and empty texts, null ids and repeated rows are as in ``score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(scores(_matrix(texts.tolist()), shared.value))
+
+    return F.pandas_udf(run, "double")(common.text_of(text_col))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
