@@ -20,11 +20,12 @@ REJECT_BELOW = 0.3
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject.  The model is
-    trained on labelled rows among ``docs`` that are not held out."""
+    trained on labelled rows among ``docs`` that are not held out.  A null or
+    empty text gets the score of its features (all 0) like any other, repeated
+    rows stay or go together, an empty table stays empty."""
     ship_package(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    keep = tuple(c for c in docs.columns if c != "doc_id")
-    return quality.score(docs, model, keep=keep).where(F.col("score") >= REJECT_BELOW).select(*docs.columns)
+    return docs.where(quality.score_column(docs, model) >= REJECT_BELOW)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
