@@ -197,12 +197,16 @@ def test_near_dedup_odd_rows(odd):
     assert {r.component_id for r in got if r.n_shingles == 0} == {None, 2, 3}
 
 
-def test_components_of_chain_and_hub(spark):
+@pytest.mark.parametrize("bound", [250_000, 30])
+def test_components_of_chain_and_hub(spark, monkeypatch, bound):
+    monkeypatch.setattr(near_dedup, "TASK_EDGES", bound)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(300, 200)]
     got = near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()
     comp = {r.vid: r.comp for r in got}
     assert all(comp[i] == 0 for i in range(1, 41))
     assert all(comp[i] == 100 for i in range(101, 160)) and comp[300] == 200
+    none = spark.createDataFrame([], "a long, b long")
+    assert near_dedup.components(none).count() == 0
 
 
 def _brute_ranges(texts, n=50):
