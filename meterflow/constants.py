@@ -9,7 +9,6 @@ together, in plain form, so they can be checked at a glance.
 WINDOW = 24                # readings per sequence (one day of hourly readings)
 LATENT_DIM = 8             # bottleneck width of the sequence model
 TRAIN_SPLIT = 0.80         # chronological train fraction
-EDGE_STEPS = 200           # scoring steps in the held-out tail
 
 # --- fixed values: anomaly rules -----------------------------------------
 SPIKE_FACTOR = 1.5         # kwh > 1.5 x rolling mean; also actual > 1.5 x forecast

@@ -82,23 +82,6 @@ def expected_load(ts: str | Column) -> Column:
 
 # --- arrays (F9, F10, A12) -----------------------------------------------------
 
-def minmax_scale_array(arr: str | Column, lo: str | Column, hi: str | Column) -> Column:
-    """Scale each element to [0, 1]; a zero range maps to 0 (as a fitted
-    min-max scaler does)."""
-    lo_c, hi_c = col(lo), col(hi)
-    rng = hi_c - lo_c
-    return F.transform(
-        col(arr),
-        lambda x: F.when(rng == 0, (x - lo_c)).otherwise((x - lo_c) / rng),
-    )
-
-
-def mean_abs_diff(a: str | Column, b: str | Column) -> Column:
-    """Mean absolute difference of two equal-length arrays."""
-    diffs = F.zip_with(col(a), col(b), lambda x, y: F.abs(x - y))
-    return F.aggregate(diffs, F.lit(0.0), lambda acc, x: acc + x) / F.size(col(a))
-
-
 def last_element(arr: str | Column) -> Column:
     return F.element_at(col(arr), -1)
 

@@ -21,9 +21,3 @@ def add_anomaly_flags(df: DataFrame, value: str = "kwh", mean: str = "rolling_av
         .withColumn("zscore_flag", C.z_rule("z_score", z_limit))
         .withColumn("is_anomaly", F.greatest("spike_flag", "drop_flag", "zscore_flag"))
     )
-
-
-def add_recon_flag(df: DataFrame, error: str = "recon_error",
-                   threshold: str = "threshold") -> DataFrame:
-    """Reconstruction rule, strict ``error > threshold``."""
-    return df.withColumn("is_anomaly", F.col(error) > F.col(threshold))
