@@ -35,7 +35,7 @@ COORDINATES = 64
 TREES = 4
 #: Minwise tokens a node selects at the root, and below it.
 ROOT_BRANCHES, BRANCHES, JOINT = 2, 3, 4
-NODE_LIMIT = 2048
+NODE_LIMIT = 256
 #: Smallest shingle hashes that a class keeps to estimate likeness with.
 SKETCH = 192
 
