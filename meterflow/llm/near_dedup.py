@@ -6,8 +6,8 @@
 2. Independent trees branch the classes: a node's members go to children by
    the minwise tokens that the node selects.  Nodes of one member end.
 3. Small nodes are compared exhaustively on signatures.  The edges of a
-   spanning forest are confirmed first, on full sets; other pairs only if they
-   would still join two components.  In a large node every member is compared
+   spanning forest are confirmed first, on full sets; where one of them fails,
+   all pairs of the node that would still join two components.  In a large node every member is compared
    with the node's first member.  If all but few members are then in one
    component, those few are compared with all the members, in blocks, and the
    node ends; else it branches.  So a dense group of near copies neither needs
@@ -35,7 +35,7 @@ COORDINATES = 64
 TREES = 4
 #: Minwise tokens a node selects at the root, and below it.
 ROOT_BRANCHES, BRANCHES, JOINT = 2, 3, 4
-NODE_LIMIT = 256
+NODE_LIMIT = 4096
 #: Smallest shingle hashes that a class keeps to estimate likeness with.
 SKETCH = 192
 
@@ -227,14 +227,32 @@ def _may_link(x: np.ndarray, y: np.ndarray, n: int, m: int, share: float) -> boo
     return (twice & (rank <= k)).sum() >= k * _floor(share, k)
 
 
-def _node_pairs(share: float):
-    """All pairs of each small node whose signatures, sketches and sizes allow
-    the share; ``first`` marks a spanning forest of them.  Rows come sorted by
+def _node_pairs(share: float, forest: bool):
+    """(a, b, path): the pairs of each small node, of different components, whose
+    signatures, sketches and sizes allow the share; with ``forest`` only a
+    spanning forest of them, the likeliest pairs first.  Rows come sorted by
     node, so only the last node of a batch waits for the next one."""
     least = _floor(share, COORDINATES)
 
-    def node(vid, comp, n, sig, low):
-        found, root = [], list(range(len(vid)))
+    def node(path, vid, comp, n, sig, low):
+        at, to, alike = [], [], []
+        for i in range(len(vid) - 1):
+            m = n[i + 1:]
+            ok = np.flatnonzero((comp[i + 1:] != comp[i]) & (np.minimum(m, n[i]) >= share * np.maximum(m, n[i]) - 1e-9))
+            like = (sig[i + 1:][ok] == sig[i]).mean(axis=1)
+            ok, like = ok[like >= least], like[like >= least]
+            at.append(np.full(len(ok), i))
+            to.append(ok + i + 1)
+            alike.append(like)
+        if not at:
+            return
+        order = np.argsort(-np.concatenate(alike), kind="stable")
+        at, to = np.concatenate(at)[order].tolist(), np.concatenate(to)[order].tolist()
+        root = list(range(len(vid)))
+        if forest:                                   # members of one component are one tree from the start
+            first: dict[int, int] = {}
+            root = [first.setdefault(int(c), i) for i, c in enumerate(comp)]
+        trees = len(set(root))
 
         def find(x):
             while root[x] != x:
@@ -242,16 +260,15 @@ def _node_pairs(share: float):
                 x = root[x]
             return x
 
-        for i in range(len(vid) - 1):
-            m = n[i + 1:]
-            ok = np.flatnonzero((comp[i + 1:] != comp[i]) & (np.minimum(m, n[i]) >= share * np.maximum(m, n[i]) - 1e-9))
-            like = (sig[i + 1:][ok] == sig[i]).mean(axis=1)
-            found += [(-like[k], i, i + 1 + j) for k, j in enumerate(ok)
-                      if like[k] >= least and _may_link(low[i], low[i + 1 + j], n[i], m[j], share)]
-        for _, i, j in sorted(found):
-            x, y = find(i), find(j)
-            root[x] = y
-            yield min(vid[i], vid[j]), max(vid[i], vid[j]), x != y
+        for i, j in zip(at, to):
+            x, y = (find(i), find(j)) if forest else (i, j)
+            if x != y and _may_link(low[i], low[j], n[i], n[j], share):
+                yield min(vid[i], vid[j]), max(vid[i], vid[j]), path
+                if forest:
+                    root[max(x, y)] = min(x, y)
+                    trees -= 1
+                    if trees == 1:
+                        return
 
     def whole(table: pa.Table, to: int | None) -> list[tuple]:
         """The pairs of the nodes that end before row ``to``."""
@@ -260,12 +277,11 @@ def _node_pairs(share: float):
         low = [np.frombuffer(v, "<u4") for v in table.column("low").to_pylist()]
         ends = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1), len(path)]
         return [pair for i, j in zip(ends, ends[1:]) if to is None or j <= to
-                for pair in node(vid[i:j], comp[i:j], n[i:j], sig[i:j], low[i:j])]
+                for pair in node(int(path[i]), vid[i:j], comp[i:j], n[i:j], sig[i:j], low[i:j])]
 
     def out(pairs: list[tuple]) -> pa.RecordBatch:
-        a, b, first = zip(*pairs) if pairs else ((), (), ())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(map(bool, first), pa.bool_())], ["a", "b", "first"])
+        cols = list(zip(*pairs)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "path"])
 
     def run(batches):
         rest = None
@@ -311,8 +327,7 @@ def link_classes(classes: DataFrame, base: DataFrame, words: int, share: tuple[i
     rows = classes.select("vid", F.explode(F.array(*[
         F.xxhash64(F.lit(int(i)), F.col("sig")[int(i)]) for i in spread])).alias("path"))
     slim = classes.select("vid", "n", "sig")
-    links = comps = None
-    sets, known = None, None
+    comps = sets = known = None
     level, fresh = 0, True
     while True:
         level += 1
@@ -337,39 +352,51 @@ def link_classes(classes: DataFrame, base: DataFrame, words: int, share: tuple[i
         block = F.when(F.col("main"), F.array(F.pmod(F.xxhash64("vid"), blocks).cast("int"))).otherwise(
             F.sequence(F.lit(0), blocks - 1))
         small = (live.where("ends").select("vid", "comp", "path", F.explode(block).alias("block"))
-                 .select("vid", "comp", F.xxhash64("path", "block").alias("path"))
-                 .join(classes.select("vid", "n", "sig", "low"), "vid"))
-        pairs = (small.repartition("path").sortWithinPartitions("path")
-                 .mapInArrow(_node_pairs(least), "a long, b long, first boolean"))
+                 .select("vid", "comp", F.xxhash64("path", "block").alias("path")))
         large = live.where("not ends")
         star = (large.where("vid <> pivot").select("vid", "pivot").distinct()
                 .join(slim, "vid")
                 .join(slim.select(F.col("vid").alias("pivot"), F.col("n").alias("pn"), F.col("sig").alias("psig")), "pivot")
                 .where((F.least("n", "pn") >= least * F.greatest("n", "pn") - 1e-9) & (_likeness("sig", "psig") >= floor - 1e-9))
-                .select(F.col("pivot").alias("a"), F.col("vid").alias("b"), F.lit(True).alias("first")))
-        pairs = common.materialise(
-            (pairs.unionAll(star) if fresh else pairs).groupBy("a", "b").agg(F.max("first").alias("first")), f"pairs_{level}")
-        met = pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct()
-        if known is not None:
-            met = met.join(known, "vid", "left_anti")
-        new = common.materialise(classes.select("vid", "_id", "_th").join(met, "vid"), f"met_{level}")
-        if not new.isEmpty():
-            more = common.materialise(_sets(base, words, new), f"sets_{level}")
-            sets = more if sets is None else sets.unionAll(more)
-            known = new.select("vid") if known is None else known.unionAll(new.select("vid"))
-        if sets is not None and not pairs.isEmpty():
-            for step in ("first", "not first"):
-                todo = pairs.where(step).select("a", "b")
-                if comps is not None:            # only pairs that would still join two components
-                    ca, cb = (comps.select(F.col("vid").alias(v), F.col("comp").alias(f"c{v}")) for v in "ab")
-                    todo = (todo.join(ca, "a", "left").join(cb, "b", "left")
-                            .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-                found = common.materialise(_confirm(todo, sets, share), f"links_{level}")
-                if found.isEmpty():
-                    continue
-                old = comps
-                links = found if old is None else found.unionAll(old.select(F.col("vid").alias("a"), F.col("comp").alias("b")))
+                .select(F.col("pivot").alias("a"), F.col("vid").alias("b"), F.lit(None).cast("long").alias("path")))
+        failed = None
+        # a spanning forest of each node first; where one of its pairs is no link, all pairs that could still join
+        for forest in (True, False):
+            rows = small
+            if not forest:
+                rows = small.join(failed, "path", "left_semi")
+                if comps is not None:
+                    rows = rows.drop("comp").join(comps, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
+            pairs = (rows.join(classes.select("vid", "n", "sig", "low"), "vid")
+                     .repartition("path").sortWithinPartitions("path").select("path", "vid", "comp", "n", "sig", "low")
+                     .mapInArrow(_node_pairs(least, forest), "a long, b long, path long"))
+            if forest and fresh:
+                pairs = pairs.unionAll(star)
+            if not forest:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = common.materialise(pairs, f"pairs_{level}")
+            todo = pairs.select("a", "b").distinct()
+            met = todo.select(F.explode(F.array("a", "b")).alias("vid")).distinct()
+            if known is not None:
+                met = met.join(known, "vid", "left_anti")
+            new = common.materialise(classes.select("vid", "_id", "_th").join(met, "vid"), f"met_{level}")
+            if not new.isEmpty():
+                more = common.materialise(_sets(base, words, new), f"sets_{level}")
+                sets = more if sets is None else sets.unionAll(more)
+                known = new.select("vid") if known is None else known.unionAll(new.select("vid"))
+            if sets is None or pairs.isEmpty():
+                break
+            found = common.materialise(_confirm(todo, sets, share), f"links_{level}")
+            tried = todo
+            if not found.isEmpty():
+                links = found if comps is None else found.unionAll(
+                    comps.select(F.col("vid").alias("a"), F.col("comp").alias("b")))
                 comps = components(links)
+            if forest:
+                failed = common.materialise(
+                    pairs.where("path is not null").join(found, ["a", "b"], "left_anti").select("path").distinct(), f"failed_{level}")
+                if failed.isEmpty():
+                    break
         if large.isEmpty():
             break
         chosen = [F.xxhash64("path", F.lit(k), *[
