@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import uuid
 
@@ -26,16 +28,37 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+_GROUP: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch_group", default=None)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once under ``spark.checkpoint.dir`` and return the table
     reread.  Later plans start from these files, so a lost executor neither
     recomputes the steps before nor sees other row ids."""
     spark = df.sparkSession
-    path = f"{scratch_path(spark, 'llm')}/{uuid.uuid4().hex}/{name}"
+    path = f"{_GROUP.get() or scratch_path(spark, 'llm')}/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch_group(spark: SparkSession):
+    """The folder of all tables that ``materialise`` writes inside the block, to
+    be removed with ``discard`` once nothing reads them."""
+    path = f"{scratch_path(spark, 'llm')}/group-{uuid.uuid4().hex}"
+    token = _GROUP.set(path)
+    try:
+        yield path
+    finally:
+        _GROUP.reset(token)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder and all tables in it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -26,6 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -344,8 +345,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     ranges = repeated_ranges(docs, id_col, text_col, length, buckets, chunk_bytes)
     names = [c for c in docs.columns if c.lower() not in RESULT]
-    rows = docs.select(F.struct(*common.without(docs, *RESULT)).alias("_row"), F.col(id_col).alias("_iid"), F.col(text_col).alias("_itext"))
+    # the text itself travels once, as bytes
+    as_body = [text_col] if isinstance(docs.schema[text_col].dataType, T.StringType) else []
+    rows = docs.select(F.struct(F.col(text_col).isNull().alias("_void"), *common.without(docs, *RESULT, *as_body)).alias("_row"),
+                       F.col(id_col).alias("_iid"), F.col(text_col).alias("_itext"))
     rows = _keyed(rows, "_iid", "_itext", "_row")
+    text = F.when(~F.col("_row")["_void"], F.col("_body").cast("string"))
     # texts outside the bitmap have no range and go straight through; the rest meet their ranges
     shared = docs.sparkSession.sparkContext.broadcast(common.bitmap(ranges, "_key", "_tag"))
     maybe = F.pandas_udf(lambda p: pd.Series(common.in_bitmap(shared.value, p.to_numpy())), "boolean")(
@@ -359,7 +364,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     part = F.zip_with(from_, to, lambda a, b: F.hex(F.substring(F.col("_body"), (a + 1).cast("int"), (b - a).cast("int"))))
     kept = F.when(F.col("removed").isNull(), F.col("_body")).otherwise(F.unhex(F.array_join(part, "")))
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    return rows.select(*[F.col("_row")[c].alias(c) for c in names], size.cast("long").alias("n_bytes"),
+    return rows.select(*[(text if c in as_body else F.col("_row")[c]).alias(c) for c in names], size.cast("long").alias("n_bytes"),
                        F.coalesce("removed", none).alias("removed"), kept.alias("kept_bytes"))
 
 
