@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import sys
 
@@ -18,37 +19,61 @@ from meterflow.session import ship_package  # noqa: E402
 REJECT_BELOW = 0.3
 
 
+#: Scratch folder of the stage that ran last.
+_LEFT: list[str] = []
+
+
+def _stage(function):
+    """A stage that removes the scratch tables of the stage before: whoever calls
+    it has written that stage's rows by then (``docs`` is read from them).  A
+    folder that ``docs`` still reads stays."""
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        files = docs.inputFiles() if _LEFT else []
+        for path in [p for p in _LEFT if not any(os.path.basename(p) in f for f in files)]:
+            common.discard(spark, path)
+            _LEFT.remove(path)
+        with common.scratch_group(spark) as path:
+            out = function(spark, docs, sf_dir)
+        _LEFT.append(path)
+        return out
+    return run_stage
+
+
+@_stage
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject.  The model is
     trained on labelled rows among ``docs`` that are not held out.  A null or
     empty text gets the score of its features (all 0) like any other, repeated
     rows stay or go together, an empty table stays empty."""
-    ship_package(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(quality.score_column(docs, model) >= REJECT_BELOW)
 
 
+@_stage
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest doc_id stays."""
-    ship_package(spark)
     return exact_dedup.exact_dedup(docs).where("kept").select(*docs.columns)
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that of the smallest
-    doc_id.  Five-word shingles, similarity 0.8 or more."""
-    ship_package(spark)
+    doc_id.  Five-word shingles, similarity 0.8 or more.  Null and empty texts
+    are no copies of anything, repeated rows stay or go together, an empty table
+    stays empty."""
     gone = near_dedup.near_dedup(docs, words=5, share=(80, 100)).where("not kept").select(
         F.col("doc_id").alias("_gone"), "text_hash").distinct()
     text_hash = F.xxhash64(common.text_of("text"))
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (text_hash == gone["text_hash"]), "left_anti")
 
 
+@_stage
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes or more that a smaller doc_id also has go; a
     character cut at an edge becomes U+FFFD.  Documents that lose all
     their bytes go; those that had none stay."""
-    ship_package(spark)
     kept = suffix_dedup.suffix_dedup(docs)
     cut = F.size("removed") > 0
     text = F.when(cut, F.make_valid_utf8(F.col("kept_bytes").cast("string"))).otherwise(F.col("text"))
@@ -59,9 +84,11 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return kept.select(*docs.columns)
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents that are left, packed into training sequences."""
-    ship_package(spark)
+    """All documents that are left, packed into training sequences: a null or
+    empty text is one piece of its end token alone, repeated rows are packed
+    each, an empty table gives no piece."""
     return packing.packed(docs)
 
 
@@ -77,8 +104,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over ``documents``, each over what the one before kept; a
+    stage's rows are removed when the next one's are written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), name)
+        with common.scratch_group(spark) as kept:
+            docs = common.materialise(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            common.discard(spark, before)
+        before = kept
     return STAGES[-1][1](spark, docs, sf_dir)
