@@ -26,16 +26,20 @@ PIECES = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]
 UNSETTLED = "[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]|[\x1c-\x1f\x85\u00b2\u00b3\u00b9\u00bc-\u00be]"
 
 
+#: Pieces that an encoder keeps: some 200 MB of a Python worker.
+CACHE_ENTRIES = 900_000
+
+
 @functools.lru_cache(2)
-def shared(path: str) -> "ByteBpe":
+def shared(path: str, cache_entries: int) -> "ByteBpe":
     """One encoder a Python worker, kept from task to task."""
-    return ByteBpe(path)
+    return ByteBpe(path, cache_entries)
 
 
 class ByteBpe:
     """Encoder with a bounded cache of pieces."""
 
-    def __init__(self, path: str, cache_entries: int = 900_000):
+    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .byte_bpe import shared
+from .byte_bpe import CACHE_ENTRIES, shared
 
 TIERS = (1024, 512, 256, 128)
 STEP_TOKENS = 8 * 1024
@@ -121,7 +121,7 @@ class Packer:
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
          tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS,
-         end_id: int = END_ID) -> DataFrame:
+         end_id: int = END_ID, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Pieces of all documents: the id, start and length in the document's ids,
     the ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id,
     offset there, the sequence's context length and its step group.
@@ -136,7 +136,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        bpe = shared(tokenizer)
+        bpe = shared(tokenizer, cache_entries)
         packer = Packer(tiers, step_tokens, TaskContext.get().partitionId() << 33)
         names = [f.name for f in schema]
         types = None
@@ -188,8 +188,8 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(docs)
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """The pieces with the digest of their ids in place of the ids."""
-    return pack(docs, common.tokenizer_path(TOKENIZER)).select(
+    return pack(docs, common.tokenizer_path(TOKENIZER), cache_entries=cache_entries).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
         "sequence_id", "offset", "context", "step_group")
