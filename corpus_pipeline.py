@@ -19,6 +19,10 @@ from meterflow.session import ship_package  # noqa: E402
 REJECT_BELOW = 0.3
 
 
+#: Pieces that a packing worker keeps: fewer than by default, as the stages before
+#: leave the executors and their Python workers with memory in use.
+CACHED_PIECES = 400_000
+
 #: Scratch folder of the stage that ran last.
 _LEFT: list[str] = []
 
@@ -89,7 +93,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """All documents that are left, packed into training sequences: a null or
     empty text is one piece of its end token alone, repeated rows are packed
     each, an empty table gives no piece."""
-    return packing.packed(docs)
+    return packing.packed(docs, CACHED_PIECES)
 
 
 STAGES = [
