@@ -125,7 +125,12 @@ def _empty_windows() -> pd.DataFrame:
                          "readings": pd.Series([], dtype="object")})
 
 
-def _window_step(length: int, idle_timeout_ms: int | None = None):
+#: Windows of one frame that a task hands to Spark: a machine's batch of readings
+#: is held once, its windows (``length`` times as much) only so many at a time.
+WINDOW_CHUNK = 4096
+
+
+def _window_step(length: int, idle_timeout_ms: int | None = None, chunk: int = WINDOW_CHUNK):
     keep = length - 1
 
     def step(key, batches, state):
@@ -133,32 +138,33 @@ def _window_step(length: int, idle_timeout_ms: int | None = None):
             state.remove()
             yield _empty_windows()
             return
-        new = pd.concat(list(batches), ignore_index=True)
+        new = pd.concat([b[["ts_us", "reading_id", "kwh"]] for b in batches], ignore_index=True)
         new = new.sort_values(["ts_us", "reading_id"], kind="mergesort")
         if state.exists:
             prev_vals, seen = state.get
             prev = np.asarray(prev_vals if prev_vals is not None else [], dtype=np.float64)
         else:
             prev, seen = np.empty(0), 0
+        n_new, end_us = len(new), new["ts_us"].to_numpy()
         vals = np.concatenate([prev, new["kwh"].to_numpy(dtype=np.float64)])
-        n_new = len(new)
-        ends = np.arange(len(prev), len(vals))           # positions of new rows in vals
-        ords = seen + np.arange(n_new)                   # their position in the machine
-        full = ends >= keep
-        out = pd.DataFrame(columns=["machine_id", "end_ord", "end_us", "readings"])
-        if full.any():
-            wins = np.lib.stride_tricks.sliding_window_view(vals, length)
-            idx = ends[full] - keep
-            out = pd.DataFrame({
-                "machine_id": key[0],
-                "end_ord": ords[full],
-                "end_us": new["ts_us"].to_numpy()[full],
-                "readings": [w.copy() for w in wins[idx]],
-            })
+        del new
         state.update((vals[-keep:].tolist(), int(seen + n_new)))
         if idle_timeout_ms:
             state.setTimeoutDuration(idle_timeout_ms)
-        yield out
+        first = max(0, keep - len(prev))                 # the first new row that closes a window
+        if first >= n_new:
+            yield _empty_windows()
+            return
+        wins = np.lib.stride_tricks.sliding_window_view(vals, length)   # a view: one row a closing row
+        offset = len(prev) - keep                        # window of new row i: wins[i + offset]
+        for a in range(first, n_new, chunk):
+            b = min(a + chunk, n_new)
+            yield pd.DataFrame({
+                "machine_id": key[0],
+                "end_ord": np.arange(seen + a, seen + b),    # their position in the machine
+                "end_us": end_us[a:b],
+                "readings": list(wins[a + offset:b + offset].copy()),
+            })
 
     return step
 

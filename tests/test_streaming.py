@@ -90,3 +90,26 @@ def test_json_feed(spark):
     stream = feed.window_stream(feed.read_feed(spark, f"{run}/src", fmt="json"))
     out = feed.run_append(spark, stream, "test-json-out")
     assert out.count() == 2 * (30 - 23)
+
+
+def test_a_busy_machines_windows_leave_in_bounded_frames():
+    """A batch's windows of one machine, many times its readings, are never one frame."""
+    import numpy as np
+    import pandas as pd
+
+    class State:
+        hasTimedOut, exists = False, True
+        get = ([float(i) for i in range(5)], 7)
+
+        def update(self, new):
+            self.get = new
+
+    n, state = 3 * feed.WINDOW_CHUNK + 11, State()
+    ids = np.random.default_rng(1).permutation(n)
+    rows = pd.DataFrame({"machine_id": 4, "ts_us": ids, "kwh": ids + 5.0, "reading_id": ids})
+    frames = list(feed._window_step(24)((4,), iter([rows[:100], rows[100:]]), state))
+    assert max(map(len, frames)) <= feed.WINDOW_CHUNK
+    got = pd.concat(frames, ignore_index=True)
+    assert got["end_ord"].tolist() == list(range(7 + 18, 7 + n)) and got["end_us"].tolist() == list(range(18, n))
+    assert all(w.tolist() == list(np.arange(e - 18.0, e + 6)) for w, e in zip(got["readings"], got["end_us"]))
+    assert state.get == ([float(i) for i in range(n + 5 - 23, n + 5)], 7 + n)
