@@ -240,27 +240,35 @@ def models_long(models: DataFrame, key: str = "machine_id", width: int = K.WINDO
 def score_long(windows: DataFrame, means: DataFrame, entries: DataFrame, by: str | None = None,
                keys: tuple = ("machine_id", "window_start"), arr: str = "readings",
                out: str = "recon_error") -> DataFrame:
-    """M8 as a matrix product of tables: the window's entries (keys, i, x) times
-    the projection's (i, j, w), summed by (keys, j), against the entries again.
+    """M8 as a matrix product of tables: the window's entries (i, x) times the
+    projection's (i, j, w), summed by j, against the entries again.
 
     ``means`` and ``entries`` hold one model (``model_long``) or, with ``by``, one
-    a machine (``models_long``); ``keys`` tell windows apart.  All products of a
-    window are summed in the task that reads it, so the shuffle moves one row an
-    entry, not one a product.  Windows that are null, have no model or are not
-    as long as theirs get a null error."""
-    own, keys = [by] if by else [], list(keys)
-    widths = means.groupBy(*own).agg(F.count(F.lit(1)).alias("_width"))        # by=None: one row
-    long = windows.select(*keys, F.size(arr).alias("_n"), F.posexplode(arr).alias("i", "x"))
-    long = long.join(widths, own) if by else long.crossJoin(F.broadcast(widths))
-    spread = (long.where("_n = _width").join(sized_broadcast(means), [*own, "i"])
-              .select(*keys, "i", (F.col("x") - F.col("mu")).alias("d")))
-    product = (spread.join(sized_broadcast(entries), [*own, "i"]).groupBy(*keys, "j")
-               .agg((-F.sum(F.col("d") * F.col("w"))).alias("d")))
-    errors = (spread.withColumnRenamed("i", "j").unionByName(product).groupBy(*keys, "j")
-              .agg(F.abs(F.sum("d")).alias("_e")).groupBy(*keys).agg(F.avg("_e").alias(out)))
-    errors = errors.withColumnsRenamed({k: f"_{k}" for k in keys})
-    same = [windows[k].eqNullSafe(errors[f"_{k}"]) for k in keys]
-    return windows.join(errors, same, "left").drop(*(f"_{k}" for k in keys))
+    a machine (``models_long``).  A model's entries meet in one row (width +
+    width^2 values) that is joined to the windows, and the products are summed
+    in the window's own row: a window's entries are neither shuffled nor
+    spilled, and its columns need no join back by ``keys``, which tell windows
+    apart.  Windows that are null, have no model or are not as long as theirs
+    get a null error."""
+    own = [by] if by else []
+    at = lambda field: F.transform(field, lambda e: e["v"])
+    column = F.array_sort(F.collect_list(F.struct("i", F.col("w").alias("v"))))
+    columns = entries.groupBy(*own, "j").agg(at(column).alias("c"))
+    projection = columns.groupBy(*own).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("j", "c"))), lambda e: e["c"]).alias("_proj"))
+    centre = means.groupBy(*own).agg(
+        at(F.array_sort(F.collect_list(F.struct("i", F.col("mu").alias("v"))))).alias("_mu"))
+    if by:
+        models = centre.join(projection, by)
+        rows = windows.join(sized_broadcast(models), by, "left")
+    else:
+        rows = windows.crossJoin(F.broadcast(centre.crossJoin(projection)))
+    rows = rows.withColumn("_d", F.when(F.size(arr) == F.size("_mu"), F.zip_with(arr, "_mu", lambda x, mu: x - mu)))
+    zero = F.lit(0.0)
+    product = F.transform("_proj", lambda c: F.aggregate(F.zip_with("_d", c, lambda d, w: d * w), zero, lambda s, v: s + v))
+    errors = F.zip_with("_d", product, lambda d, p: F.abs(p - d))
+    total = F.aggregate(errors, zero, lambda s, v: s + v)
+    return rows.withColumn(out, total / F.size("_mu")).drop("_d", "_mu", "_proj")
 
 
 # --- thresholds and flags (A11, R6) ---------------------------------------------

@@ -58,3 +58,14 @@ def test_directions_without_variance_carry_nothing(spark):
     assert not np.any(one["projection"])
     again = sequence.score_per_machine(w.where("window_start = 0"), sequence.fit_machine_pca(w.where("window_start = 0")))
     assert again.select(F.abs("recon_error") < 1e-12).first()[0]
+
+
+def test_the_product_stays_in_the_windows_rows(spark):
+    """No entry of a window is exploded, shuffled or joined back: windows that share their keys keep their own errors."""
+    w = _windows(spark, machines=2, per=40)
+    scorer = sequence.fit_pca_scorer(w)
+    scored = sequence.score_long(w.withColumn("window_start", F.lit(0).cast("long")), *sequence.model_long(spark, scorer))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert not any("window_start" in line and ("Exchange" in line or "Generate" in line) for line in plan.splitlines())
+    want = sorted(r.recon_error for r in sequence.score(w, scorer).collect())
+    assert sorted(r.recon_error for r in scored.collect()) == pytest.approx(want, abs=1e-12)
