@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -369,33 +370,155 @@ DEFAULT_MODEL_BROADCAST_BYTES = 256 * 1024 * 1024
 NO_VARIANCE = 1e-9
 
 
-def window_moments(windows: DataFrame, by: list[str], arr: str = "readings", width: int = K.WINDOW) -> DataFrame:
-    """First and second moments of the windows of each group of ``by``: n and m,
-    the mean of ``[x, x x^T]`` (width + width^2 values).
-
-    A single ``Summarizer`` mean, so a partial aggregate: a machine with a huge
-    share of the windows is summed per task, never gathered.  Rows of moments
-    add up (``add_moments``): kept per machine and day, they refit any range of
-    days without the windows.  Windows of another length are left out."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
+#: Groups whose sums a task holds before it hands them on.
+HELD_GROUPS = 4096
 
-    x = F.col(arr)
-    outer = F.flatten(F.transform(x, lambda a: F.transform(x, lambda b: a * b)))
-    return (windows.filter(F.size(x) == width).select(*by, array_to_vector(F.concat(x, outer)).alias("v"))
-            .groupBy(*by).agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(F.col("v")).alias("m"))
-            .select(*by, "n", vector_to_array("m").alias("m")))
 
+def _few(n: int, width: int) -> bool:
+    """Whether ``n`` windows take less room than their sums."""
+    return n * width < width + width * (width + 1) // 2
+
+
+def _sums(X: np.ndarray) -> np.ndarray:
+    """Sums of x and of the upper triangle of x x^T over the rows of X."""
+    return np.concatenate([X.sum(axis=0), (X.T @ X)[np.triu_indices(X.shape[1])]])
+
+
+class _Moments:
+    """Moments of one group while they are added up."""
+
+    __slots__ = ("n", "windows", "sums")
+
+    def __init__(self):
+        self.n, self.windows, self.sums = 0, [], None
+
+    def add(self, X: np.ndarray) -> None:
+        self.n += len(X)
+        self.windows.append(X)
+        if self.sums is not None or not _few(self.n, X.shape[1]):
+            more = _sums(np.concatenate(self.windows))
+            self.sums, self.windows = more if self.sums is None else self.sums + more, []
+
+    def add_mean(self, n: int, m: np.ndarray) -> None:
+        self.n += n
+        self.sums = m * n if self.sums is None else self.sums + m * n
+
+    def row(self, width: int) -> np.ndarray:
+        if self.sums is None:
+            return np.concatenate(self.windows).ravel()
+        if self.windows:                             # a mean came after single windows
+            self.sums, self.windows = self.sums + _sums(np.concatenate(self.windows)), []
+        return self.sums / self.n
 
-def add_moments(moments: DataFrame, by: list[str]) -> DataFrame:
-    """Rows of moments added up over the groups of ``by``."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
 
-    weight = F.col("n").cast("double")
-    return (moments.select(*by, "n", weight.alias("_w"), array_to_vector("m").alias("v"))
-            .groupBy(*by).agg(F.sum("n").alias("n"), Summarizer.mean(F.col("v"), F.col("_w")).alias("m"))
-            .select(*by, "n", vector_to_array("m").alias("m")))
+def _moments_of(n: int, m: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and second moment (width x width) of a row of moments."""
+    if _few(n, width):
+        X = m.reshape(-1, width)
+        return X.mean(axis=0), X.T @ X / n
+    second, upper = np.empty((width, width)), np.triu_indices(width)
+    second[upper] = m[width:]
+    second.T[upper] = m[width:]
+    return m[:width], second
+
+
+def _add_in_task(by: list[str], width: int, held: int = HELD_GROUPS):
+    """A task's rows (by, n, m), added up by group: what a partial aggregate does,
+    with at most ``held`` groups at a time."""
+    def run(batches):
+        groups: dict[tuple, _Moments] = {}
+        schema = None
+
+        def out():
+            keys = list(groups)
+            cols = [pa.array([k[i] for k in keys], schema.field(i).type) for i in range(len(by))]
+            rows = [g.row(width) for g in groups.values()]
+            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+            m = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows)))
+            n = pa.array([g.n for g in groups.values()], pa.int64())
+            groups.clear()
+            return pa.RecordBatch.from_arrays([*cols, n, m], [*by, "n", "m"])
+
+        for batch in batches:
+            schema = batch.schema
+            if batch.num_rows == 0:
+                continue
+            code = np.zeros(batch.num_rows, np.int64)
+            for i in range(len(by)):
+                column = batch.column(i).dictionary_encode(null_encoding="encode")
+                code = code * len(column.dictionary) + column.indices.to_numpy()
+            n = batch.column(len(by)).to_numpy()
+            m = batch.column(len(by) + 1)
+            starts, values = m.offsets.to_numpy(), m.values.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            edges = np.flatnonzero(np.diff(code[order])) + 1
+            runs = np.split(order, edges)
+            keys = zip(*(batch.column(i).take(pa.array([r[0] for r in runs])).to_pylist() for i in range(len(by))))
+            for key, rows in zip(keys, runs):
+                group = groups.get(key)
+                if group is None:
+                    if len(groups) >= held:
+                        yield out()
+                    group = groups[key] = _Moments()
+                few = [values[starts[r]:starts[r + 1]] for r in rows if _few(n[r], width)]
+                if few:
+                    group.add(np.concatenate(few).reshape(-1, width))
+                for r in rows:
+                    if not _few(n[r], width):
+                        group.add_mean(int(n[r]), values[starts[r]:starts[r + 1]])
+        if groups:
+            yield out()
+
+    return run
+
+
+def _add_parts(width: int):
+    @F.pandas_udf("array<double>")
+    def added(counts: pd.Series, values: pd.Series) -> pd.Series:
+        """Groups of several parts: the lengths follow from the counts."""
+        out = []
+        for ns, flat in zip(counts, values):
+            if ns is None:
+                out.append(None)
+                continue
+            group, at, full = _Moments(), 0, width + width * (width + 1) // 2
+            for n in ns:
+                if _few(n, width):
+                    group.add(flat[at:at + n * width].reshape(-1, width))
+                    at += n * width
+                else:
+                    group.add_mean(int(n), flat[at:at + full])
+                    at += full
+            out.append(group.row(width))
+        return pd.Series(out)
+
+    return added
+
+
+def window_moments(windows: DataFrame, by: list[str], arr: str = "readings", width: int = K.WINDOW) -> DataFrame:
+    """First and second moments of the windows of each group of ``by``: n and m.
+
+    m holds the mean of x and of the upper triangle of x x^T (324 values at a
+    width of 24), or the windows themselves while those are fewer values (13
+    windows and less), so a table of moments is never larger than its windows.
+    Rows of moments add up (``add_moments``): kept per machine and day, they
+    refit any range of days without the windows.  Windows of another length
+    are left out."""
+    ones = windows.filter(F.size(arr) == width).select(*by, F.lit(1).cast("long").alias("n"), F.col(arr).alias("m"))
+    return add_moments(ones, by, width)                  # a window is its own moments
+
+
+def add_moments(moments: DataFrame, by: list[str], width: int = K.WINDOW) -> DataFrame:
+    """Rows of moments added up over the groups of ``by``: in each task first, so
+    a machine with a huge share of the rows is summed there, never gathered,
+    and only the sums are shuffled."""
+    rows = moments.select(*by, F.col("n").cast("long").alias("n"), "m")
+    parts = rows.mapInArrow(_add_in_task(by, width), rows.schema).groupBy(*by).agg(
+        F.collect_list(F.struct("n", "m")).alias("_p"))
+    some = F.when(F.size("_p") > 1, F.col("_p"))
+    several = _add_parts(width)(F.transform(some, lambda p: p["n"]), F.flatten(F.transform(some, lambda p: p["m"])))
+    return parts.select(*by, F.aggregate("_p", F.lit(0).cast("long"), lambda s, p: s + p["n"]).alias("n"),
+                        F.coalesce(several, F.col("_p")[0]["m"]).alias("m"))
 
 
 def fit_from_moments(moments: DataFrame, key: str = "machine_id", k: int = K.LATENT_DIM,
@@ -406,9 +529,8 @@ def fit_from_moments(moments: DataFrame, key: str = "machine_id", k: int = K.LAT
         for pdf in batches:
             if pdf.empty:
                 continue
-            M = np.stack(pdf["m"].to_numpy())                  # machines x (w + w*w)
-            mu = M[:, :width]
-            second = M[:, width:].reshape(-1, width, width)
+            pairs = [_moments_of(n, np.asarray(m), width) for n, m in zip(pdf["n"], pdf["m"])]
+            mu, second = np.stack([p[0] for p in pairs]), np.stack([p[1] for p in pairs])
             n = pdf["n"].to_numpy(dtype=np.float64)[:, None, None]
             cov = (second - mu[:, :, None] * mu[:, None, :]) * np.where(n > 1, n / np.maximum(n - 1, 1), 1.0)
             vals, vecs = np.linalg.eigh(cov)                   # ascending eigenvalues

@@ -52,6 +52,24 @@ def test_moments_add_up_in_any_grouping(spark):
     assert insights.refit_recent(insights.daily_moments(wins.limit(0))).count() == 0
 
 
+def test_moments_are_never_larger_than_their_windows(spark):
+    """Days of a few windows hold those, not the sums; null keys are a group; nothing is lost when a task holds one group."""
+    wins = _windows(spark, per_day=2).unionByName(_windows(spark, days=1, per_day=30, machines=1).withColumn("machine_id", F.lit(None).cast("long")))
+    daily = insights.daily_moments(wins).collect()
+    assert sum(r.n for r in daily) == wins.count() and len(daily) == len({(r.machine_id, r.day) for r in daily})
+    assert {len(r.m) for r in daily if r.machine_id is not None} == {2 * 24}
+    # hour 24 to 29 of the null machine is the next day
+    assert sorted((r.n, len(r.m)) for r in daily if r.machine_id is None) == [(6, 144), (24, 324)]
+    rows = wins.select("machine_id", F.lit(1).cast("long").alias("n"), F.col("readings").alias("m"))
+    single = rows.coalesce(1).mapInArrow(sequence._add_in_task(["machine_id"], 24, held=1), rows.schema).collect()
+    whole = {r.machine_id: (r.n, r.m) for r in sequence.window_moments(wins, ["machine_id"]).collect()}
+    for key, (n, m) in whole.items():
+        assert sum(r.n for r in single if r.machine_id == key) == n
+        x = np.array([r.readings for r in wins.collect() if r.machine_id == key])
+        want = np.concatenate([x.mean(0), (x.T @ x / n)[np.triu_indices(24)]])
+        assert np.allclose(m, want)
+
+
 # --- T5/T6: update mode -------------------------------------------------------------------
 
 def _log(spark, n, first=0):
