@@ -33,6 +33,8 @@ KNOWN = (
 )
 
 
+#: What a line must hold to be one of ``_COPYRIGHT``.
+_CLAIMS = ("copyright", "(c)", "©", "all rights reserved")
 _COPYRIGHT = r"(?m)^[\s/*#;.-]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
 
 
@@ -42,6 +44,15 @@ def _spelled(out: Column) -> Column:
     return out
 
 
+def _any_of(text: Column, words) -> Column:
+    """Whether the text holds one of the words: plain searches, far cheaper than
+    the expressions they stand before."""
+    found = F.lit(False)
+    for w in words:
+        found = found | text.contains(w)
+    return found
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null counts as empty."""
     out = F.lower(F.coalesce(text.cast("string"), F.lit("")))
@@ -57,14 +68,22 @@ def known_licenses() -> list[tuple[str, str]]:
     return [*KNOWN, *sorted(full)]
 
 
-def _base(text: Column) -> Column:
-    """The canonical form before spelling, with the line ends kept."""
-    out = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    out = F.regexp_replace(out, _COPYRIGHT, " ")
-    out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
+def _base(lowered: Column) -> Column:
+    """The canonical form before spelling, with the line ends kept, of a
+    lower-cased text without copyright lines."""
+    out = F.regexp_replace(lowered, r"[^\p{L}\p{N}\n]+", " ")
     return F.trim(F.regexp_replace(out, " ?\n ?", "\n"))
 
 
+def _lowered(df: DataFrame, text: Column, *keep) -> DataFrame:
+    """``keep`` and ``low``, the lower-cased text without copyright lines: a
+    select a step, so that each is computed once."""
+    low = df.select(*keep, F.lower(F.coalesce(text.cast("string"), F.lit(""))).alias("low"))
+    names = [c for c in low.columns if c != "low"]
+    return low.select(*names, F.when(_any_of(F.col("low"), _CLAIMS), F.regexp_replace("low", _COPYRIGHT, " "))
+                      .otherwise(F.col("low")).alias("low"))
+
+
 def _lines(base: Column) -> Column:
     return F.filter(F.split(base, "\n"), lambda x: x != "")
 
@@ -74,10 +93,12 @@ def _paragraphs(base: Column) -> Column:
     return F.filter(F.transform(F.split(base, "\n\n+"), lambda x: F.trim(F.translate(x, "\n", " "))), lambda x: x != "")
 
 
-def _digest(piece: str) -> Column:
-    """That of ``canonical`` for a piece of ``_base`` on one line."""
-    other = F.col(piece).rlike("|".join(SPELLINGS))
-    return F.sha2(F.when(other, _spelled(F.col(piece))).otherwise(F.col(piece)), 256)
+def _digest(piece: str, other: Column | None = None) -> Column:
+    """That of ``canonical`` for a piece of ``_base`` on one line; ``other``
+    (false where the text has no other spelling) spares the search."""
+    found = _any_of(F.col(piece), SPELLINGS)
+    found = found if other is None else other & found
+    return F.sha2(F.when(found, _spelled(F.col(piece))).otherwise(F.col(piece)), 256)
 
 
 def _patterns(known: DataFrame) -> DataFrame:
@@ -85,7 +106,9 @@ def _patterns(known: DataFrame) -> DataFrame:
     a known license, whole, by paragraphs (as wrapped, and each on one line)
     and by lines."""
     unwrapped = F.regexp_replace("text", r"(?<=[^\s])[ \t]*\n[ \t]*(?=[^\s])", " ")
-    forms = known.select("name", _base(F.col("text")).alias("base"), _base(unwrapped).alias("flat"))
+    low = _lowered(_lowered(known, F.col("text"), "name", unwrapped.alias("flat")).withColumnRenamed("low", "base"),
+                   F.col("flat"), "name", "base")
+    forms = low.select("name", _base(F.col("base")).alias("base"), _base(F.col("low")).alias("flat"))
     ways = [F.array(F.trim(F.regexp_replace("base", "\n+", " "))), _paragraphs(F.col("base")),
             _paragraphs(F.col("flat")), _lines(F.col("base"))]
     return (forms.where("base <> ''").select("name", F.explode(F.array(*ways)).alias("parts"))
@@ -96,12 +119,14 @@ def _patterns(known: DataFrame) -> DataFrame:
 
 def _held(docs: DataFrame, known: DataFrame, text_col: str) -> DataFrame:
     """(text digest, licenses, longest) of the texts that hold known licenses."""
-    bases = docs.select(F.sha2(common.text_of(text_col), 256).alias("th"), _base(F.col(text_col)).alias("base"))
+    bases = _lowered(docs, F.col(text_col), F.sha2(common.text_of(text_col), 256).alias("th")).select(
+        "th", _base(F.col("low")).alias("base"))
+    bases = bases.select("th", "base", _any_of(F.translate("base", "\n", " "), SPELLINGS).alias("other"))
     numbered = lambda parts, kind: F.transform(parts, lambda x, i: F.struct(
         F.lit(kind).alias("kind"), i.alias("at"), x.alias("piece")))
-    pieces = bases.select("th", F.explode(F.concat(
+    pieces = bases.select("th", "other", F.explode(F.concat(
         numbered(_lines(F.col("base")), 0), numbered(_paragraphs(F.col("base")), 1))).alias("p"))
-    pieces = pieces.select("th", "p.kind", "p.at", "p.piece").withColumn("digest", _digest("piece"))
+    pieces = pieces.select("th", "other", "p.kind", "p.at", "p.piece").withColumn("digest", _digest("piece", F.col("other")))
     # the list of known licenses does not grow with the input: broadcast, no line is a hot key
     runs = pieces.join(F.broadcast(_patterns(known)), "digest").groupBy(
         "th", "kind", "pattern", "name", "k", "size", (F.col("at") - F.col("i")).alias("start")).agg(
@@ -128,9 +153,10 @@ def license_scan(docs: DataFrame, known: DataFrame, text_col: str = "text") -> D
     names = [c for c in docs.columns if c.lower() not in result]
     form = canonical(F.col("text"))
     digests = known.where(form != "").groupBy(F.sha2(form, 256).alias("_digest")).agg(F.min("name").alias("_whole"))
-    rows = docs.select(F.struct(*common.without(docs, *result)).alias("_row"),
-                       F.sha2(common.text_of(text_col), 256).alias("_th"),
-                       F.sha2(canonical(F.col(text_col)), 256).alias("canonical_sha256"))
+    low = _lowered(docs, F.col(text_col), F.struct(*common.without(docs, *result)).alias("_row"),
+                   F.sha2(common.text_of(text_col), 256).alias("_th"))
+    plain = low.select("_row", "_th", F.trim(F.regexp_replace("low", r"[^\p{L}\p{N}]+", " ")).alias("_plain"))
+    rows = plain.select("_row", "_th", _digest("_plain").alias("canonical_sha256"))
     # the group side's key is an expression, so the skew join may split copies
     held = _held(docs, known, text_col).select(F.concat("th", F.lit("")).alias("_t"), "held", "longest")
     found = rows.join(digests, F.col("canonical_sha256") == F.col("_digest"), "left").join(

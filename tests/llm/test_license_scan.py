@@ -51,3 +51,20 @@ def test_notices_of_the_table_are_found(spark):
     want = {i: {n for n, notice in license_scan.KNOWN if notice.rstrip(".") in t} for i, t in texts.items()}
     assert sum(map(bool, want.values())) > 10
     assert {r.doc_id: set(r.licenses) for r in got} == want
+
+
+def test_the_costly_expressions_run_only_where_they_can_match(spark):
+    """The canonical digest equals that of ``canonical``, and no text is searched by the spellings' expressions one after another."""
+    from pyspark.sql import functions as F
+
+    texts = ["", " ", "sub\nlicence of\n\n the copyright\nholder", "COPYRIGHT 2020 x\nper  cent, Per\ncent; analogues",
+             "x (c) y\n * (C) z\nfavour", "all rights reserved", "© a\n\n\n-- sub-licence --\n", "plain words\nonly", None]
+    known = spark.createDataFrame([("A", "sublicense of"), ("B", "percent percent"), ("C", "plain words")], "name string, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = license_scan.license_scan(docs, known)
+    want = {r.doc_id: r.c for r in docs.select("doc_id", F.sha2(license_scan.canonical(F.col("text")), 256).alias("c")).collect()}
+    rows = {r.doc_id: r for r in got.collect()}
+    assert {i: r.canonical_sha256 for i, r in rows.items()} == want
+    assert rows[2].licenses == ["A"] and rows[7].licenses == ["C"] and rows[0].licenses == []
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "Contains(" in plan
