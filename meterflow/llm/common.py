@@ -8,6 +8,7 @@ import os
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +42,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_by(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """``materialise`` as a table bucketed by ``key``: grouping it by the key
+    needs no shuffle.  The catalog's entry goes, the files stay."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{_GROUP.get() or scratch_path(spark, 'llm')}/{uuid.uuid4().hex}/{name}"
+    (df.write.format("parquet").option("compression", "zstd").option("path", path)
+     .bucketBy(buckets, key).saveAsTable(table))
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return found
+
+
 @contextlib.contextmanager
 def scratch_group(spark: SparkSession):
     """The folder of all tables that ``materialise`` writes inside the block, to
@@ -96,6 +110,13 @@ def in_bitmap(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
+def release_memory() -> None:
+    """Give what a Python worker has freed back to the system: workers are
+    reused, and each would keep the most that any step before took."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 def schema_of(text: str) -> T.StructType:
     return T._parse_datatype_string(text)
 

@@ -1,27 +1,30 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Texts are split at ASCII white space, which no token of the vocabulary
-   crosses.  A block (some MB of one scan task's texts) keeps its texts as
-   codes into the block's own list of distinct words.
+1. Texts are split at ASCII white space (``bytes.split`` parts at 09-0D and 20,
+   no other byte), which no token of the vocabulary crosses.  A block (some MB
+   of one scan task's texts) keeps its texts as ranks in the block's own list of
+   distinct words, in a table dealt by block, which holds them once.
 2. The words of all blocks meet by hash; each distinct word is encoded once
    by the tokenizers library, and its ids go back to every block that uses it.
-3. Blocks join the ids back by position: codes -> ids.
+3. Blocks join the ids back by position: ranks -> ids.  Only ids travel.
 4. Decoding joins ids to pieces; the id-to-piece table is the vocabulary file,
    so its size is fixed.
 
-Words travel as sorted, compressed lists (one row for a block and a hash
+Words travel as compressed lists (one row for a block and a hash
 bucket), so a word shared by all documents is one entry a block and never a
 hot key.
 """
 
 from __future__ import annotations
 
+import array
 import hashlib
 import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +33,11 @@ from pyspark.sql import functions as F
 from . import common
 
 TOKENIZER = "word_bpe_49k.json"
-BLOCK_BYTES = 16 << 20
-
-_SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
+BLOCK_BYTES = 9 << 20
+#: Words of the documents that one row of a block holds, or a document's.
+ROW_WORDS = 200_000
+#: Ids that are spelled at once.
+SPELLED = 400_000
 
 
 def _library(path: str):
@@ -45,52 +50,77 @@ def _library(path: str):
     return tokenizer
 
 
-def _words(text: str) -> list[str]:
-    return [w for w in text.translate(_SPACES).split(" ") if w]
+class _Codes(dict):
+    """Words numbered in the order they are first seen."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self)
+        return code
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit values, all first bytes before all second ones: small values leave runs of zeros."""
+    return values.astype("<u4").view("u1").reshape(-1, 4).T.tobytes()
+
+
+def _of_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(4, -1).T).view("<u4").ravel()
 
 
 def _blocks(docs: DataFrame, id_col: str, buckets: int, block_bytes: int) -> DataFrame:
-    """Rows of two kinds: a document's codes (bucket -1), or the words that a
-    block has in a bucket, with their codes."""
+    """Rows of two kinds: some of a block's documents (bucket -1) with the words
+    of each as ranks in the block's own list, the first with the bucket of each
+    rank; or the words that a block has in a bucket, by rank."""
     kind = docs.schema["_id"].dataType.simpleString()
-    schema = common.schema_of(f"block long, bucket int, _id {kind}, n int, body binary, codes binary")
+    schema = common.schema_of(f"block long, bucket int, n int, words binary, _ids array<{kind}>, "
+                              "counts binary, ranks binary, deal binary")
 
     def run(batches):
         part, block = TaskContext.get().partitionId() << 33, 0
         pack = zstandard.ZstdCompressor(level=3).compress
-        id_type = None
         for batch in batches:
-            id_type = id_type or batch.schema.field(0).type
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
-            while at < len(ids):
-                table: dict[str, int] = {}
-                rows, size = [], 0
-                while at < len(ids) and (not rows or size < block_bytes):
-                    words = _words(texts[at])
-                    for w in words:
-                        if w not in table:
-                            table[w] = len(table)
-                    codes = np.fromiter(map(table.__getitem__, words), "<u4", len(words))
-                    rows.append((part + block, -1, ids[at], len(words), None, pack(codes.tobytes())))
-                    size += len(texts[at])
-                    texts[at] = None
+            texts, at = batch.column(1), 0
+            while at < len(texts):
+                table, first, size, found = _Codes(), at, 0, []
+                while at < len(texts) and (at == first or size < block_bytes):
+                    text = texts[at].as_py()
+                    words = text.split()
+                    found.append(np.fromiter(map(table.__getitem__, words), "<u4", len(words)))
+                    size += len(text)
                     at += 1
-                split: dict[int, list[bytes]] = {}
-                for w in table:
-                    b = w.encode()
-                    split.setdefault(zlib.crc32(b) % buckets, []).append(b)
-                for bucket, words in split.items():
-                    words.sort()
-                    codes = np.fromiter((table[w.decode()] for w in words), "<u4", len(words))
-                    rows.append((part + block, bucket, None, len(words), pack(b" ".join(words)),
-                                 pack(codes.tobytes())))
+                counts = np.fromiter(map(len, found), "<u4", len(found))
+                often = np.zeros(len(table), np.int64)
+                for codes in found:
+                    np.add.at(often, codes, 1)
+                # the commonest words rank first, so most ranks are small; equals stand in byte order
+                words = sorted(table)
+                own = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
+                order = np.argsort(-often[own], kind="stable")
+                rank = np.empty(len(words), "<u4")
+                rank[own[order]] = np.arange(len(words))
+                words = [words[i] for i in order.tolist()]
+                del table
+                deal = np.fromiter(map(zlib.crc32, words), "<u4", len(words)) % np.uint32(buckets)
+                cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(counts) // ROW_WORDS)) + 1).tolist(), len(counts)]
+                rows = [(part + block, -1, j - i, None, pack(_planes(counts[i:j])),
+                         pack(_planes(rank[np.concatenate(found[i:j])])), None if i else pack(_planes(deal)))
+                        for i, j in zip(cuts, cuts[1:])]
+                del found
+                lists = np.argsort(deal, kind="stable").tolist()
+                sizes = np.bincount(deal, minlength=1)
+                ends = np.cumsum(sizes).tolist()
+                for bucket in np.flatnonzero(sizes).tolist():
+                    some = [words[i] for i in lists[ends[bucket] - int(sizes[bucket]):ends[bucket]]]
+                    rows.append((part + block, bucket, len(some), pack(b" ".join(some)), None, None, None))
                 block += 1
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), id_type, pa.int32(),
-                                                           pa.binary(), pa.binary()])],
-                    [f.name for f in schema])
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows), [
+                    pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()])]
+                ids = batch.column(0).slice(first, at - first)
+                span = pa.array([*cuts, *[len(ids)] * (len(rows) - len(cuts) + 1)], pa.int32())
+                yield pa.RecordBatch.from_arrays([*cols[:4], pa.ListArray.from_arrays(span, ids), *cols[4:]],
+                                                 [f.name for f in schema])
+                del words, own, order, rank, deal, lists, rows, cols
+                common.release_memory()
 
     return docs.mapInArrow(run, schema)
 
@@ -103,8 +133,7 @@ def _encode_words(tokenizer: str):
         library = _library(tokenizer)
         unpack = zstandard.ZstdDecompressor().decompress
         pack = zstandard.ZstdCompressor(level=3).compress
-        blocks = table.column("block").to_pylist()
-        bodies = table.column("body").to_pylist()
+        bodies = table.column("words").to_pylist()
         distinct: dict[bytes, bytes] = {}
         for body in bodies:
             distinct.update(dict.fromkeys(unpack(body).split(b" ")))
@@ -112,49 +141,53 @@ def _encode_words(tokenizer: str):
         for i in range(0, len(words), 20_000):
             some = words[i:i + 20_000]
             found = library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            distinct.update(zip(some, (np.array(e.ids, "<u2").tobytes() for e in found)))
+            distinct.update(zip(some, (array.array("H", e.ids).tobytes() for e in found)))
         out = []
         for body in bodies:
             ids = list(map(distinct.__getitem__, unpack(body).split(b" ")))
             sizes = np.fromiter(map(len, ids), "<u4", len(ids)) // 2
-            out.append(pack(sizes.tobytes() + b"".join(ids)))
-        return pa.table({"block": pa.array(blocks, pa.int64()), "n": table.column("n"),
-                         "body": pa.array(out, pa.binary()), "codes": table.column("codes")})
+            out.append(pack(_planes(sizes) + b"".join(ids)))
+        del distinct, words, bodies, library
+        common.release_memory()
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "n": table.column("n"),
+                         "ids": pa.array(out, pa.binary())})
 
     return run
 
 
-def _join_back(id_type: pa.DataType, names: list[str]):
-    """One block: its words' ids (rows without a document) and its documents' codes."""
+def _join_back(names: list[str]):
+    """One block: its documents' ranks, and its words' ids by bucket."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, lists: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
-        is_doc = table.column("is_doc").to_pylist()
-        n, bodies, codes = (table.column(c).to_pylist() for c in ("n", "body", "codes"))
-        words = sum(k for k, d in zip(n, is_doc) if not d)
-        sizes, parts, owner = np.zeros(words, np.int64), [], []
-        for k, d, body, code in zip(n, is_doc, bodies, codes):
-            if not d:
-                raw, own = unpack(body), np.frombuffer(unpack(code), "<u4")
-                sizes[own] = np.frombuffer(raw, "<u4", k)
-                parts.append(np.frombuffer(raw, "<u2", offset=4 * k))
-                owner.append(own)
+        keys = docs.column("_ids").combine_chunks().flatten()
+        deal = _of_planes(unpack(docs.column("deal").drop_null()[0].as_py()))
+        parts, lengths = [], []
+        lists = lists.sort_by("bucket")
+        for k, body in zip(lists.column("n").to_pylist(), lists.column("ids").to_pylist()):
+            raw = unpack(body)
+            lengths.append(_of_planes(raw[:4 * k]))
+            parts.append(np.frombuffer(raw, "<u2", offset=4 * k))
         flat = np.concatenate(parts) if parts else np.zeros(0, "<u2")
-        order = np.concatenate(owner) if owner else np.zeros(0, "<u4")
-        starts = np.zeros(words, np.int64)
-        lengths = sizes[order]
-        starts[order] = np.cumsum(lengths) - lengths
-        out = []
-        for d, code in zip(is_doc, codes):
-            if d:
-                own = np.frombuffer(unpack(code), "<u4")
+        order = np.argsort(deal, kind="stable")
+        sizes, starts = np.zeros(len(deal), np.int64), np.zeros(len(deal), np.int64)
+        sizes[order] = np.concatenate(lengths) if lengths else 0
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        out = [pa.array([], pa.binary())]
+        for counts, ranks in zip(docs.column("counts"), docs.column("ranks")):
+            counts, ranks, at = _of_planes(unpack(counts.as_py())), _of_planes(unpack(ranks.as_py())), 0
+            found = []
+            for k in counts.tolist():
+                own = ranks[at:at + k]
+                at += k
                 size = sizes[own]
                 ends = np.cumsum(size)
-                total = int(ends[-1]) if len(ends) else 0
-                at = np.arange(total) + np.repeat(starts[own] - (ends - size), size)
-                out.append(flat[at].astype("<u4").tobytes())
-        keys = [i for i, d in zip(table.column("_id").to_pylist(), is_doc) if d]
-        return pa.table({names[0]: pa.array(keys, id_type), names[1]: pa.array(out, pa.binary())})
+                total = int(ends[-1]) if k else 0
+                where = np.arange(total) + np.repeat(starts[own] - (ends - size), size)
+                found.append(flat[where].astype("<u4").tobytes())
+            out.append(pa.array(found, pa.binary()))
+        common.release_memory()
+        return pa.table({names[0]: keys, names[1]: pa.chunked_array(out)})
 
     return run
 
@@ -172,24 +205,41 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     buckets = buckets or common.shuffle_partitions(spark)
-    base = docs.select(F.col(id_col).alias("_id"), common.text_of(text_col).alias("_text"))
-    blocks = common.materialise(_blocks(base, id_col, buckets, block_bytes), "word_blocks")
-    words = blocks.where("bucket >= 0").select("bucket", "block", "n", "body", "codes")
-    encoded = words.groupBy("bucket").applyInArrow(
-        _encode_words(tokenizer), "block long, n int, body binary, codes binary")
+    base = docs.select(F.col(id_col).alias("_id"), common.text_of(text_col).cast("binary").alias("_text"))
+    blocks = common.materialise_by(_blocks(base, id_col, buckets, block_bytes), "block",
+                                   common.shuffle_partitions(spark), "word_blocks")
+    lists = blocks.where("bucket >= 0").select("bucket", "block", "n", "words").groupBy("bucket").applyInArrow(
+        _encode_words(tokenizer), "block long, bucket int, n int, ids binary")
     kind = base.schema["_id"].dataType.simpleString()
-    rows = blocks.where("bucket < 0").select(
-        "block", F.lit(True).alias("is_doc"), "_id", "n", F.lit(None).cast("binary").alias("body"), "codes")
-    lists = encoded.select("block", F.lit(False).alias("is_doc"), F.lit(None).cast(kind).alias("_id"),
-                           "n", "body", "codes")
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    out = rows.unionAll(lists).groupBy("block").applyInArrow(
-        _join_back(to_arrow_type(base.schema["_id"].dataType), ["_id", "ids"]),
-        f"_id {kind}, ids binary")
+    rows = blocks.where("bucket < 0").select("block", "_ids", "counts", "ranks", "deal")
+    # the table is dealt by block, so of the two sides only the lists are shuffled
+    out = rows.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(
+        _join_back(["_id", "ids"]), f"_id {kind}, ids binary")
     return out.withColumnRenamed("_id", id_col)
 
 
+def _parts(batch: pa.RecordBatch, ids_col: str):
+    """The batch in slices of at most SPELLED ids each, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(ids_col)), 0).to_numpy(), dtype=np.int64) // 4
+    first = 0
+    while first < len(ends):
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + SPELLED, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+def _joined(blobs: list[bytes | None], spell) -> pa.Array:
+    """Of each list of ids the spelled ids, joined by one space; an id whose
+    spelling is null is left out."""
+    at = np.cumsum([0, *(len(b or b"") // 4 for b in blobs)])
+    words = spell(np.frombuffer(b"".join(b or b"" for b in blobs), "<u4"))
+    if words.null_count:
+        at = np.concatenate(([0], np.cumsum(words.is_valid().to_numpy(zero_copy_only=False))))[at]
+        words = words.drop_null()
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), words), " ")
+
+
 def decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:
     """``rows`` with ``decoded``: the ids joined to the vocabulary's pieces, in
     order, as the library's decode without a decoder does (pieces joined by
@@ -202,17 +252,14 @@ def decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:
     def run(batches):
         library = _library(tokenizer)
         pieces = {i: p for p, i in library.get_vocab(with_added_tokens=True).items()}
-        table = [pieces.get(i) for i in range(max(pieces) + 1)]
-        gaps = None in table
+        table = pa.array([pieces.get(i) for i in range(max(pieces) + 1)], pa.string())
+        del library, pieces
         for batch in batches:
-            text = []
-            for blob in batch.column(ids_col).to_pylist():
-                ids = np.frombuffer(blob or b"", "<u4").tolist()
-                if gaps or (ids and max(ids) >= len(table)):
-                    ids = [i for i in ids if i < len(table) and table[i] is not None]
-                text.append(" ".join(map(table.__getitem__, ids)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())],
-                                             [f.name for f in schema])
+            for part in _parts(batch, ids_col):
+                text = _joined(part.column(ids_col).to_pylist(),
+                               lambda ids: table.take(pa.array(ids, mask=ids >= len(table))))
+                yield pa.RecordBatch.from_arrays([*part.columns, text], [f.name for f in schema])
+            common.release_memory()
 
     return rows.mapInArrow(run, schema)
 
@@ -224,17 +271,17 @@ def digests(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            n, sha, text = [], [], []
-            for blob, decoded in zip(batch.column("ids").to_pylist(), batch.column("decoded").to_pylist()):
-                ids = np.frombuffer(blob, "<u4").tolist()
-                n.append(len(ids))
-                sha.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-                text.append(hashlib.sha256(decoded.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), pa.array(n, pa.int64()), pa.array(sha), pa.array(text)],
-                [f.name for f in schema])
-
-    return rows.select(id_col, "ids", "decoded").mapInArrow(run, schema)
+            for part in _parts(batch, "ids"):
+                blobs = part.column("ids").to_pylist()
+                decimal = _joined(blobs, lambda ids: pa.array(ids).cast(pa.string())).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(id_col), pa.array([len(b) // 4 for b in blobs], pa.int64()),
+                     pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in decimal], pa.string()),
+                     part.column("decoded_sha256")], [f.name for f in schema])
+            common.release_memory()
+
+    # decoded texts end here, so batches of the step after hold only the ids
+    return rows.select(id_col, "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")).mapInArrow(run, schema)
 
 
 def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,6 +161,35 @@ def test_word_bpe_of_unbroken_texts(spark):
     assert got == want
 
 
+def test_word_bpe_shuffles_no_documents(spark, docs):
+    """Of the two sides that meet by block only the words' ids are shuffled; the documents' table is dealt by block."""
+    path = common.tokenizer_path(word_bpe.TOKENIZER)
+    plan = word_bpe.encode(docs, path)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 2 and not any("ranks" in line or "codes" in line for line in shuffles)
+    sides = plan[plan.index("FlatMapCoGroupsInArrow"):]
+    documents = next(line for line in sides.splitlines() if "FileScan" in line and "ranks" in line)
+    assert "Bucketed: true" in documents
+
+
+def test_word_bpe_decodes_odd_ids(spark):
+    """Ids outside the vocabulary add nothing; lists are spelled in parts of whole rows."""
+    path = common.tokenizer_path(word_bpe.TOKENIZER)
+    lists = [[5, 70_000, 9], [], None, [1 << 31], list(range(300))]
+    rows = spark.createDataFrame([(i, None if x is None else np.array(x, "<u4").tobytes()) for i, x in enumerate(lists)],
+                                 "doc_id long, ids binary")
+    pieces = {i: p for p, i in word_bpe._library(path).get_vocab(with_added_tokens=True).items()}
+    got = {r.doc_id: r.decoded for r in word_bpe.decode(rows, path).collect()}
+    assert got == {i: " ".join(pieces[j] for j in x or [] if j in pieces) for i, x in enumerate(lists)}
+    batch = word_bpe.pa.record_batch([word_bpe.pa.array([r.ids for r in rows.collect()], word_bpe.pa.binary())], ["ids"])
+    bound, word_bpe.SPELLED = word_bpe.SPELLED, 4
+    try:
+        parts = [p.num_rows for p in word_bpe._parts(batch, "ids")]
+    finally:
+        word_bpe.SPELLED = bound
+    assert parts == [4, 1]
+
+
 def _brute_components(texts, words, num, den):
     sets, root = {}, {i: i for i in texts}
     for i, t in texts.items():
