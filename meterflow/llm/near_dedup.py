@@ -38,6 +38,8 @@ ROOT_BRANCHES, BRANCHES, JOINT = 2, 3, 4
 NODE_LIMIT = 4096
 #: Smallest shingle hashes that a class keeps to estimate likeness with.
 SKETCH = 192
+#: Bytes of each that travel; equal values only make a pair look more alike.
+LOW_BYTES = 3
 
 #: A-Z lower-cased, in UTF-8; ``bytes.split`` parts at 09-0D and 20, no other byte.
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -88,6 +90,17 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    """The highest LOW_BYTES bytes of each hash."""
+    return hashes.astype("<u8").view("u1").reshape(-1, 8)[:, -LOW_BYTES:].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // LOW_BYTES, 4), "u1")
+    out[:, :LOW_BYTES] = np.frombuffer(raw, "u1").reshape(-1, LOW_BYTES)
+    return out.view("<u4").ravel()
+
+
 def _profiles(base: DataFrame, words: int) -> DataFrame:
     kind = base.schema["_id"].dataType.simpleString()
     schema = common.schema_of(f"_id {kind}, _th long, n long, digest binary, sig array<int>, low binary")
@@ -101,7 +114,7 @@ def _profiles(base: DataFrame, words: int) -> DataFrame:
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sigs.append(signature(s).view(np.int32))
-                low.append((s[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
+                low.append(_packed(s[:SKETCH]))
             flat = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int32))
             at = pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * COORDINATES)
             yield pa.RecordBatch.from_arrays(
@@ -274,7 +287,7 @@ def _node_pairs(share: float, forest: bool):
         """The pairs of the nodes that end before row ``to``."""
         path, vid, comp, n = (table.column(c).to_numpy() for c in ("path", "vid", "comp", "n"))
         sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
-        low = [np.frombuffer(v, "<u4") for v in table.column("low").to_pylist()]
+        low = [_unpacked(v) for v in table.column("low").to_pylist()]
         ends = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1), len(path)]
         return [pair for i, j in zip(ends, ends[1:]) if to is None or j <= to
                 for pair in node(int(path[i]), vid[i:j], comp[i:j], n[i:j], sig[i:j], low[i:j])]
@@ -327,6 +340,7 @@ def link_classes(classes: DataFrame, base: DataFrame, words: int, share: tuple[i
     rows = classes.select("vid", F.explode(F.array(*[
         F.xxhash64(F.lit(int(i)), F.col("sig")[int(i)]) for i in spread])).alias("path"))
     slim = classes.select("vid", "n", "sig")
+    short = F.transform("sig", lambda x: (x.bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("smallint"))
     comps = sets = known = None
     level, fresh = 0, True
     while True:
@@ -367,7 +381,8 @@ def link_classes(classes: DataFrame, base: DataFrame, words: int, share: tuple[i
                 rows = small.join(failed, "path", "left_semi")
                 if comps is not None:
                     rows = rows.drop("comp").join(comps, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
-            pairs = (rows.join(classes.select("vid", "n", "sig", "low"), "vid")
+            # 16 bits of a signature's values do: equal ones only make a pair look more alike
+            pairs = (rows.join(classes.select("vid", "n", short.alias("sig"), "low"), "vid")
                      .repartition("path").sortWithinPartitions("path").select("path", "vid", "comp", "n", "sig", "low")
                      .mapInArrow(_node_pairs(least, forest), "a long, b long, path long"))
             if forest and fresh:
@@ -427,7 +442,8 @@ def near_dedup(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 10
     """
     base = docs.select(F.col(id_col).alias("_id"), common.text_of(text_col).alias("_text"))
     base = base.select("_id", F.xxhash64("_text").alias("_th"), "_text")
-    profiles = common.materialise(_profiles(base, words), "profiles")
+    with common.scratch_group(docs.sparkSession) as wide:
+        profiles = common.materialise(_profiles(base, words), "profiles")
     first = profiles.where("n > 0").groupBy("digest").agg(
         F.min(F.struct(F.col("_id").isNull().alias("no"), F.col("_id").alias("id"), F.col("_th").alias("th"))).alias("best"),
         F.min("n").alias("n"),
@@ -435,6 +451,9 @@ def near_dedup(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 10
     classes = common.materialise(first.select(
         F.monotonically_increasing_id().alias("vid"), "digest", "best", F.col("best.id").alias("_id"),
         F.col("best.th").alias("_th"), "n", "sig", "low"), "classes")
+    # signatures go on with the classes only
+    profiles = common.materialise(profiles.select("_id", "_th", "n", "digest"), "digests")
+    common.discard(docs.sparkSession, wide)
     comps = link_classes(classes, base, words, share, node_limit, trees)
     named = classes.select("vid", "digest", "best").join(comps, "vid", "left").withColumn(
         "comp", F.coalesce("comp", "vid"))

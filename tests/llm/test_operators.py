@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -220,6 +221,19 @@ def test_near_dedup_against_brute_force(docs, none, limit):
     assert near_dedup.near_dedup(none).count() == 0
 
 
+def test_near_dedup_keeps_signatures_of_classes_only(spark, docs, monkeypatch):
+    """The wide profiles go once the classes are written; a sketch's hashes take 3 bytes."""
+    kept, materialise = [], common.materialise
+    monkeypatch.setattr(common, "materialise", lambda df, name: kept.append(materialise(df, name)) or kept[-1])
+    near_dedup.near_dedup(docs, 3, (85, 100)).count()
+    wide = [f for df in kept if "low" in df.columns for f in df.inputFiles()]
+    there = [f for f in wide if os.path.exists(f.removeprefix("file://"))]
+    assert wide and all("/classes/" in f for f in there) and there
+    low = np.sort(np.random.default_rng(3).integers(0, 1 << 63, 50, np.uint64))
+    assert len(near_dedup._packed(low)) == 150
+    assert near_dedup._unpacked(near_dedup._packed(low)).tolist() == (low >> np.uint64(40)).tolist()
+
+
 def test_near_dedup_odd_rows(odd):
     got = near_dedup.near_dedup(odd, 3, (85, 100)).collect()
     assert len(got) == 9
