@@ -55,6 +55,20 @@ def materialise_by(df: DataFrame, key: str, buckets: int, name: str) -> DataFram
     return found
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """A query run inside the block removes its shuffle files when it ends.  For
+    plans that run once, like that of a table being written; one run again
+    would repeat its stages."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextlib.contextmanager
 def scratch_group(spark: SparkSession):
     """The folder of all tables that ``materialise`` writes inside the block, to

@@ -23,6 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,13 @@ from . import common
 
 LENGTH = 50
 TOKEN = 16
-CHUNK_BYTES = 2 << 20
-SEGMENT_WINDOWS = 512 << 10
+CHUNK_BYTES = 4 << 20
+#: Text whose windows are hashed at once: the arrays take some 60 bytes a byte.
+PART_BYTES = 128 << 10
+#: Windows that a bucket compares at once, but for those of one token.
+SEGMENT_WINDOWS = 128 << 10
+#: Text for which there is one bucket at least, so that a bucket's size is bounded.
+BUCKET_BYTES = 8 << 20
 #: Bound of the splitter sample: anchors kept from it.
 SAMPLE_ANCHORS = 100_000
 RESULT = ("n_bytes", "removed", "kept_bytes")
@@ -85,14 +91,20 @@ def _tokens(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buf, TOKEN)[at]).view(f"S{TOKEN}").ravel()
 
 
-def _chunks(ids: list, tags: list, texts: list[bytes], length: int, chunk_bytes: int):
-    """Groups of text parts of some MB; a very long text goes in overlapping parts."""
+def _texts(column: pa.Array) -> list[memoryview]:
+    """The texts where they lie in the batch, not copies of them."""
+    return [memoryview(t.as_buffer()) for t in column]
+
+
+def _chunks(ids: list, tags: list, texts: list, length: int, chunk_bytes: int):
+    """Groups of text parts of some MB; a long text goes in overlapping parts."""
+    part_bytes = min(chunk_bytes, PART_BYTES)
     order = sorted(range(len(ids)), key=lambda i: _NULL_ID if ids[i] is None else ids[i])
     parts, size = [], 0
     for i in order:
         text = texts[i]
-        for o in range(0, max(len(text) - length + 1, 0), chunk_bytes):
-            part = text[o:o + chunk_bytes + length - 1]
+        for o in range(0, max(len(text) - length + 1, 0), part_bytes):
+            part = text[o:o + part_bytes + length - 1]
             if parts and size + len(part) > chunk_bytes:
                 yield parts
                 parts, size = [], 0
@@ -108,6 +120,18 @@ def _load(parts):
     return buf, np.cumsum(sizes) - sizes, np.cumsum(sizes)
 
 
+def _chunk_anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int):
+    """``anchors`` of a chunk, found for a few of its parts at a time."""
+    cols, x = [], 0
+    while x < len(starts):
+        first = starts[x]
+        y = max(int(np.searchsorted(ends, first + PART_BYTES, side="right")), x + 1)
+        lo, hi, at, part = anchors(buf[first:ends[y - 1]], starts[x:y] - first, ends[x:y] - first, length)
+        cols.append([v.astype(np.int32) for v in (lo + first, hi + first, at + first, part + x)])
+        x = y
+    return tuple(map(np.concatenate, zip(*cols)))
+
+
 def _planes(x: np.ndarray) -> bytes:
     """All first bytes, all second bytes and so on, which compresses better."""
     return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
@@ -126,43 +150,39 @@ def _records(splitters: np.ndarray, buckets: int, length: int, chunk_bytes: int)
         types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
             ids, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = [t.as_buffer().to_pybytes() for t in batch.column(2)]
-            for parts in _chunks(ids, tags, texts, length, chunk_bytes):
+            for parts in _chunks(ids, tags, _texts(batch.column(2)), length, chunk_bytes):
                 buf, starts, ends = _load(parts)
-                lo, hi, at, part = anchors(buf, starts, ends, length)
+                lo, hi, at, part = _chunk_anchors(buf, starts, ends, length)
                 token = _tokens(buf, at)
                 order = np.argsort(token, kind="stable")
                 bucket = np.searchsorted(splitters, token[order], side="right")
                 lo, hi, at, part = lo[order], hi[order], at[order], part[order]
                 raw, keys = buf.tobytes(), [p[0] for p in parts]
-                seen: dict[bytes, int] = {}
-                keep, own, strings = [], [], []
-                for i, (a, b, p) in enumerate(zip(lo.tolist(), (hi + length).tolist(), part.tolist())):
-                    s, doc = raw[a:b], keys[p]
-                    first = seen.setdefault(s, doc)
-                    if first == doc:
-                        keep.append(i)
-                        strings.append(s)
-                    else:
-                        own.append(i)
-                rows = []
+                key_of, tag_of = (np.array([p[j] for p in parts], t) for j, t in ((0, np.int64), (1, np.uint16)))
+                pos_of = np.array([p[2] for p in parts], np.int64) - starts
+                own, rows = [], []
+                edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist() if len(bucket) else []
+                for x, y in zip(edge, [*edge[1:], len(bucket)]):
+                    seen: dict[bytes, int] = {}             # equal records have one token, so one bucket
+                    keep, strings = [], []
+                    for i, a, b, p in zip(range(x, y), lo[x:y].tolist(), (hi[x:y] + length).tolist(), part[x:y].tolist()):
+                        s, doc = raw[a:b], keys[p]
+                        first = seen.setdefault(s, doc)
+                        if first == doc:
+                            keep.append(i)
+                            strings.append(s)
+                        else:
+                            own.append(i)
+                    size = np.fromiter(map(len, strings), np.uint8, len(strings))
+                    p, head = part[keep], lo[keep]
+                    body = b"".join([size.tobytes(), (at[keep] - head).astype(np.uint8).tobytes(),
+                                     *map(_planes, (tag_of[p], key_of[p], head + pos_of[p])), *strings])
+                    rows.append((int(bucket[x]), None, None, None, None, len(keep), pack(body)))
                 ranges = sorted((int(part[i]), int(lo[i]), int(hi[i]) + length) for i in own)
                 for p, a, b in _merged(ranges):
                     key, tag, offset, _ = parts[p]
                     shift = offset - int(starts[p])
                     rows.append((int((key ^ tag) % buckets), key, tag, a + shift, b + shift, 0, None))
-                keep = np.array(keep, np.int64)
-                lo_k, at_k, part_k, bucket_k = lo[keep], at[keep], part[keep], bucket[keep]
-                key_of, tag_of = (np.array([p[j] for p in parts], t) for j, t in ((0, np.int64), (1, np.uint16)))
-                pos_of = np.array([p[2] for p in parts], np.int64) - starts
-                size = np.fromiter(map(len, strings), np.uint8, len(strings))
-                edge = np.flatnonzero(np.concatenate(([True], bucket_k[1:] != bucket_k[:-1]))) if len(keep) else []
-                for x, y in zip(edge, [*edge[1:], len(keep)]):
-                    p = part_k[x:y]
-                    body = b"".join([size[x:y].tobytes(), (at_k[x:y] - lo_k[x:y]).astype(np.uint8).tobytes(),
-                                     *map(_planes, (tag_of[p], key_of[p], lo_k[x:y] + pos_of[p])),
-                                     *strings[x:y]])
-                    rows.append((int(bucket_k[x]), None, None, None, None, int(y - x), pack(body)))
                 cols = list(zip(*rows)) or [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
@@ -218,27 +238,36 @@ def _repeats(buf, size, token_at, key, tag, pos, length):
     return key[rec[hit]], tag[rec[hit]], pos[rec[hit]] + step[hit]
 
 
+def _unpacked(table: pa.Table):
+    """Sizes, places of tokens, tags, keys, positions and texts of a bucket's
+    records.  A body is read where it lies and goes straight to its place."""
+    bodies = [(n, b.as_buffer()) for n, b in zip(table["n"].to_pylist(), table["body"]) if b.is_valid]
+    kinds = (np.uint8, np.uint8, np.uint16, np.int64, np.int64)
+    fixed = sum(np.dtype(t).itemsize for t in kinds)
+    rows = sum(n for n, _ in bodies)
+    cols = [np.empty(rows, t) for t in kinds]
+    buf = np.empty(sum(map(zstandard.frame_content_size, (b for _, b in bodies))) - rows * fixed, np.uint8)
+    unpack = zstandard.ZstdDecompressor().decompress
+    at = to = 0
+    for n, body in bodies:
+        raw, o = unpack(body), 0
+        for col in cols:
+            plane = np.frombuffer(raw, np.uint8, n * col.itemsize, o).reshape(col.itemsize, n)
+            col[at:at + n] = np.ascontiguousarray(plane.T).view(col.dtype).ravel()
+            o += n * col.itemsize
+        buf[to:to + len(raw) - o] = np.frombuffer(raw, np.uint8, offset=o)
+        at, to = at + n, to + len(raw) - o
+    return *cols, buf
+
+
 def _bucket(length: int):
     """One range of leading tokens: byte ranges that smaller documents also have."""
 
     def run(table: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor().decompress
-        out = [[], [], [], []]
-        cols: list[list] = [[], [], [], [], [], []]
-        for n, body, *local in zip(*(table.column(c).to_pylist() for c in ("n", "body", "id", "tag", "start", "stop"))):
-            if body is None:
-                for o, v in zip(out, local):
-                    o.append(np.array([v], np.int64))
-                continue
-            raw, o = unpack(body), 0
-            for col, t in zip(cols, (np.uint8, np.uint8, np.uint16, np.int64, np.int64)):
-                width = np.dtype(t).itemsize
-                plane = np.frombuffer(raw, np.uint8, n * width, o).reshape(width, n)
-                col.append(np.ascontiguousarray(plane.T).view(t).ravel())
-                o += n * width
-            cols[5].append(np.frombuffer(raw, np.uint8, offset=o))
-        if cols[0]:
-            size, off, tag, key, pos, buf = (np.concatenate(c) for c in cols)
+        whole = table.filter(pc.is_null(table["body"]))
+        out = [[whole[c].to_numpy()] for c in ("id", "tag", "start", "stop")]
+        if whole.num_rows < table.num_rows:
+            size, off, tag, key, pos, buf = _unpacked(table)
             size = size.astype(np.int64)
             starts = np.cumsum(size) - size
             token = _tokens(buf, starts + off)
@@ -272,24 +301,24 @@ def _bucket(length: int):
                 tail = np.concatenate((head[1:], [len(a)])) - 1
                 for o, v in zip(out, (a[head], t[head], p[head], p[tail] + length)):
                     o.append(v)
-        done = [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
+        done = [np.concatenate(o).astype(np.int64) for o in out]
         return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("id", "tag", "start", "stop"), done)})
 
     return run
 
 
-def _splitters(base: DataFrame, buckets: int, length: int, chunk_bytes: int, sample: int) -> np.ndarray:
+def _splitters(base: DataFrame, size: int, buckets: int, length: int, chunk_bytes: int, sample: int) -> np.ndarray:
     """Tokens that cut the sampled anchors into ``buckets`` equal ranges.  The
-    sample is of whole documents by a hash, about ``sample`` anchors at any size."""
-    size = base.agg(F.sum(F.octet_length("_body"))).first()[0] or 0
+    sample is of whole documents by a hash, about ``sample`` anchors for any
+    ``size`` of all texts."""
     share = max(1, int(size / (length - TOKEN + 1) * 2 / sample))
 
     def run(batches):
         for batch in batches:
-            texts = [t.as_buffer().to_pybytes() for t in batch.column(2)]
+            texts = _texts(batch.column(2))
             for parts in _chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, length, chunk_bytes):
                 buf, starts, ends = _load(parts)
-                token = _tokens(buf, anchors(buf, starts, ends, length)[2]).tolist()
+                token = _tokens(buf, _chunk_anchors(buf, starts, ends, length)[2]).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(token, pa.binary())], ["token"])
 
     some = base.where(F.pmod(F.xxhash64("_id", "_tag"), F.lit(share)) == 0).mapInArrow(run, "token binary")
@@ -304,9 +333,10 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     buckets: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(_key, _tag, removed): the repeated byte ranges of each text that has
     any, as a sorted array of (start, stop) that don't touch."""
-    buckets = buckets or 2 * common.shuffle_partitions(docs.sparkSession)
     base = _keyed(docs, id_col, text_col).select(F.col("_key").alias("_id"), "_tag", "_body")
-    splitters = _splitters(base, buckets, length, chunk_bytes, SAMPLE_ANCHORS)
+    size = base.agg(F.sum(F.octet_length("_body"))).first()[0] or 0
+    buckets = buckets or max(2 * common.shuffle_partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
+    splitters = _splitters(base, size, buckets, length, chunk_bytes, SAMPLE_ANCHORS)
     rows = base.mapInArrow(_records(splitters, buckets, length, chunk_bytes), SCHEMA)
     ranges = rows.groupBy("bucket").applyInArrow(_bucket(length), "id long, tag long, start long, stop long")
     whole = ranges.groupBy("id", "tag").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("all"))
@@ -321,8 +351,9 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     joined = F.aggregate("all", F.struct(empty.alias("done"), start.alias("open")), step,
                          lambda acc: F.filter(F.concat(acc["done"], F.array(acc["open"])), lambda r: r["start"] >= 0))
-    return common.materialise(whole.select(F.col("id").alias("_key"), F.col("tag").cast("int").alias("_tag"),
-                                           joined.alias("removed")), "ranges")
+    whole = whole.select(F.col("id").alias("_key"), F.col("tag").cast("int").alias("_tag"), joined.alias("removed"))
+    with common.shuffles_removed(docs.sparkSession):        # the records go before the texts travel
+        return common.materialise(whole, "ranges")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
